@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trekframe.llm import bpe, decontam, langid, simhash
+from trekframe.llm import bpe, decontam, langid, pii, simhash
 from trekframe.llm.common import stored
 from trekframe.llm.queries import VOCABULARY
 
@@ -29,12 +29,17 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), drop=True)
 
 
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rewrites personal data and the terms that disclose it; every document stays."""
+    return pii.sanitise(docs)
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and the ids of every document."""
     return bpe.encode(docs.select("doc_id", "text"), VOCABULARY)
 
 
-STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("byte_bpe", encode)]
+STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("personal_data", personal_data), ("byte_bpe", encode)]
 
 #: Language identification and SimHash are beyond SQL; tests compare with brute force.
 ORACLE_SQL = None
