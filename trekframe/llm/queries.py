@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, langid, pii, simhash, sql
+from . import bpe, chat, decontam, embed, langid, pii, simhash, sql
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -40,6 +40,10 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, VOCABULARY, ids=False).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed.near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = "<|im_end|><|im_start|>assistant ok"
     turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("bigint"), F.col("turn").cast("bigint"), "role", "text")
@@ -55,9 +59,10 @@ def queries() -> dict:
         "op6_decontamination": op6_decontamination,
         "op7_pii": op7_pii,
         "op8_byte_bpe": op8_byte_bpe,
+        "op9_embedding_dedup": op9_embedding_dedup,
         "op10_chat_format": op10_chat_format,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_decontamination": sql.OP6, "op7_pii": sql.OP7, "op10_chat_format": sql.OP10}
+    return {"op6_decontamination": sql.OP6, "op7_pii": sql.OP7, "op9_embedding_dedup": sql.OP9, "op10_chat_format": sql.OP10}
