@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, embed, langid, pii, simhash, sql
+from . import bpe, chat, decontam, embed, langid, pii, simhash, spans, sql, urls
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -25,6 +25,14 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.dedup_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
@@ -56,6 +64,8 @@ def queries() -> dict:
     return {
         "op1_language_id": op1_language_id,
         "op2_simhash_dedup": op2_simhash_dedup,
+        "op3_url_filter": op3_url_filter,
+        "op5_substring_dedup": op5_substring_dedup,
         "op6_decontamination": op6_decontamination,
         "op7_pii": op7_pii,
         "op8_byte_bpe": op8_byte_bpe,
@@ -65,4 +75,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_decontamination": sql.OP6, "op7_pii": sql.OP7, "op9_embedding_dedup": sql.OP9, "op10_chat_format": sql.OP10}
+    return {"op3_url_filter": sql.OP3, "op6_decontamination": sql.OP6, "op7_pii": sql.OP7, "op9_embedding_dedup": sql.OP9, "op10_chat_format": sql.OP10}

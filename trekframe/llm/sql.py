@@ -108,3 +108,34 @@ n AS (SELECT a AS vec_id, count(*) AS n FROM link GROUP BY a)
 SELECT v.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, component_id, v.vec_id = component_id AS kept
 FROM v JOIN comp USING (vec_id) LEFT JOIN n USING (vec_id)
 """
+
+OP3 = r"""
+WITH RECURSIVE part AS (
+  SELECT page_id, html, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+page AS MATERIALIZED (
+  SELECT page_id, html, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(h) + 1), '^[^?#]*') AS path
+  FROM (SELECT page_id, html, rest, regexp_extract(rest, '^[^/?#]*') AS h FROM part)),
+rule(h, p, verdict) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+best AS MATERIALIZED (
+  SELECT page_id, host, path, arg_max(h || p, length(h || p)) AS rule, arg_max(verdict, length(h || p)) AS fixed
+  FROM page LEFT JOIN rule ON (host = h OR suffix(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id, host, path),
+edge AS MATERIALIZED (
+  SELECT src, dst, count(*) AS n FROM (
+    SELECT host AS src, translate(unnest(regexp_extract_all(html, '(?i)\bhref\s*=\s*["'']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"''\s<>]+)', 1)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS dst FROM page)
+  WHERE src <> dst AND src <> '' AND dst <> '' GROUP BY ALL),
+graph AS MATERIALIZED (
+  SELECT 'trust' AS kind, src AS host, dst AS goal, n / sum(n) OVER (PARTITION BY src) AS w FROM edge
+  UNION ALL SELECT 'distrust', dst, src, n / sum(n) OVER (PARTITION BY dst) FROM edge),
+seed AS MATERIALIZED (
+  SELECT 'trust' AS kind, host, avg(CASE WHEN fixed = 'allow' THEN 1.0 ELSE 0.0 END) AS r FROM best WHERE host <> '' GROUP BY host
+  UNION ALL SELECT 'distrust', host, avg(CASE WHEN fixed = 'block' THEN 1.0 ELSE 0.0 END) FROM best WHERE host <> '' GROUP BY host),
+walk AS (
+  SELECT 0 AS step, kind, host, r FROM seed
+  UNION ALL
+  SELECT step, kind, host, sum(r) FROM (
+    SELECT step + 1 AS step, walk.kind, goal AS host, r * w * 0.85 AS r FROM walk JOIN graph ON walk.kind = graph.kind AND walk.host = graph.host WHERE step < 60
+  ) GROUP BY step, kind, host),
+score AS (SELECT host, sum(r) FILTER (kind = 'trust') AS t, sum(r) FILTER (kind = 'distrust') AS d FROM walk GROUP BY host)
+SELECT page_id, best.host, path, rule, coalesce(fixed, CASE WHEN coalesce(d, 0) >= 0.5 AND coalesce(d, 0) > coalesce(t, 0) THEN 'block' ELSE 'allow' END) AS verdict
+FROM best LEFT JOIN score ON score.host = best.host
+"""
