@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, embed, langid, pii, simhash, spans, sql, urls
+from . import bpe, chat, decontam, embed, html, langid, pii, simhash, spans, sql, urls
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -29,6 +29,10 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.dedup_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -65,6 +69,7 @@ def queries() -> dict:
         "op1_language_id": op1_language_id,
         "op2_simhash_dedup": op2_simhash_dedup,
         "op3_url_filter": op3_url_filter,
+        "op4_html_text": op4_html_text,
         "op5_substring_dedup": op5_substring_dedup,
         "op6_decontamination": op6_decontamination,
         "op7_pii": op7_pii,
@@ -75,4 +80,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filter": sql.OP3, "op6_decontamination": sql.OP6, "op7_pii": sql.OP7, "op9_embedding_dedup": sql.OP9, "op10_chat_format": sql.OP10}
+    return {"op3_url_filter": sql.OP3, "op4_html_text": sql.OP4, "op6_decontamination": sql.OP6, "op7_pii": sql.OP7, "op9_embedding_dedup": sql.OP9, "op10_chat_format": sql.OP10}

@@ -139,3 +139,16 @@ score AS (SELECT host, sum(r) FILTER (kind = 'trust') AS t, sum(r) FILTER (kind
 SELECT page_id, best.host, path, rule, coalesce(fixed, CASE WHEN coalesce(d, 0) >= 0.5 AND coalesce(d, 0) > coalesce(t, 0) THEN 'block' ELSE 'allow' END) AS verdict
 FROM best LEFT JOIN score ON score.host = best.host
 """
+
+#: The pages' one template: an article element; character references as they occur in them.
+OP4 = r"""
+WITH part AS (
+  SELECT page_id, url, coalesce(regexp_extract(html, '(?s)<article[^>]*>(.*?)(?:</article>|$)', 1), '') AS a FROM pages),
+block AS (
+  SELECT page_id, url, list_filter(list_transform(
+    string_split_regex(regexp_replace(a, '(?s)<!--.*?-->', '', 'g'), '</?(?:p|h[1-6]|div|ul|ol|li|section|blockquote)(?:\s[^>]*)?>'),
+    lambda x: trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(x, '<br\s*/?>', ' ', 'g'), '</?[a-zA-Z][^>]*>', '', 'g'),
+      '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&amp;', '&'), '\s+', ' ', 'g'))),
+    lambda x: x <> '') AS b FROM part)
+SELECT page_id, url, coalesce(array_to_string(b, chr(10) || chr(10)), '') AS text, CAST(length(coalesce(array_to_string(b, chr(10) || chr(10)), '')) AS BIGINT) AS n_chars FROM block
+"""
