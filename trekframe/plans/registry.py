@@ -1,13 +1,17 @@
-"""All registered queries and their oracle SQL, gathered from the query modules."""
+"""All registered queries and their oracle SQL."""
 
 from __future__ import annotations
 
-MODULES: list = []
+from . import aggregates, composite, joins, scalars, sequences, sources_sinks, story, streams
+from .base import ORACLES, QUERIES
+
+#: Importing the modules registers their queries.
+MODULES = (scalars, joins, sequences, aggregates, composite, story, sources_sinks, streams)
 
 
 def queries() -> dict:
-    return {k: v for m in MODULES for k, v in m.queries().items()}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {k: v for m in MODULES for k, v in m.oracle_sql().items()}
+    return dict(ORACLES)
