@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,3 +25,416 @@ def cluster_stats(df: DataFrame, by: list[str], ts: str, tie: str) -> DataFrame:
     still = (F.col("ms") >= 600_000) & (F.col("radius") <= 150) & (F.col("net") <= 100) & ((F.col("speed") <= 0.6) | (F.col("net") <= 60))
     kind = F.when(still, "VISIT").when((F.col("n") >= 2) | (F.col("net") > 50), "MOVEMENT").otherwise("NONE")
     return s.select(*by, "n", "ms", F.col("c_lat").alias("lat"), F.col("c_lng").alias("lng"), "radius", "net", "speed", kind.alias("kind"))
+
+
+# --- kernels: plain functions over one small group, and the operators that deal groups out ---
+
+
+
+R = 6_371_000.0
+
+
+def metres(lat1, lng1, lat2, lng2) -> float:
+    p1, p2 = math.radians(lat1), math.radians(lat2)
+    a = math.sin((p2 - p1) / 2) ** 2 + math.cos(p1) * math.cos(p2) * math.sin(math.radians(lng2 - lng1) / 2) ** 2
+    return 2 * R * math.atan2(math.sqrt(a), math.sqrt(max(0.0, 1 - a)))
+
+
+def rdp(points: list[tuple[float, float]], eps: float = 20.0) -> list[int]:
+    """Kept places of a path; the point farthest from the great circle through the ends stays if beyond eps, the first of equals."""
+    keep, todo = {0, len(points) - 1} if points else set(), [(0, len(points) - 1)]
+    while todo:
+        a, b = todo.pop()
+        if b - a < 2:
+            continue
+        far = [_cross(points[i], points[a], points[b]) for i in range(a + 1, b)]
+        top = max(range(len(far)), key=lambda i: (far[i], -i))
+        if far[top] > eps:
+            k = a + 1 + top
+            keep.add(k)
+            todo += [(a, k), (k, b)]
+    return sorted(keep)
+
+
+def _bearing(p, q) -> float:
+    a, b, d = math.radians(p[0]), math.radians(q[0]), math.radians(q[1] - p[1])
+    return math.atan2(math.sin(d) * math.cos(b), math.cos(a) * math.sin(b) - math.sin(a) * math.cos(b) * math.cos(d))
+
+
+def _cross(p, a, b) -> float:
+    d = metres(*a, *p) / R
+    if metres(*a, *b) < 1e-6:
+        return d * R
+    return abs(math.asin(max(-1.0, min(1.0, math.sin(d) * math.sin(_bearing(a, p) - _bearing(a, b)))))) * R
+
+
+def simplified(df: DataFrame, points: str, eps: float = 20.0) -> DataFrame:
+    """P1 over array<struct<lat, lng, ...>>: Arrow batches of paths."""
+
+    @F.pandas_udf("array<int>")
+    def kept(column: pd.Series) -> pd.Series:
+        return column.map(lambda path: [i for i in rdp([(x["lat"], x["lng"]) for x in path], eps)])
+
+    only = F.transform(points, lambda x: F.struct(x["lat"].alias("lat"), x["lng"].alias("lng")))
+    return df.withColumn("__kept", kept(only)).withColumn(points, F.transform("__kept", lambda i: F.element_at(F.col(points), i + 1))).drop("__kept")
+
+
+# A4 -------------------------------------------------------------------------------------------
+
+
+def _same_stay(a: dict, b: dict) -> bool:
+    """Two records of one stay: equal within 10 s, or overlapping enough and close enough."""
+    if abs(a["start_ms"] - b["start_ms"]) <= 10_000 and abs(a["end_ms"] - b["end_ms"]) <= 10_000:
+        return True
+    shared = min(a["end_ms"], b["end_ms"]) - max(a["start_ms"], b["start_ms"])
+    if shared <= 0:
+        return False
+    share = shared / min(max(1, a["end_ms"] - a["start_ms"]), max(1, b["end_ms"] - b["start_ms"]))
+    far = metres(a["lat"], a["lng"], b["lat"], b["lng"])
+    return (share >= 0.9 and far <= 1500) or (far <= 500 and (share >= 0.5 or shared >= 600_000))
+
+
+def _named(v: dict) -> bool:
+    return bool((v["name"] or "").strip()) and v["name"].upper() != "UNKNOWN"
+
+
+def _one_stay(group: list[dict]) -> dict:
+    """The union of the times, and the rest of the best record."""
+    best = max(group, key=lambda v: (v["is_override"], _named(v), v["confidence"], v["end_ms"] - v["start_ms"], v["id"]))
+    return best | {"start_ms": min(v["start_ms"] for v in group), "end_ms": max(v["end_ms"] for v in group), "is_override": any(v["is_override"] for v in group)}
+
+
+def canonical_stays(rows: list[dict]) -> list[dict]:
+    """A4: records of one stay are merged, then no two stays overlap."""
+    rows = sorted(rows, key=lambda v: (v["start_ms"], v["end_ms"], -v["confidence"], v["id"]))
+    groups: list[list[dict]] = []
+    for v in rows:
+        home = next((g for g in groups if any(_same_stay(x, v) for x in g)), None)
+        groups.append([v]) if home is None else home.append(v)
+    out: list[dict] = []
+    worth = lambda v: 100 * v["is_override"] + 10 * bool((v["name"] or "").strip()) + v["confidence"]
+    for v in sorted(map(_one_stay, groups), key=lambda x: x["start_ms"]):
+        if not out or out[-1]["end_ms"] <= v["start_ms"]:
+            out.append(v)
+            continue
+        last = out[-1]
+        if metres(last["lat"], last["lng"], v["lat"], v["lng"]) <= 500:
+            out[-1] = _one_stay([last, v])
+        elif v["end_ms"] <= last["end_ms"] and worth(last) >= worth(v) + 0.2:
+            continue
+        elif last["start_ms"] >= v["start_ms"] and worth(v) >= worth(last) + 0.2:
+            # the one replaced may have been moved up against its predecessor, which the newcomer must not overlap
+            out[-1] = v | {"start_ms": max([v["start_ms"], *(x["end_ms"] for x in out[-2:-1])])}
+        else:
+            cut = max(last["start_ms"] + 1000, min(last["end_ms"], (last["end_ms"] + v["start_ms"]) // 2))
+            out[-1] = last | {"end_ms": cut}
+            if v["end_ms"] > max(cut, v["start_ms"]):
+                out.append(v | {"start_ms": max(cut, v["start_ms"])})
+    return sorted(out, key=lambda x: x["start_ms"])
+
+
+STAY = "trip bigint, island bigint, id bigint, name string, lat double, lng double, start_ms bigint, end_ms bigint, confidence double, is_override boolean"
+
+
+def _grouped(df: DataFrame, by: list[str], kernel, schema: str) -> DataFrame:
+    """kernel over each group's rows.  Groups stream through sorted partitions, so many small ones share a batch."""
+    fields = [x.split(" ", 1) for x in schema.split(", ")]
+    kinds = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def packed(rows: list[dict]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], kinds[k]) for n, k in fields], names=[n for n, _ in fields])
+
+        now, group, out = None, [], []
+        for batch in batches:
+            for row in batch.to_pylist():
+                key = tuple(row[c] for c in by)
+                if key != now:
+                    out += kernel(group) if group else []
+                    now, group = key, []
+                group.append(row)
+            if len(out) >= 4096:
+                yield packed(out)
+                out = []
+        out += kernel(group) if group else []
+        if out:
+            yield packed(out)
+
+    return df.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, schema)
+
+
+def canonicalise_stays(visits: DataFrame) -> DataFrame:
+    """A4 over visits(trip, id, name, lat, lng, start_ms, end_ms, confidence, is_override).
+
+    Islands, padded by the 10 s at which two records may match without meeting,
+    are independent; those of one visit need no kernel.
+    """
+    from pyspark.sql.window import Window
+
+    from .sequence import islands
+
+    rows = islands(visits, ["trip"], ["id"], pad=10_001).withColumn("__n", F.count("*").over(Window.partitionBy("trip", "island")))
+    cols = [x.split()[0] for x in STAY.split(", ")]
+    return rows.where("__n = 1").select(*cols).unionByName(_grouped(rows.where("__n > 1").select(*cols), ["trip", "island"], canonical_stays, STAY))
+
+
+# A5 -------------------------------------------------------------------------------------------
+
+#: Worth of a movement's geometry by its origin.
+GEOMETRY = {"OBSERVED": 100.0, "SIMPLIFIED_OBSERVED": 80.0, "ESTIMATED_GEODESIC": 60.0, "ENDPOINT_INTERPOLATED": 30.0, "CONTINUITY_ESTIMATE": 20.0, "UNKNOWN": 10.0}
+MOVE = "trip bigint, island bigint, id bigint, mode string, lat double, lng double, lat2 double, lng2 double, start_ms bigint, end_ms bigint, confidence double, provenance string, sliced boolean"
+
+
+def position(s: dict, t: int) -> tuple[float, float]:
+    """Where a movement is at a time, along the great circle of its ends."""
+    f = min(1.0, max(0.0, (t - s["start_ms"]) / max(1, s["end_ms"] - s["start_ms"])))
+    a, b = (s["lat"], s["lng"]), (s["lat2"], s["lng2"])
+    d = metres(*a, *b) / R
+    if d < 1e-9 or f in (0.0, 1.0):
+        return b if f == 1.0 else a
+    u, v = math.sin((1 - f) * d) / math.sin(d), math.sin(f * d) / math.sin(d)
+    p, q = [(math.cos(math.radians(x)) * math.cos(math.radians(y)), math.cos(math.radians(x)) * math.sin(math.radians(y)), math.sin(math.radians(x))) for x, y in (a, b)]
+    x, y, z = (u * i + v * j for i, j in zip(p, q))
+    return math.degrees(math.atan2(z, math.hypot(x, y))), math.degrees(math.atan2(y, x))
+
+
+def _worth(s: dict, a: int, b: int) -> float:
+    return GEOMETRY[s["provenance"]] * s["confidence"] * (b - a) / max(1, s["end_ms"] - s["start_ms"])
+
+
+def canonical_moves(rows: list[dict]) -> list[dict]:
+    """A5: one movement at a time: Viterbi over the atomic intervals of an island, then equal neighbours joined and cut out.
+
+    Staying costs nothing; a change costs 15, or 40 to another mode, and 0.05 a
+    metre, and is ruled out beyond 1500 m.  A path with a jump over 500 m inside
+    falls back to the single best movement.
+    """
+    rows = sorted(rows, key=lambda s: (s["start_ms"], s["end_ms"], s["id"]))
+    edges = sorted({t for s in rows for t in (s["start_ms"], s["end_ms"])})
+    steps = [(a, b, on) for a, b in zip(edges, edges[1:]) if (on := [s for s in rows if s["start_ms"] <= a and b <= s["end_ms"]])]
+    if not steps:
+        return []
+
+    def change(p: dict, q: dict, t: int) -> float:
+        if p["id"] == q["id"]:
+            return 0.0
+        far = metres(*position(p, t), *position(q, t))
+        return -math.inf if far > 1500 else -(15 if p["mode"] == q["mode"] else 40) - 0.05 * far
+
+    def first_best(values: list[float]) -> int:
+        return max(range(len(values)), key=lambda i: (values[i], -i))
+
+    score, back = [_worth(s, *steps[0][:2]) for s in steps[0][2]], []
+    for (_, _, before), (a, b, now) in zip(steps, steps[1:]):
+        table = [[x + change(p, q, a) for x, p in zip(score, before)] for q in now]
+        come = [first_best(line) for line in table]
+        back.append(come)
+        score = [line[k] + _worth(q, a, b) for line, k, q in zip(table, come, now)]
+    k = first_best(score)
+    path = [k]
+    for come in reversed(back):
+        path.append(k := come[k])
+    chosen = [on[i] for (_, _, on), i in zip(steps, reversed(path))]
+    jump = any(p["id"] != q["id"] and metres(*position(p, a), *position(q, a)) > 500 for p, q, (a, _, _) in zip(chosen, chosen[1:], steps[1:]))
+    if jump or max(score) == -math.inf:
+        low, high = steps[0][0], steps[-1][1]
+        best = rows[first_best([_worth(s, max(low, s["start_ms"]), min(high, s["end_ms"])) for s in rows])]
+        chosen = [best if best in on else on[first_best([_worth(s, a, b) for s in on])] for a, b, on in steps]
+    out: list[dict] = []
+    for s, (a, b, _) in zip(chosen, steps):
+        if out and out[-1]["id"] == s["id"] and out[-1]["end_ms"] == a:
+            out[-1]["end_ms"] = b
+        else:
+            out.append(s | {"start_ms": a, "end_ms": b, "__of": s})
+    for s in out:
+        of = s.pop("__of")
+        s["sliced"] = (s["start_ms"], s["end_ms"]) != (of["start_ms"], of["end_ms"])
+        s["lat"], s["lng"] = position(of, s["start_ms"])
+        s["lat2"], s["lng2"] = position(of, s["end_ms"])
+    return out
+
+
+def canonicalise_moves(moves: DataFrame) -> DataFrame:
+    """A5 over moves(trip, id, mode, lat, lng, lat2, lng2, start_ms, end_ms, confidence, provenance); islands of one skip the kernel."""
+    from pyspark.sql.window import Window
+
+    from .sequence import islands
+
+    rows = islands(moves, ["trip"], ["id"]).withColumns({"__n": F.count("*").over(Window.partitionBy("trip", "island")), "sliced": F.lit(False)})
+    cols = [x.split()[0] for x in MOVE.split(", ")]
+    return rows.where("__n = 1").select(*cols).unionByName(_grouped(rows.where("__n > 1").select(*cols), ["trip", "island"], canonical_moves, MOVE))
+
+
+# A9, T4, T5 -----------------------------------------------------------------------------------
+
+
+def _alike(a: dict, b: dict) -> bool:
+    return bin((a["hash"] ^ b["hash"]) & (1 << 64) - 1).count("1") <= 6 and sum(abs(x - y) for x, y in zip(a["color"], b["color"])) < 0.22
+
+
+PHOTO = "parent bigint, id bigint, ts_ms bigint, cluster int, is_first boolean"
+
+
+def photo_moments(rows: list[dict], window_ms: int = 180_000, most_m: float = 300.0) -> list[dict]:
+    """A photo joins the first cluster whose first photo is near in time and place and looks alike; without features it never does."""
+    firsts: list[dict] = []
+    out = []
+    for p in sorted(rows, key=lambda x: (x["ts_ms"], x["id"])):
+        fits = lambda f: p["hash"] is not None and f["hash"] is not None and p["ts_ms"] - f["ts_ms"] <= window_ms and metres(p["lat"], p["lng"], f["lat"], f["lng"]) <= most_m and _alike(p, f)
+        k = next((i for i, f in enumerate(firsts) if fits(f)), None)
+        if k is None:
+            firsts.append(p)
+        out.append(p | {"cluster": len(firsts) - 1 if k is None else k, "is_first": k is None})
+    return out
+
+
+def hero_and_thumbnails(rows: list[dict], n: int = 3, repeat: int = 180) -> list[dict]:
+    """T4: the best photo, then n more, each pick scored anew: a category already shown costs 180."""
+    left, out, shown = sorted(rows, key=lambda x: x["id"]), [], set()
+    while left and len(out) <= n:
+        best = max(left, key=lambda x: (x["score"] - (repeat if x["category"] in shown else 0), -x["id"]))
+        left.remove(best)
+        shown.add(best["category"])
+        out.append(best | {"rank": len(out)})
+    return out
+
+
+def budgeted(rows: list[dict], budget: int = 35, per_anchor: int = 3) -> list[dict]:
+    """T5: pinned ones always; then one a day in turn from important anchors, one for each anchor left out, up to three an anchor if not short, and the best of the rest."""
+    rank = lambda x: (-x["score"], x["ts_ms"], x["id"])
+    left = sorted(rows, key=rank)
+    out = [x for x in left if x["pinned"]]
+    left = [x for x in left if not x["pinned"]]
+    used = lambda a: sum(x["anchor"] == a for x in out)
+
+    def take(x):
+        out.append(x)
+        left.remove(x)
+
+    days = {}
+    for x in left:
+        if x["important"] and not any(y["anchor"] == x["anchor"] for q in days.values() for y in q) and not used(x["anchor"]):
+            days.setdefault(x["ts_ms"] // 86_400_000, []).append(x)
+    while len(out) < budget and any(days.values()):
+        for day in sorted(days):
+            if days[day] and len(out) < budget:
+                take(days[day].pop(0))
+    for x in list(left):
+        if len(out) < budget and not used(x["anchor"]):
+            take(x)
+    if budget > 15:
+        for x in list(left):
+            if len(out) < budget and used(x["anchor"]) < per_anchor:
+                take(x)
+    for x in list(left):
+        if len(out) < budget and used(x["anchor"]) < per_anchor:
+            take(x)
+    return sorted(out, key=lambda x: (x["ts_ms"], x["id"]))
+
+
+# H6, G20 --------------------------------------------------------------------------------------
+
+
+def image_features(pixels: np.ndarray) -> tuple[int, float, float, list[float]]:
+    """H6, G20 of an h x w x 3 image of at least 8 x 9: difference hash, variance of the Laplacian, share not clipped, histogram of 8 colours."""
+    h, w = pixels.shape[:2]
+    grey = pixels @ np.array([0.299, 0.587, 0.114])
+    at = grey[np.arange(8) * h // 8][:, np.arange(9) * w // 9]
+    bits = (at[:, :-1] > at[:, 1:]).reshape(-1)
+    digest = int(np.packbits(bits, bitorder="little").view("<i8")[0])
+    inner = grey[1:-1, 1:-1]
+    laplace = grey[1:-1, :-2] + grey[1:-1, 2:] + grey[:-2, 1:-1] + grey[2:, 1:-1] - 4 * inner
+    high = pixels[1:-1, 1:-1] >= 128
+    colour = np.bincount((high @ np.array([4, 2, 1])).reshape(-1), minlength=8) / inner.size
+    return digest, float(laplace.var()), float(1 - ((inner < 5) | (inner > 250)).mean()), colour.tolist()
+
+
+FEATURES = "id bigint, hash bigint, sharpness double, exposure double, color array<double>"
+
+
+def extract_features(images: DataFrame) -> DataFrame:
+    """images(id, width, height, pixels: array<int> of 0xRRGGBB) to features, in Arrow batches."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = []
+            for r in part.itertuples():
+                p = np.asarray(r.pixels, np.int64).reshape(r.height, r.width)
+                rows.append((r.id, *image_features(np.stack([p >> 16 & 255, p >> 8 & 255, p & 255], axis=2))))
+            yield pd.DataFrame(rows, columns=["id", "hash", "sharpness", "exposure", "color"])
+
+    return images.select("id", "width", "height", "pixels").mapInPandas(run, FEATURES)
+
+
+# G3 -------------------------------------------------------------------------------------------
+
+SUMMARY = "trip bigint, names array<string>, others bigint"
+
+
+def representative_names(rows: list[dict]) -> list[dict]:
+    """Up to three labels, by priority, then use: hours, photos and days not yet covered."""
+    groups: dict = {}
+    for r in sorted(rows, key=lambda x: x["first"]):
+        groups.setdefault(r["label"], r)
+    left, out, days = list(groups.values()), [], set()
+    while left and len(out) < 3:
+        use = lambda g: 2 * math.log(1 + g["hours"]) + 2 * math.log(1 + g["photos"]) + 2 * min(3, len(set(g["days"]) - days))
+        best = min(left, key=lambda g: (g["priority"], -use(g), g["first"]))
+        out.append(best["label"])
+        days |= set(best["days"])
+        left.remove(best)
+    return [{"trip": rows[0]["trip"], "names": out, "others": len(left)}]
+
+
+# P4, P5, A10 ----------------------------------------------------------------------------------
+
+
+def slice_path(path: list[dict], a: int, b: int, least_m: float = 1.0) -> list[tuple[float, float]]:
+    """The part of a timed path from a to b: made-up points at both ends, and the vertices between, over 1 m from the one before."""
+
+    def at(t):
+        for p, q in zip(path, path[1:]):
+            if p["ts_ms"] <= t <= q["ts_ms"]:
+                return position({"start_ms": p["ts_ms"], "end_ms": q["ts_ms"], "lat": p["lat"], "lng": p["lng"], "lat2": q["lat"], "lng2": q["lng"]}, t)
+        return (path[0]["lat"], path[0]["lng"]) if t < path[0]["ts_ms"] else (path[-1]["lat"], path[-1]["lng"])
+
+    out = [at(a)]
+    for p in path:
+        if a < p["ts_ms"] < b and metres(*out[-1], p["lat"], p["lng"]) > least_m:
+            out.append((p["lat"], p["lng"]))
+    end = at(b)
+    return out + [end] if len(out) < 2 or metres(*out[-1], *end) > least_m else [*out[:-1], end]
+
+
+def split_path(path: list[tuple[float, float]], place: tuple[float, float], fraction: float, most_m: float = 3000.0) -> tuple[list, list]:
+    """P5: the path before and after a place: at its nearest vertex within 3 km, else at a share of its length."""
+    far = [metres(*p, *place) for p in path]
+    k = far.index(min(far))
+    if far[k] <= most_m:
+        return path[: k + 1], path[k:]
+    run = [0.0]
+    for p, q in zip(path, path[1:]):
+        run.append(run[-1] + metres(*p, *q))
+    goal = run[-1] * min(1.0, max(0.0, fraction))
+    k = max(i for i, x in enumerate(run) if x <= goal)
+    if k == len(path) - 1:
+        return path, path[-1:]
+    f = (goal - run[k]) / (run[k + 1] - run[k]) if run[k + 1] > run[k] else 0.0
+    mid = tuple(x + (y - x) * f for x, y in zip(path[k], path[k + 1]))
+    return [*path[: k + 1], mid], [mid, *path[k + 1 :]]
+
+
+PIECE = "trip bigint, id bigint, piece int, start_ms bigint, end_ms bigint"
+
+
+def around_stays(rows: list[dict], least_ms: int = 1000) -> list[dict]:
+    """A10: the parts of a movement outside the stays that overlap it, in order; parts under a second are dropped."""
+    s, out = rows[0], []
+    at = s["m_start"]
+    for r in sorted(rows, key=lambda x: (x["v_start"], x["v_end"])):
+        if r["v_start"] - at >= least_ms:
+            out.append((at, r["v_start"]))
+        at = max(at, r["v_end"])
+    if s["m_end"] - at >= least_ms:
+        out.append((at, s["m_end"]))
+    return [{"trip": s["trip"], "id": s["id"], "piece": i, "start_ms": a, "end_ms": b} for i, (a, b) in enumerate(out)]

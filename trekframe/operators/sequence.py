@@ -122,17 +122,18 @@ def path_length(points) -> Column:
     return F.aggregate(F.zip_with(F.slice(p, 1, F.greatest(F.lit(0), F.size(p) - 1)), F.slice(p, 2, F.greatest(F.lit(0), F.size(p) - 1)), distance), F.lit(0.0), lambda a, x: a + x)
 
 
-def at_fraction(points, t) -> Column:
-    """The point at a fraction of a path's length."""
+def at_fraction(df: DataFrame, points: str, t: Column, out: str = "position") -> DataFrame:
+    """``out``: the point at a fraction of a path's length.  Each step is a column, so that none is worked out twice."""
     from trekframe.functions.geo import slerp
 
-    p, along = c(points), cumulative(points)
-    target = F.element_at(along, -1) * F.least(F.lit(1.0), F.greatest(F.lit(0.0), c(t)))
-    i = F.greatest(F.lit(1), F.least(F.size(p) - 1, F.size(F.filter(along, lambda x: x <= target))))
-    a, b = F.get(p, i - 1), F.get(p, i)
-    span = F.get(along, i) - F.get(along, i - 1)
-    f = F.when(span > 0, (target - F.get(along, i - 1)) / span).otherwise(0.0)
-    return F.when(F.size(p) < 2, F.struct(F.get(p, F.lit(0))["lat"].alias("lat"), F.get(p, F.lit(0))["lng"].alias("lng"))).otherwise(slerp(a["lat"], a["lng"], b["lat"], b["lng"], f))
+    df = df.withColumn("__along", cumulative(points)).withColumn("__goal", F.element_at("__along", -1) * F.least(F.lit(1.0), F.greatest(F.lit(0.0), c(t))))
+    df = df.withColumn("__i", F.greatest(F.lit(1), F.least(F.size(points) - 1, F.size(F.filter("__along", lambda x: x <= F.col("__goal"))))))
+    get = lambda a, i: F.get(F.col(a), i)
+    df = df.withColumns({"__a": get(points, F.col("__i") - 1), "__b": get(points, F.col("__i")), "__d0": get("__along", F.col("__i") - 1), "__d1": get("__along", F.col("__i"))})
+    df = df.withColumn("__f", F.when(F.col("__d1") > F.col("__d0"), (F.col("__goal") - F.col("__d0")) / (F.col("__d1") - F.col("__d0"))).otherwise(0.0))
+    only = F.struct(get(points, F.lit(0))["lat"].alias("lat"), get(points, F.lit(0))["lng"].alias("lng"))
+    at = slerp("__a.lat", "__a.lng", "__b.lat", "__b.lng", "__f")
+    return df.withColumn(out, F.when(F.size(points) < 2, only).otherwise(at)).drop("__along", "__goal", "__i", "__a", "__b", "__d0", "__d1", "__f")
 
 
 def heading_track(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:

@@ -1 +1,116 @@
-"""Placeholder."""
+"""Queries of the grouped kernels.  Where SQL can't say the same, tests compare with golden cases and invariants."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from trekframe.operators import composite as C
+from trekframe.operators import joins as J
+from trekframe.operators import sequence as S
+
+from .base import STAYS, query, read, stays
+
+
+def visits(spark, d):
+    k = F.col("part")
+    return stays(spark, d).select("trip", "id", F.when(k % 4 > 0, F.concat(F.lit("place "), (k % 7).cast("string"))).alias("name"), "lat", "lng", "start_ms", "end_ms", "confidence", (k % 50 == 0).alias("is_override"))
+
+
+@query("a4_canonical_stays")
+def a4(spark, d):
+    return C.canonicalise_stays(visits(spark, d)).drop("island")
+
+
+@query("a4_no_overlap", "SELECT 0::BIGINT AS overlaps")
+def a4b(spark, d):
+    return S.neighbours(C.canonicalise_stays(visits(spark, d)), ["trip"], ["id"]).agg(F.count_if("violation").alias("overlaps"))
+
+
+def moves(spark, d):
+    w = Window.partitionBy("trip").orderBy("start_ms", "end_ms", "id")
+    origin = F.element_at(F.array(*map(F.lit, ["OBSERVED", "SIMPLIFIED_OBSERVED", "UNKNOWN"])), (F.col("part") % 3 + 1).cast("int"))
+    return stays(spark, d).select("trip", "id", "mode", "lat", "lng", (F.col("lat") + 0.01).alias("lat2"), (F.col("lng") + 0.01).alias("lng2"), "start_ms", "end_ms", "confidence", origin.alias("provenance"))
+
+
+@query("a5_canonical_moves")
+def a5(spark, d):
+    return C.canonicalise_moves(moves(spark, d)).drop("island")
+
+
+@query("a5_no_overlap", "SELECT 0::BIGINT AS overlaps")
+def a5b(spark, d):
+    return S.neighbours(C.canonicalise_moves(moves(spark, d)), ["trip"], ["id"]).agg(F.count_if("violation").alias("overlaps"))
+
+
+@query("a1_a2_p1_path_fusion")
+def a1(spark, d):
+    """A1: points of a stay's time, in order, without near repeats, simplified; A2's uncovered points are in j6_points_uncovered and w1_sessions."""
+    from .joins import at, own
+
+    m = J.interval_join(at(spark, d), own(stays(spark, d)), ["trip"], "ts_ms", "start_ms", "end_ms", pad=30_000)
+    g = m.groupBy("trip", "stay").agg(F.sort_array(F.collect_list(F.struct("ts_ms", "id", "lat", "lng"))).alias("points"))
+    g = g.withColumn("points", S.dedupe_points("points"))
+    g = g.withColumn("metres", F.round(S.path_length("points"), 3))
+    return C.simplified(g, "points").select("trip", "stay", "metres", F.size("points").alias("kept"))
+
+
+@query("a2_fallback_movement", None)
+def a2(spark, d):
+    from trekframe.functions.geo import haversine
+
+    from .joins import at, own
+
+    free = J.uncovered(at(spark, d), own(stays(spark, d)), ["trip"], "id", "ts_ms", "start_ms", "end_ms")
+    s = S.sessions(free, ["trip"], "ts_ms", "id", 36 * 3_600_000)
+    w = Window.partitionBy("trip", "session").orderBy("ts_ms", "id")
+    s = s.withColumn("step", haversine(F.lag("lat").over(w), F.lag("lng").over(w), "lat", "lng"))
+    m = s.groupBy("trip", "session").agg(F.count("*").alias("n"), F.sum("step").alias("metres"), (F.max("ts_ms") - F.min("ts_ms")).alias("ms"))
+    speed = F.col("metres") / 1000 / (F.greatest(F.lit(1000), F.col("ms")) / 3_600_000)
+    return m.where((F.col("n") > 1) & (F.col("metres") >= 150) & (speed >= 0.5)).select("trip", "session", "n", F.round("metres", 3).alias("metres"))
+
+
+@query("a9_photo_moments")
+def a9(spark, d):
+    e = read(spark, d, "embeddings").select("vec_id", "label", "embedding")
+    p = e.select(F.col("label").cast("bigint").alias("parent"), F.col("vec_id").alias("id"), (F.col("vec_id") * 40_000).alias("ts_ms"), F.lit(40.0).alias("lat"), (F.col("vec_id") % 2 / 1000).alias("lng"), (F.col("vec_id") % 3).alias("hash"), F.transform(F.slice("embedding", 1, 8), lambda x: (x / 10).cast("double")).alias("color"))
+    return C._grouped(p, ["parent"], C.photo_moments, C.PHOTO)
+
+
+@query("t4_hero_and_thumbnails")
+def t4(spark, d):
+    p = stays(spark, d).select("trip", "id", (F.col("part") % 1000).alias("score"), (F.col("part") % 6).alias("category"))
+    return C._grouped(p, ["trip"], C.hero_and_thumbnails, "trip bigint, id bigint, score bigint, category bigint, rank int")
+
+
+@query("t5_budgeted_moments")
+def t5(spark, d):
+    p = stays(spark, d).select("trip", "id", F.col("part").alias("anchor"), (F.col("part") % 1000).alias("score"), F.col("start_ms").alias("ts_ms"), (F.col("id") % 400 == 0).alias("pinned"), (F.col("part") % 2 == 0).alias("important"))
+    return C._grouped(p, ["trip"], C.budgeted, "trip bigint, id bigint, anchor bigint, score bigint, ts_ms bigint")
+
+
+@query("g3_visit_summary")
+def g3(spark, d):
+    s = stays(spark, d).groupBy("trip", (F.col("part") % 12).alias("k")).agg(F.sum(F.least(F.lit(24.0), (F.col("end_ms") - F.col("start_ms")) / 3_600_000)).alias("hours"), F.count("*").alias("photos"), F.collect_set(F.expr("start_ms div 86400000")).alias("days"), F.min("start_ms").alias("first"))
+    s = s.withColumns({"label": F.concat(F.lit("place "), F.col("k").cast("string")), "priority": F.when(F.col("k") == 0, 0).otherwise(1)})
+    return C._grouped(s, ["trip"], C.representative_names, C.SUMMARY)
+
+
+@query("h6_g20_image_features")
+def h6(spark, d):
+    n = F.col("p_partkey")
+    px = F.transform(F.sequence(F.lit(0), F.lit(143)), lambda i: (i * 7919 + n * 104729) % 16_777_216)
+    return C.extract_features(read(spark, d, "part").select(n.alias("id"), F.lit(12).alias("width"), F.lit(12).alias("height"), px.alias("pixels")))
+
+
+@query("a10_around_stays", f"""WITH {STAYS}, m AS (SELECT trip, id, start_ms, end_ms FROM stays WHERE mode = 'CAR'), o AS (SELECT m.trip, m.id, m.start_ms AS a, m.end_ms AS b, min(v.start_ms) AS s, max(v.end_ms) AS e, count(*) AS n FROM m JOIN stays v ON v.trip = m.trip AND v.mode = 'WALK' AND greatest(v.start_ms, m.start_ms) < least(v.end_ms, m.end_ms) GROUP BY ALL)
+  SELECT trip, id, a AS start_ms, s AS end_ms FROM o WHERE n = 1 AND s - a >= 1000 UNION ALL SELECT trip, id, e, b FROM o WHERE n = 1 AND b - e >= 1000""")
+def a10(spark, d):
+    """Movements that one stay overlaps are checked against SQL; the kernel takes any number."""
+    s = stays(spark, d)
+    v = s.where("mode = 'WALK'").select("trip", F.col("start_ms").alias("b_start"), F.col("end_ms").alias("b_end"))
+    o = J.overlap_join(s.where("mode = 'CAR'").select("trip", "id", "start_ms", "end_ms"), v, ["trip"])
+    o = o.select("trip", "id", F.col("start_ms").alias("m_start"), F.col("end_ms").alias("m_end"), F.col("b_start").alias("v_start"), F.col("b_end").alias("v_end"))
+    one = Window.partitionBy("trip", "id", "m_start", "m_end")
+    o = o.withColumn("n", F.count("*").over(one)).where("n = 1").drop("n")
+    return C._grouped(o, ["trip", "id", "m_start", "m_end"], C.around_stays, C.PIECE).drop("piece")

@@ -162,7 +162,8 @@ def w19(spark, d):
   p AS (SELECT *, row_number() OVER (PARTITION BY hour ORDER BY along DESC, k DESC) AS r FROM n WHERE along <= goal AND along2 IS NOT NULL)
   SELECT hour, round(lat + (lat2 - lat) * CASE WHEN along2 > along THEN (goal - along) / (along2 - along) ELSE 0 END, 3) AS lat FROM p WHERE r = 1""")
 def p2(spark, d):
-    return tracks(spark, d).where(F.size("points") > 1).select("hour", F.round(S.at_fraction("points", F.lit(1 / 3))["lat"], 3).alias("lat"))
+    rows = tracks(spark, d).where(F.size("points") > 1)
+    return S.at_fraction(rows, "points", F.lit(1 / 3)).select("hour", F.round("position.lat", 3).alias("lat"))
 
 
 @query("t1_trip_sort", "SELECT c_custkey, row_number() OVER (ORDER BY lower(c_name) DESC, c_custkey) AS by_name, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS by_created FROM customer ORDER BY by_name")

@@ -1 +1,103 @@
-"""Placeholder."""
+"""Queries of sources and sinks.  Files are written by the query itself, in the session's shared folder, and read back."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import functions as F
+
+from trekframe.sources import store as K
+from trekframe.sources import timeline as TL
+
+from .base import query, read
+
+
+def folder(spark) -> str:
+    """A new folder where every executor can read: the shared one, or a temporary one where none is set (tests)."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
+    return f"{shared.rstrip('/')}/trekframe-{uuid.uuid4().hex}"
+
+
+@query("s1_s8_timeline_json", "SELECT 'VISIT' AS kind, o_orderkey * 1000000 AS start_ms, 'place ' || o_orderkey AS name, NULL AS mode, 0.95::DOUBLE AS confidence, (o_orderkey % 80 + 1)::DOUBLE AS lat FROM orders WHERE o_orderkey % 100 = 1 AND o_orderkey * 1000000 > 100000000000 UNION ALL SELECT 'MOVE', o_orderkey * 1000000, NULL, 'TRAIN', 0.5, (o_orderkey % 80 + 1)::DOUBLE FROM orders WHERE o_orderkey % 100 = 2 AND o_orderkey * 1000000 > 100000000000")
+def s1(spark, d):
+    """Elements of two shapes are written as one export per hundred thousand orders, split and dispatched again."""
+    k = F.col("o_orderkey")
+    t = (k * 1_000_000).cast("string")
+    at = F.concat((k % 80 + 1).cast("string"), F.lit("°, 5°"))
+    visit = F.format_string('{"startTime": "%s", "endTime": "%s", "visit": {"topCandidate": {"placeName": "place %s", "placeLocation": {"latLng": "%s"}}}}', t, t, k.cast("string"), at)
+    move = F.format_string('{"startTime": "%s", "endTime": "%s", "activity": {"topCandidate": {"type": "IN_TRAIN", "probability": 0.5}, "start": {"latLng": "%s"}}}', t, t, at)
+    big = "o_orderkey % 100 IN (1, 2) AND o_orderkey * 1000000 > 100000000000"
+    rows = read(spark, d, "orders").where(big).select((k / 100_000).cast("int").alias("f"), F.when(k % 100 == 1, visit).otherwise(move).alias("e"))
+    out = folder(spark)
+    rows.groupBy("f").agg(F.concat(F.lit('{"semanticSegments": ['), F.array_join(F.collect_list("e"), ",\n"), F.lit("]}")).alias("value")).repartition("f").select("value").write.option("lineSep", "\n").text(out)
+    return TL.records(TL.elements(spark, out)).select("kind", "start_ms", "name", "mode", "confidence", "lat")
+
+
+_TAKEN = "m AS (SELECT event_id AS id, event_id % 2 AS kind, CASE WHEN event_id % 4 = 0 THEN NULL WHEN event_id % 4 = 1 THEN epoch_us(ts) // 1000000 ELSE epoch_us(ts) // 1000 END AS taken, CASE WHEN event_id % 3 = 0 THEN epoch_us(ts) // 1000000 END AS added FROM events)"
+
+
+@query("s9_media_catalog", f"WITH {_TAKEN} SELECT CASE kind WHEN 0 THEN 'IMG' ELSE 'VID' END AS kind, id FROM m WHERE taken BETWEEN 1704499200000 - 86400000 AND 1704585600000 + 86400000 OR taken BETWEEN 1704499200 - 86400 AND 1704585600 + 86400 OR added BETWEEN 1704499200 - 86400 AND 1704585600 + 86400")
+def s9(spark, d):
+    from trekframe.functions.timefn import millis
+
+    k, ms = F.col("event_id"), millis("ts")
+    s = F.floor(ms / 1000)
+    m = read(spark, d, "events").select(k.alias("id"), F.lit("x").alias("name"), F.when(k % 4 == 1, s).when(k % 4 > 0, ms).alias("taken"), F.when(k % 3 == 0, s).alias("added"), F.lit(None).cast("bigint").alias("modified"))
+    return TL.media_catalog(m.where("id % 2 = 0"), m.where("id % 2 = 1"), 1_704_499_200_000, 1_704_585_600_000).select("kind", "id")
+
+
+@query("s10_newest_media", "(SELECT 'IMG' AS kind, event_id AS id FROM events WHERE event_id % 2 = 0 ORDER BY id DESC LIMIT 1000) UNION ALL (SELECT 'VID', event_id FROM events WHERE event_id % 2 = 1 ORDER BY event_id DESC LIMIT 1000)")
+def s10(spark, d):
+    e = read(spark, d, "events").select(F.col("event_id").alias("id"))
+    return TL.newest(e.where("id % 2 = 0"), e.where("id % 2 = 1"))
+
+
+@query("s14_zone_boxes", "SELECT n_name AS zone, n_nationkey::DOUBLE AS min_lat, 'e' || n_nationkey AS entry FROM nation")
+def s14(spark, d):
+    out = folder(spark)
+    k = F.col("n_nationkey")
+    line = F.concat_ws("\t", "n_name", k.cast("double").cast("string"), (k + 1.0).cast("string"), k.cast("double").cast("string"), (k + 2.0).cast("string"), F.concat(F.lit("e"), k.cast("string")))
+    rows = read(spark, d, "nation").select(line.alias("value"))
+    rows.union(spark.createDataFrame([("# a comment",), ("short\t1.0",)], "value string")).write.text(out)
+    return TL.zone_boxes(spark, out).select("zone", "min_lat", "entry")
+
+
+@query("s15_keyed_scan", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = 7 ORDER BY o_orderkey")
+def s15(spark, d):
+    return read(spark, d, "orders").where("o_custkey = 7").select("o_orderkey", "o_totalprice").orderBy("o_orderkey")
+
+
+@query("s17_k7_archive_round_trip", "SELECT CAST(o_custkey AS VARCHAR) AS id, CAST(count(*) AS INT) AS visits, true AS ok FROM orders GROUP BY o_custkey")
+def s17(spark, d):
+    v = F.struct(F.col("o_orderkey").cast("string").alias("id"), F.lit(1).cast("bigint").alias("start_ms"), F.lit(2).cast("bigint").alias("end_ms"), F.lit(1.0).alias("lat"), F.lit(2.0).alias("lng"))
+    t = read(spark, d, "orders").groupBy(F.col("o_custkey").cast("string").alias("id")).agg(F.lit("t").alias("title"), F.collect_list(v).alias("visits"))
+    return TL.restore_archive(K.export_archive(t).where("fits")).select("trip.id", F.size("trip.visits").alias("visits"), "ok")
+
+
+@query("k1_k6_store", "SELECT o_custkey % 20 AS trip_id, o_orderkey AS id, CASE WHEN o_orderkey % 7 = 0 THEN 'renamed' ELSE o_orderstatus END AS name FROM orders WHERE o_custkey % 20 <> 3 AND o_orderkey % 11 <> 0 AND o_orderkey < 3000")
+def k1(spark, d):
+    """Replace, upsert, update, delete, delete a trip and drop orphans, then read."""
+    s = K.Store(spark, folder(spark))
+    o = read(spark, d, "orders").where("o_orderkey < 3000").select((F.col("o_custkey") % 20).alias("trip_id"), F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("name"))
+    s.replace_trips("visits", o.unionByName(o.limit(0)), ["id"])
+    s.upsert("visits", o.where("id % 7 = 0").withColumn("name", F.lit("x")), ["id"])
+    s.update("visits", F.col("id") % 7 == 0, {"name": F.lit("renamed")})
+    s.delete("visits", F.col("id") % 11 == 0)
+    s.drop_trips(["visits"], [3])
+    s.replace_trips("parents", o.where("trip_id <> 3"))
+    s.drop_orphans("visits", "parents", "id")
+    return s.read("visits").select(F.col("trip_id").cast("bigint"), "id", "name")
+
+
+@query("k11_migration", "SELECT o_orderkey AS id, false AS is_override, NULL::VARCHAR AS zone FROM orders")
+def k11(spark, d):
+    return K.migrated(read(spark, d, "orders").select(F.col("o_orderkey").alias("id")), 1).select("id", "is_override", "zone")
+
+
+@query("a15_incremental_preparation", "SELECT doc_id AS id, n_chars * 2 AS v FROM documents")
+def a15(spark, d):
+    items = read(spark, d, "documents").select(F.col("doc_id").alias("id"), "n_chars", F.sha2(F.col("n_chars").cast("string"), 256).alias("print"))
+    work = lambda todo: todo.select("id", "print", (F.col("n_chars") * 2).alias("v"))
+    cached = work(items.where("id % 3 > 0")).withColumn("print", F.when(F.col("id") % 5 > 0, F.col("print")).otherwise("stale"))
+    return K.prepared(items, cached, work).select("id", "v")

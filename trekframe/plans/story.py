@@ -1 +1,76 @@
-"""Placeholder."""
+"""Queries of photo matching, days and the story."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from trekframe.operators import composite as C
+from trekframe.operators import story as ST
+
+from .base import PINGS, STAYS, hav, pings, query, read, stays
+from .joins import _AT, at
+
+_V, _S = hav("p.lat", "p.lng", "v.lat", "v.lng"), hav("p.lat", "p.lng", "s.lat", "s.lng")
+
+
+@query("a7_photo_match", f"""WITH {STAYS}, {_AT}, {PINGS}, pt AS (SELECT id, trip, ts_ms - 883612800000 + 220924800000 AS ts_ms FROM pings),
+  a AS (SELECT o.id, x.id AS stay, x.mode, x.lat, x.lng, x.end_ms - x.start_ms AS ms, x.mode IN ('WALK', 'UNKNOWN') AS visit, row_number() OVER (PARTITION BY o.id, x.mode IN ('WALK', 'UNKNOWN') ORDER BY x.start_ms, x.end_ms, x.id) AS r FROM obs o JOIN stays x ON o.trip = x.trip AND o.ts_ms BETWEEN x.start_ms AND x.end_ms),
+  n AS (SELECT o.id, x.id AS stay, round({hav('o.lat', 'o.lng', 'x.lat', 'x.lng')}, 3) AS m FROM obs o JOIN stays x ON o.trip = x.trip AND o.gps AND x.mode IN ('WALK', 'UNKNOWN') AND o.ts_ms BETWEEN x.start_ms - 7200000 AND x.end_ms + 7200000), nb AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY m, stay) AS r FROM n),
+  t AS (SELECT o.id, min(abs(pt.ts_ms - o.ts_ms)) AS gap FROM obs o JOIN pt ON pt.trip = o.trip AND NOT o.gps GROUP BY o.id),
+  j AS (SELECT p.id, p.trip, p.gps, v.stay AS vs, s.stay AS ss, {_V} AS vm, {_S} AS sm, s.mode, s.ms, nb.stay AS ns, nb.m AS nm, gap // 60000 AS mins FROM obs p LEFT JOIN a v ON v.id = p.id AND v.visit AND v.r = 1 LEFT JOIN a s ON s.id = p.id AND NOT s.visit AND s.r = 1 LEFT JOIN nb ON nb.id = p.id AND nb.r = 1 LEFT JOIN t ON t.id = p.id),
+  k AS (SELECT *, CASE WHEN gps AND vs IS NOT NULL AND vm <= 1500 THEN 1 WHEN gps AND ss IS NOT NULL AND sm <= CASE WHEN mode = 'AIRPLANE' THEN 50000 ELSE 3000 END THEN 2 WHEN gps AND nm <= 300 THEN 3 WHEN gps THEN 4 WHEN vs IS NOT NULL THEN 5 WHEN ss IS NOT NULL THEN 6 WHEN mins <= 30 THEN 7 ELSE 8 END AS c FROM j)
+  SELECT trip, id, CASE c WHEN 1 THEN vs WHEN 3 THEN ns WHEN 5 THEN vs END AS visit, CASE c WHEN 2 THEN ss WHEN 6 THEN ss END AS move, CASE WHEN c <= 4 THEN 0.98 WHEN c = 5 THEN 0.92 WHEN c = 6 THEN CASE WHEN mode = 'AIRPLANE' THEN 0.7 WHEN ms < 1800000 THEN 0.85 ELSE 0.6 END WHEN c = 7 THEN greatest(0.4, least(0.75, 1 - mins / 40)) ELSE 0.1 END::DOUBLE AS confidence FROM k""")
+def a7(spark, d):
+    s = stays(spark, d)
+    still = F.col("mode").isin("WALK", "UNKNOWN")
+    points = pings(spark, d).withColumn("ts_ms", F.col("ts_ms") - 883_612_800_000 + 220_924_800_000)
+    return ST.match_photos(at(spark, d), s.where(still), s.where(~still), points)
+
+
+@query("a8_d8_day_reconstruction", """WITH p AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey % 3 = 0 THEN CAST(o_orderdate AS DATE) END AS parent, CASE WHEN l_partkey % 4 = 0 THEN CAST(l_shipdate AS DATE) END AS own, ['CONSENSUS', 'AMBIGUOUS', 'NONE'][CAST(l_partkey % 5 % 3 AS INT) + 1] AS st, CAST(l_shipdate AS DATE) AS cd FROM lineitem JOIN orders ON o_orderkey = l_orderkey)
+  SELECT l_orderkey, l_linenumber, CASE WHEN parent IS NOT NULL THEN parent WHEN own IS NOT NULL THEN own WHEN st = 'CONSENSUS' THEN cd END AS day, CASE WHEN parent IS NOT NULL THEN 'PARENT' WHEN own IS NOT NULL THEN 'OWN_ZONE' WHEN st = 'CONSENSUS' THEN 'CONSENSUS' WHEN st = 'AMBIGUOUS' THEN 'AMBIGUOUS' ELSE 'UNKNOWN' END AS confidence FROM p""")
+def a8(spark, d):
+    o = read(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderdate").cast("date").alias("o"))
+    p, ship = F.col("l_partkey"), F.col("l_shipdate").cast("date")
+    status = F.element_at(F.array(*map(F.lit, ["CONSENSUS", "AMBIGUOUS", "NONE"])), (p % 5 % 3 + 1).cast("int"))
+    li = read(spark, d, "lineitem").join(o, "l_orderkey")
+    return li.select("l_orderkey", "l_linenumber", ST.assign_day(F.when(p % 3 == 0, F.col("o")), F.when(p % 4 == 0, ship), ship, status).alias("a")).select("l_orderkey", "l_linenumber", "a.*")
+
+
+def episodes(spark, d):
+    """The first stays of each trip as episodes; every second one is a movement."""
+    w = Window.partitionBy("trip").orderBy("start_ms", "end_ms", "id")
+    s = stays(spark, d).withColumns({"r": F.row_number().over(w), "lat2": F.lead("lat").over(w), "lng2": F.lead("lng").over(w)}).where("r <= 30 AND lat2 IS NOT NULL")
+    s = s.withColumn("kind", F.when(F.col("r") % 2 == 0, "MOVE").otherwise("STAY"))
+    return s.withColumn("seconds", ST.story_seconds("kind", "mode", "metres", F.col("part") % 4))
+
+
+_EP = f"""{STAYS}, r AS (SELECT *, row_number() OVER w AS r, lead(lat) OVER w AS lat2, lead(lng) OVER w AS lng2 FROM stays WINDOW w AS (PARTITION BY trip ORDER BY start_ms, end_ms, id)),
+  ep AS (SELECT *, round(CASE WHEN r % 2 = 0 THEN least(18.0::DOUBLE, CASE mode WHEN 'AIRPLANE' THEN 5.5 WHEN 'TRAIN' THEN 4.0 WHEN 'CAR' THEN 3.5 ELSE 2.2 END::DOUBLE + 1.8::DOUBLE * ln(1 + metres / 5000)) ELSE 2.0::DOUBLE + CASE WHEN part % 4 > 0 THEN 2.5::DOUBLE + 1.8::DOUBLE * (part % 4 - 1) ELSE 0 END END, 6) AS seconds FROM r WHERE r <= 30 AND lat2 IS NOT NULL)"""
+
+
+@query("a11_story_schedule", f"WITH {_EP} SELECT trip, id, seconds, round(coalesce(sum(seconds) OVER (PARTITION BY trip ORDER BY start_ms, end_ms, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 6) AS story_start FROM ep")
+def a11(spark, d):
+    return ST.schedule(episodes(spark, d)).select("trip", "id", "seconds", "story_start")
+
+
+@query("a11_bridges", f"WITH {STAYS}, n AS (SELECT *, {hav('lat', 'lng', 'lead(lat) OVER w', 'lead(lng) OVER w')} AS m, lead(start_ms) OVER w AS ns FROM stays WINDOW w AS (PARTITION BY trip ORDER BY start_ms, end_ms, id)) SELECT trip, 'bridge_' || id AS id, end_ms AS start_ms, ns AS end_ms, round(least(5.0::DOUBLE, greatest(2.0::DOUBLE, 2 + 0.5::DOUBLE * ln(1 + m / 1000))), 6) AS seconds FROM n WHERE m > 150 AND ns > end_ms")
+def a11b(spark, d):
+    return ST.bridges(stays(spark, d)).select("trip", "id", "start_ms", "end_ms", "seconds")
+
+
+@query("a12_a13_evaluate")
+def a12(spark, d):
+    """Samples of the story; tests compare with a scan of the episodes, and count violations of order."""
+    s = ST.schedule(episodes(spark, d))
+    total = s.groupBy("trip").agg(F.round(F.sum("seconds"), 6).alias("total"))
+    return ST.evaluate(s.join(total, "trip"))
+
+
+@query("a13_invariants", "SELECT 0::BIGINT AS backwards, 0::BIGINT AS outside")
+def a13(spark, d):
+    s = a12(spark, d)
+    w = Window.partitionBy("trip").orderBy("k")
+    back = s.withColumn("b", F.coalesce((F.lag("id").over(w) == F.col("id")) & (F.lag("progress").over(w) > F.col("progress")), F.lit(False)))
+    return back.agg(F.count_if("b").alias("backwards"), F.count_if(~F.col("progress").between(0, 1)).alias("outside"))

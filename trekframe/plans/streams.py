@@ -1 +1,71 @@
-"""Placeholder."""
+"""Queries of the streaming operators: run once over what is there, then read back."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from trekframe.functions.timefn import as_timestamp, millis
+from trekframe.streaming import operators as O
+
+from .base import query, read
+
+
+def _once(spark, stream, mode: str):
+    name = f"q{uuid.uuid4().hex}"
+    stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name)
+
+
+def _stream(spark, d, name: str):
+    """One table's file as a stream."""
+    return spark.readStream.schema(read(spark, d, name).schema).option("pathGlobFilter", f"*{name}.parquet" if not _is_folder(spark, d, name) else "*.parquet").parquet(d if not _is_folder(spark, d, name) else f"{d}/{name}.parquet")
+
+
+def _is_folder(spark, d, name: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{d}/{name}.parquet")
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
+
+
+@query("stream_tumbling_windows", "SELECT epoch_ms(time_bucket(INTERVAL 1 HOUR, ts)) AS start_ms, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def tumbling(spark, d):
+    e = _stream(spark, d, "events").withColumn("ts", as_timestamp(millis("ts")))
+    return _once(spark, O.hourly(e), "complete").select(F.unix_millis("start").alias("start_ms"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("stream_sessions", "WITH f AS (SELECT user_id, epoch_us(ts) AS t, coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER w > 7200000000, true) AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, t, sum(CAST(new AS INT)) OVER (PARTITION BY user_id ORDER BY t) AS s FROM f) SELECT user_id, min(t) // 1000 AS start_ms, count(*) AS n FROM s GROUP BY user_id, s")
+def stream_sessions(spark, d):
+    e = _stream(spark, d, "events").withColumn("ts", F.timestamp_micros(millis("ts") * 1000 + F.pmod(F.floor(F.extract(F.lit("SECOND"), "ts") * 1_000_000), F.lit(1000)).cast("bigint")))
+    return _once(spark, O.user_sessions(e), "complete").select("user_id", F.unix_millis("start").alias("start_ms"), "n")
+
+
+def _frames(e):
+    k = F.col("event_id")
+    return e.select((F.col("user_id") % 20).alias("player"), k.alias("n"), ((k % 97) / 97).cast("double").alias("progress"), (k % 53).cast("bigint").alias("episode"), (40 + k % 7).cast("double").alias("lat"), F.lit(-74.0).alias("lng"), F.lit(False).alias("scrubbing"))
+
+
+@query("stream_continuity", """WITH f AS (SELECT user_id % 20 AS player, event_id AS n, event_id % 97 AS p, event_id % 53 AS e, event_id % 7 AS y FROM events), l AS (SELECT *, lag(p) OVER w AS p0, lag(e) OVER w AS e0, lag(y) OVER w AS y0, max(e) OVER (PARTITION BY player ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top, row_number() OVER w AS r FROM f WINDOW w AS (PARTITION BY player ORDER BY n)),
+  d AS (SELECT a.player, a.n, bool_or(b.e = a.e) AS again FROM l a JOIN l b ON a.player = b.player AND b.r < a.r - 1 AND b.e = a.e JOIN l c ON c.player = b.player AND c.r = b.r + 1 AND c.e > b.e GROUP BY a.player, a.n)
+  SELECT l.player, count(*) AS frames, count(*) FILTER (p < p0) AS progress_back, count(*) FILTER (e < e0) AS episode_back, count(d.n) AS reactivated, count(*) FILTER (e >= e0 AND abs(y - y0) >= 2) AS jumps FROM l LEFT JOIN d ON d.player = l.player AND d.n = l.n GROUP BY l.player""")
+def stream_continuity(spark, d):
+    out = _once(spark, O.continuity(_frames(_stream(spark, d, "events"))), "update")
+    return out.groupBy("player").agg(F.max_by(F.struct("frames", "progress_back", "episode_back", "reactivated", "jumps"), "frames").alias("c")).select("player", "c.*")
+
+
+@query("playback_clock")
+def playback_clock(spark, d):
+    e = read(spark, d, "events")
+    k = F.col("event_id")
+    action = F.element_at(F.array(*map(F.lit, ["start", "pause", "speed", "seek", "resume"])), (k % 5 + 1).cast("int"))
+    first = e.where("user_id < 20").select(F.col("user_id").alias("player"), k.alias("n"), (k / 10).alias("at_s"), action.alias("action"), F.when(k % 5 == 2, 2.0).otherwise(0.25).alias("value"))
+    return O.clock(first, 600.0).select("player", "n", F.round("progress", 6).alias("progress"))
+
+
+@query("import_eta", "WITH t AS (SELECT user_id AS job, row_number() OVER w AS at_s, cume_dist() OVER w AS share FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT job, at_s::DOUBLE AS at_s, CASE WHEN share >= 0.12 AND at_s >= 4 THEN round(at_s * (1 - share) / share, 6) END AS eta_s FROM t")
+def import_eta(spark, d):
+    from pyspark.sql.window import Window
+
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    t = read(spark, d, "events").select(F.col("user_id").alias("job"), F.row_number().over(w).cast("double").alias("at_s"), F.cume_dist().over(w).alias("share"))
+    return O.eta(t).select("job", "at_s", F.round("eta_s", 6).alias("eta_s"))
