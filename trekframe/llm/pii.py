@@ -148,7 +148,7 @@ def document_counts(docs: DataFrame) -> DataFrame:
 
 
 def disclosing(docs: DataFrame, hit: DataFrame, s: Settings) -> DataFrame:
-    """(__id, __text, terms): the spans, kind ``term``, of what discloses too much, by document."""
+    """(__id, __text, __found): the spans, kind ``term``, of what discloses too much, by document."""
     near = stored(near_terms(hit, s.context), "near-terms")
     n = docs.count()
     pairs = near.select("__id", "__text", "e", "t").distinct().groupBy("e", "t").agg(F.count("*").alias("both")).where(F.col("both") >= s.support)
@@ -162,7 +162,7 @@ def disclosing(docs: DataFrame, hit: DataFrame, s: Settings) -> DataFrame:
     value = F.when(F.col("share") >= s.remove, F.lit("")).otherwise(kind)
     spans = near.join(bad, ["e", "t"]).groupBy("__id", "__text", "start", "end").agg(F.min(value).alias("value"))  # '' is least: removal wins
     term = F.struct(F.lit("term").alias("kind"), "start", "end", "value")
-    return spans.groupBy("__id", "__text").agg(F.sort_array(F.collect_set(term)).alias("terms"))
+    return spans.groupBy("__id", "__text").agg(F.sort_array(F.collect_set(term)).alias("__found"))
 
 
 def with_spans(docs: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
@@ -172,7 +172,7 @@ def with_spans(docs: DataFrame, settings: Settings = Settings()) -> tuple[DataFr
     hit = stored(found.where(F.size("__base") > 0), "personal")
     terms = disclosing(docs, hit, settings)
     same = (hit["doc_id"].eqNullSafe(terms["__id"])) & (F.xxhash64(hit["text"]) == terms["__text"])
-    marked = hit.join(terms, same, "left").withColumn("__terms", F.coalesce("terms", F.array().cast(SPANS))).drop("terms", "__id", "__text")
+    marked = hit.join(terms, same, "left").withColumn("__terms", F.coalesce("__found", F.array().cast(SPANS))).drop("__found", "__id", "__text")
     return clean, marked
 
 
