@@ -19,15 +19,15 @@ def folder(spark) -> str:
     return f"{shared.rstrip('/')}/trekframe-{uuid.uuid4().hex}"
 
 
-@query("s1_s8_timeline_json", "SELECT 'VISIT' AS kind, o_orderkey * 1000000 AS start_ms, 'place ' || o_orderkey AS name, NULL AS mode, 0.95::DOUBLE AS confidence, (o_orderkey % 80 + 1)::DOUBLE AS lat FROM orders WHERE o_orderkey % 100 = 1 AND o_orderkey * 1000000 > 100000000000 UNION ALL SELECT 'MOVE', o_orderkey * 1000000, NULL, 'TRAIN', 0.5, (o_orderkey % 80 + 1)::DOUBLE FROM orders WHERE o_orderkey % 100 = 2 AND o_orderkey * 1000000 > 100000000000")
+@query("s1_s8_timeline_json", "SELECT 'VISIT' AS kind, 1700000000000 + o_orderkey * 1000 AS start_ms, 'place ' || o_orderkey AS name, NULL AS mode, 0.95::DOUBLE AS confidence, (o_orderkey % 80 + 1)::DOUBLE AS lat FROM orders WHERE o_orderkey % 100 = 1 UNION ALL SELECT 'MOVE', 1700000000000 + o_orderkey * 1000, NULL, 'TRAIN', 0.5, (o_orderkey % 80 + 1)::DOUBLE FROM orders WHERE o_orderkey % 100 = 2")
 def s1(spark, d):
     """Elements of two shapes are written as one export per hundred thousand orders, split and dispatched again."""
     k = F.col("o_orderkey")
-    t = (k * 1_000_000).cast("string")
+    t = (1_700_000_000_000 + k * 1000).cast("string")
     at = F.concat((k % 80 + 1).cast("string"), F.lit("°, 5°"))
     visit = F.format_string('{"startTime": "%s", "endTime": "%s", "visit": {"topCandidate": {"placeName": "place %s", "placeLocation": {"latLng": "%s"}}}}', t, t, k.cast("string"), at)
     move = F.format_string('{"startTime": "%s", "endTime": "%s", "activity": {"topCandidate": {"type": "IN_TRAIN", "probability": 0.5}, "start": {"latLng": "%s"}}}', t, t, at)
-    big = "o_orderkey % 100 IN (1, 2) AND o_orderkey * 1000000 > 100000000000"
+    big = "o_orderkey % 100 IN (1, 2)"
     rows = read(spark, d, "orders").where(big).select((k / 100_000).cast("int").alias("f"), F.when(k % 100 == 1, visit).otherwise(move).alias("e"))
     out = folder(spark)
     rows.groupBy("f").agg(F.concat(F.lit('{"semanticSegments": ['), F.array_join(F.collect_list("e"), ",\n"), F.lit("]}")).alias("value")).repartition("f").select("value").write.option("lineSep", "\n").text(out)

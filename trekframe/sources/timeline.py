@@ -111,36 +111,53 @@ def _s(v: str, path: str) -> Column:
     return F.try_variant_get(v, f"$.{path}", "string")
 
 
-def _point(prefix: str) -> Column:
-    """H1: text, nested text, or E7 integers under a field."""
-    e7 = lambda k: F.try_variant_get("v", f"$.{prefix}.{k}E7", "bigint")
-    text = F.coalesce(_s("v", f"{prefix}.latLng"), _s("v", f"{prefix}.LatLng"), _s("v", f"{prefix}.placeLocation.latLng"), _s("v", prefix))
-    return coordinate(text, e7("latitude"), e7("longitude"))
+def _point_text(prefix: str) -> Column:
+    """H1: a point's text under a field, plain or nested."""
+    return F.coalesce(_s("v", f"{prefix}.latLng"), _s("v", f"{prefix}.LatLng"), _s("v", prefix))
+
+
+def _e7(prefix: str, k: str) -> Column:
+    return F.try_variant_get("v", f"$.{prefix}.{k}E7", "bigint")
 
 
 def records(found: DataFrame) -> DataFrame:
     """(kind, path, start_ms, end_ms, name, place_id, mode, confidence, metres, lat, lng) of all recognised elements."""
     e = found.where("status = 'ok'").withColumn("v", F.try_parse_json("element"))
-    top = "visit.topCandidate"
-    start, end = parse_instant(_s("v", "startTime")), parse_instant(_s("v", "endTime"))
-    legacy = lambda side, kind: F.coalesce(parse_instant(_s("v", f"{kind}.duration.{side}Timestamp")), parse_instant(_s("v", f"{kind}.duration.{side}TimestampMs")))
-    num = lambda path, default: F.coalesce(F.try_variant_get("v", f"$.{path}", "double"), F.lit(default))
-    null = lambda t: F.lit(None).cast(t)
     has = lambda path: F.try_variant_get("v", f"$.{path}", "variant").isNotNull()
-
-    def row(kind, a, b, name, place, mode, conf, metres, point):
-        return F.struct(F.lit(kind).alias("kind"), a.alias("start_ms"), b.alias("end_ms"), name.alias("name"), place.alias("place_id"), mode.alias("mode"), conf.alias("confidence"), metres.alias("metres"), point["lat"].alias("lat"), point["lng"].alias("lng"))
-
-    signal = F.coalesce(parse_instant(_s("v", "timestamp")), parse_instant(_s("v", "timestampMs")))
-    position = F.coalesce(_point("position"), coordinate(F.lit(None).cast("string"), F.try_variant_get("v", "$.latitudeE7", "bigint"), F.try_variant_get("v", "$.longitudeE7", "bigint")))
-    made = (
-        F.when(has("visit"), row("VISIT", start, end, place_name(_s("v", f"{top}.placeName"), _s("v", f"{top}.semanticType")), _s("v", f"{top}.placeId"), null("string"), num(f"{top}.probability", 0.95), null("double"), _point(f"{top}.placeLocation")))
-        .when(has("activity"), row("MOVE", start, end, null("string"), null("string"), activity_mode(_s("v", "activity.topCandidate.type")), num("activity.topCandidate.probability", 0.85), F.try_variant_get("v", "$.activity.distanceMeters", "double"), _point("activity.start")))
-        .when(has("placeVisit"), row("VISIT", legacy("start", "placeVisit"), legacy("end", "placeVisit"), _s("v", "placeVisit.location.name"), _s("v", "placeVisit.location.placeId"), null("string"), num("placeVisit.placeConfidence", 0.90), null("double"), _point("placeVisit.location")))
-        .when(has("activitySegment"), row("MOVE", legacy("start", "activitySegment"), legacy("end", "activitySegment"), null("string"), null("string"), activity_mode(_s("v", "activitySegment.activityType")), num("activitySegment.confidence", 0.85), F.try_variant_get("v", "$.activitySegment.distance", "double"), _point("activitySegment.startLocation")))
-        .when(F.col("container").isin("rawSignals", "locations"), row("POINT", signal, signal, null("string"), null("string"), null("string"), null("double"), null("double"), position))
-    )
-    return e.select("path", made.alias("r")).where("r IS NOT NULL").select("path", "r.*")
+    raw = F.col("container").isin("rawSignals", "locations")
+    shape = F.when(has("visit"), "visit.topCandidate").when(has("activity"), "activity").when(has("placeVisit"), "placeVisit").when(has("activitySegment"), "activitySegment").when(raw, "raw")
+    e = e.withColumn("shape", shape).where("shape IS NOT NULL")
+
+    def by_shape(**value: Column) -> Column:
+        out = None
+        for name, v in value.items():
+            test = F.col("shape") == ("visit.topCandidate" if name == "visit" else name)
+            out = F.when(test, v) if out is None else out.when(test, v)
+        return out
+
+    def legacy(side: str, kind: str) -> Column:
+        return F.coalesce(_s("v", f"{kind}.duration.{side}Timestamp"), _s("v", f"{kind}.duration.{side}TimestampMs"))
+
+    number = lambda path, default: F.coalesce(F.try_variant_get("v", f"$.{path}", "double"), F.lit(default))
+    signal = F.coalesce(_s("v", "timestamp"), _s("v", "timestampMs"))
+    # one column after another: each is worked out once
+    e = e.withColumns({
+        "start": by_shape(visit=_s("v", "startTime"), activity=_s("v", "startTime"), placeVisit=legacy("start", "placeVisit"), activitySegment=legacy("start", "activitySegment"), raw=signal),
+        "end": by_shape(visit=_s("v", "endTime"), activity=_s("v", "endTime"), placeVisit=legacy("end", "placeVisit"), activitySegment=legacy("end", "activitySegment"), raw=signal),
+        "kind": by_shape(visit=F.lit("VISIT"), activity=F.lit("MOVE"), placeVisit=F.lit("VISIT"), activitySegment=F.lit("MOVE"), raw=F.lit("POINT")),
+        "at": by_shape(visit=_point_text("visit.topCandidate.placeLocation"), activity=_point_text("activity.start"), placeVisit=_point_text("placeVisit.location"), activitySegment=_point_text("activitySegment.startLocation"), raw=_point_text("position")),
+        "lat_e7": by_shape(visit=_e7("visit.topCandidate.placeLocation", "latitude"), activity=_e7("activity.start", "latitude"), placeVisit=_e7("placeVisit.location", "latitude"), activitySegment=_e7("activitySegment.startLocation", "latitude"), raw=F.try_variant_get("v", "$.latitudeE7", "bigint")),
+        "lng_e7": by_shape(visit=_e7("visit.topCandidate.placeLocation", "longitude"), activity=_e7("activity.start", "longitude"), placeVisit=_e7("placeVisit.location", "longitude"), activitySegment=_e7("activitySegment.startLocation", "longitude"), raw=F.try_variant_get("v", "$.longitudeE7", "bigint")),
+        "raw_name": by_shape(visit=_s("v", "visit.topCandidate.placeName"), placeVisit=_s("v", "placeVisit.location.name")),
+        "semantic": by_shape(visit=_s("v", "visit.topCandidate.semanticType")),
+        "place_id": by_shape(visit=_s("v", "visit.topCandidate.placeId"), placeVisit=_s("v", "placeVisit.location.placeId")),
+        "raw_mode": by_shape(activity=_s("v", "activity.topCandidate.type"), activitySegment=_s("v", "activitySegment.activityType")),
+        "confidence": by_shape(visit=number("visit.topCandidate.probability", 0.95), activity=number("activity.topCandidate.probability", 0.85), placeVisit=number("placeVisit.placeConfidence", 0.90), activitySegment=number("activitySegment.confidence", 0.85)),
+        "metres": by_shape(activity=F.try_variant_get("v", "$.activity.distanceMeters", "double"), activitySegment=F.try_variant_get("v", "$.activitySegment.distance", "double")),
+    }).drop("v", "element")
+    e = e.withColumns({"start_ms": parse_instant("start"), "end_ms": parse_instant("end"), "p": coordinate("at", "lat_e7", "lng_e7")})
+    mode = F.when(F.col("kind") == "MOVE", activity_mode("raw_mode"))
+    return e.select("kind", "path", "start_ms", "end_ms", place_name("raw_name", "semantic").alias("name"), "place_id", mode.alias("mode"), "confidence", "metres", "p.lat", "p.lng")
 
 
 def path_points(found: DataFrame) -> DataFrame:
