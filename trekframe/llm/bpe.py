@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import slices, small_batches
 
 L, N, S, O = 0, 1, 2, 3  # letters, numbers, white space, others
 #: Code points that the pattern's \\s matches.
@@ -238,6 +238,7 @@ def encode(docs: DataFrame, vocabulary: str, ids: bool = True) -> DataFrame:
     vocabulary: path of a rank file, read on the driver and broadcast (its size
     is that of a tokenizer, whatever the corpus).
     """
+    small_batches(docs.sparkSession)
     known = read_ranks(vocabulary)
     key = hashlib.sha256(repr(sorted(known.items())).encode()).hexdigest()
     ranks = docs.sparkSession.sparkContext.broadcast(known)

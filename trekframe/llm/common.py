@@ -49,6 +49,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Lowers the session's rows per Arrow batch: ten thousand long texts at once, the default, cost a task hundreds of MB."""
+    if not 0 < int(spark.conf.get(BATCH)) <= rows:
+        spark.conf.set(BATCH, rows)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, max_rows: int = 1024, max_bytes: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
     """Cut batches so that each part's texts hold about max_bytes; a longer single text is a part of its own."""
     for batch in batches:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, stored
+from .common import slices, small_batches, stored
 
 WINDOW = 13
 #: Maps bytes: A-Z to a-z, bytes between words to a space.
@@ -107,6 +107,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     A document is contaminated if n_hit > 0 and n_hit >= min_share * n_words.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     percent = round(1 / min_share)
     blocks, held = [{}], 0
     names: dict = {}

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import slices, stored
+from .common import slices, small_batches
 
 #: Code point ranges of scripts (first, last, script).
 SCRIPTS = [
@@ -186,6 +186,7 @@ def held_out() -> F.Column:
 def train(docs: DataFrame, settings: Settings = Settings()) -> Model:
     """Counts n-grams of the training rows' sample in Spark; the driver gets tables of fixed size."""
     s = settings
+    small_batches(docs.sparkSession)
     rows = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text"))
     ids = rows.select(F.col("lang"), F.col("doc_id"), F.xxhash64("text").alias("text")).withColumn("rank", rank).where(F.col("rank") <= s.per_language)
@@ -223,6 +224,7 @@ def train(docs: DataFrame, settings: Settings = Settings()) -> Model:
 
 def identify(docs: DataFrame, model: Model | None = None, settings: Settings = Settings(), reject: float | None = None) -> DataFrame:
     """docs without text, with held_out, lang_pred and score; with ``reject``, docs' rows, whole, that are not ``und`` and score at least that."""
+    small_batches(docs.sparkSession)
     model = model or train(docs, settings)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     new = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]

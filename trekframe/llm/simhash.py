@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, slices, stored
+from .common import components, slices, small_batches, stored
 
 
 def fingerprint(text: bytes | None, shingle: int = 4) -> int:
@@ -59,6 +59,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
             fp = np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), pa.array(fp)], names=["doc_id", "fp"])
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("binary")).mapInArrow(kernel, "doc_id bigint, fp bigint")
 
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, stored
+from .common import slices, small_batches, stored
 
 _BREAK = re.compile(rb"(?<=[.!?])[\x20\x09-\x0D]+|[\x20\x09-\x0D]*\n[\x20\x09-\x0D]*")
 NO_ID = -(1 << 63)
@@ -107,6 +107,7 @@ def remove(text: bytes, repeated: set[int], s: Settings) -> tuple[bytes, int, in
 def dedup_spans(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """docs with text cleaned, and n_sentences and n_removed."""
     s = settings
+    small_batches(docs.sparkSession)
     found = stored(run_hashes(docs, s), "runs")
     first = found.groupBy("h").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first <> last").select("h", "first")
     repeated = found.join(first, "h").where("doc <> first").groupBy("doc").agg(F.collect_set("h").alias("__repeated"))
