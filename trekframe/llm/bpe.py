@@ -146,8 +146,8 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Encoder:
-    def __init__(self, ranks: dict[bytes, int], cache: int = 600_000):
-        self.ranks, self.cache, self.held, self.bytes = ranks, cache, {}, {i: b for b, i in ranks.items()}
+    def __init__(self, ranks: dict[bytes, int], cache: int = 250_000):
+        self.ranks, self.cache, self.held, self.missed, self.bytes = ranks, cache, {}, 0, {i: b for b, i in ranks.items()}
 
     def merged(self, piece: bytes) -> tuple[int, ...]:
         """Merge the pair of least rank, leftmost first, until none is known; a heap holds the pairs."""
@@ -210,9 +210,13 @@ class Encoder:
                 if got is None:
                     got = self.merged(piece)
                     if len(piece) <= 64:
-                        if len(held) >= self.cache:
+                        if len(held) < self.cache:
+                            held[piece] = got
+                        elif (missed := self.missed + 1) > 8 * self.cache:  # the texts have changed: start anew
                             held.clear()
-                        held[piece] = got
+                            self.missed = 0
+                        else:
+                            self.missed = missed
                 ids.extend(got)
             out.append((ids, off - off[0]))
         return out
