@@ -31,7 +31,8 @@ def parse_instant(text) -> Column:
 
 def normalise_taken(n) -> Column:
     """A capture time in milliseconds or seconds, from the year 2000 on."""
-    return F.when(c(n) >= 946_684_800_000, c(n)).when(c(n).between(946_684_800, 4_102_444_800), c(n) * 1000)
+    k = c(n).cast("bigint")
+    return F.when(k >= 946_684_800_000, k).when(k.between(946_684_800, 4_102_444_800), k * 1000)
 
 
 def exif_local(text) -> Column:

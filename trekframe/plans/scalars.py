@@ -357,3 +357,30 @@ def a6(spark, d):
     dm = F.col("metres") * (1 + F.col("part") % 40)
     got = transport("mode", "confidence", F.col("id") % 50 == 0, dm, dm * 0.9, (F.col("end_ms") - F.col("start_ms")) / 40)
     return s.select("id", got["mode"].alias("mode"))
+
+
+@query("d5_timestamp_hierarchy", """SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'EXIF_EXACT' WHEN event_id % 5 = 1 THEN 'MEDIASTORE' WHEN event_id % 5 = 2 THEN 'FILENAME_INFERRED' ELSE 'UNKNOWN' END AS confidence,
+  CASE WHEN event_id % 5 = 0 THEN 1783193400000 WHEN event_id % 5 = 1 THEN 1783178000000 WHEN event_id % 5 = 2 THEN 1783179000000 END AS ms FROM events""")
+def d5(spark, d):
+    """EXIF time with offset, then the catalog's time, then the file name's in the only candidate zone, else unknown: never the present."""
+    k = F.col("event_id") % 5
+    exif, offset, taken = F.when(k == 0, "2026:07:04 15:30:00"), F.when(k == 0, "-04:00"), F.when(k == 1, 1783178000)
+    name = F.when(k == 2, "IMG_20260704_153000.jpg").otherwise("IMG_1.jpg")
+    exact = timefn.parse_instant(F.concat(F.date_format(timefn.exif_local(exif), "yyyy-MM-dd'T'HH:mm:ss"), offset))
+    named = timefn.wall_clock_instants(text.file_name_time(name), F.lit("UTC"))
+    out = lambda s, t: F.struct(F.lit(s).alias("confidence"), t.cast("bigint").alias("ms"))
+    got = F.when(exact.isNotNull(), out("EXIF_EXACT", exact)).when(timefn.normalise_taken(taken).isNotNull(), out("MEDIASTORE", timefn.normalise_taken(taken))).when(F.size(named) == 1, out("FILENAME_INFERRED", F.get(named, F.lit(0)))).otherwise(out("UNKNOWN", F.lit(None)))
+    return read(spark, d, "events").select("event_id", got.alias("g")).select("event_id", "g.*")
+
+
+@query("d12_overlay_date", """WITH e AS (SELECT event_id, ts, CASE WHEN event_id % 3 > 0 THEN 'Asia/Tokyo' END AS a, CASE WHEN event_id % 4 > 0 THEN 'America/New_York' END AS b, event_id % 2 = 0 AS arrived FROM events), z AS (SELECT *, CASE WHEN arrived THEN coalesce(b, a) ELSE coalesce(a, b) END AS z FROM e)
+  SELECT event_id, CASE WHEN z IS NULL THEN strftime(ts, '%Y-%m-%d') || ' UTC' ELSE strftime((ts AT TIME ZONE 'UTC') AT TIME ZONE z, '%Y-%m-%d') END AS text FROM z""")
+def d12(spark, d):
+    k = F.col("event_id")
+    return read(spark, d, "events").select("event_id", timefn.overlay_date(timefn.millis("ts"), F.when(k % 3 > 0, F.lit("Asia/Tokyo")), F.when(k % 4 > 0, F.lit("America/New_York")), k % 2 == 0).alias("text"))
+
+
+@query("x15_export_title", "SELECT o_custkey, array_to_string(['Trip ' || o_custkey, (date_diff('day', CAST(min(o_orderdate) AS DATE), CAST(max(o_orderdate) AS DATE)) + 1) || ' days', printf('%.1f km', CAST(count(*) AS DOUBLE)), count(*) || ' Memories'], ' | ') AS title FROM orders GROUP BY o_custkey")
+def x15(spark, d):
+    o = read(spark, d, "orders").groupBy("o_custkey").agg(F.min("o_orderdate").cast("date").alias("a"), F.max("o_orderdate").cast("date").alias("b"), F.count("*").alias("n"))
+    return o.select("o_custkey", text.export_title(F.concat(F.lit("Trip "), F.col("o_custkey").cast("string")), "a", "b", F.col("n") * 1000.0, "n").alias("title"))

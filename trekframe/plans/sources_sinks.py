@@ -101,3 +101,27 @@ def a15(spark, d):
     work = lambda todo: todo.select("id", "print", (F.col("n_chars") * 2).alias("v"))
     cached = work(items.where("id % 3 > 0")).withColumn("print", F.when(F.col("id") % 5 > 0, F.col("print")).otherwise("stale"))
     return K.prepared(items, cached, work).select("id", "v")
+
+
+@query("s12_s16_k12_rings", "SELECT n_name AS name, 0 AS ring, CAST(k AS INT) AS n, CASE WHEN k IN (1, 2) THEN n_nationkey + 1 ELSE n_nationkey END::DOUBLE AS x, CASE WHEN k >= 2 THEN 1 ELSE 0 END::DOUBLE AS y FROM nation, range(4) t(k)")
+def s12(spark, d):
+    """Outlines written as one GeoJSON document and read back."""
+    k, n = F.col("n_nationkey").cast("double"), F.col("n")
+    rings = read(spark, d, "nation").select(F.col("n_name").alias("name"), F.lit(0).alias("ring"), "n_nationkey", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("n"))
+    rings = rings.select("name", "ring", "n", F.when(n.isin(1, 2), k + 1).otherwise(k).alias("x"), F.when(n >= 2, 1.0).otherwise(0.0).alias("y"))
+    out = folder(spark)
+    document = TL.feature_lines(rings).agg(F.array_join(F.sort_array(F.collect_list("value")), ",\n").alias("all"))  # a map's outlines: one document by its format
+    document.select(F.concat(F.lit('{"features": ['), "all", F.lit("]}")).alias("value")).write.text(out)
+    return TL.geojson_rings(spark, out).select("name", "ring", "n", "x", "y")
+
+
+@query("f16_plausible_speed", "SELECT l_orderkey, l_linenumber, l_quantity * 30 > 1150 AS impossible, l_quantity * 30 BETWEEN 360 AND 1150 AS flight FROM lineitem")
+def f16(spark, d):
+    v = F.col("l_quantity") * 30
+    return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (v > 1150).alias("impossible"), v.between(360, 1150).alias("flight"))
+
+
+@query("f2_k5_contained_after_delete", "SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F' AND o_orderdate BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1996-12-31'")
+def f2(spark, d):
+    o = read(spark, d, "orders")
+    return o.where((F.col("o_orderstatus") != "F") & F.col("o_orderdate").between(F.lit("1996-01-01").cast("timestamp_ntz"), F.lit("1996-12-31").cast("timestamp_ntz"))).select("o_orderkey")

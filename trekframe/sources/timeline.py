@@ -237,3 +237,11 @@ def restore_archive(texts: DataFrame, cap: int = 32 << 20) -> DataFrame:
     fine = F.forall("a.trip.visits", lambda v: (v["end_ms"] >= v["start_ms"]) & without_null_island(v["lat"], v["lng"]).isNotNull() & (F.trim(v["id"]) != ""))
     ok = (F.octet_length("text") <= cap) & (F.col("a.format") == "trip-archive") & (F.col("a.version") == 1) & (F.trim("a.trip.id") != "") & F.coalesce(fine, F.lit(False))
     return a.select("a.trip", F.coalesce(ok, F.lit(False)).alias("ok"))
+
+
+def feature_lines(rings: DataFrame) -> DataFrame:
+    """rings(name, ring, n, x, y) as one GeoJSON feature text per name, rings and points in order."""
+    line = rings.groupBy("name", "ring").agg(F.sort_array(F.collect_list(F.struct("n", F.array("x", "y").alias("p")))).alias("pts"))
+    whole = line.groupBy("name").agg(F.sort_array(F.collect_list(F.struct("ring", F.transform("pts", lambda q: q["p"]).alias("pts")))).alias("rs"))
+    geometry = F.struct(F.lit("Polygon").alias("type"), F.transform("rs", lambda r: r["pts"]).alias("coordinates"))
+    return whole.select("name", F.to_json(F.struct(F.struct("name").alias("properties"), geometry.alias("geometry"))).alias("value"))
