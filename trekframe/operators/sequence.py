@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from trekframe.functions.geo import angle_delta, c, distance, haversine, wrapped_delta
+from trekframe.functions.geo import angle_delta, c, distance, great_circle_path, haversine, point_to_segment, wrapped_delta
 
 NEVER = -(1 << 62)
 
@@ -122,6 +122,30 @@ def path_length(points) -> Column:
     return F.aggregate(F.zip_with(F.slice(p, 1, F.greatest(F.lit(0), F.size(p) - 1)), F.slice(p, 2, F.greatest(F.lit(0), F.size(p) - 1)), distance), F.lit(0.0), lambda a, x: a + x)
 
 
+def distance_to_path(lat, lng, points) -> Column:
+    """Metres from a point to the nearest segment of a path, or to its only point; null if the path has none."""
+    p = c(points)
+    rest = F.greatest(F.lit(0), F.size(p) - 1)
+    each = F.zip_with(F.slice(p, 1, rest), F.slice(p, 2, rest), lambda a, b: point_to_segment(lat, lng, a["lat"], a["lng"], b["lat"], b["lng"]))
+    return F.when(F.size(p) == 1, haversine(lat, lng, F.get(p, 0)["lat"], F.get(p, 0)["lng"])).otherwise(F.array_min(each))
+
+
+def display_route(df: DataFrame, points: str, mode: Column, start: Column, end: Column, out: str = "route", samples: int = 64) -> DataFrame:
+    """``out``: what is drawn of ordered timed points: no spikes (faster by air), no near repeats.
+
+    A flight of at most two points becomes a great circle from start to end; an
+    empty path becomes its ends.  Each step is a column, so that none is worked
+    out for every point.
+    """
+    at = lambda x: F.struct(x["lat"].alias("lat"), x["lng"].alias("lng"))
+    speed = F.when(mode == "AIRPLANE", 400.0).otherwise(100.0)
+    df = df.withColumn("__fine", without_spikes(points, speed)).withColumn("__seen", clean_points("__fine"))
+    arc = great_circle_path(start["lat"], start["lng"], end["lat"], end["lng"], F.lit(samples))
+    size = F.size("__seen")
+    route = F.when((mode == "AIRPLANE") & (size <= 2), arc).when(size == 0, F.array(at(start), at(end))).otherwise(F.transform("__seen", at))
+    return df.withColumn(out, route).drop("__fine", "__seen")
+
+
 def at_fraction(df: DataFrame, points: str, t: Column, out: str = "position") -> DataFrame:
     """``out``: the point at a fraction of a path's length.  Each step is a column, so that none is worked out twice."""
     from trekframe.functions.geo import slerp

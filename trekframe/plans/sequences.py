@@ -100,6 +100,25 @@ def w10(spark, d):
     return tracks(spark, d).select("hour", F.size(S.clean_points("points")).alias("kept"), F.round(S.path_length("points"), 3).alias("metres"), F.round(F.element_at(S.cumulative("points"), -1), 2).alias("run"))
 
 
+_TO = "radians(-73.99 - lng) * cos(radians((lat + lat2) / 2)) * 6371000.0 AS x, radians(40.5 - lat) * 6371000.0 AS y, radians(lng2 - lng) * cos(radians((lat + lat2) / 2)) * 6371000.0 AS x2, radians(lat2 - lat) * 6371000.0 AS y2"
+
+
+@query("p6_path_distance", f"""WITH {PINGS}, {_TRACK}, n AS (SELECT *, lead(lat) OVER w AS lat2, lead(lng) OVER w AS lng2, count(*) OVER (PARTITION BY hour) AS k FROM t WINDOW w AS (PARTITION BY hour ORDER BY ts_ms, id)), v AS (SELECT *, {_TO} FROM n),
+  f AS (SELECT *, CASE WHEN x2 * x2 + y2 * y2 > 0 THEN least(1.0, greatest(0.0, (x * x2 + y * y2) / (x2 * x2 + y2 * y2))) ELSE 0 END AS t FROM v)
+  SELECT hour, round(min(CASE WHEN k = 1 THEN {hav('40.5', '-73.99', 'lat', 'lng')} WHEN lat2 IS NOT NULL THEN sqrt(pow(x - t * x2, 2) + pow(y - t * y2, 2)) END), 2) AS metres FROM f GROUP BY hour""")
+def p6(spark, d):
+    return tracks(spark, d).select("hour", F.round(S.distance_to_path(F.lit(40.5), F.lit(-73.99), "points"), 2).alias("metres"))
+
+
+@query("p7_display_route", f"""WITH {PINGS}, {_TRACK}, s AS (SELECT *, {hav('lag(lat) OVER w', 'lag(lng) OVER w', 'lat', 'lng')} / greatest(0.001, (ts_ms - lag(ts_ms) OVER w) / 1000) AS v0, {hav('lat', 'lng', 'lead(lat) OVER w', 'lead(lng) OVER w')} / greatest(0.001, (lead(ts_ms) OVER w - ts_ms) / 1000) AS v1, {hav('lag(lat) OVER w', 'lag(lng) OVER w', 'lead(lat) OVER w', 'lead(lng) OVER w')} AS chord FROM t WINDOW w AS (PARTITION BY hour ORDER BY ts_ms, id)),
+  k AS (SELECT * FROM s WHERE NOT coalesce(v0 > CASE WHEN hour % 2 = 0 THEN 400 ELSE 100 END AND v1 > CASE WHEN hour % 2 = 0 THEN 400 ELSE 100 END AND chord < 500, false)), m AS (SELECT *, {hav('lag(lat) OVER w', 'lag(lng) OVER w', 'lat', 'lng')} AS step FROM k WINDOW w AS (PARTITION BY hour ORDER BY ts_ms, id)), n AS (SELECT hour, count(*) FILTER (step IS NULL OR step > 0.5) AS n FROM m GROUP BY hour)
+  SELECT hour, CAST(CASE WHEN hour % 2 = 0 AND n <= 2 THEN 65 ELSE n END AS INT) AS n_points FROM n""")
+def p7(spark, d):
+    mode = F.when(F.col("hour") % 2 == 0, "AIRPLANE").otherwise("CAR")
+    routes = S.display_route(tracks(spark, d), "points", mode, F.get("points", F.lit(0)), F.element_at("points", -1))
+    return routes.select("hour", F.size("route").alias("n_points"))
+
+
 @query("w11_w12_spikes", f"""WITH {PINGS}, {_TRACK}, s AS (SELECT *, {hav('lag(lat) OVER w', 'lag(lng) OVER w', 'lat', 'lng')} / greatest(0.001, (ts_ms - lag(ts_ms) OVER w) / 1000) AS v0, {hav('lat', 'lng', 'lead(lat) OVER w', 'lead(lng) OVER w')} / greatest(0.001, (lead(ts_ms) OVER w - ts_ms) / 1000) AS v1, {hav('lag(lat) OVER w', 'lag(lng) OVER w', 'lead(lat) OVER w', 'lead(lng) OVER w')} AS chord, lag(alt) OVER w AS a, lead(alt) OVER w AS b FROM t WINDOW w AS (PARTITION BY hour ORDER BY ts_ms, id))
   SELECT hour, CAST(count(*) FILTER (NOT coalesce(v0 > 0.05 AND v1 > 0.05 AND chord < 500, false)) AS INT) AS kept, round(sum(CASE WHEN (alt - a > 100 AND alt - b > 100) OR (a - alt > 100 AND b - alt > 100) THEN (a + b) / 2 ELSE alt END), 3) AS altitude FROM s GROUP BY hour""")
 def w11(spark, d):

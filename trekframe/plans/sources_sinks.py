@@ -90,6 +90,21 @@ def k1(spark, d):
     return s.read("visits").select(F.col("trip_id").cast("bigint"), "id", "name")
 
 
+@query("k4_dual_write", """WITH o AS (SELECT o_custkey % 20 AS trip_id, o_orderkey AS id, o_orderstatus AS name FROM orders WHERE o_orderkey < 3000), r AS (SELECT *, 'named ' || id AS value FROM o WHERE id % 7 = 0)
+  SELECT trip_id, CAST(o.id AS VARCHAR) AS id, coalesce(r.value, name) AS name FROM o LEFT JOIN r USING (trip_id, id, name) UNION ALL SELECT trip_id, 'VISIT_NAME:' || id, value FROM r""")
+def k4(spark, d):
+    """Names set by a user, in the entity's table and, for good, in that of overrides."""
+    s = K.Store(spark, folder(spark))
+    o = read(spark, d, "orders").where("o_orderkey < 3000").select((F.col("o_custkey") % 20).alias("trip_id"), F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("name"))
+    r = o.where("id % 7 = 0").select("trip_id", "id", F.concat(F.lit("named "), F.col("id")).alias("value"))
+    s.replace_trips("visits", o)
+    old = r.select("trip_id", F.concat(F.lit("VISIT_NAME:"), F.col("id")).alias("id"), F.lit("VISIT_NAME").alias("target_type"), F.col("id").cast("string").alias("target_id"), F.lit("old").alias("value"))
+    s.replace_trips("overrides", old.where("CAST(target_id AS BIGINT) % 2 = 0"))
+    s.override("visits", "overrides", "VISIT_NAME", "id", "name", r)
+    both = s.read("visits").select("trip_id", F.col("id").cast("string").alias("id"), "name")
+    return both.unionByName(s.read("overrides").select("trip_id", "id", F.col("value").alias("name"))).withColumn("trip_id", F.col("trip_id").cast("bigint"))
+
+
 @query("k11_migration", "SELECT o_orderkey AS id, false AS is_override, NULL::VARCHAR AS zone FROM orders")
 def k11(spark, d):
     return K.migrated(read(spark, d, "orders").select(F.col("o_orderkey").alias("id")), 1).select("id", "is_override", "zone")

@@ -40,6 +40,18 @@ class Store:
         hit = F.coalesce(match, F.lit(False))
         self._swap(name, df.join(trips, "trip_id", "left_semi").withColumns({k: F.when(hit, v).otherwise(F.col(k)) for k, v in values.items()}))
 
+    def override(self, name: str, log: str, kind: str, key: str, column: str, rows: DataFrame) -> None:
+        """K4: rows(trip_id, key, value) are kept in the table ``log`` as overrides, then set in ``column``.
+
+        The override is written first and both writes may be repeated, so a run
+        cut short is finished by running it again.  Both tables exist.
+        """
+        source = F.col(key).cast("string")
+        self.upsert(log, rows.select("trip_id", F.concat_ws(":", F.lit(kind), source).alias("id"), F.lit(kind).alias("target_type"), source.alias("target_id"), F.col("value").cast("string").alias("value")), ["id"])
+        new = rows.select("trip_id", key, F.col("value").alias("__value"), F.lit(True).alias("__set"))
+        old = self.read(name).join(rows.select("trip_id").distinct(), "trip_id", "left_semi")
+        self._swap(name, old.join(new, ["trip_id", key], "left").withColumn(column, F.when(F.col("__set"), F.col("__value")).otherwise(F.col(column))).drop("__value", "__set").select(self.read(name).columns))
+
     def delete(self, name: str, match: Column) -> None:
         """K5.  A partition that loses all its rows is left empty."""
         df = self.read(name)
