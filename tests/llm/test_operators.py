@@ -335,6 +335,14 @@ def test_pii_terms_and_rewriting(spark):
     assert pii.find(empty(spark)).count() == 0 and pii.sanitise(empty(spark)).count() == 0
 
 
+def test_pii_terms_of_entities_seen_once_or_twice(spark):
+    once, twice = "Call Zorblatt at +1 (555) 123-4567 now.", "Call Quuxley at q@b.co now."
+    texts = [once, f"{twice} a", f"{twice} b"] + ["the river at night now, Call me a b"] * 200
+    clean = {r.doc_id: r.text for r in pii.sanitise(frame(spark, texts)).collect()}
+    assert clean[0] == "Call [NAME] at [PHONE] now." and clean[1] == "Call [NAME] at [EMAIL] now. a" and clean[2] == "Call [NAME] at [EMAIL] now. b"
+    assert all(clean[i] == texts[i] for i in range(3, len(texts)))
+
+
 def test_pii_runs_no_python(spark):
     plan = pii.find(frame(spark, ["a@b.co x"]))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)

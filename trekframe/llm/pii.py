@@ -10,9 +10,11 @@ all documents, with df as the number of documents,
     IC(e) = ln(N / df(e)),   PMI(t; e) = ln(N * df(t, e) / (df(t) * df(e))),
 
 where df(t, e) counts documents with t near e.  PMI / IC is the share of the
-entity's information that the term discloses.  Seen in at least ``support``
-documents, a term from ``generalise`` on is replaced by its class, from
-``remove`` on it is removed, wherever it stands near that entity.
+entity's information that the term discloses.  A term from ``generalise`` on is
+replaced by its class, from ``remove`` on it is removed, wherever it stands near
+that entity.  A pair seen in fewer than ``support`` documents is judged too: its
+df(t) is smoothed by as many documents with t and without e as are missing, so
+what rests on one document counts for less, and in a small corpus for too little.
 
 df(t) is counted over every word of every document: each task first counts its
 own words by hash, so a frequent word is one row a task.  Texts without a base
@@ -151,12 +153,13 @@ def disclosing(docs: DataFrame, hit: DataFrame, s: Settings) -> DataFrame:
     """(__id, __text, __found): the spans, kind ``term``, of what discloses too much, by document."""
     near = stored(near_terms(hit, s.context), "near-terms")
     n = docs.count()
-    pairs = near.select("__id", "__text", "e", "t").distinct().groupBy("e", "t").agg(F.count("*").alias("both")).where(F.col("both") >= s.support)
+    pairs = near.select("__id", "__text", "e", "t").distinct().groupBy("e", "t").agg(F.count("*").alias("both"))
     entities = hit.select(*_key(), F.explode("__base").alias("b")).select("__id", "__text", F.xxhash64("b.kind", "b.value").alias("e")).distinct().groupBy("e").agg(F.count("*").alias("df_e"))
     known = pairs.join(entities, "e").join(document_counts(docs), "t")
     ic = F.log(F.lit(float(n))) - F.log(F.col("df_e"))
     # docs counts rows, so a repeated row may make df exceed a pair's count, never the reverse
-    share = (ic + F.log("both") - F.log(F.greatest("df", "both"))) / F.when(ic > 0, ic)
+    missing = F.greatest(F.lit(0), F.lit(s.support) - F.col("both"))
+    share = (ic + F.log("both") - F.log(F.greatest("df", "both") + missing)) / F.when(ic > 0, ic)
     bad = known.select("e", "t", share.alias("share")).where(F.col("share") >= s.generalise)
     kind = F.when(F.col("word").rlike(r"^\p{N}+$"), "NUMBER").when(F.col("word").rlike(r"^\p{Lu}"), "NAME").otherwise("TERM")
     value = F.when(F.col("share") >= s.remove, F.lit("")).otherwise(kind)
