@@ -214,6 +214,19 @@ def test_html_template_without_article(spark):
     assert all("site" not in r.text for r in html.extract(df).collect())
 
 
+def test_html_words_do_not_drop_the_main_slot(spark):
+    text = "the river at night " * 10
+    cases = [
+        (f'<body><nav>menu</nav><article class="post has-comments"><p>{text}</p><div class="comments">me too</div></article></body>', text.strip()),
+        (f'<body><div id="page" class="no-sidebar"><div class="sidebar">side</div><article><p>{text}</p></article></div></body>', text.strip()),
+        (f'<body><div class="no-sidebar"><p>{text}</p><div class="ad">buy</div></div></body>', text.strip()),
+        (f'<body><article><p>{text}</p></article><div id="comments"><article>me too</article></div></body>', text.strip()),
+    ]
+    rows = [(10 * i + k, f"http://h{i}/{k}", h) for i, (h, _) in enumerate(cases) for k in range(3)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got == {10 * i + k: t for i, (_, t) in enumerate(cases) for k in range(3)}
+
+
 # --- substring dedup ---
 
 

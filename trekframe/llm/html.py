@@ -1,20 +1,23 @@
-"""Main text of web pages by template deduction over the pages of a host.
+"""Main text of web pages by one slot a host, found over its pages, and a list of boilerplate words.
 
 Tokens are tags with what tells them apart (name, class, id, role; digits do not
-count).  A token's occurrence vector holds its count on each page of the host;
-tokens with equal vectors form an equivalence class.  Vectors are compared by
-two commutative 32-bit sums over (page, count), so they are never gathered and a
-host with a third of all pages is summed map-side like any other.  A class is
-valid if its tokens occur exactly once on the pages that have them, on at least
-half the host's pages, and open and close together.  Valid classes nest by the
-elements they open; the template's main slot is the deepest element of a valid
-class that holds nearly all text outside boilerplate, an article or main element
-before any other.  A page's text is what remains in its main slot.
+count).  A token's occurrence vector holds its count on each page of the host.
+Vectors are compared by two commutative 32-bit sums over (page, count), so they
+are never gathered and a host with a third of all pages is summed map-side like
+any other.  A token is valid if it occurs exactly once on the pages that have it,
+on at least half the host's pages, and its closing tag has the same vector.  The
+host's main slot is the deepest valid element that holds nearly all text outside
+boilerplate, an article or main element before any other.  A page's text is what
+remains in its main slot.  This is less than template deduction: tokens are not
+grouped into classes across elements, classes are not nested, and no repeated
+part is found by comparing pages.
 
 Text in menus, headers, footers, sidebars, notices, adverts, forms, comments and
 the like is boilerplate, told by element names and by words of class, id and
-role.  Words of the text are no template tokens, so a sentence that all pages of
-a host share stays.
+role, not by the template.  Such a word never drops the page's article or main
+element with the most text, nor what encloses it; on a page without one, nothing
+that holds nearly all of the text.  Words of the text are no template tokens, so
+a sentence that all pages of a host share stays.
 
 Defined results: a null or empty html has empty text; a page without its host's
 main slot gives all its text outside boilerplate; null urls share the empty
@@ -58,50 +61,99 @@ BLOCKS = {
 _WORD = re.compile(r"[a-z]+")
 
 
-def _signature(name: str, attrs: str) -> tuple[str, bool]:
-    """The token of a start tag, and whether it opens boilerplate."""
+NAMED = "^(article|main)( |$)|role=(article|main)"
+_NAMED = re.compile(NAMED)
+_BY_WORD, _BY_NAME = 1, 2
+
+
+def _signature(name: str, attrs: str) -> tuple[str, int]:
+    """The token of a start tag, and what tells that it opens boilerplate: nothing (0), a word or its name."""
+    by_name = _BY_NAME if name in APART else 0
     if not attrs.strip():
-        return name, name in APART
+        return name, by_name
     found = {k.lower(): (a or b or c).lower() for k, a, b, c in _ATTR.findall(attrs)}
     sig = name + "".join(f" {k}={re.sub(r'[0-9]+', '#', v)}" for k, v in sorted(found.items()))
-    apart = name in APART or (name not in ("html", "body", "main") and any(w in MARKS for v in found.values() for w in _WORD.findall(v)))
-    return sig, apart
+    by_word = _BY_WORD if name not in ("html", "body", "main") and any(w in MARKS for v in found.values() for w in _WORD.findall(v)) else 0
+    return sig, by_name or by_word
 
 
-def parse(page: str) -> Iterator[tuple[str, str, int, bool]]:
-    """Events (kind, value, depth, apart): open and close with the token, text as it stands, break between blocks."""
-    stack: list[tuple[str, str, bool]] = []
-    apart, at = False, 0
+def _scan(page: str) -> Iterator[tuple[str, str, int, int]]:
+    """Events (kind, value, depth, own): own tells of an opened element whether it is boilerplate by itself."""
+    stack: list[tuple[str, str]] = []
+    at = 0
     for m in _TOKEN.finditer(page):
         if m.start() > at:
-            yield "text", page[at : m.start()], len(stack), apart
+            yield "text", page[at : m.start()], len(stack), 0
         at = m.end()
         name = (m[3] or "").lower()
         if not name:
             continue
         if name in BLOCKS:
-            yield "break", "", len(stack), apart
+            yield "break", "", len(stack), 0
         if name == "br":
-            yield "text", " ", len(stack), apart
+            yield "text", " ", len(stack), 0
         if m[2]:
             where = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
             if where is None:
                 continue
             while len(stack) > where:
-                _, sig, before = stack.pop()
-                yield "close", sig, len(stack), apart
-                apart = before
+                yield "close", stack.pop()[1], len(stack), 0
         elif name not in VOID and not m[4].endswith("/"):
             sig, own = _signature(name, m[4])
-            stack.append((name, sig, apart))
-            apart = apart or own
-            yield "open", sig, len(stack) - 1, apart
+            stack.append((name, sig))
+            yield "open", sig, len(stack) - 1, own
     if at < len(page):
-        yield "text", page[at:], len(stack), apart
+        yield "text", page[at:], len(stack), 0
     while stack:
-        _, sig, before = stack.pop()
-        yield "close", sig, len(stack), apart
-        apart = before
+        yield "close", stack.pop()[1], len(stack), 0
+
+
+def _spared(events: list[tuple[str, str, int, int]], share: float) -> set[int]:
+    """Places in events of the elements that a word must not drop.
+
+    They are the article and the main element with the most text, the first of
+    equals, and what encloses them; without both, what holds at least share of
+    the text.  Text in what is boilerplate by its name does not count.
+    """
+    best: dict[str, tuple[int, int, list[int]]] = {}
+    marked: list[tuple[int, int]] = []
+    stack: list[tuple[int, int]] = []
+    total, closed = 0, 0
+    for i, (kind, value, _, own) in enumerate(events):
+        if kind == "text" and not closed:
+            total += len(value) - sum(map(value.count, " \n\t\r"))
+        elif kind == "open":
+            stack.append((i, total))
+            closed += own == _BY_NAME
+        elif kind == "close":
+            at, before = stack.pop()
+            own, chars = events[at][3], total - before
+            closed -= own == _BY_NAME
+            if own == _BY_WORD:
+                marked.append((at, chars))
+            m = _NAMED.search(value)
+            if m and chars:
+                name = m[1] or m[3]
+                if name not in best or (chars, -at) > best[name][:2]:
+                    best[name] = (chars, -at, [x for x, _ in stack])
+    if best:
+        return {x for _, at, around in best.values() for x in (-at, *around)}
+    return {at for at, chars in marked if chars and chars >= share * total}
+
+
+def parse(page: str, share: float = 0.9) -> Iterator[tuple[str, str, int, bool]]:
+    """Events (kind, value, depth, apart): open and close with the token, text as it stands, break between blocks."""
+    events = list(_scan(page))
+    spared = _spared(events, share) if any(own == _BY_WORD for *_, own in events) else set()
+    held: list[bool] = []
+    apart = False
+    for i, (kind, value, depth, own) in enumerate(events):
+        if kind == "open":
+            held.append(apart)
+            apart = apart or own == _BY_NAME or (own == _BY_WORD and i not in spared)
+        yield kind, value, depth, apart
+        if kind == "close":
+            apart = held.pop()
 
 
 def _blocks(events: Iterator, root: str | None) -> tuple[list[str], bool]:
@@ -177,7 +229,7 @@ def templates(pages: DataFrame, share: float = 0.9) -> DataFrame:
     whole = sums.where("sig = ''").select("host", F.col("pages").alias("all_pages"), F.col("chars").alias("all_chars"))
     ends = sums.where("sig LIKE '/%'").select("host", F.expr("substring(sig, 2)").alias("sig"), *(F.col(c).alias(f"e_{c}") for c in ("pages", "v1", "v2")))
     valid = sums.where("sig <> '' AND sig NOT LIKE '/%'").join(ends, ["host", "sig"]).where("pages = e_pages AND v1 = e_v1 AND v2 = e_v2 AND once = pages").join(whole, "host").where("2 * pages >= all_pages")
-    named = F.col("sig").rlike("^(article|main)( |$)|role=(article|main)")
+    named = F.col("sig").rlike(NAMED)
     fits = named | (F.col("chars") >= share * F.col("all_chars"))
     rank = F.struct(named.alias("named"), (F.col("depth") / F.col("pages")).alias("depth"), "chars", "sig")
     return valid.where(fits & (F.col("chars") > 0)).groupBy("host").agg(F.max(rank).alias("best")).select("host", F.col("best.sig").alias("root"))
