@@ -142,6 +142,16 @@ def test_simhash_against_brute_force(spark):
     assert simhash.near_components(empty(spark)).count() == 0 and simhash.near_dedup(empty(spark)).count() == 0
 
 
+def test_near_dedup_of_rows_without_id(spark):
+    a, b, c, d = (" ".join(f"{w}{i}" for i in range(60)) for w in "abcd")
+    rows = [(None, a), (None, a), (None, b), (None, c), (7, c), (9, c), (8, d), (None, None), (None, " ")]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS)
+    got = simhash.near_dedup(df)
+    assert got.columns == df.columns
+    kept = [(r.doc_id, (r.text or "").strip()) for r in got.collect()]
+    assert sorted(kept, key=str) == sorted([(None, a), (None, b), (7, c), (8, d), (None, "")], key=str)
+
+
 def test_simhash_chunks_of_large_keys_lose_nothing(spark):
     centre = 0x0123456789ABCDEF
     values = {centre} | {centre ^ (1 << a) ^ (1 << b) ^ (1 << c) for a, b, c in (RND.sample(range(64), 3) for _ in range(300))} | {RND.getrandbits(64) for _ in range(200)}

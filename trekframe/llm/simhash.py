@@ -127,26 +127,38 @@ def links(fps: DataFrame, max_diff: int = 4, blocks: int = 6, group: int = 8192)
     return groups.mapInArrow(kernel, "a bigint, b bigint")
 
 
-def near_components(docs: DataFrame, shingle: int = 4, max_diff: int = 4) -> DataFrame:
-    """(doc_id, fp, component_id) of every row of docs."""
+def _classes(docs: DataFrame, shingle: int, max_diff: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp) of every row of docs, and (fp, component, component_id) of every fingerprint."""
     rows = stored(fingerprints(docs, shingle), "fingerprints")
     classes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
     comp = components(links(classes.select("fp"), max_diff))
     named = classes.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    to = named.join(least, "component").select("fp", "component_id")
+    return rows, named.join(least, "component").select("fp", "component", "component_id")
+
+
+def near_components(docs: DataFrame, shingle: int = 4, max_diff: int = 4) -> DataFrame:
+    """(doc_id, fp, component_id) of every row of docs."""
+    rows, to = _classes(docs, shingle, max_diff)
     return rows.join(to, "fp").select("doc_id", "fp", "component_id")
 
 
 def near_dedup(docs: DataFrame, shingle: int = 4, max_diff: int = 4) -> DataFrame:
     """The rows of docs that stand for their component: those whose doc_id is its least, one row of each.
 
-    Rows without an id stand for themselves only where their whole component has none.
+    Rows without an id stand for a component only where all of it has none: one
+    row, of the text with the least hash.
     """
-    found = near_components(docs, shingle, max_diff)
-    kept = found.where("doc_id <=> component_id").groupBy("doc_id").agg(F.count("*").alias("__rows")).select(F.col("doc_id").alias("__id"), "__rows")
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")))
-    once = rows.where("__rows = 1").drop("__id", "__rows")
+    rows, to = _classes(docs, shingle, max_diff)
+    kept = rows.join(to, "fp").where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("__rows")).select(F.col("doc_id").alias("__id"), "__rows")
+    found = docs.join(kept, F.col("doc_id") == F.col("__id"))
+    once = found.where("__rows = 1").drop("__id", "__rows")
     # repeated rows of one id are rare; only they are compared
-    again = rows.where("__rows > 1").drop("__id", "__rows").dropDuplicates(["doc_id"])
-    return once.unionByName(again)
+    again = found.where("__rows > 1").drop("__id", "__rows").dropDuplicates(["doc_id"])
+    out = once.unionByName(again)
+    if rows.where("doc_id IS NULL").isEmpty():
+        return out
+    unnamed = docs.where("doc_id IS NULL").withColumn("__text", F.xxhash64("text"))
+    fps = fingerprints(unnamed.select(F.col("__text").alias("doc_id"), "text"), shingle).select(F.col("doc_id").alias("__text"), "fp")
+    stands = fps.join(to.where("component_id IS NULL"), "fp").groupBy("component").agg(F.min("__text").alias("__text")).select("__text")
+    return out.unionByName(unnamed.join(stands, "__text").dropDuplicates(["__text"]).drop("__text"))
