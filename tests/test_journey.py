@@ -223,6 +223,13 @@ def test_store(spark, tmp_path):
 # --- the driver's contract ---
 
 
+def test_playback_clock_of_every_player(spark, tmp_path):
+    rows = [(user, 5 * user + k) for user in (3, 19, 20, 77) for k in range(5)]
+    spark.createDataFrame(rows, "user_id bigint, event_id bigint").write.parquet(f"{tmp_path}/events.parquet")
+    got = registry.queries()["playback_clock"](spark, str(tmp_path)).collect()
+    assert sorted((r.player, r.n) for r in got) == rows
+
+
 def test_entry_without_corpus_operators(tmp_path):
     """The library and the other queries work where the corpus operators are absent."""
     import shutil
