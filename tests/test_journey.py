@@ -230,6 +230,26 @@ def test_playback_clock_of_every_player(spark, tmp_path):
     assert sorted((r.player, r.n) for r in got) == rows
 
 
+def test_story_samples_see_all_stays(spark):
+    from trekframe.plans import story
+    from trekframe.plans.base import stays
+
+    s = stays(spark, SF)
+    trips = {}
+    for r in sorted(story.episodes(spark, SF).collect(), key=lambda r: (r.start_ms, r.end_ms, r.id)):
+        trips.setdefault(r.trip, []).append(r)
+    assert sum(map(len, trips.values())) == s.count() - len(trips) and max(map(len, trips.values())) > 30
+    want = set()
+    for trip, rows in trips.items():
+        total, at, k = sum(r.seconds for r in rows), 0.0, 0
+        for r in rows:
+            at += r.seconds
+            while k < 20 and k * total / 20 < at - 1e-6:
+                want.add((trip, k, r.id))
+                k += 1
+    assert {(r.trip, r.k, r.id) for r in registry.queries()["a12_a13_evaluate"](spark, SF).collect()} == want
+
+
 def test_entry_without_corpus_operators(tmp_path):
     """The library and the other queries work where the corpus operators are absent."""
     import shutil
