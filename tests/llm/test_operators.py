@@ -212,18 +212,79 @@ def test_html_text(spark):
     found = {r.page_id: (r.text, r.n_chars) for r in got.collect()}
     assert found == {i: (t, len(t)) for i, (_, t) in enumerate(cases)} and got.count() == len(rows)
     assert html.extract(df.limit(0)).count() == 0
-    few = html.extract(df, broadcast_hosts=0)
+    few = html.extract(df, few=0)
     assert {r.page_id: r.text for r in few.collect()} == {i: t for i, (_, t) in enumerate(cases)}
 
 
 def test_html_template_without_article(spark):
     rows = [(i, "http://h/x", f'<body><div id="top">site</div><div class="post-body"><p>{prose(40)}</p>{"<p>more</p>" * i}</div></body>') for i in range(6)]
     df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
-    root = html.templates(df.select(F.lit("h").alias("host"), F.col("page_id").alias("page"), "html")).collect()
-    assert [r.root for r in root] == ["div class=post-body"]
+    got = html.templates(df.select(F.lit(1).cast("bigint").alias("host"), "html")).collect()
+    [main] = {e[1] for e in html.scan(rows[0][2]) if e[0] == html.OPEN and e[2] == "div"} - {html.scan('<body><div id="top">')[3][1]}
+    assert [(r.host, r.main) for r in got] == [(1, main)]
     assert all("site" not in r.text for r in html.extract(df).collect())
 
 
+def portal(i: int) -> str:
+    slogan = "<div>Site name and slogan of this portal</div>"
+    return f"<html><body>{slogan}<ul>{'<li><a>x</a></li>' * (i % 4)}</ul><div><h1>{prose(5)} {i}</h1>{''.join(f'<p>{prose(30)}</p>' for _ in range(1 + i % 3))}<b>All rights reserved by us</b></div></body></html>"
+
+
+@pytest.mark.parametrize("few", [200_000, 0])
+def test_html_portal_without_class_names(spark, few):
+    """Six pages lose the shared slogan by the main slot; ten also lose the text run that all articles share."""
+    pages = [("six", portal(i)) for i in range(6)] + [("ten", portal(i)) for i in range(10)]
+    df = spark.createDataFrame([(k, f"http://{h}.org/{k}", p) for k, (h, p) in enumerate(pages)] + [(99, None, None), (None, None, "")], "page_id bigint, url string, html string")
+    got = {r.page_id: r.text for r in html.extract(df, few=few).collect()}
+    for k, (h, p) in enumerate(pages):
+        want = [" ".join(x.split()) for x in re.findall(r"<(?:h1|p)>(.*?)</", p)]
+        if h == "six":
+            want.append("All rights reserved by us")
+        assert got[k].split("\n\n") == want
+    assert got[99] == "" and got[None] == ""
+
+
+def test_html_copies_of_a_page_keep_their_text(spark):
+    page = portal(2)
+    rows = [(i, "http://h/x", page) for i in range(12)]
+    assert all("All rights" in r.text and r.n_chars > 100 for r in html.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect())
+
+
+def test_html_classes_against_brute_force(spark):
+    pages = [("a", portal(i)) for i in range(7)] + [("b", f"<div>{'<p>x' * (i % 3)}<i>{i}</i><u></u></div>") for i in range(5)] + [("b", None)]
+    df = spark.createDataFrame([(1 if h == "a" else 2, p) for h, p in pages], "host bigint, html string")
+    got: dict = {}
+    for r in html.classes(df).collect():
+        got.setdefault((r.host, r["class"]), set()).add((r.kind, r.token))
+    want: dict = {}
+    for host, name in ((1, "a"), (2, "b")):
+        own = [p or "" for h, p in pages if h == name]
+        counts = [[(k, t) for k, t, *_ in html.scan(p) if k != html.BREAK and t] for p in own]
+        for x in {x for c in counts for x in c}:
+            vector = tuple(c.count(x) for c in counts)
+            on = sum(v > 0 for v in vector)
+            if 2 * on >= len(own) and (x[0] != html.TEXT or on >= 3):
+                want.setdefault((host, x[0] == html.TEXT, vector), set()).add(x)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values())) and len(want) > 6
+
+
+def test_html_classes_that_change_their_order_make_no_template(spark):
+    a, b = "<div id=a><p>{} " + "one two " * 20 + "</p></div>", "<div id=b><p>three</p></div>"
+    rows = [(1, f"<body>{a + b if i % 2 else b + a}</body>".format(f"page{i}")) for i in range(6)]
+    df = spark.createDataFrame(rows, "host bigint, html string")
+    assert html.templates(df).count() == 0 and html.templates(df.where(F.col("html").contains("<body><div id=a>"))).first().main is not None
+
+
+def test_html_hostile_pages_end():
+    import time
+
+    start = time.time()
+    for p in ["<script" * 150_000, "<a " * 350_000, '<a "' * 250_000, "<a ='" * 200_000, "<!--" * 250_000, '<a title="x>' * 80_000, "<div>" * 100_000 + "</b>" * 50_000, "<article>x" * 50_000, "<p>" * 100_000]:
+        html.main_text(p)
+    assert time.time() - start < 60
+    assert html.main_text("a < b <c") == "a < b <c" and html.main_text('<p title="a>b">x') == "x" and html.main_text("<p title=it's>x</p>y'") == "x\n\ny'"
+
+
 def test_html_words_do_not_drop_the_main_slot(spark):
     text = "the river at night " * 10
     cases = [
@@ -231,6 +292,7 @@ def test_html_words_do_not_drop_the_main_slot(spark):
         (f'<body><div id="page" class="no-sidebar"><div class="sidebar">side</div><article><p>{text}</p></article></div></body>', text.strip()),
         (f'<body><div class="no-sidebar"><p>{text}</p><div class="ad">buy</div></div></body>', text.strip()),
         (f'<body><article><p>{text}</p></article><div id="comments"><article>me too</article></div></body>', text.strip()),
+        (f'<body><div class="share">x</div><article class="post social-story"><p>{text}</p></article></body>', text.strip()),
     ]
     rows = [(10 * i + k, f"http://h{i}/{k}", h) for i, (h, _) in enumerate(cases) for k in range(3)]
     got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
