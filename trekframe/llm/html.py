@@ -56,6 +56,7 @@ from .urls import split_url
 
 _TAG_END = re.compile(r"""[>"']""")
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_PLAIN = re.compile(r"""<(/?[a-zA-Z][^\s/>"'<]*)([^<>"']*)>""")  # stops at the next <, > or quote
 _RAW_END = {n: re.compile(rf"</{n}(?=[\s/>])", re.I) for n in ("script", "style", "noscript", "template", "iframe", "title", "textarea", "svg")}
 _ATTR = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -118,22 +119,25 @@ def _tags(page: str) -> Iterator[tuple[int, int, str, str]]:
     """
     at, size = 0, len(page)
     none = {'"': False, "'": False}
+    plain, find = _PLAIN.match, page.find
     while True:
-        at = page.find("<", at)
+        at = find("<", at)
         if at < 0 or at + 1 >= size:
             return
-        c = page[at + 1]
-        if page.startswith("<!--", at):
-            end = page.find("-->", at + 4)
-            end = size if end < 0 else end + 3
-            yield at, end, "", ""
-        elif c in "!?":
-            end = page.find(">", at) + 1
+        m = plain(page, at)
+        if m:
+            name, attrs = m.groups()
+            end = m.end()
+        elif page[at + 1] in "!?":
+            long = page.startswith("<!--", at)
+            end = find("-->", at + 4) + 3 if long else find(">", at) + 1
+            if end == 2 and long:
+                end = size
             if not end:
                 return
-            yield at, end, "", ""
+            name = attrs = ""
         else:
-            m = _NAME.match(page, at + 1 + (c == "/"))
+            m = _NAME.match(page, at + 1 + (page[at + 1] == "/"))
             if not m:
                 at += 1
                 continue
@@ -147,18 +151,19 @@ def _tags(page: str) -> Iterator[tuple[int, int, str, str]]:
                 if mark == ">":
                     break
                 if not none[mark] and _after_equals(page, q.start(), m.end()):
-                    close = page.find(mark, end)
+                    close = find(mark, end)
                     if close < 0:
                         none[mark] = True
                     else:
                         end = close + 1
-            name = m[0].lower()
-            yield at, end, "/" + name if c == "/" else name, page[m.end() : end - 1]
-            raw = _RAW_END.get(name) if c != "/" and page[end - 2] != "/" else None
-            if raw:
-                m = raw.search(page, end)
-                end = m.start() if m else size
-                yield end, end, "!", ""  # what lies between is no text
+            name, attrs = page[at + 1 : m.end()], page[m.end() : end - 1]
+        name = name.lower()
+        yield at, end, name, attrs
+        raw = _RAW_END.get(name)
+        if raw and page[end - 2] != "/":
+            m = raw.search(page, end)
+            end = m.start() if m else size
+            yield end, end, "!", ""  # what lies between is no text
         at = end
 
 
@@ -170,16 +175,18 @@ def _after_equals(page: str, at: int, least: int) -> bool:
     return page[at] == "="
 
 
-def scan(page: str) -> list[tuple[int, int, str, int]]:
-    """Events (kind, token, text or name, flags of a start tag), in page order; every start has its end."""
+def scan(page: str, runs: bool = True) -> list[tuple[int, int, str, int]]:
+    """Events (kind, token, text or name, flags of a start tag), in page order; every start has its end.
+
+    Text has a token only if runs are asked for.
+    """
     out: list[tuple[int, int, str, int]] = []
     stack: list[tuple[str, int, dict]] = [("", _ROOT, {})]
     opened: dict[str, int] = {}
 
     def text(value: str):
-        if value:
-            run = " ".join(value.split())
-            out.append((TEXT, _hash(stack[-1][1], "\n" + run) if run else 0, value, 0))
+        run = " ".join(value.split()) if runs else ""
+        out.append((TEXT, _hash(stack[-1][1], "\n" + run) if run else 0, value, 0))
 
     def pop():
         name, role, _ = stack.pop()
@@ -188,12 +195,14 @@ def scan(page: str) -> list[tuple[int, int, str, int]]:
 
     at = 0
     for start, end, name, attrs in _tags(page):
-        if name != "!":
+        if start > at and name != "!":
             text(page[at:start])
         at = end
         if not name or name == "!":
             continue
-        ends, name = name[0] == "/", name.lstrip("/")
+        ends = name[0] == "/"
+        if ends:
+            name = name[1:]
         if name in BLOCKS:
             out.append((BREAK, 0, "", 0))
             if not ends and opened.get("p"):  # only inline elements can stand above an open p
@@ -218,7 +227,8 @@ def scan(page: str) -> list[tuple[int, int, str, int]]:
             out.append((OPEN, role, name, flags))
             stack.append((name, role, {}))
             opened[name] = opened.get(name, 0) + 1
-    text(page[at:])
+    if at < len(page):
+        text(page[at:])
     while len(stack) > 1:
         pop()
     return out
@@ -485,7 +495,7 @@ def _spared(events: list, main: int, share: float) -> set[int]:
 
 def main_text(page: str, main: int = 0, drop=frozenset(), share: float = 0.9) -> str:
     """The page's text in its main slot, or in the whole page without one."""
-    events = scan(page)
+    events = scan(page, runs=bool(drop))
     spared = _spared(events, main, share) if any(e[3] & _BY_WORD for e in events) else set()
     met = any(e[1] == main and e[0] == OPEN for e in events)
     out: list[str] = []
