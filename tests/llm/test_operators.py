@@ -428,6 +428,19 @@ def test_pii_terms_of_entities_seen_once_or_twice(spark):
     assert all(clean[i] == texts[i] for i in range(3, len(texts)))
 
 
+def test_pii_cost_of_a_text_with_many_spans(spark):
+    import time
+
+    text, start = "10.0.0.1 word " * 20_000, time.time()
+    rows = [(1, text), (1, text), (None, "a@b.co"), (None, "c@d.co"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({c: F.lit(7) for c in ("doc", "row", "base", "n", "terms", "k")})
+    got = pii.find(df).collect()
+    assert sorted(r.n_ip for r in got) == [0, 0, 0, 20_000, 20_000] and sorted(r.n_email for r in got) == [0, 0, 0, 1, 1]
+    clean = pii.sanitise(df)
+    assert clean.columns == df.columns and sorted(r.text or "" for r in clean.collect()) == sorted(["", "[EMAIL]", "[EMAIL]", "[IP] word " * 20_000, "[IP] word " * 20_000])
+    assert time.time() - start < 240
+
+
 def test_pii_runs_no_python(spark):
     plan = pii.find(frame(spark, ["a@b.co x"]))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)

@@ -78,13 +78,13 @@ near AS MATERIALIZED (
   SELECT x.doc_id, x.kind, x.val, x.shift + x.s AS s, x.shift + x.s + length(x.v) AS e, lower(x.v) AS w FROM ({_starts('part')}) x
   WHERE NOT (x.cut_l AND x.s = 0) AND NOT (x.cut_r AND x.s + length(x.v) = x.n)
     AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = x.doc_id AND b.s < x.shift + x.s + length(x.v) AND b.e > x.shift + x.s)),
-pairs AS (SELECT kind, val, w, count(DISTINCT doc_id) AS df_p FROM near GROUP BY ALL HAVING count(DISTINCT doc_id) >= 3),
+pairs AS (SELECT kind, val, w, count(DISTINCT doc_id) AS df_p FROM near GROUP BY ALL),
 ents AS (SELECT kind, val, count(DISTINCT doc_id) AS df_e FROM base GROUP BY ALL),
 words AS (SELECT w, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')) AS w FROM documents) GROUP BY w),
 size AS (SELECT count(*) AS n FROM documents),
 bad AS (
   SELECT kind, val, pairs.w FROM pairs JOIN ents USING (kind, val) JOIN words ON words.w = pairs.w, size
-  WHERE n > df_e AND (ln(n) - ln(df_e) + ln(df_p) - ln(greatest(df, df_p))) / (ln(n) - ln(df_e)) >= 0.75),
+  WHERE n > df_e AND (ln(n) - ln(df_e) + ln(df_p) - ln(greatest(df, df_p) + greatest(0, 3 - df_p))) / (ln(n) - ln(df_e)) >= 0.75),
 term AS (SELECT DISTINCT doc_id, s, e FROM near JOIN bad USING (kind, val, w)),
 every AS (SELECT doc_id, o, kind, s, e FROM base UNION ALL SELECT doc_id, 4, 'term', s, e FROM term),
 line AS (
