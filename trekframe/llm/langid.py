@@ -1,9 +1,11 @@
 """Language identification: script ranges, per-word scores, Viterbi over the words of a text.
 
 Training counts hashed character 1- to 4-grams of words, by language, over a
-bounded sample of labelled rows: at most ``per_language`` rows of each language,
-those whose hashed id is least.  The model is two tables of ``1 << bits`` rows,
-so its size does not grow with the corpus.
+bounded sample of labelled rows: about ``per_language`` rows of each language,
+all if it has no more, else those whose hash falls in that share of its range;
+equal rows are in together.  The model is two tables of ``1 << bits`` rows a
+language, so its size does not grow with the corpus; more than ``max_languages``
+languages are an error, never cut.
 
 Prediction reads whole texts.  Maximal runs of letters (and marks after them) are
 words.  A word's script, from fixed code point ranges, narrows the languages to
@@ -16,7 +18,8 @@ script that no language was seen in scores the same for all; ties go to the
 language first in order; languages are the non-null lang values of the training
 rows, and without any every text is ``und``; null ids are not held out; repeated
 rows give repeated results; an empty table gives an empty result; a long text is
-labelled whole; other columns stay, unless a result column has their name.
+labelled whole; bytes that are no UTF-8 become U+FFFD; U+0000 is a
+character like other controls; other columns stay, unless a result column has their name.
 """
 
 from __future__ import annotations
@@ -31,7 +34,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from .common import slices, small_batches
 
@@ -49,7 +51,7 @@ N_SCRIPTS = 23
 
 @dataclass(frozen=True)
 class Settings:
-    per_language: int = 1000  # the bound of the training sample; up to 1000 each task keeps its own first rows before the shuffle
+    per_language: int = 1000  # the bound of the training sample, in the mean: rows are taken by hash, so that no language is ranked in one task
     bits: int = 15
     switch: float = 12.0  # cost of a change of language, in nats
     foreign: float = 20.0  # cost of a word in a script its language was not seen in
@@ -84,15 +86,16 @@ def features(texts: list[bytes | None], bits: int) -> tuple[np.ndarray, ...]:
 
     Grams run backwards from each letter; the place before a word's first letter counts as a mark of its start.
     """
-    joined = "\0".join([*((t or b"").decode() for t in texts), ""])
+    decoded = [(t or b"").decode("utf-8", "replace") for t in texts]
+    joined = "\0".join([*decoded, ""])
     cps = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
     kind, low, script = tables()
     k = kind[cps]
     letter = k == 1
     inside = letter | ((k == 2) & np.concatenate([[False], letter[:-1]]))
     first = inside & ~np.concatenate([[False], inside[:-1]])
-    owner = np.cumsum(cps == 0)
     starts = np.flatnonzero(first)
+    owner = np.searchsorted(np.cumsum([len(t) + 1 for t in decoded]), starts, "right")  # by lengths: a text may hold the separator
     word = np.cumsum(first)[inside] - 1
     at = np.flatnonzero(inside)
     c = low[cps[at]].astype(np.uint64) + np.uint64(1)
@@ -108,7 +111,7 @@ def features(texts: list[bytes | None], bits: int) -> tuple[np.ndarray, ...]:
         h ^= h >> np.uint64(29)
         ok = depth >= n - 1
         grams[n, ok] = (h[ok] >> np.uint64(64 - bits)).astype(np.int32)
-    return grams, word, owner[starts], script[cps[starts]], length
+    return grams, word, owner, script[cps[starts]], length
 
 
 def viterbi(scores: np.ndarray, owner: np.ndarray, n_texts: int, switch: float) -> np.ndarray:
@@ -187,12 +190,15 @@ def train(docs: DataFrame, settings: Settings = Settings()) -> Model:
     """Counts n-grams of the training rows' sample in Spark; the driver gets tables of fixed size."""
     s = settings
     small_batches(docs.sparkSession)
-    rows = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text"))
-    ids = rows.select(F.col("lang"), F.col("doc_id"), F.xxhash64("text").alias("text")).withColumn("rank", rank).where(F.col("rank") <= s.per_language)
-    ids = ids.select(F.col("doc_id").alias("__id"), F.col("text").alias("__hash")).distinct()
-    # at most per_language rows of each of max_languages languages: 16 bytes a row
-    sample = rows.join(F.broadcast(ids), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash"))).select("lang", F.col("text").cast("binary"))
+    rows = docs.select("doc_id", "text", "lang").where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).limit(s.max_languages + 1).collect()
+    if len(sizes) > s.max_languages:
+        raise ValueError(f"more than {s.max_languages} languages: raise max_languages, 256 KB of driver and task memory each, or clean lang")
+    # a row is in the sample if its hash lies in the share of the range that leaves per_language rows of its language
+    shares = [(r.lang, min(1.0, s.per_language / r.n)) for r in sizes]
+    share = docs.sparkSession.createDataFrame(shares, "lang string, share double")
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / (1 << 30)
+    sample = rows.join(F.broadcast(share), "lang").where(place < F.col("share")).select("lang", F.col("text").cast("binary"))
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
@@ -211,8 +217,6 @@ def train(docs: DataFrame, settings: Settings = Settings()) -> Model:
     got = sample.mapInArrow(kernel, "lang string, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     lang, bucket, n = got["lang"].to_pylist(), got["bucket"].to_numpy(), got["n"].to_numpy()
     names = sorted(set(lang))
-    if len(names) > s.max_languages:
-        raise ValueError(f"{len(names)} languages; max_languages is {s.max_languages}")
     table = np.zeros(((1 << s.bits) + N_SCRIPTS, len(names)))
     table[bucket, np.searchsorted(names, lang) if names else []] = n
     grams, script = table[: 1 << s.bits] + 0.5, table[1 << s.bits :]
