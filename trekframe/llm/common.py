@@ -49,6 +49,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free(columns: list[str], name: str) -> str:
+    """name, or with underscores after it, as a name that is not among columns (whatever their case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 

@@ -1,99 +1,137 @@
-"""Substring dedup: runs of consecutive sentences, joined globally by hash.
+"""Substring dedup: sliding runs of consecutive sentences, joined globally by hash.
 
 A sentence ends after . ! ? before white space, or at a line break; one without
-a word is none.  From every sentence starts, and at every sentence ends, the
-shortest run that has at least two sentences and ``min_words`` words, or
-``long_words`` words in any number of sentences.  Each document yields each of
-its run hashes once.  The first document of a hash is that of least id; in every
-other document, and at every later place in the same one, the run's sentences
-are removed.  What stays keeps its own white space.
+a word is none.  A sentence of more than ``longest`` words, as in text without
+stops, is cut where the hash of two neighbouring words says so, and at the latest
+after ``piece`` words, so that equal stretches are cut alike.  A run is several
+consecutive sentences, at least two, with at least ``min_words`` words.
+
+A run repeated elsewhere makes every run inside it repeated too.  So of all runs
+only the shortest from each sentence and the shortest to each sentence need a
+hash: they are runs, and they cover just what all repeated runs cover.  Each
+document yields each of its 128-bit run hashes once.  The first document of a
+hash is that of least id; in every other document, and at every later place in
+the same one, the run's sentences are removed.  What stays keeps its white space.
 
 Per hash the join carries only the first document, so a passage that a third of
 all documents share costs a row per document and is dealt by Spark's skew join.
 
 Defined results: a null text stays null with no sentence; empty texts and those
 without a word stay as they are; rows with equal doc_id are one document and
-are treated alike; a null doc_id counts as one document before all others; an
-empty table gives an empty result; other columns are kept by ``dedup_spans``
-unless a result column has their name.
+are treated alike; rows without an id are documents by their texts, before all
+others (ids lie above -2 ** 62); an empty table gives an empty result; other
+columns, whatever their names, are kept by ``dedup_spans`` unless a result
+column has their name.
 """
 
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, small_batches, stored
+from .common import free, slices, small_batches, stored
 
+_WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 _BREAK = re.compile(rb"(?<=[.!?])[\x20\x09-\x0D]+|[\x20\x09-\x0D]*\n[\x20\x09-\x0D]*")
-NO_ID = -(1 << 63)
 
 
 @dataclass(frozen=True)
 class Settings:
     min_words: int = 24
-    long_words: int = 50
+    longest: int = 50
+    piece: int = 32
 
 
-def sentences(text: bytes) -> tuple[list[tuple[int, int]], list[int], list[bytes]]:
+def _doc() -> Column:
+    """The document a row belongs to."""
+    unnamed = F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(-(1 << 63))
+    return F.coalesce(F.col("doc_id").cast("bigint"), unnamed)
+
+
+def _pieces(found: list[bytes], most: int) -> list[int]:
+    """Where a long sentence is cut, the end included."""
+    out, at = [], 0
+    for i in range(1, len(found)):
+        if i - at >= most or (i - at >= most // 4 and xxhash.xxh64_intdigest(found[i - 1] + b" " + found[i]) % 16 == 0):
+            out.append(i)
+            at = i
+    return [*out, len(found)]
+
+
+def sentences(text: bytes, s: Settings) -> tuple[list[tuple[int, int]], list[int], list[bytes]]:
     """Byte spans of the sentences, each with the white space up to the next; their words; their hashes."""
     spans, words, hashes, at = [], [], [], 0
+
+    def add(start: int, after: int, found: list[bytes]):
+        spans.append((start, after))
+        words.append(len(found))
+        hashes.append(xxhash.xxh3_128_digest(b" ".join(found)))
+
     for m in [*_BREAK.finditer(text), None]:
         stop, after = (m.start(), m.end()) if m else (len(text), len(text))
         found = text[at:stop].split()
-        if found:
-            spans.append((at, after))
-            words.append(len(found))
-            hashes.append(xxhash.xxh64_digest(b" ".join(found)))
+        if len(found) > s.longest:
+            starts = [w.start() for w in _WORDS.finditer(text, at, stop)]
+            i = 0
+            for j in _pieces(found, s.piece):
+                add(at if i == 0 else starts[i], starts[j] if j < len(found) else after, found[i:j])
+                i = j
+        elif found:
+            add(at, after, found)
         elif spans:
             spans[-1] = (spans[-1][0], after)
         at = after
     return spans, words, hashes
 
 
-def runs(words: list[int], hashes: list[bytes], s: Settings) -> tuple[np.ndarray, np.ndarray, list[int]]:
-    """First and end sentence of each run, and its hash as a signed integer."""
+def _two(data: bytes) -> tuple[int, int]:
+    """A 128-bit hash as two signed integers."""
+    return struct.unpack("<2q", xxhash.xxh3_128_digest(data))
+
+
+def runs(words: list[int], hashes: list[bytes], s: Settings) -> tuple[list[int], list[int], list[tuple[int, int]]]:
+    """First and end sentence of each run, and its hash."""
     n = len(words)
     total = np.concatenate([[0], np.cumsum(words)])
     i = np.arange(n)
-    end = np.minimum(np.maximum(np.searchsorted(total, total[:-1] + s.min_words), i + 2), np.searchsorted(total, total[:-1] + s.long_words))
-    back = np.maximum(np.minimum(np.searchsorted(total, total[1:] - s.min_words, "right") - 1, i - 1), np.searchsorted(total, total[1:] - s.long_words, "right") - 1)
+    end = np.maximum(np.searchsorted(total, total[:-1] + s.min_words), i + 2)
+    back = np.minimum(np.searchsorted(total, total[1:] - s.min_words, "right") - 1, i - 1)
     pairs = np.concatenate([np.stack([i, end], 1)[end <= n], np.stack([back, i + 1], 1)[back >= 0]])
     pairs = np.unique(pairs, axis=0) if len(pairs) else pairs.reshape(0, 2)
     data = b"".join(hashes)
-    got = [xxhash.xxh64_intdigest(data[8 * a : 8 * b]) for a, b in pairs.tolist()]
-    return pairs[:, 0], pairs[:, 1], np.array(got, np.uint64).view(np.int64).tolist()
+    return pairs[:, 0].tolist(), pairs[:, 1].tolist(), [_two(data[16 * a : 16 * b]) for a, b in pairs.tolist()]
 
 
 def run_hashes(docs: DataFrame, s: Settings) -> DataFrame:
-    """(doc, h): each document's run hashes, once."""
+    """(doc, h, g): each document's run hashes, once."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches, "text"):
             ids, out_id, out_h = batch.column(0).to_pylist(), [], []
             for doc, text in zip(ids, texts):
-                _, words, hashes = sentences(text or b"")
+                _, words, hashes = sentences(text or b"", s)
                 h = set(runs(words, hashes, s)[2])
                 out_h.extend(h)
                 out_id.extend([doc] * len(h))
-            yield pa.RecordBatch.from_arrays([pa.array(out_id, pa.int64()), pa.array(out_h, pa.int64())], names=["doc", "h"])
+            yield pa.RecordBatch.from_arrays([pa.array(out_id, pa.int64()), *(pa.array(x, pa.int64()) for x in (zip(*out_h) if out_h else ((), ())))], names=["doc", "h", "g"])
 
-    return docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("doc"), F.col("text").cast("binary")).mapInArrow(kernel, "doc bigint, h bigint")
+    return docs.select(_doc().alias("doc"), F.col("text").cast("binary")).mapInArrow(kernel, "doc bigint, h bigint, g bigint")
 
 
-def remove(text: bytes, repeated: set[int], s: Settings) -> tuple[bytes, int, int]:
+def remove(text: bytes, repeated: set[tuple], s: Settings) -> tuple[bytes, int, int]:
     """The text without the sentences of repeated runs, or of runs seen before in it; sentences, and how many went."""
-    spans, words, hashes = sentences(text)
+    spans, words, hashes = sentences(text, s)
     gone = np.zeros(len(spans), bool)
-    seen: set[int] = set()
+    seen: set[tuple] = set()
     for a, b, h in zip(*runs(words, hashes, s)):
         if h in repeated or h in seen:
             gone[a:b] = True
@@ -109,20 +147,20 @@ def dedup_spans(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     s = settings
     small_batches(docs.sparkSession)
     found = stored(run_hashes(docs, s), "runs")
-    first = found.groupBy("h").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first <> last").select("h", "first")
-    repeated = found.join(first, "h").where("doc <> first").groupBy("doc").agg(F.collect_set("h").alias("__repeated"))
-    keyed = docs.withColumn("__doc", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)))
-    rows = keyed.join(repeated.withColumnRenamed("doc", "__doc"), "__doc", "left").drop("__doc")
+    first = found.groupBy("h", "g").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first <> last").select("h", "g", "first")
+    doc, mine = free(docs.columns, "doc"), free(docs.columns, "repeated")
+    repeated = found.join(first, ["h", "g"]).where("doc <> first").groupBy(F.col("doc").alias(doc)).agg(F.collect_set(F.array("h", "g")).alias(mine))
+    rows = docs.withColumn(doc, _doc()).join(repeated, doc, "left").drop(doc)
     keep = [f for f in docs.schema.fields if f.name not in ("n_sentences", "n_removed")]
     names = [f.name for f in keep]
     schema = T.StructType([*keep, T.StructField("n_sentences", T.LongType()), T.StructField("n_removed", T.LongType())])
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches, "text"):
-            lists = batch.column(batch.schema.get_field_index("__repeated")).to_pylist()
-            got = [(None, 0, 0) if t is None else remove(t, set(r or ()), s) for t, r in zip(texts, lists)]
+            lists = batch.column(batch.schema.get_field_index(mine)).to_pylist()
+            got = [(None, 0, 0) if t is None else remove(t, set(map(tuple, r or ())), s) for t, r in zip(texts, lists)]
             cols = [batch.column(batch.schema.get_field_index(c)) for c in names]
-            cols[names.index("text")] = pa.array([x[0] for x in got], pa.binary()).cast(pa.string())
+            cols[names.index("text")] = pa.array([x[0] for x in got], pa.binary()).cast(pa.string(), safe=False)
             yield pa.RecordBatch.from_arrays([*cols, pa.array([x[1] for x in got], pa.int64()), pa.array([x[2] for x in got], pa.int64())], names=[*names, "n_sentences", "n_removed"])
 
     return rows.mapInArrow(kernel, schema)
