@@ -9,7 +9,8 @@ skips up to m - 1 words at a time.
 
 The benchmark is a stated query set.  Tables for at most ``block_words`` pattern
 words are built on the driver and broadcast at a time; a larger benchmark is
-searched in several such blocks, each over all rows, so what is held is bounded.
+searched in several such blocks, each over all rows, so what is held is bounded;
+an item longer than a block goes on in the next.
 
 Defined results: a null text, or one with no word, has n_words 0 and is not
 contaminated; null or word-less items are never found; a repeated item text
@@ -22,13 +23,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from fractions import Fraction
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, small_batches, stored
+from .common import free, slices, small_batches, stored
 
 WINDOW = 13
 #: Maps bytes: A-Z to a-z, bytes between words to a space.
@@ -39,8 +41,8 @@ def words(text: bytes | None) -> list[bytes]:
     return text.translate(_TABLE).split() if text else []
 
 
-def windows(item: list[bytes], size: int = WINDOW) -> set[tuple[bytes, ...]]:
-    return {tuple(item[i : i + size]) for i in range(max(1, len(item) - size + 1))} if item else set()
+def windows(item: list[bytes], size: int = WINDOW) -> Iterator[tuple[bytes, ...]]:
+    return (tuple(item[i : i + size]) for i in range(max(1, len(item) - size + 1) if item else 0))
 
 
 class WuManber:
@@ -108,40 +110,39 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     """
     spark = docs.sparkSession
     small_batches(spark)
-    percent = round(1 / min_share)
-    blocks, held = [{}], 0
+    share = Fraction(str(min_share))  # as written: 0.3 is 3 / 10
+    block, held = {}, 0
     names: dict = {}
     # the stated query set goes through the driver one row at a time; only a block is held
     rows = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").cast("binary").alias("t")).distinct().toLocalIterator()
     done = docs
+    carry = free(docs.columns, "spans"), free(docs.columns, "items")
     for row in rows:
         for p in windows(words(None if row.t is None else bytes(row.t)), window):
-            held += 0 if p in blocks[-1] else len(p)
-            blocks[-1].setdefault(p, set()).add(names.setdefault(row.i, len(names)))
-        if held > block_words:
-            done = stored(_pass(spark, done, blocks[-1], names, percent, False, False, done is docs), "decontam")
-            blocks, held, names = [{}], 0, {}
-    return _pass(spark, done, blocks[-1], names, percent, drop, True, done is docs, docs.columns)
+            if held > block_words:  # looked at within an item too, so that a long one is cut
+                done = stored(_pass(spark, done, block, names, share, carry, False, False, done is docs), "decontam")
+                block, held, names = {}, 0, {}
+            held += 0 if p in block else len(p)
+            block.setdefault(p, set()).add(names.setdefault(row.i, len(names)))
+    return _pass(spark, done, block, names, share, carry, drop, True, done is docs)
 
 
-_SPANS, _ITEMS = "__spans", "__items"
-
-
-def _pass(spark, docs: DataFrame, patterns: dict, names: dict, percent: int, drop: bool, last: bool, first: bool, columns: list[str] | None = None) -> DataFrame:
+def _pass(spark, docs: DataFrame, patterns: dict, names: dict, share: Fraction, carried: tuple[str, str], drop: bool, last: bool, first: bool) -> DataFrame:
     """One block's search over all rows; what earlier blocks found is carried in two more columns."""
+    spans_, items_ = carried
     tables = spark.sparkContext.broadcast((WuManber(patterns), {n: i for i, n in names.items()}))
-    src = [c for c in docs.columns if c not in (_SPANS, _ITEMS)] if not first else docs.columns
+    src = [c for c in docs.columns if c not in carried] if not first else docs.columns
     new = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("n_items", T.LongType()), T.StructField("items_sha256", T.StringType()), T.StructField("contaminated", T.BooleanType()), T.StructField("hit_spans", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))]
     names_new = {f.name for f in new}
     keep = [f for f in docs.schema.fields if f.name in src and (drop or not last or f.name not in names_new)]
-    carry = [T.StructField(_SPANS, T.ArrayType(T.ArrayType(T.IntegerType()))), T.StructField(_ITEMS, T.ArrayType(T.StringType()))]
+    carry = [T.StructField(spans_, T.ArrayType(T.ArrayType(T.IntegerType()))), T.StructField(items_, T.ArrayType(T.StringType()))]
     schema = T.StructType(keep + ([] if drop else new) if last else keep + carry)
     keep_names = [f.name for f in keep]
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, ids = tables.value
         for batch, texts in slices(batches, "text"):
-            held = [] if first else list(zip(batch.column(batch.schema.get_field_index(_SPANS)).to_pylist(), batch.column(batch.schema.get_field_index(_ITEMS)).to_pylist(), strict=True))
+            held = [] if first else list(zip(batch.column(batch.schema.get_field_index(spans_)).to_pylist(), batch.column(batch.schema.get_field_index(items_)).to_pylist(), strict=True))
             out = []
             for k, text in enumerate(texts):
                 doc = words(text)
@@ -154,7 +155,7 @@ def _pass(spark, docs: DataFrame, patterns: dict, names: dict, percent: int, dro
                     out.append((_merged(spans), sorted(named)))
                     continue
                 hit = _covered(spans)
-                bad = hit > 0 and percent * hit >= len(doc)
+                bad = hit > 0 and share.denominator * hit >= share.numerator * len(doc)
                 out.append((len(doc), hit, len(named), hashlib.sha256(",".join(sorted(named)).encode()).hexdigest(), bad, [{"start": a, "end": b} for a, b in _merged(spans)]))
             cols = [batch.column(batch.schema.get_field_index(c)) for c in keep_names]
             if last and drop:
@@ -163,6 +164,6 @@ def _pass(spark, docs: DataFrame, patterns: dict, names: dict, percent: int, dro
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))]
                 yield pa.RecordBatch.from_arrays(cols + [pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=keep_names + [f.name for f in new])
             else:
-                yield pa.RecordBatch.from_arrays(cols + [pa.array([[list(s) for s in x[0]] for x in out], pa.list_(pa.list_(pa.int32()))), pa.array([x[1] for x in out], pa.list_(pa.string()))], names=keep_names + [_SPANS, _ITEMS])
+                yield pa.RecordBatch.from_arrays(cols + [pa.array([[list(s) for s in x[0]] for x in out], pa.list_(pa.list_(pa.int32()))), pa.array([x[1] for x in out], pa.list_(pa.string()))], names=keep_names + [spans_, items_])
 
     return docs.mapInArrow(kernel, schema)
