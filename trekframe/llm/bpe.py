@@ -6,10 +6,12 @@ where pieces begin.  A symbol acts on the automaton's states as a function, and
 composing functions is associative, so the state before every code point comes
 from a two-level scan over a composition table: all rows of a block matrix at
 once, then the rows' totals.  Pieces are slices between boundaries; their bytes
-go through cached pair merging, and their offsets are kept for decoding.
+go through cached pair merging, and their byte offsets are kept: decoding puts
+each piece's bytes at its offset and checks that they fill it, and any stretch of
+pieces can be decoded alone.
 
-Defined results: a null text is empty and has no token; a piece of any length is
-merged whole; texts keep their order and repeated rows give repeated results; an
+Defined results: a null text is empty and has no token; bytes that are no UTF-8
+become U+FFFD before they are encoded; a piece of any length is merged whole; texts keep their order and repeated rows give repeated results; an
 empty table gives an empty result; other columns stay, unless a result column
 has their name.
 """
@@ -148,6 +150,8 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Encoder:
     def __init__(self, ranks: dict[bytes, int], cache: int = 250_000):
         self.ranks, self.cache, self.held, self.missed, self.bytes = ranks, cache, {}, 0, {i: b for b, i in ranks.items()}
+        self.sizes = np.zeros(max(self.bytes, default=0) + 1, np.int64)
+        self.sizes[list(self.bytes)] = [len(b) for b in self.bytes.values()]
 
     def merged(self, piece: bytes) -> tuple[int, ...]:
         """Merge the pair of least rank, leftmost first, until none is known; a heap holds the pairs."""
@@ -221,8 +225,15 @@ class Encoder:
             out.append((ids, off - off[0]))
         return out
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes.__getitem__, ids))
+    def decode(self, ids: list[int], offsets: np.ndarray, first: int = 0, last: int | None = None) -> bytes:
+        """The bytes of pieces first to last, all by default, of a text's ids and its pieces' offsets."""
+        ends = np.cumsum(self.sizes[np.asarray(ids, np.int64)]) if len(ids) else np.zeros(0, np.int64)
+        cut = np.searchsorted(ends, offsets, "right")  # tokens that end up to each offset
+        filled = np.concatenate([[0], ends])[cut]
+        if (filled != offsets).any() or cut[-1] != len(ids):
+            raise ValueError("the ids do not fill the pieces")
+        last = len(offsets) - 1 if last is None else last
+        return b"".join(map(self.bytes.__getitem__, ids[cut[first] : cut[last]]))
 
 
 _encoders: dict[str, Encoder] = {}
@@ -237,7 +248,7 @@ def _encoder(key: str, ranks: dict[bytes, int]) -> Encoder:
 
 
 def encode(docs: DataFrame, vocabulary: str, ids: bool = True) -> DataFrame:
-    """docs without text, with n_tokens, ids_sha256, decoded_sha256 and, if asked, token_ids.
+    """docs without text, with n_tokens, ids_sha256, decoded_sha256 and, if asked, token_ids and piece_offsets (in bytes, the end included).
 
     vocabulary: path of a rank file, read on the driver and broadcast (its size
     is that of a tokenizer, whatever the corpus).
@@ -247,16 +258,16 @@ def encode(docs: DataFrame, vocabulary: str, ids: bool = True) -> DataFrame:
     key = hashlib.sha256(repr(sorted(known.items())).encode()).hexdigest()
     ranks = docs.sparkSession.sparkContext.broadcast(known)
     new = [("n_tokens", T.LongType(), pa.int64()), ("ids_sha256", T.StringType(), pa.string()), ("decoded_sha256", T.StringType(), pa.string())]
-    new += [("token_ids", T.ArrayType(T.IntegerType()), pa.list_(pa.int32()))] if ids else []
+    new += [("token_ids", T.ArrayType(T.IntegerType()), pa.list_(pa.int32())), ("piece_offsets", T.ArrayType(T.LongType()), pa.list_(pa.int64()))] if ids else []
     keep = [f for f in docs.schema.fields if f.name not in {"text", *(x[0] for x in new)}]
     names = [f.name for f in keep]
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(key, ranks.value)
         for batch, texts in slices(batches, "text", max_bytes=1 << 20):
-            got = [ids for ids, _ in encoder.encode([(t or b"").decode() for t in texts])]
-            raw = [np.array(x, "<u4") for x in got]
-            cols = [[len(x) for x in got], [hashlib.sha256(x.tobytes()).hexdigest() for x in raw], [hashlib.sha256(encoder.decode(x)).hexdigest() for x in got], [x.view(np.int32) for x in raw]]
+            got = encoder.encode([(t or b"").decode("utf-8", "replace") for t in texts])
+            raw = [np.array(x, "<u4") for x, _ in got]
+            cols = [[len(x) for x in raw], [hashlib.sha256(x.tobytes()).hexdigest() for x in raw], [hashlib.sha256(encoder.decode(*x)).hexdigest() for x in got], [x.view(np.int32) for x in raw], [x for _, x in got]]
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in names] + [pa.array(c, x[2]) for c, x in zip(cols, new)], names=names + [x[0] for x in new])
 
     return docs.mapInArrow(kernel, T.StructType(keep + [T.StructField(n, t) for n, t, _ in new]))
