@@ -1,7 +1,7 @@
 """Embedding near-duplicates: an exact metric range join.
 
 Pivots partition the distinct vectors: each has its home in the cell of its
-nearest pivot.  A vector also visits every other cell where a partner could be
+nearest pivot; pivots that point the same way count once.  A vector also visits every other cell where a partner could be
 at home.  The triangle inequality on the sphere rules cells out exactly, by the
 vector's angle to the plane that bisects its own pivot and the cell's, and by
 the least and greatest angle of the cell's members to every pivot.  A cell with
@@ -12,6 +12,8 @@ emits a spanning forest, never the pairs.
 
 In many dimensions angles concentrate, and random vectors visit most cells; the
 join stays exact, and its memory bounded, at a cost near that of all pairs.
+``max_pivots`` bounds what the driver holds, not the result: beyond that many
+cells, cells are cut into more parts instead.
 
 Equal vectors are joined once, with their number.  Defined results: a vector
 that is null, empty or zero, or holds a null or non-finite component, links with
@@ -32,7 +34,10 @@ from pyspark.sql import functions as F
 
 from .common import components, stored
 
-SLACK = 1e-9
+#: Added to every bound: arccos turns a rounding error of 1e-16 near 1 into one of 1e-8 in the angle.
+SLACK = 1e-6
+#: Pivots nearer than this to an earlier one are left out: the plane between them would be lost in rounding.
+APART = 1e-3
 
 
 def _units(raw: list[bytes], dtype: str, dim: int) -> np.ndarray:
@@ -112,7 +117,13 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, cell: int = 4096, max_p
     pivots = np.zeros((max(1, len(chosen)), dim))
     for i, r in enumerate(chosen):
         pivots[i, : len(r.embedding)] = r.embedding
-    pivots /= np.maximum(np.linalg.norm(pivots, axis=1, keepdims=True), 1e-300)
+    top = np.maximum(np.abs(pivots).max(axis=1, keepdims=True), 1e-300)  # scaled first: squares may leave the range
+    pivots = pivots / top / np.maximum(np.linalg.norm(pivots / top, axis=1, keepdims=True), 1e-300)
+    kept: list[int] = []
+    for i, p in enumerate(pivots):
+        if all(np.linalg.norm(p - pivots[k]) >= APART for k in kept):
+            kept.append(i)
+    pivots = pivots[kept]
     packed = _packed(classes, dtype)
     limit, n_pivots = float(np.arccos(least)), len(pivots)
     share = spark.sparkContext.broadcast(pivots)
@@ -142,7 +153,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, cell: int = 4096, max_p
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         low, high, cut, first = plan.value
         p = share.value
-        apart = np.sqrt(np.maximum(2 - 2 * p @ p.T, 1e-300))
+        apart = np.sqrt(np.maximum(2 - 2 * p @ p.T, APART**2 / 2)) + np.eye(n_pivots)  # no plane lies between a cell and itself
         for whole in batches:
             for i in range(0, whole.num_rows, 512):
                 batch = whole.slice(i, 512)
