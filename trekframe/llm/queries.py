@@ -61,7 +61,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("bigint"), F.col("turn").cast("bigint"), "role", "text")
     more = spark.createDataFrame([(-1, 0, "user", own), (-1, 1, "assistant", own)], turns.schema)
     found = chat.read_back(chat.segments(turns.union(more)))
-    return found.select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+    return found.select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "valid")
 
 
 def queries() -> dict:

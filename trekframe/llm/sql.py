@@ -35,7 +35,8 @@ SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  CAST(sum(length('<|im_start|>' || {_ESCAPED.format('role')} || chr(10) || {_ESCAPED.format('text')} || '<|im_end|>' || chr(10))) AS BIGINT) AS formatted_chars
+  CAST(sum(length('<|im_start|>' || {_ESCAPED.format('role')} || chr(10) || {_ESCAPED.format('text')} || '<|im_end|>' || chr(10))) AS BIGINT) AS formatted_chars,
+  regexp_full_match(string_agg(role || ',', '' ORDER BY turn, role, text), '(system,)?(user,assistant,)*(user,)?') AS valid
 FROM turns GROUP BY conv_id
 """
 
