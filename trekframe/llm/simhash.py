@@ -95,8 +95,20 @@ def forest(left: np.ndarray, right: np.ndarray | None, max_diff: int) -> tuple[n
     return np.concatenate(a or [none]).view(np.int64), np.concatenate(b or [none]).view(np.int64)
 
 
-def links(fps: DataFrame, max_diff: int = 4, blocks: int = 6, group: int = 8192) -> DataFrame:
-    """(a, b): links between distinct fingerprints fps(fp) that connect all that differ in at most max_diff bits."""
+def block_count(n: int, max_diff: int, mean: int = 256) -> int:
+    """The number of runs: max_diff + 2, or more where a key would hold over mean of n spread fingerprints."""
+    blocks = max_diff + 2
+    while blocks < 4 * max_diff and n > mean << (64 * (blocks - max_diff) // blocks):
+        blocks += 1
+    return blocks
+
+
+def links(fps: DataFrame, max_diff: int = 4, blocks: int | None = None, group: int = 8192) -> DataFrame:
+    """(a, b): links between distinct fingerprints fps(fp) that connect all that differ in at most max_diff bits.
+
+    Any number of runs beyond max_diff finds all of them: it only sets the size of the keys.
+    """
+    blocks = blocks or block_count(fps.count(), max_diff)
     keyed = fps.select("fp", F.inline(F.array(*(F.struct(F.lit(i).alias("c"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(block_masks(max_diff, blocks))))))
     large = stored(keyed.groupBy("c", "k").agg(F.count("*").alias("n")).where(F.col("n") > group), "large-keys")
     some = not large.isEmpty()
