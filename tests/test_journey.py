@@ -15,7 +15,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trekframe.functions import geo, hashing, text, timefn
+from trekframe.functions import arrays, geo, hashing, text, timefn
 from trekframe.operators import composite as C
 from trekframe.operators import joins as J
 from trekframe.operators import sequence as S
@@ -113,7 +113,7 @@ def test_rdp():
     assert C.rdp([(0.0, 0.0), (0.01, 0.05), (0.0, 0.1)]) == [0, 1, 2] and C.rdp([]) == [] and C.rdp([(1.0, 1.0)]) == [0]
 
 
-STAY = {"trip": 1, "island": 1, "name": None, "confidence": 0.5, "is_override": False, "lat": 40.0, "lng": -74.0}
+STAY = {"trip": 1, "island": 1, "name": None, "place_id": None, "confidence": 0.5, "is_override": False, "lat": 40.0, "lng": -74.0}
 
 
 def test_canonical_stays():
@@ -155,20 +155,40 @@ def test_image_features():
     assert bin(C.image_features(np.repeat(np.arange(9)[None, ::-1, None] * 20, 8, 0).repeat(3, 2))[0] & (1 << 64) - 1).count("1") == 64
 
 
-def test_paths():
+def test_paths(spark):
     path = [{"ts_ms": t * 600_000, "lat": 40 + t / 100, "lng": -74.0} for t in range(7)]
     got = C.slice_path(path, 300_000, 2_100_000)
     assert len(got) == 5 and got[0][0] == pytest.approx(40.005, abs=1e-6) and got[-1][0] == pytest.approx(40.035, abs=1e-6)
     a, b = C.split_path([(40.0, 0.0), (40.1, 0.0), (40.2, 0.0)], (40.1, 0.001), 0.9)
     assert a[-1] == b[0] == (40.1, 0.0)
-    assert C.around_stays([{"trip": 1, "id": 1, "m_start": 0, "m_end": 10_000, "v_start": 2000, "v_end": 3000}, {"trip": 1, "id": 1, "m_start": 0, "m_end": 10_000, "v_start": 9500, "v_end": 20_000}])[1]["start_ms"] == 3000
+    m, v = spark.createDataFrame([(1, 1, 0, 10_000)], "trip int, id int, start_ms bigint, end_ms bigint"), spark.createDataFrame([(1, 2000, 3000), (1, 2500, 2600), (1, 9500, 20_000)], "trip int, b_start bigint, b_end bigint")
+    assert sorted((x.piece, x.start_ms, x.end_ms) for x in C.around_stays(m, v).collect()) == [(0, 0, 2000), (1, 3000, 9500)]
 
 
 def test_array_folds(spark):
     pts = F.array(*(F.struct(F.lit(a).alias("lat"), F.lit(0.0).alias("lng")) for a in (0.0, 0.000001, 0.001, 0.002)))
     assert len(one(spark, S.dedupe_points(pts))) == 3 and one(spark, S.path_length(pts)) == pytest.approx(222.39, abs=0.01)
-    e = F.array(*(F.struct(F.lit(a).cast("bigint").alias("start_ms"), F.lit(b).cast("bigint").alias("end_ms")) for a, b in ((0, 5000), (3000, 3500), (4000, 9000))))
-    assert [(x.start_ms, x.end_ms) for x in one(spark, S.monotonic(e))] == [(0, 5000), (5000, 6000), (6000, 9000)]
+    e = spark.createDataFrame([(1, 1, 0, 5000), (1, 2, 3000, 3500), (1, 3, 4000, 9000), (1, 4, 4000, 9000), (2, 1, 7, 7)], "trip int, id int, start_ms bigint, end_ms bigint")
+    got = S.monotonic(e, ["trip"], ["id"]).orderBy("trip", "id").collect()
+    assert [(x.start_ms, x.end_ms) for x in got] == [(0, 5000), (5000, 6000), (6000, 9000), (9000, 10_000), (7, 1007)]
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 10, 97])
+def test_running_states(spark, n):
+    values = [random.Random(n).randint(-9, 9) for _ in range(n)]
+    got = one(spark, arrays.running(F.array(*map(F.lit, values)).cast("array<int>"), F.lit(1), lambda a, x: (a * 3 + x) % 1000))
+    want, a = [], 1
+    for x in values:
+        want.append(a)
+        a = int(np.fmod(a * 3 + x, 1000))
+    assert got == want
+
+
+def test_numbered_over_ranges(spark, tmp_path):
+    df = spark.createDataFrame([(i, i * 37 % 101 // 3) for i in range(300)], "id int, v int")
+    got = {r.id: r.place for r in S.numbered(df, [F.desc("v"), F.col("id")], "place", f"{tmp_path}/n", 5).collect()}
+    assert got == {i: k + 1 for k, (i, _) in enumerate(sorted(((i, i * 37 % 101 // 3) for i in range(300)), key=lambda x: (-x[1], x[0])))}
+    assert S.numbered(df.limit(0), [F.col("id")], "place", f"{tmp_path}/e").count() == 0
 
 
 # --- sources and sinks ---

@@ -82,58 +82,74 @@ def simplified(df: DataFrame, points: str, eps: float = 20.0) -> DataFrame:
 # A4 -------------------------------------------------------------------------------------------
 
 
-def _same_stay(a: dict, b: dict) -> bool:
-    """Two records of one stay: equal within 10 s, or overlapping enough and close enough."""
-    if abs(a["start_ms"] - b["start_ms"]) <= 10_000 and abs(a["end_ms"] - b["end_ms"]) <= 10_000:
+#: What makes two records one stay: least share of the shorter time, least shared time, greatest distance.
+ONE_STAY = [(0.9, 0, 1500.0), (0.5, 0, 500.0), (0.0, 600_000, 500.0)]
+SAME_TIME_MS, NEAR_M, CLEARLY = 10_000, 500.0, 0.2
+
+
+def one_stay(a: dict, b: dict) -> bool:
+    """Two records of one stay: of the same time, or sharing enough of it near enough."""
+    if max(abs(a[t] - b[t]) for t in ("start_ms", "end_ms")) <= SAME_TIME_MS:
         return True
     shared = min(a["end_ms"], b["end_ms"]) - max(a["start_ms"], b["start_ms"])
-    if shared <= 0:
-        return False
-    share = shared / min(max(1, a["end_ms"] - a["start_ms"]), max(1, b["end_ms"] - b["start_ms"]))
-    far = metres(a["lat"], a["lng"], b["lat"], b["lng"])
-    return (share >= 0.9 and far <= 1500) or (far <= 500 and (share >= 0.5 or shared >= 600_000))
+    shorter = max(1, min(v["end_ms"] - v["start_ms"] for v in (a, b)))
+    far = metres(a["lat"], a["lng"], b["lat"], b["lng"]) if shared > 0 else math.inf
+    return any(shared / shorter >= share and shared >= ms and far <= most for share, ms, most in ONE_STAY)
+
 
+def _filled(x: str | None) -> bool:
+    return bool(x and x.strip())
 
-def _named(v: dict) -> bool:
-    return bool((v["name"] or "").strip()) and v["name"].upper() != "UNKNOWN"
 
+def united(group: list[dict]) -> dict:
+    """The time of all records, and the rest of the best by six keys."""
+    keys = lambda v: (v["is_override"], _filled(v["name"]) and v["name"].upper() != "UNKNOWN", _filled(v["place_id"]), v["confidence"], v["end_ms"] - v["start_ms"], v["id"])
+    times = {"start_ms": min(v["start_ms"] for v in group), "end_ms": max(v["end_ms"] for v in group)}
+    return {**max(group, key=keys), **times, "is_override": any(v["is_override"] for v in group)}
 
-def _one_stay(group: list[dict]) -> dict:
-    """The union of the times, and the rest of the best record."""
-    best = max(group, key=lambda v: (v["is_override"], _named(v), v["confidence"], v["end_ms"] - v["start_ms"], v["id"]))
-    return best | {"start_ms": min(v["start_ms"] for v in group), "end_ms": max(v["end_ms"] for v in group), "is_override": any(v["is_override"] for v in group)}
+
+def border(a: dict, b: dict) -> int:
+    """When b takes over from a, for stays that overlap apart: their middle, or the far end of the clearly better one that holds the other's."""
+    worth = lambda v: 100 * v["is_override"] + 10 * _filled(v["name"]) + v["confidence"]
+    if worth(a) >= worth(b) + CLEARLY and b["end_ms"] <= a["end_ms"]:
+        return a["end_ms"]
+    if worth(b) >= worth(a) + CLEARLY and b["start_ms"] <= a["start_ms"]:
+        return a["start_ms"]
+    return min(max((a["end_ms"] + b["start_ms"]) // 2, a["start_ms"] + 1000), max(a["end_ms"], a["start_ms"] + 1000))
 
 
 def canonical_stays(rows: list[dict]) -> list[dict]:
-    """A4: records of one stay are merged, then no two stays overlap."""
-    rows = sorted(rows, key=lambda v: (v["start_ms"], v["end_ms"], -v["confidence"], v["id"]))
+    """A4: each record joins the first group that holds one of its stay; then no two stays overlap.
+
+    Where two groups' stays overlap they become one if near, else a border
+    divides their time, and one left without time goes.  One that takes all of
+    its predecessor's place still begins no earlier than the stay before that.
+    """
     groups: list[list[dict]] = []
-    for v in rows:
-        home = next((g for g in groups if any(_same_stay(x, v) for x in g)), None)
-        groups.append([v]) if home is None else home.append(v)
-    out: list[dict] = []
-    worth = lambda v: 100 * v["is_override"] + 10 * bool((v["name"] or "").strip()) + v["confidence"]
-    for v in sorted(map(_one_stay, groups), key=lambda x: x["start_ms"]):
-        if not out or out[-1]["end_ms"] <= v["start_ms"]:
-            out.append(v)
-            continue
-        last = out[-1]
-        if metres(last["lat"], last["lng"], v["lat"], v["lng"]) <= 500:
-            out[-1] = _one_stay([last, v])
-        elif v["end_ms"] <= last["end_ms"] and worth(last) >= worth(v) + 0.2:
-            continue
-        elif last["start_ms"] >= v["start_ms"] and worth(v) >= worth(last) + 0.2:
-            # the one replaced may have been moved up against its predecessor, which the newcomer must not overlap
-            out[-1] = v | {"start_ms": max([v["start_ms"], *(x["end_ms"] for x in out[-2:-1])])}
-        else:
-            cut = max(last["start_ms"] + 1000, min(last["end_ms"], (last["end_ms"] + v["start_ms"]) // 2))
-            out[-1] = last | {"end_ms": cut}
-            if v["end_ms"] > max(cut, v["start_ms"]):
-                out.append(v | {"start_ms": max(cut, v["start_ms"])})
-    return sorted(out, key=lambda x: x["start_ms"])
+    for v in sorted(rows, key=lambda v: (v["start_ms"], v["end_ms"], -v["confidence"], v["id"])):
+        home = [g for g in groups if any(one_stay(x, v) for x in g)][:1] or [[]]
+        if not home[0]:
+            groups.append(home[0])
+        home[0].append(v)
+    free, out = -math.inf, []
+    for v in sorted(map(united, groups), key=lambda v: v["start_ms"]):
+        if out and v["start_ms"] < out[-1]["end_ms"]:
+            a = out.pop()
+            if metres(a["lat"], a["lng"], v["lat"], v["lng"]) <= NEAR_M:
+                out.append(united([a, v]))
+                continue
+            at = border(a, v)
+            if at > a["start_ms"]:
+                out.append(a | {"end_ms": at})
+            free = out[-1]["end_ms"] if out else -math.inf
+            v = v | {"start_ms": max(v["start_ms"], at, free) if at > a["start_ms"] else max(v["start_ms"], free)}
+            if v["end_ms"] <= v["start_ms"]:
+                continue
+        out.append(v)
+    return out
 
 
-STAY = "trip bigint, island bigint, id bigint, name string, lat double, lng double, start_ms bigint, end_ms bigint, confidence double, is_override boolean"
+STAY = "trip bigint, island bigint, id bigint, name string, place_id string, lat double, lng double, start_ms bigint, end_ms bigint, confidence double, is_override boolean"
 
 
 def _grouped(df: DataFrame, by: list[str], kernel, schema: str) -> DataFrame:
@@ -164,7 +180,7 @@ def _grouped(df: DataFrame, by: list[str], kernel, schema: str) -> DataFrame:
 
 
 def canonicalise_stays(visits: DataFrame) -> DataFrame:
-    """A4 over visits(trip, id, name, lat, lng, start_ms, end_ms, confidence, is_override).
+    """A4 over visits(trip, id, name, place_id, lat, lng, start_ms, end_ms, confidence, is_override).
 
     Islands, padded by the 10 s at which two records may match without meeting,
     are independent; those of one visit need no kernel.
@@ -424,17 +440,17 @@ def split_path(path: list[tuple[float, float]], place: tuple[float, float], frac
     return [*path[: k + 1], mid], [mid, *path[k + 1 :]]
 
 
-PIECE = "trip bigint, id bigint, piece int, start_ms bigint, end_ms bigint"
+def around_stays(moves: DataFrame, stays: DataFrame, least_ms: int = 1000) -> DataFrame:
+    """A10: the parts of moves(trip, id, start_ms, end_ms) outside the stays(trip, b_start, b_end) that overlap them, by number; parts under a second are dropped."""
+    from pyspark.sql.window import Window
 
+    from .joins import overlap_join
 
-def around_stays(rows: list[dict], least_ms: int = 1000) -> list[dict]:
-    """A10: the parts of a movement outside the stays that overlap it, in order; parts under a second are dropped."""
-    s, out = rows[0], []
-    at = s["m_start"]
-    for r in sorted(rows, key=lambda x: (x["v_start"], x["v_end"])):
-        if r["v_start"] - at >= least_ms:
-            out.append((at, r["v_start"]))
-        at = max(at, r["v_end"])
-    if s["m_end"] - at >= least_ms:
-        out.append((at, s["m_end"]))
-    return [{"trip": s["trip"], "id": s["id"], "piece": i, "start_ms": a, "end_ms": b} for i, (a, b) in enumerate(out)]
+    w = Window.partitionBy("trip", "id", "start_ms", "end_ms").orderBy("b_start", "b_end")
+    held = F.coalesce(F.max("b_end").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.col("start_ms"))
+    o = overlap_join(moves, stays, ["trip"]).withColumns({"after": F.greatest("start_ms", held), "last": F.lead("b_start").over(w).isNull()})
+    tail = F.struct(F.greatest("after", "b_end").alias("a"), F.col("end_ms").alias("b"))
+    parts = F.when(F.col("last"), F.array(F.struct(F.col("after").alias("a"), F.col("b_start").alias("b")), tail)).otherwise(F.array(F.struct(F.col("after").alias("a"), F.col("b_start").alias("b"))))
+    cut = o.select("trip", "id", "start_ms", "end_ms", F.inline(parts)).where(F.col("b") - F.col("a") >= least_ms)
+    n = F.row_number().over(Window.partitionBy("trip", "id", "start_ms", "end_ms").orderBy("a"))
+    return cut.select("trip", "id", (n - 1).alias("piece"), F.col("a").alias("start_ms"), F.col("b").alias("end_ms"))

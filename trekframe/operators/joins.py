@@ -80,23 +80,26 @@ def nearest_in_time(left: DataFrame, right: DataFrame, on: list[str], lt: str, r
     return after.select(*left.columns, *(F.when(use, F.col(f"b_{v}")).otherwise(F.col(f"r_{v}")).alias(f"r_{v}") for v in names))
 
 
-def nearest_place(points: DataFrame, places: DataFrame, most_m: float, key: str, cell: float = 1.0) -> DataFrame:
+def nearest_place(points: DataFrame, places: DataFrame, most_m: float, key: str, cell: float | None = None) -> DataFrame:
     """points(lat, lng) with the nearest place(place, p_lat, p_lng, ord) strictly within most_m, the first listed on a tie.
 
     Places are dealt to the grid cells that their reach touches, so a point meets
-    those of its own cell only; places without a chance never meet it.
+    those of its own cell only.  Cells measure half the reach: a point meets few
+    places out of reach, and points spread over many keys; the places' side is
+    broadcast by size, or hot cells split, at run time.
     """
     from trekframe.functions.geo import haversine
 
     rise = most_m / 111_000
+    cell = cell or 360 / max(1, int(720 / rise))
     spread = F.least(F.lit(180.0), F.lit(rise) / F.greatest(F.lit(0.01), F.cos(F.radians(F.least(F.lit(89.0), F.abs("p_lat") + rise)))))
     rows = F.sequence(F.floor((F.col("p_lat") - rise) / cell), F.floor((F.col("p_lat") + rise) / cell))
     cols = F.sequence(F.floor((F.col("p_lng") - spread) / cell), F.floor((F.col("p_lng") + spread) / cell))
-    turn = int(360 / cell)
+    turn = round(360 / cell)
     grid = places.withColumn("__y", F.explode(rows)).withColumn("__x", F.explode(F.array_distinct(F.transform(cols, lambda x: F.pmod(x, F.lit(turn))))))
     at = points.withColumns({"__y": F.floor(F.col("lat") / cell), "__x": F.pmod(F.floor(F.col("lng") / cell), F.lit(turn))})
     d = haversine("lat", "lng", "p_lat", "p_lng")
-    near = at.join(grid, ["__y", "__x"]).withColumn("__d", d).where(F.col("__d") < most_m)
+    near = at.join(grid, ["__y", "__x"]).where(F.abs(F.col("lat") - F.col("p_lat")) <= rise * 1.01).withColumn("__d", d).where(F.col("__d") < most_m)
     best = near.groupBy(key).agg(F.min(F.struct(F.round("__d", 6).alias("d"), "ord", "place")).alias("b")).select(key, F.col("b.place").alias("place"), F.col("b.d").alias("place_m"))
     return points.join(best, key, "left")
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from trekframe.functions.arrays import let, running
 from trekframe.functions.geo import angle_delta, c, distance, great_circle_path, haversine, point_to_segment, wrapped_delta
 
 NEVER = -(1 << 62)
@@ -76,8 +77,15 @@ def merged_episodes(df: DataFrame, by: list[str], tie: list[str], gap: int = 900
 
 def dedupe_points(points, least_m: float = 1.0) -> Column:
     """Points at least least_m from the last one kept."""
-    empty = F.filter(c(points), lambda _: F.lit(False))
-    return F.aggregate(c(points), empty, lambda a, x: F.when((F.size(a) == 0) | (distance(F.element_at(a, -1), x) >= least_m), F.concat(a, F.array(x))).otherwise(a))
+    kept = lambda last, x: last.isNull() | (distance(last, x) >= least_m)
+
+    def pick(p):
+        none = F.get(p, F.lit(-1))  # null, of the points' type
+        last = running(p, none, lambda last, x: F.when(kept(last, x), x).otherwise(last))
+        pairs = F.zip_with(p, last, lambda x, before: F.struct(x.alias("x"), kept(before, x).alias("keep")))
+        return F.transform(F.filter(pairs, lambda q: q["keep"]), lambda q: q["x"])
+
+    return let(c(points), pick)
 
 
 def clean_points(points, least_m: float = 0.5) -> Column:
@@ -111,9 +119,13 @@ def without_altitude_impulses(points, most: float = 100.0) -> Column:
 
 def cumulative(points) -> Column:
     """Metres from the first point to each."""
-    p = c(points)
-    begin = F.array(F.lit(0.0))
-    return F.aggregate(F.sequence(F.lit(2), F.greatest(F.lit(2), F.size(p))), begin, lambda a, i: F.when(i > F.size(p), a).otherwise(F.concat(a, F.array(F.element_at(a, -1) + distance(F.element_at(p, i - 1), F.element_at(p, i))))))
+
+    def along(p):
+        rest = F.greatest(F.lit(0), F.size(p) - 1)
+        steps = F.zip_with(F.slice(p, 1, rest), F.slice(p, 2, rest), distance)
+        return running(F.concat(steps, F.array(F.lit(0.0))), F.lit(0.0), lambda a, x: a + x)
+
+    return let(c(points), along)
 
 
 def path_length(points) -> Column:
@@ -173,16 +185,17 @@ def heading_track(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     return out.withColumn("heading", F.pmod(smooth + 360.0, F.lit(360.0))).drop("__b", "__t", "__u")
 
 
-def monotonic(episodes) -> Column:
-    """start = max(start, end so far), end = max(start + 1000, end), over an ordered array<struct<start_ms, end_ms, ...>>."""
-    e = c(episodes)
-
-    def step(a, x):
-        s = F.greatest(x["start_ms"], a["run"])
-        t = F.greatest(s + 1000, x["end_ms"])
-        return F.struct(t.alias("run"), F.concat(a["out"], F.array(x.withField("start_ms", s).withField("end_ms", t))).alias("out"))
+def monotonic(df: DataFrame, by: list[str], tie: list[str]) -> DataFrame:
+    """start = max(start, end so far), end = max(start + 1000, end), in order of start, end and tie.
 
-    return F.aggregate(e, F.struct(F.lit(NEVER).cast("bigint").alias("run"), F.filter(e, lambda _: F.lit(False)).alias("out")), step)["out"]
+    The end so far is a maximum: each earlier end, or start and a second, and
+    another second for every row since.  So one running maximum replaces the fold.
+    """
+    w = _w(by, ["start_ms", "end_ms", *tie])
+    own = F.greatest(F.col("start_ms") + 1000, F.col("end_ms")) - 1000 * F.col("__k")
+    out = df.withColumn("__k", F.row_number().over(w)).withColumn("__run", F.max(own).over(w.rowsBetween(Window.unboundedPreceding, 0)) + 1000 * F.col("__k"))
+    start = F.greatest("start_ms", F.coalesce(F.lag("__run").over(w), F.lit(NEVER)))
+    return out.withColumn("__start", start).withColumns({"start_ms": F.col("__start"), "end_ms": F.col("__run")}).drop("__k", "__run", "__start")
 
 
 def unwrapped(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
@@ -190,3 +203,24 @@ def unwrapped(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     w = _w(by, order)
     step = F.coalesce(wrapped_delta(F.col("lng") - F.lag("lng").over(w)), F.col("lng"))
     return df.withColumn("__s", step).withColumn("unwrapped", F.sum("__s").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__s")
+
+
+def numbered(df: DataFrame, order: list[Column], out: str, path: str, parts: int | None = None) -> DataFrame:
+    """``out``: the row's place, from 1, in one order over all rows, without gathering them in one task.
+
+    Rows are dealt to ranges of the order and sorted there; the table is written
+    to path once, since a second dealing may cut ranges elsewhere, and each
+    range's rows are numbered on from those of the ranges before it.
+    """
+    spark = df.sparkSession
+    dealt = df.repartitionByRange(*([parts] if parts else []), *order).sortWithinPartitions(*order)
+    dealt = dealt.withColumns({"__part": F.spark_partition_id(), "__place": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
+    dealt.write.parquet(path)
+    rows = spark.read.schema(dealt.schema).parquet(path)
+    sizes = rows.groupBy("__part").agg(F.count("*").alias("n")).collect()  # a row for each range
+    total, begin = 0, []
+    for r in sorted(sizes, key=lambda r: r["__part"]):
+        begin.append((r["__part"], total))
+        total += r.n
+    begin = spark.createDataFrame(begin, "__part int, __begin bigint")
+    return rows.join(F.broadcast(begin), "__part").withColumn(out, F.col("__begin") + F.col("__place") + 1).drop("__part", "__place", "__begin")

@@ -9,12 +9,13 @@ from trekframe.operators import composite as C
 from trekframe.operators import joins as J
 from trekframe.operators import sequence as S
 
-from .base import STAYS, query, read, stays
+from .base import STAYS, hav, query, read, stays
+from .joins import _AT
 
 
 def visits(spark, d):
     k = F.col("part")
-    return stays(spark, d).select("trip", "id", F.when(k % 4 > 0, F.concat(F.lit("place "), (k % 7).cast("string"))).alias("name"), "lat", "lng", "start_ms", "end_ms", "confidence", (k % 50 == 0).alias("is_override"))
+    return stays(spark, d).select("trip", "id", F.when(k % 4 > 0, F.concat(F.lit("place "), (k % 7).cast("string"))).alias("name"), F.when(k % 3 > 0, F.concat(F.lit("id"), (k % 11).cast("string"))).alias("place_id"), "lat", "lng", "start_ms", "end_ms", "confidence", (k % 50 == 0).alias("is_override"))
 
 
 @query("a4_canonical_stays")
@@ -55,7 +56,10 @@ def a1(spark, d):
     return C.simplified(g, "points").select("trip", "stay", "metres", F.size("points").alias("kept"))
 
 
-@query("a2_fallback_movement", None)
+@query("a2_fallback_movement", f"""WITH {STAYS}, {_AT}, u AS (SELECT * FROM obs WHERE NOT EXISTS (SELECT 1 FROM stays WHERE obs.trip = stays.trip AND ts_ms BETWEEN start_ms AND end_ms)),
+  f AS (SELECT *, coalesce(ts_ms - lag(ts_ms) OVER w > 129600000, true) AS new FROM u WINDOW w AS (PARTITION BY trip ORDER BY ts_ms, id)), s AS (SELECT *, CAST(sum(CAST(new AS INT)) OVER (PARTITION BY trip ORDER BY ts_ms, id) AS BIGINT) AS session FROM f),
+  t AS (SELECT *, {hav('lag(lat) OVER w', 'lag(lng) OVER w', 'lat', 'lng')} AS step FROM s WINDOW w AS (PARTITION BY trip, session ORDER BY ts_ms, id)), m AS (SELECT trip, session, count(*) AS n, sum(step) AS metres, max(ts_ms) - min(ts_ms) AS ms FROM t GROUP BY trip, session)
+  SELECT trip, session, n, round(metres, 3) AS metres FROM m WHERE n > 1 AND metres >= 150 AND metres / 1000 / (greatest(1000, ms) / 3600000) >= 0.5""")
 def a2(spark, d):
     from trekframe.functions.geo import haversine
 
@@ -103,14 +107,12 @@ def h6(spark, d):
     return C.extract_features(read(spark, d, "part").select(n.alias("id"), F.lit(12).alias("width"), F.lit(12).alias("height"), px.alias("pixels")))
 
 
-@query("a10_around_stays", f"""WITH {STAYS}, m AS (SELECT trip, id, start_ms, end_ms FROM stays WHERE mode = 'CAR'), o AS (SELECT m.trip, m.id, m.start_ms AS a, m.end_ms AS b, min(v.start_ms) AS s, max(v.end_ms) AS e, count(*) AS n FROM m JOIN stays v ON v.trip = m.trip AND v.mode = 'WALK' AND greatest(v.start_ms, m.start_ms) < least(v.end_ms, m.end_ms) GROUP BY ALL)
-  SELECT trip, id, a AS start_ms, s AS end_ms FROM o WHERE n = 1 AND s - a >= 1000 UNION ALL SELECT trip, id, e, b FROM o WHERE n = 1 AND b - e >= 1000""")
+@query("a10_around_stays", f"""WITH {STAYS}, m AS (SELECT trip, id, start_ms, end_ms FROM stays WHERE mode = 'CAR'), t AS (SELECT m.trip, m.id, m.start_ms AS t FROM m UNION SELECT m.trip, m.id, m.end_ms FROM m UNION SELECT m.trip, m.id, unnest([v.start_ms, v.end_ms]) FROM m JOIN stays v ON v.trip = m.trip AND v.mode = 'WALK' AND greatest(v.start_ms, m.start_ms) < least(v.end_ms, m.end_ms)),
+  c AS (SELECT t.trip, t.id, t AS a, lead(t) OVER (PARTITION BY t.trip, t.id ORDER BY t) AS b, m.start_ms, m.end_ms FROM t JOIN m USING (trip, id)), touched AS (SELECT DISTINCT m.trip, m.id FROM m JOIN stays v ON v.trip = m.trip AND v.mode = 'WALK' AND greatest(v.start_ms, m.start_ms) < least(v.end_ms, m.end_ms)),
+  free AS (SELECT c.trip, c.id, c.a, c.b FROM c JOIN touched USING (trip, id) WHERE c.a >= c.start_ms AND c.b <= c.end_ms AND NOT EXISTS (SELECT 1 FROM stays v WHERE v.trip = c.trip AND v.mode = 'WALK' AND v.start_ms <= c.a AND v.end_ms >= c.b AND v.start_ms < v.end_ms))
+  SELECT trip, id, a AS start_ms, b AS end_ms FROM free WHERE b - a >= 1000""")
 def a10(spark, d):
-    """Movements that one stay overlaps are checked against SQL; the kernel takes any number."""
+    """Free time as the operator finds it by a running end, and in SQL by the pieces between all boundaries that no stay covers."""
     s = stays(spark, d)
     v = s.where("mode = 'WALK'").select("trip", F.col("start_ms").alias("b_start"), F.col("end_ms").alias("b_end"))
-    o = J.overlap_join(s.where("mode = 'CAR'").select("trip", "id", "start_ms", "end_ms"), v, ["trip"])
-    o = o.select("trip", "id", F.col("start_ms").alias("m_start"), F.col("end_ms").alias("m_end"), F.col("b_start").alias("v_start"), F.col("b_end").alias("v_end"))
-    one = Window.partitionBy("trip", "id", "m_start", "m_end")
-    o = o.withColumn("n", F.count("*").over(one)).where("n = 1").drop("n")
-    return C._grouped(o, ["trip", "id", "m_start", "m_end"], C.around_stays, C.PIECE).drop("piece")
+    return C.around_stays(s.where("mode = 'CAR'").select("trip", "id", "start_ms", "end_ms"), v).drop("piece")

@@ -140,12 +140,11 @@ def w14(spark, d):
     return h.select("id", F.round(F.sin(F.radians("heading")), 4).alias("s"), F.round(F.cos(F.radians("heading")), 4).alias("c"))
 
 
-@query("w15_monotonic", f"""WITH RECURSIVE {STAYS}, r AS (SELECT *, row_number() OVER (PARTITION BY trip ORDER BY start_ms, end_ms, id) AS k FROM stays WHERE trip <= 20),
+@query("w15_monotonic", f"""WITH RECURSIVE {STAYS}, r AS (SELECT *, row_number() OVER (PARTITION BY trip ORDER BY start_ms, end_ms, id) AS k FROM stays),
   g AS (SELECT trip, k, id, start_ms AS s, greatest(start_ms + 1000, end_ms) AS e FROM r WHERE k = 1 UNION ALL SELECT r.trip, r.k, r.id, greatest(r.start_ms, g.e), greatest(greatest(r.start_ms, g.e) + 1000, r.end_ms) FROM g JOIN r ON r.trip = g.trip AND r.k = g.k + 1)
   SELECT trip, id, s, e FROM g""")
 def w15(spark, d):
-    e = stays(spark, d).where("trip <= 20").groupBy("trip").agg(F.sort_array(F.collect_list(F.struct("start_ms", "end_ms", "id"))).alias("e"))
-    return e.select("trip", F.inline(S.monotonic("e"))).select("trip", "id", F.col("start_ms").alias("s"), F.col("end_ms").alias("e"))
+    return S.monotonic(stays(spark, d), ["trip"], ["id"]).select("trip", "id", F.col("start_ms").alias("s"), F.col("end_ms").alias("e"))
 
 
 @query("w16_story_offsets", f"""WITH {STAYS} SELECT trip, id, coalesce(sum(end_ms - start_ms) OVER w, 0)::BIGINT AS story_start, coalesce(sum(CASE WHEN mode = 'UNKNOWN' THEN 0 ELSE metres END) OVER w, 0)::DOUBLE AS start_m FROM stays WINDOW w AS (PARTITION BY trip ORDER BY start_ms, end_ms, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
@@ -161,11 +160,11 @@ def w17(spark, d):
     return S.unwrapped(e, ["trip"], ["ts", "id"]).groupBy("trip").agg(F.min("unwrapped").alias("low"), F.max("unwrapped").alias("high"))
 
 
-@query("g18_viewport_reference", """WITH e AS (SELECT DISTINCT user_id AS trip, (event_id * 97 % 360)::DOUBLE AS x FROM events WHERE event_id % 20 = 0), g AS (SELECT *, coalesce(lead(x) OVER (PARTITION BY trip ORDER BY x), first(x) OVER (PARTITION BY trip ORDER BY x) + 360) AS nx FROM e)
+@query("g18_viewport_reference", """WITH e AS (SELECT DISTINCT user_id AS trip, (event_id * 97 % 360)::DOUBLE AS x FROM events), g AS (SELECT *, coalesce(lead(x) OVER (PARTITION BY trip ORDER BY x), first(x) OVER (PARTITION BY trip ORDER BY x) + 360) AS nx FROM e)
   SELECT trip, arg_max(fmod(nx, 360), {'g': nx - x, 'x': -x}) AS west, 360 - max(nx - x) AS span FROM g GROUP BY trip""")
 def g18(spark, d):
     """The view's western edge is where the largest gap between longitudes ends."""
-    e = read(spark, d, "events").where("event_id % 20 = 0").select(F.col("user_id").alias("trip"), (F.col("event_id") * 97 % 360).cast("double").alias("x")).distinct()
+    e = read(spark, d, "events").select(F.col("user_id").alias("trip"), (F.col("event_id") * 97 % 360).cast("double").alias("x")).distinct()
     w = Window.partitionBy("trip").orderBy("x")
     g = e.withColumn("nx", F.coalesce(F.lead("x").over(w), F.first("x").over(w) + 360))
     return g.groupBy("trip").agg(F.max_by(F.pmod("nx", F.lit(360.0)), F.struct(F.col("nx") - F.col("x"), -F.col("x"))).alias("west"), (360 - F.max(F.col("nx") - F.col("x"))).alias("span"))
@@ -187,10 +186,13 @@ def p2(spark, d):
 
 @query("t1_trip_sort", "SELECT c_custkey, row_number() OVER (ORDER BY lower(c_name) DESC, c_custkey) AS by_name, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS by_created FROM customer ORDER BY by_name")
 def t1(spark, d):
-    """Sorts a list of one user's trips; the positions shown are over a single list by nature."""
-    c = read(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal")
-    name = Window.orderBy(F.collate("c_name", "UNICODE_CI_AI").desc(), "c_custkey")
-    return c.select("c_custkey", F.row_number().over(name).cast("bigint").alias("by_name"), F.row_number().over(Window.orderBy(F.desc("c_acctbal"), "c_custkey")).cast("bigint").alias("by_created")).orderBy("by_name")
+    """Two orders over all trips; each place is counted range by range."""
+    from .sources_sinks import folder
+
+    c = read(spark, d, "customer").select("c_custkey", "c_acctbal", F.collate("c_name", "UNICODE_CI_AI").alias("key"))
+    by_name = S.numbered(c, [F.desc("key"), F.col("c_custkey")], "by_name", folder(spark)).select("c_custkey", "by_name")
+    by_created = S.numbered(c.drop("key"), [F.desc("c_acctbal"), F.col("c_custkey")], "by_created", folder(spark)).select("c_custkey", "by_created")
+    return by_name.join(by_created, "c_custkey").orderBy("by_name")
 
 
 @query("t2_t3_t11_ordered_items", f"""WITH {STAYS} SELECT trip, id, row_number() OVER (PARTITION BY trip ORDER BY start_ms, end_ms, confidence DESC, id) AS r FROM stays""")
@@ -209,8 +211,9 @@ def t6(spark, d):
 
 @query("t9_top_labels", "SELECT user_id, list(event_id ORDER BY value DESC, event_id)[1:8] AS top FROM events WHERE value >= 65 GROUP BY user_id")
 def t9(spark, d):
-    e = read(spark, d, "events").where("value >= 65").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("value")).alias("v"), "event_id"))).alias("l"))
-    return e.select("user_id", F.transform(F.slice("l", 1, 8), lambda x: x["event_id"]).alias("top"))
+    w = Window.partitionBy("user_id").orderBy(F.desc("value"), "event_id")
+    best = read(spark, d, "events").where("value >= 65").select("user_id", "event_id", "value").withColumn("r", F.row_number().over(w)).where("r <= 8")
+    return best.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("r", "event_id"))).alias("l")).select("user_id", F.transform("l", lambda x: x["event_id"]).alias("top"))
 
 
 @query("t10_newest", "SELECT o_orderkey FROM orders ORDER BY o_orderkey DESC LIMIT 1000")

@@ -19,19 +19,51 @@ def folder(spark) -> str:
     return f"{shared.rstrip('/')}/trekframe-{uuid.uuid4().hex}"
 
 
-@query("s1_s8_timeline_json", "SELECT 'VISIT' AS kind, 1700000000000 + o_orderkey * 1000 AS start_ms, 'place ' || o_orderkey AS name, NULL AS mode, 0.95::DOUBLE AS confidence, (o_orderkey % 80 + 1)::DOUBLE AS lat FROM orders WHERE o_orderkey % 100 = 1 UNION ALL SELECT 'MOVE', 1700000000000 + o_orderkey * 1000, NULL, 'TRAIN', 0.5, (o_orderkey % 80 + 1)::DOUBLE FROM orders WHERE o_orderkey % 100 = 2")
-def s1(spark, d):
-    """Elements of two shapes are written as one export per hundred thousand orders, split and dispatched again."""
+def _export(spark, d):
+    """Every order as an element of one of six shapes, in files of at most ten thousand orders, written line by line."""
     k = F.col("o_orderkey")
-    t = (1_700_000_000_000 + k * 1000).cast("string")
-    at = F.concat((k % 80 + 1).cast("string"), F.lit("°, 5°"))
-    visit = F.format_string('{"startTime": "%s", "endTime": "%s", "visit": {"topCandidate": {"placeName": "place %s", "placeLocation": {"latLng": "%s"}}}}', t, t, k.cast("string"), at)
-    move = F.format_string('{"startTime": "%s", "endTime": "%s", "activity": {"topCandidate": {"type": "IN_TRAIN", "probability": 0.5}, "start": {"latLng": "%s"}}}', t, t, at)
-    big = "o_orderkey % 100 IN (1, 2)"
-    rows = read(spark, d, "orders").where(big).select((k / 100_000).cast("int").alias("f"), F.when(k % 100 == 1, visit).otherwise(move).alias("e"))
+    t, later = (1_700_000_000_000 + k * 1000).cast("string"), (1_700_000_000_000 + k * 1000 + 600_000).cast("string")
+    a, e7 = (k % 80 + 1).cast("string"), ((k % 80 + 1) * 10_000_000).cast("string")
+    text = lambda form, *values: F.format_string(form, *values)
+    shapes = [
+        text('{"startTime": "%s", "endTime": "%s", "visit": {"topCandidate": {"placeName": "place %s", "placeId": "p%s", "placeLocation": {"latLng": "%s°, 5°"}}}}', t, later, k.cast("string"), a, a),
+        text('{"startTime": "%s", "endTime": "%s", "activity": {"topCandidate": {"type": "IN_TRAIN", "probability": 0.5}, "distanceMeters": 1200, "start": {"latLng": "%s°, 5°"}, "end": {"latLng": "%s°, 6°"}, "simplifiedRawPath": {"points": [{"latE7": %s, "lngE7": 50000000, "timestamp": "%s"}, {"latE7": %s, "lngE7": 55000000}]}}}', t, later, a, a, e7, later, e7),
+        text('{"placeVisit": {"location": {"latitudeE7": %s, "longitudeE7": 50000000, "name": "old } place \\\\\\"%s\\\\\\""}, "duration": {"startTimestampMs": "%s", "endTimestampMs": "%s"}, "placeConfidence": "HIGH_CONFIDENCE"}}'.replace("\\\\", "\\"), e7, k.cast("string"), t, later),
+        text('{"activitySegment": {"duration": {"startTimestampMs": "%s", "endTimestampMs": "%s"}, "activityType": "FLYING", "distance": 900000, "simplifiedRawPath": {"points": [{"latE7": %s, "lngE7": 10000000}, {"latE7": %s, "lngE7": 20000000}]}}}', t, later, e7, e7),
+        text('{"startTime": "%s", "endTime": "%s", "timelinePath": [{"point": "%s°, 5°", "durationMinutesOffsetFromStartTime": 5}, {"point": "%s°, 6°", "time": "%s"}, {"point": "nowhere"}]}', t, later, a, a, later),
+        text('{"activitySegment": {"duration": {"startTimestampMs": "%s"}, "activityType": "WALKING", "endLocation": {"latitudeE7": %s, "longitudeE7": 50000000}}}', t, e7),
+    ]
+    element = F.lit(None).cast("string")
+    for i, shape in enumerate(shapes):
+        element = F.when(k % 6 == i, shape).otherwise(element)
+    rows = read(spark, d, "orders").select(F.floor(k / 10_000).alias("f"), k.alias("n"), element.alias("e"))
+    signals = read(spark, d, "orders").where("o_orderkey % 4 = 0").select((F.floor(k / 10_000) + 1_000_000_000).alias("f"), k.alias("n"), text('{"timestampMs": "%s", "latitudeE7": %s, "longitudeE7": 70000000}', t, e7).alias("e"))
+    both = rows.unionByName(signals)
+    edge = both.groupBy("f").agg(F.min("n").alias("a"), F.max("n").alias("b"))
+    lines = both.join(edge, "f")
+    head = F.when(F.col("n") == F.col("a"), F.concat(F.lit('{"'), F.when(F.col("f") >= 1_000_000_000, "locations").otherwise("semanticSegments"), F.lit('": ['))).otherwise(F.lit(""))
+    lines = lines.select("f", "n", F.concat(head, "e", F.when(F.col("n") == F.col("b"), "]}").otherwise(",")).alias("value"))
     out = folder(spark)
-    rows.groupBy("f").agg(F.concat(F.lit('{"semanticSegments": ['), F.array_join(F.collect_list("e"), ",\n"), F.lit("]}")).alias("value")).repartition("f").select("value").write.option("lineSep", "\n").text(out)
-    return TL.records(TL.elements(spark, out)).select("kind", "start_ms", "name", "mode", "confidence", "lat")
+    lines.repartition("f").sortWithinPartitions("f", "n").select("f", "value").write.partitionBy("f").text(out)
+    return TL.elements(spark, out)
+
+
+@query("s1_s8_timeline_json", """WITH o AS (SELECT o_orderkey AS k, 1700000000000 + o_orderkey * 1000 AS t, (o_orderkey % 80 + 1)::DOUBLE AS a FROM orders)
+  SELECT 'VISIT' AS kind, t AS start_ms, t + 600000 AS end_ms, 'place ' || k AS name, 'p' || (k % 80 + 1) AS place_id, NULL AS mode, 0.95::DOUBLE AS confidence, NULL::DOUBLE AS metres, a AS lat, 5::DOUBLE AS lng, NULL::DOUBLE AS lng2, NULL::INT AS n_points, NULL AS provenance FROM o WHERE k % 6 = 0
+  UNION ALL SELECT 'MOVE', t, t + 600000, NULL, NULL, 'TRAIN', 0.5, 1200, a, 5, 6, 2, 'SIMPLIFIED_OBSERVED' FROM o WHERE k % 6 = 1
+  UNION ALL SELECT 'VISIT', t, t + 600000, 'old } place "' || k || '"', NULL, NULL, 0.9, NULL, a, 5, NULL, NULL, NULL FROM o WHERE k % 6 = 2
+  UNION ALL SELECT 'MOVE', t, t + 600000, NULL, NULL, 'AIRPLANE', 0.85, 900000, a, 1, 2, 2, 'SIMPLIFIED_OBSERVED' FROM o WHERE k % 6 = 3
+  UNION ALL SELECT 'POINT', t, t, NULL, NULL, NULL, NULL, NULL, a, 7, NULL, NULL, NULL FROM o WHERE k % 4 = 0""")
+def s1(spark, d):
+    """Visits, activities, old visits, old segments whose ends come from their path, and raw signals; segments without a start are left out."""
+    r = TL.records(_export(spark, d))
+    return r.select("kind", "start_ms", "end_ms", "name", "place_id", "mode", "confidence", "metres", "lat", "lng", "lng2", F.when(F.col("kind") == "MOVE", F.size("points")).alias("n_points"), "provenance")
+
+
+@query("s4_path_points", """WITH o AS (SELECT 1700000000000 + o_orderkey * 1000 AS t, (o_orderkey % 80 + 1)::DOUBLE AS a FROM orders WHERE o_orderkey % 6 = 4)
+  SELECT t + 300000 AS ts_ms, a AS lat, 5::DOUBLE AS lng FROM o UNION ALL SELECT t + 600000, a, 6 FROM o""")
+def s4(spark, d):
+    return TL.path_points(_export(spark, d)).select("ts_ms", "lat", "lng")
 
 
 _TAKEN = "m AS (SELECT event_id AS id, event_id % 2 AS kind, CASE WHEN event_id % 4 = 0 THEN NULL WHEN event_id % 4 = 1 THEN epoch_us(ts) // 1000000 ELSE epoch_us(ts) // 1000 END AS taken, CASE WHEN event_id % 3 = 0 THEN epoch_us(ts) // 1000000 END AS added FROM events)"
@@ -75,11 +107,11 @@ def s17(spark, d):
     return TL.restore_archive(K.export_archive(t).where("fits")).select("trip.id", F.size("trip.visits").alias("visits"), "ok")
 
 
-@query("k1_k6_store", "SELECT o_custkey % 20 AS trip_id, o_orderkey AS id, CASE WHEN o_orderkey % 7 = 0 THEN 'renamed' ELSE o_orderstatus END AS name FROM orders WHERE o_custkey % 20 <> 3 AND o_orderkey % 11 <> 0 AND o_orderkey < 3000")
+@query("k1_k6_store", "SELECT o_custkey % 20 AS trip_id, o_orderkey AS id, CASE WHEN o_orderkey % 7 = 0 THEN 'renamed' ELSE o_orderstatus END AS name FROM orders WHERE o_custkey % 20 <> 3 AND o_orderkey % 11 <> 0")
 def k1(spark, d):
     """Replace, upsert, update, delete, delete a trip and drop orphans, then read."""
     s = K.Store(spark, folder(spark))
-    o = read(spark, d, "orders").where("o_orderkey < 3000").select((F.col("o_custkey") % 20).alias("trip_id"), F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("name"))
+    o = read(spark, d, "orders").select((F.col("o_custkey") % 20).alias("trip_id"), F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("name"))
     s.replace_trips("visits", o.unionByName(o.limit(0)), ["id"])
     s.upsert("visits", o.where("id % 7 = 0").withColumn("name", F.lit("x")), ["id"])
     s.update("visits", F.col("id") % 7 == 0, {"name": F.lit("renamed")})
@@ -90,12 +122,12 @@ def k1(spark, d):
     return s.read("visits").select(F.col("trip_id").cast("bigint"), "id", "name")
 
 
-@query("k4_dual_write", """WITH o AS (SELECT o_custkey % 20 AS trip_id, o_orderkey AS id, o_orderstatus AS name FROM orders WHERE o_orderkey < 3000), r AS (SELECT *, 'named ' || id AS value FROM o WHERE id % 7 = 0)
+@query("k4_dual_write", """WITH o AS (SELECT o_custkey % 20 AS trip_id, o_orderkey AS id, o_orderstatus AS name FROM orders), r AS (SELECT *, 'named ' || id AS value FROM o WHERE id % 7 = 0)
   SELECT trip_id, CAST(o.id AS VARCHAR) AS id, coalesce(r.value, name) AS name FROM o LEFT JOIN r USING (trip_id, id, name) UNION ALL SELECT trip_id, 'VISIT_NAME:' || id, value FROM r""")
 def k4(spark, d):
     """Names set by a user, in the entity's table and, for good, in that of overrides."""
     s = K.Store(spark, folder(spark))
-    o = read(spark, d, "orders").where("o_orderkey < 3000").select((F.col("o_custkey") % 20).alias("trip_id"), F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("name"))
+    o = read(spark, d, "orders").select((F.col("o_custkey") % 20).alias("trip_id"), F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("name"))
     r = o.where("id % 7 = 0").select("trip_id", "id", F.concat(F.lit("named "), F.col("id")).alias("value"))
     s.replace_trips("visits", o)
     old = r.select("trip_id", F.concat(F.lit("VISIT_NAME:"), F.col("id")).alias("id"), F.lit("VISIT_NAME").alias("target_type"), F.col("id").cast("string").alias("target_id"), F.lit("old").alias("value"))

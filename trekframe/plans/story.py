@@ -47,13 +47,12 @@ def episodes(spark, d):
 
 
 _EP = f"""{STAYS}, r AS (SELECT *, row_number() OVER w AS r, lead(lat) OVER w AS lat2, lead(lng) OVER w AS lng2 FROM stays WINDOW w AS (PARTITION BY trip ORDER BY start_ms, end_ms, id)),
-  ep AS (SELECT *, round(CASE WHEN r % 2 = 0 THEN least(18.0::DOUBLE, CASE mode WHEN 'AIRPLANE' THEN 5.5 WHEN 'TRAIN' THEN 4.0 WHEN 'CAR' THEN 3.5 ELSE 2.2 END::DOUBLE + 1.8::DOUBLE * ln(1 + metres / 5000)) ELSE 2.0::DOUBLE + CASE WHEN part % 4 > 0 THEN 2.5::DOUBLE + 1.8::DOUBLE * (part % 4 - 1) ELSE 0 END END, 6) AS seconds FROM r WHERE r <= 30 AND lat2 IS NOT NULL)"""
+  ep AS (SELECT *, round(CASE WHEN r % 2 = 0 THEN least(18.0::DOUBLE, CASE mode WHEN 'AIRPLANE' THEN 5.5 WHEN 'TRAIN' THEN 4.0 WHEN 'CAR' THEN 3.5 ELSE 2.2 END::DOUBLE + 1.8::DOUBLE * ln(1 + metres / 5000)) ELSE 2.0::DOUBLE + CASE WHEN part % 4 > 0 THEN 2.5::DOUBLE + 1.8::DOUBLE * (part % 4 - 1) ELSE 0 END END, 6) AS seconds FROM r WHERE lat2 IS NOT NULL)"""
 
 
 @query("a11_story_schedule", f"WITH {_EP} SELECT trip, id, seconds, round(coalesce(sum(seconds) OVER (PARTITION BY trip ORDER BY start_ms, end_ms, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 6) AS story_start FROM ep")
 def a11(spark, d):
-    """Cut to 30 a trip as its SQL is; samples and invariants see all."""
-    return ST.schedule(episodes(spark, d).where("r <= 30")).select("trip", "id", "seconds", "story_start")
+    return ST.schedule(episodes(spark, d)).select("trip", "id", "seconds", "story_start")
 
 
 @query("a11_bridges", f"WITH {STAYS}, n AS (SELECT *, {hav('lat', 'lng', 'lead(lat) OVER w', 'lead(lng) OVER w')} AS m, lead(start_ms) OVER w AS ns FROM stays WINDOW w AS (PARTITION BY trip ORDER BY start_ms, end_ms, id)) SELECT trip, 'bridge_' || id AS id, end_ms AS start_ms, ns AS end_ms, round(least(5.0::DOUBLE, greatest(2.0::DOUBLE, 2 + 0.5::DOUBLE * ln(1 + m / 1000))), 6) AS seconds FROM n WHERE m > 150 AND ns > end_ms")
@@ -61,17 +60,25 @@ def a11b(spark, d):
     return ST.bridges(stays(spark, d)).select("trip", "id", "start_ms", "end_ms", "seconds")
 
 
-@query("a12_a13_evaluate")
+_SAMPLES = f"""{_EP}, sch AS (SELECT *, round(coalesce(sum(seconds) OVER (PARTITION BY trip ORDER BY start_ms, end_ms, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 6) AS t0, round(sum(seconds) OVER (PARTITION BY trip), 6) AS total FROM ep),
+  smp AS (SELECT *, k * total / 20 AS t FROM sch, range(21) r(k) WHERE k >= round(t0 / (total / 20), 9) AND k < round((t0 + seconds) / (total / 20), 9)),
+  pr AS (SELECT trip, k, id, greatest(0.0, least(1.0, (t - t0) / seconds)) AS f, radians(lat) AS a, radians(lng) AS b, radians(lat2) AS c, radians(lng2) AS d, lat, lng, lat2, lng2, {hav('lat', 'lng', 'lat2', 'lng2')} / 6371000.0::DOUBLE AS w FROM smp),
+  uv AS (SELECT *, sin((1 - f) * w) / sin(w) AS u, sin(f * w) / sin(w) AS v FROM pr), xyz AS (SELECT *, u * cos(a) * cos(b) + v * cos(c) * cos(d) AS x, u * cos(a) * sin(b) + v * cos(c) * sin(d) AS y, u * sin(a) + v * sin(c) AS z FROM uv),
+  sample AS (SELECT trip, CAST(k AS INT) AS k, id, round(f, 6) AS progress, round(CASE WHEN w < 1e-9 THEN lat ELSE degrees(atan2(z, sqrt(x * x + y * y))) END, 6) AS lat, round(CASE WHEN w < 1e-9 THEN lng ELSE degrees(atan2(y, x)) END, 6) AS lng FROM xyz)"""
+
+
+@query("a12_a13_evaluate", f"WITH {_SAMPLES} SELECT * FROM sample")
 def a12(spark, d):
-    """Samples of the story; tests compare with a scan of the episodes, and count violations of order."""
     s = ST.schedule(episodes(spark, d))
     total = s.groupBy("trip").agg(F.round(F.sum("seconds"), 6).alias("total"))
     return ST.evaluate(s.join(total, "trip"))
 
 
-@query("a13_invariants", "SELECT 0::BIGINT AS backwards, 0::BIGINT AS outside")
+@query("a13_invariants", f"""WITH {_SAMPLES}, b AS (SELECT *, coalesce(lag(id) OVER w = id AND lag(progress) OVER w > progress, false) AS back FROM sample WINDOW w AS (PARTITION BY trip ORDER BY k))
+  SELECT trip, count(*) AS samples, count(DISTINCT id) AS episodes, count(*) FILTER (back) AS backwards, count(*) FILTER (progress NOT BETWEEN 0 AND 1) AS outside, round(sum(progress), 4) AS progress FROM b GROUP BY trip""")
 def a13(spark, d):
+    """What the samples of each trip hold, with the violations of order among them."""
     s = a12(spark, d)
     w = Window.partitionBy("trip").orderBy("k")
     back = s.withColumn("b", F.coalesce((F.lag("id").over(w) == F.col("id")) & (F.lag("progress").over(w) > F.col("progress")), F.lit(False)))
-    return back.agg(F.count_if("b").alias("backwards"), F.count_if(~F.col("progress").between(0, 1)).alias("outside"))
+    return back.groupBy("trip").agg(F.count("*").alias("samples"), F.count_distinct("id").alias("episodes"), F.count_if("b").alias("backwards"), F.count_if(~F.col("progress").between(0, 1)).alias("outside"), F.round(F.sum("progress"), 4).alias("progress"))

@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from trekframe.functions.timefn import as_timestamp, millis
 from trekframe.streaming import operators as O
 
 from .base import query, read
+from .sources_sinks import folder
 
 
 def _once(spark, stream, mode: str):
-    name = f"q{uuid.uuid4().hex}"
-    stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    """Runs a stream over what is there, into files of the shared folder: in complete mode the last batch's, else all batches'."""
+    out = folder(spark)
+    where = (lambda n: f"{out}/rows") if mode == "complete" else (lambda n: f"{out}/rows/batch={n}")
+    write = lambda batch, n: batch.write.mode("overwrite").parquet(where(n))
+    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{out}/checkpoint").foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{out}/rows").select(*stream.columns)
 
 
 def _stream(spark, d, name: str):
@@ -53,13 +55,28 @@ def stream_continuity(spark, d):
     return out.groupBy("player").agg(F.max_by(F.struct("frames", "progress_back", "episode_back", "reactivated", "jumps"), "frames").alias("c")).select("player", "c.*")
 
 
-@query("playback_clock")
-def playback_clock(spark, d):
-    e = read(spark, d, "events")
+_ACTIONS = ["start", "pause", "speed", "seek", "resume"]
+_CLOCK = """WITH RECURSIVE e AS (SELECT user_id AS player, event_id AS n, event_id / 10 AS at_s, ['start', 'pause', 'speed', 'seek', 'resume'][CAST(event_id % 5 AS INT) + 1] AS action, CASE WHEN event_id % 5 = 2 THEN 2.0::DOUBLE ELSE 0.25::DOUBLE END AS value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events),
+  g AS (SELECT player, n, r, at_s AS t, 0::DOUBLE AS q, CASE WHEN action = 'seek' THEN value ELSE 0 END::DOUBLE AS p, CASE WHEN action = 'speed' THEN value ELSE 1 END::DOUBLE AS speed, action IN ('start', 'resume') AS running FROM e WHERE r = 1
+  UNION ALL SELECT x.player, x.n, x.r, x.at_s, x.q, CASE WHEN action = 'seek' THEN value ELSE x.q END, CASE WHEN action = 'speed' THEN value ELSE x.speed END, CASE WHEN x.q >= 1 THEN false WHEN action IN ('start', 'resume') THEN true WHEN action = 'pause' THEN false ELSE x.running END
+    FROM (SELECT e.player, e.n, e.r, e.at_s, e.action, e.value, g.speed, g.running, least(1.0::DOUBLE, g.p + CASE WHEN g.running THEN (e.at_s - g.t) * g.speed / 600 ELSE 0 END) AS q FROM g JOIN e ON e.player = g.player AND e.r = g.r + 1) x)
+  SELECT player, n, round(p, 6) AS progress FROM g"""
+
+
+def _actions(e):
     k = F.col("event_id")
-    action = F.element_at(F.array(*map(F.lit, ["start", "pause", "speed", "seek", "resume"])), (k % 5 + 1).cast("int"))
-    first = e.select(F.col("user_id").alias("player"), k.alias("n"), (k / 10).alias("at_s"), action.alias("action"), F.when(k % 5 == 2, 2.0).otherwise(0.25).alias("value"))
-    return O.clock(first, 600.0).select("player", "n", F.round("progress", 6).alias("progress"))
+    action = F.element_at(F.array(*map(F.lit, _ACTIONS)), (k % 5 + 1).cast("int"))
+    return e.select(F.col("user_id").alias("player"), k.alias("n"), (k / 10).alias("at_s"), action.alias("action"), F.when(k % 5 == 2, 2.0).otherwise(0.25).alias("value"))
+
+
+@query("playback_clock", _CLOCK)
+def playback_clock(spark, d):
+    return O.clock(_actions(read(spark, d, "events")), 600.0).select("player", "n", F.round("progress", 6).alias("progress"))
+
+
+@query("stream_clock", _CLOCK)
+def stream_clock(spark, d):
+    return _once(spark, O.clock_stream(_actions(_stream(spark, d, "events")), 600.0), "append").select("player", "n", F.round("progress", 6).alias("progress"))
 
 
 @query("import_eta", "WITH t AS (SELECT user_id AS job, row_number() OVER w AS at_s, cume_dist() OVER w AS share FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT job, at_s::DOUBLE AS at_s, CASE WHEN share >= 0.12 AND at_s >= 4 THEN round(at_s * (1 - share) / share, 6) END AS eta_s FROM t")

@@ -9,7 +9,9 @@ with column expressions over VARIANT values (S2-S8).
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,36 +25,44 @@ from trekframe.functions.timefn import parse_instant
 CONTAINERS = ("semanticSegments", "timelineObjects", "rawSignals", "locations")
 
 
+_MARK = re.compile(r'["\\{}\[\]]')
+
+
 def split_elements(pieces: Iterator[str]) -> Iterator[tuple[str, str, str]]:
     """(container, text, status) per array element; status is ok, malformed or truncated.  Holds one element at a time."""
-    depth, in_string, escaped, key, last_string = 0, False, False, "", []
+    depth, start, in_string, skip, key = 0, 0, False, False, ""
+    name: list[str] = []  # the last string outside elements: a container's key
     element: list[str] | None = None
     for piece in pieces:
-        for ch in piece:
-            if element is not None:
-                element.append(ch)
+        at = free = 0  # what is kept up to, and where an escaped character ends
+        if skip:
+            skip, free = False, 1
+        for m in _MARK.finditer(piece):
+            i, ch = m.start(), m[0]
+            if i < free:
+                continue
             if in_string:
-                if escaped:
-                    escaped = False
-                elif ch == "\\":
-                    escaped = True
+                if ch == "\\":
+                    skip, free = i + 1 == len(piece), i + 2
                 elif ch == '"':
                     in_string = False
-                elif element is None:
-                    last_string.append(ch)
+                    if element is None:
+                        name.append(piece[at:i])
                 continue
             if ch == '"':
                 in_string = True
-                last_string = [] if element is None else last_string
+                if element is None:
+                    name, at = [], i + 1
             elif ch in "{[":
                 if ch == "[" and element is None:
-                    key = "".join(last_string)
+                    key = "".join(name)
                 if ch == "{" and element is None and key in CONTAINERS:
-                    element, start = [ch], depth
+                    element, start, at = [], depth, i
                 depth += 1
             elif ch in "}]":
                 depth -= 1
                 if element is not None and depth <= start:
+                    element.append(piece[at : i + 1])
                     text = "".join(element)
                     try:
                         json.loads(text)
@@ -62,6 +72,10 @@ def split_elements(pieces: Iterator[str]) -> Iterator[tuple[str, str, str]]:
                     element, depth = None, start
                 elif element is None and ch == "]":
                     key = ""
+        if element is not None:
+            element.append(piece[at:])
+        elif in_string:
+            name.append(piece[at:])
     if element is not None:
         yield key, "".join(element), "truncated"
 
@@ -93,18 +107,40 @@ class TimelineSource(DataSource):
 
 
 def elements(spark: SparkSession, path: str) -> DataFrame:
-    """S1 by Spark's own reader, for paths that only Spark can open; a file is one row."""
+    """S1 by Spark's own reader, for paths that only Spark can open.
+
+    Files are read in fragments that end at each closing brace, so that neither a
+    row nor a task holds a whole file; a file's fragments stream through the
+    splitter in their order.
+    """
     import pyarrow as pa
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                rows = [(name, *x) for x in split_elements(iter([text or ""]))]
-                for i in range(0, len(rows), 4096):
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*rows[i : i + 4096])], names=["path", "container", "element", "status"])
-
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    return files.mapInArrow(kernel, "path string, container string, element string, status string")
+        rows = (row for batch in batches for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+        out = []
+        for name, own in groupby(rows, key=lambda r: r[0]):
+            for found in split_elements(_rejoined(x or "" for _, x in own)):
+                out.append((name, *found))
+                if len(out) == 1024:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*out)], names=["path", "container", "element", "status"])
+                    out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*out)], names=["path", "container", "element", "status"])
+
+    parts = spark.read.text(path, lineSep="}").select(F.col("_metadata.file_path").alias("path"), "value", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
+    parts = parts.repartition("path").sortWithinPartitions("path", "block", "n").select("path", "value")
+    return parts.mapInArrow(kernel, "path string, container string, element string, status string")
+
+
+def _rejoined(fragments: Iterator[str]) -> Iterator[str]:
+    """Fragments with the brace that ended each but the last."""
+    before = None
+    for x in fragments:
+        if before is not None:
+            yield before + "}"
+        before = x
+    if before is not None:
+        yield before
 
 
 def _s(v: str, path: str) -> Column:
@@ -121,7 +157,7 @@ def _e7(prefix: str, k: str) -> Column:
 
 
 def records(found: DataFrame) -> DataFrame:
-    """(kind, path, start_ms, end_ms, name, place_id, mode, confidence, metres, lat, lng) of all recognised elements."""
+    """(kind, path, start_ms, end_ms, name, place_id, mode, confidence, metres, lat, lng, lat2, lng2, points, provenance) of all recognised elements."""
     e = found.where("status = 'ok'").withColumn("v", F.try_parse_json("element"))
     has = lambda path: F.try_variant_get("v", f"$.{path}", "variant").isNotNull()
     raw = F.col("container").isin("rawSignals", "locations")
@@ -138,6 +174,17 @@ def records(found: DataFrame) -> DataFrame:
     def legacy(side: str, kind: str) -> Column:
         return F.coalesce(_s("v", f"{kind}.duration.{side}Timestamp"), _s("v", f"{kind}.duration.{side}TimestampMs"))
 
+    def path_of(kind: str) -> Column:
+        """The points of a simplified raw path, each with its own time or the record's start."""
+        at = lambda x, k: F.try_variant_get(x, f"$.{k}", "string")
+        e7 = lambda x, k: F.try_variant_get(x, f"$.{k}E7", "bigint")
+        text = lambda x: F.coalesce(at(x, "latLng"), at(x, "LatLng"))
+        lat = lambda x: F.coalesce(e7(x, "latitude"), F.try_variant_get(x, "$.latE7", "bigint"))
+        lng = lambda x: F.coalesce(e7(x, "longitude"), F.try_variant_get(x, "$.lngE7", "bigint"))
+        point = lambda x: F.struct(parse_instant(at(x, "timestamp")).alias("ts_ms"), coordinate(text(x), lat(x), lng(x)).alias("p"))
+        found = F.filter(F.transform(F.try_variant_get("v", f"$.{kind}.simplifiedRawPath.points", "array<variant>"), point), lambda x: x["p"].isNotNull())
+        return F.coalesce(found, F.array().cast("array<struct<ts_ms:bigint,p:struct<lat:double,lng:double>>>"))
+
     number = lambda path, default: F.coalesce(F.try_variant_get("v", f"$.{path}", "double"), F.lit(default))
     signal = F.coalesce(_s("v", "timestamp"), _s("v", "timestampMs"))
     # one column after another: each is worked out once
@@ -145,19 +192,30 @@ def records(found: DataFrame) -> DataFrame:
         "start": by_shape(visit=_s("v", "startTime"), activity=_s("v", "startTime"), placeVisit=legacy("start", "placeVisit"), activitySegment=legacy("start", "activitySegment"), raw=signal),
         "end": by_shape(visit=_s("v", "endTime"), activity=_s("v", "endTime"), placeVisit=legacy("end", "placeVisit"), activitySegment=legacy("end", "activitySegment"), raw=signal),
         "kind": by_shape(visit=F.lit("VISIT"), activity=F.lit("MOVE"), placeVisit=F.lit("VISIT"), activitySegment=F.lit("MOVE"), raw=F.lit("POINT")),
-        "at": by_shape(visit=_point_text("visit.topCandidate.placeLocation"), activity=_point_text("activity.start"), placeVisit=_point_text("placeVisit.location"), activitySegment=_point_text("activitySegment.startLocation"), raw=_point_text("position")),
+        "at": by_shape(visit=_point_text("visit.topCandidate.placeLocation"), activity=F.coalesce(_point_text("activity.start"), _point_text("activity.startLocation")), placeVisit=_point_text("placeVisit.location"), activitySegment=_point_text("activitySegment.startLocation"), raw=_point_text("position")),
         "lat_e7": by_shape(visit=_e7("visit.topCandidate.placeLocation", "latitude"), activity=_e7("activity.start", "latitude"), placeVisit=_e7("placeVisit.location", "latitude"), activitySegment=_e7("activitySegment.startLocation", "latitude"), raw=F.try_variant_get("v", "$.latitudeE7", "bigint")),
         "lng_e7": by_shape(visit=_e7("visit.topCandidate.placeLocation", "longitude"), activity=_e7("activity.start", "longitude"), placeVisit=_e7("placeVisit.location", "longitude"), activitySegment=_e7("activitySegment.startLocation", "longitude"), raw=F.try_variant_get("v", "$.longitudeE7", "bigint")),
+        "at2": by_shape(activity=F.coalesce(_point_text("activity.end"), _point_text("activity.endLocation")), activitySegment=_point_text("activitySegment.endLocation")),
+        "lat2_e7": by_shape(activity=_e7("activity.end", "latitude"), activitySegment=_e7("activitySegment.endLocation", "latitude")),
+        "lng2_e7": by_shape(activity=_e7("activity.end", "longitude"), activitySegment=_e7("activitySegment.endLocation", "longitude")),
+        "points": by_shape(activity=path_of("activity"), activitySegment=path_of("activitySegment")),
         "raw_name": by_shape(visit=_s("v", "visit.topCandidate.placeName"), placeVisit=_s("v", "placeVisit.location.name")),
         "semantic": by_shape(visit=_s("v", "visit.topCandidate.semanticType")),
         "place_id": by_shape(visit=_s("v", "visit.topCandidate.placeId"), placeVisit=_s("v", "placeVisit.location.placeId")),
-        "raw_mode": by_shape(activity=_s("v", "activity.topCandidate.type"), activitySegment=_s("v", "activitySegment.activityType")),
+        "raw_mode": by_shape(activity=F.coalesce(*(_s("v", f"activity.{k}") for k in ("topCandidate.type", "topCandidate.activityType", "type", "activityType"))), activitySegment=_s("v", "activitySegment.activityType")),
         "confidence": by_shape(visit=number("visit.topCandidate.probability", 0.95), activity=number("activity.topCandidate.probability", 0.85), placeVisit=number("placeVisit.placeConfidence", 0.90), activitySegment=number("activitySegment.confidence", 0.85)),
-        "metres": by_shape(activity=F.try_variant_get("v", "$.activity.distanceMeters", "double"), activitySegment=F.try_variant_get("v", "$.activitySegment.distance", "double")),
+        "metres": by_shape(activity=F.coalesce(F.try_variant_get("v", "$.activity.distanceMeters", "double"), F.try_variant_get("v", "$.activity.distance", "double")), activitySegment=F.try_variant_get("v", "$.activitySegment.distance", "double")),
     }).drop("v", "element")
-    e = e.withColumns({"start_ms": parse_instant("start"), "end_ms": parse_instant("end"), "p": coordinate("at", "lat_e7", "lng_e7")})
+    e = e.withColumns({"start_ms": parse_instant("start"), "end_ms": parse_instant("end"), "p": coordinate("at", "lat_e7", "lng_e7"), "q": coordinate("at2", "lat2_e7", "lng2_e7")})
     mode = F.when(F.col("kind") == "MOVE", activity_mode("raw_mode"))
-    return e.select("kind", "path", "start_ms", "end_ms", place_name("raw_name", "semantic").alias("name"), "place_id", mode.alias("mode"), "confidence", "metres", "p.lat", "p.lng")
+    old = F.col("shape") == "activitySegment"  # its ends are the path's where it names none
+    first, last = F.get("points", F.lit(0))["p"], F.try_element_at("points", F.lit(-1))["p"]
+    e = e.withColumns({"mode": mode, "p": F.coalesce("p", F.when(old, first)), "q": F.coalesce("q", F.when(old, F.coalesce(last, "p", first)))})
+    seen = F.size("points") > 0
+    origin = F.when(F.col("kind") == "MOVE", F.when(seen, "SIMPLIFIED_OBSERVED").when(F.col("mode") == "AIRPLANE", "ESTIMATED_GEODESIC").otherwise("ENDPOINT_INTERPOLATED"))
+    points = F.transform("points", lambda x: F.struct(F.coalesce(x["ts_ms"], F.col("start_ms")).alias("ts_ms"), x["p"]["lat"].alias("lat"), x["p"]["lng"].alias("lng")))
+    e = e.where(~old | F.col("p").isNotNull())
+    return e.select("kind", "path", "start_ms", "end_ms", place_name("raw_name", "semantic").alias("name"), "place_id", "mode", "confidence", "metres", "p.lat", "p.lng", F.col("q.lat").alias("lat2"), F.col("q.lng").alias("lng2"), points.alias("points"), origin.alias("provenance"))
 
 
 def path_points(found: DataFrame) -> DataFrame:

@@ -58,10 +58,12 @@ def continuity_batch(frames: DataFrame) -> DataFrame:
     return f.groupBy("player").agg(F.count("*").alias("frames"), F.count_if("pb").alias("progress_back"), F.count_if("eb").alias("episode_back"), F.count_if("again").alias("reactivated"), F.count_if("far").alias("jumps"))
 
 
+ZERO = {"at": 0.0, "p": 0.0, "speed": 1.0, "on": False}
+
+
 def clock(events: DataFrame, duration_s: float) -> DataFrame:
-    """The playback clock over events(player, n, at_s, action, value): progress before each event; start, pause, seek and speed; it stops at 1."""
-    w = Window.partitionBy("player").orderBy("n")
-    rows = F.collect_list(F.struct("n", "at_s", "action", "value")).over(w)
+    """The playback clock over a table events(player, n, at_s, action, value): progress at each event; start, pause, seek and speed; it stops at 1."""
+    from trekframe.functions.arrays import let, running
 
     def step(a, x):
         ran = F.when(a["on"], (x["at_s"] - a["at"]) * a["speed"] / duration_s).otherwise(0.0)
@@ -69,8 +71,31 @@ def clock(events: DataFrame, duration_s: float) -> DataFrame:
         on = F.when(p >= 1, False).when(x["action"].isin("start", "resume"), True).when(x["action"] == "pause", False).otherwise(a["on"])
         return F.struct(x["at_s"].alias("at"), F.when(x["action"] == "seek", x["value"]).otherwise(p).alias("p"), F.when(x["action"] == "speed", x["value"]).otherwise(a["speed"]).alias("speed"), on.alias("on"))
 
-    zero = F.struct(F.lit(0.0).alias("at"), F.lit(0.0).alias("p"), F.lit(1.0).alias("speed"), F.lit(False).alias("on"))
-    return events.select("player", "n", F.aggregate(rows, zero, step)["p"].alias("progress"))
+    zero = F.struct(*(F.lit(v).alias(k) for k, v in ZERO.items()))
+    rows = F.sort_array(F.collect_list(F.struct("n", "at_s", "action", "value")))
+    after = lambda e: F.zip_with(e, running(e, zero, step), lambda x, a: F.struct(x["n"].alias("n"), step(a, x)["p"].alias("progress")))
+    return events.groupBy("player").agg(rows.alias("e")).select("player", F.inline(let(F.col("e"), after)))
+
+
+def ticked(state: dict, at_s: float, action: str, value: float, duration_s: float) -> dict:
+    """The clock after one event."""
+    p = min(1.0, state["p"] + ((at_s - state["at"]) * state["speed"] / duration_s if state["on"] else 0.0))
+    on = False if p >= 1 else {"start": True, "resume": True, "pause": False}.get(action, state["on"])
+    return {"at": at_s, "p": value if action == "seek" else p, "speed": value if action == "speed" else state["speed"], "on": on}
+
+
+def clock_stream(events: DataFrame, duration_s: float) -> DataFrame:
+    """The playback clock over a stream of events, each player's in order of n in each batch; what is kept of a player is one state."""
+
+    def run(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        s, out = dict(zip(ZERO, state.get)) if state.exists else dict(ZERO), []
+        for e in pd.concat(list(parts)).sort_values("n").itertuples():
+            s = ticked(s, e.at_s, e.action, e.value, duration_s)
+            out.append((key[0], e.n, s["p"]))
+        state.update(tuple(s.values()))
+        yield pd.DataFrame(out, columns=["player", "n", "progress"])
+
+    return events.groupBy("player").applyInPandasWithState(run, "player bigint, n bigint, progress double", "at double, p double, speed double, on boolean", "append", GroupStateTimeout.NoTimeout)
 
 
 def eta(ticks: DataFrame, stall_s: float = 15.0, from_share: float = 0.12, from_s: float = 4.0) -> DataFrame:
