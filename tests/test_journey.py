@@ -142,9 +142,12 @@ def test_photo_kernels():
     rows = [p | {"id": i, "ts_ms": i * 2000} for i in range(50)]
     assert {x["cluster"] for x in C.photo_moments(rows)} == {0}
     assert {x["cluster"] for x in C.photo_moments([r | {"hash": None} for r in rows[:3]])} == {0, 1, 2}
-    q = {"trip": 1, "anchor": 7, "pinned": False, "important": True}
-    assert len(C.budgeted([q | {"id": i, "ts_ms": i, "score": i} for i in range(190)])) == 3
-    assert len(C.budgeted([q | {"id": i, "ts_ms": i, "score": i, "pinned": True} for i in range(40)])) == 40
+    q = {"trip": 1, "anchor": 7, "pinned": False, "important": True, "day": 1, "importance": 9, "moving": False, "category": 1}
+    many = [q | {"id": i, "ts_ms": i, "score": i, "clusters": 190} for i in range(190)]
+    assert [x["id"] for x in C.budgeted(many)] == [187, 188, 189] and len(C.budgeted(many, "SHORT")) == 1
+    assert len(C.budgeted([x | {"pinned": True} for x in many[:40]])) == 40
+    two = [q | {"id": i, "ts_ms": i, "score": s, "clusters": 2, "category": c, "anchor": a} for i, (s, c, a) in enumerate([(500, 1, 7), (450, 1, 7), (300, 2, 7), (20, 3, 8)])]
+    assert [x["id"] for x in C.budgeted(two)] == [0, 2, 3]
     hero = C.hero_and_thumbnails([{"trip": 1, "id": i, "score": s, "category": c} for i, (s, c) in enumerate([(500, 1), (450, 1), (300, 2), (10, 3)])])
     assert [x["id"] for x in hero] == [0, 2, 1, 3]
 
@@ -191,6 +194,62 @@ def test_numbered_over_ranges(spark, tmp_path):
     assert S.numbered(df.limit(0), [F.col("id")], "place", f"{tmp_path}/e").count() == 0
 
 
+def test_budget_keeps_what_the_kernel_would_pick(spark):
+    """Rows dropped before the kernel change nothing."""
+    r = random.Random(8)
+    names = [x.split()[0] for x in C.MOMENT.split(", ")]
+    anchors = {(t, a): (a % 50, r.randint(0, 99), r.random() < 0.4, r.random() < 0.2) for t in range(3) for a in range(90)}
+    rows = []
+    for i in range(1500):
+        t, a = r.randrange(3), min(r.randrange(90), r.randrange(90))
+        day, importance, important, moving = anchors[t, a]
+        rows.append((t, i, a, day, importance, important, moving, 0, r.randint(0, 500), r.randrange(3), r.randint(0, 10**6), r.random() < 0.01))
+    size = {k: sum((x[0], x[2]) == k for x in rows) for k in anchors}
+    whole = [dict(zip(names, x)) | {"clusters": size[x[0], x[2]]} for x in rows]
+    df = spark.createDataFrame(rows, C.MOMENT).drop("clusters")
+    for profile in C.BUDGETS:
+        want = {x["id"] for t in range(3) for x in C.budgeted([y for y in whole if y["trip"] == t], profile)}
+        assert {x.id for x in C.budgeted_moments(df, profile).collect()} == want
+
+
+def test_canonical_stays_rules():
+    far = {"lat": 41.0}
+    a = STAY | {"id": 1, "start_ms": 0, "end_ms": 10_000_000, "confidence": 0.9, "name": "Cafe"}
+    inner = STAY | far | {"id": 2, "start_ms": 4_000_000, "end_ms": 5_000_000, "confidence": 0.6}
+    assert [x["id"] for x in C.canonical_stays([a, inner])] == [1]
+    strong = STAY | far | {"id": 3, "start_ms": 0, "end_ms": 12_000_000, "confidence": 0.9, "is_override": True}
+    assert [(x["id"], x["start_ms"], x["end_ms"]) for x in C.canonical_stays([a, strong])] == [(3, 0, 12_000_000)]
+    later = STAY | far | {"id": 4, "start_ms": 8_000_000, "end_ms": 20_000_000, "confidence": 0.9, "name": "Bar"}
+    assert [(x["id"], x["start_ms"], x["end_ms"]) for x in C.canonical_stays([a, later])] == [(1, 0, 9_000_000), (4, 9_000_000, 20_000_000)]
+    known = a | {"id": 0, "place_id": "p", "confidence": 0.1}
+    assert [x["id"] for x in C.canonical_stays([a, known])] == [0]
+    r = random.Random(1)
+    for _ in range(200):
+        rows = [STAY | {"id": i, "start_ms": s, "end_ms": s + r.randint(0, 4_000_000), "lat": 40 + r.choice([0, 0.003, 0.3, 0.5]), "confidence": r.random(), "name": r.choice([None, "", "x", "UNKNOWN"]), "is_override": r.random() < 0.2} for i in range(8) for s in [r.randint(0, 8_000_000)]]
+        out = C.canonical_stays(rows)
+        assert all(p["end_ms"] <= q["start_ms"] for p, q in zip(out, out[1:])) and C.canonical_stays(rows[::-1]) == out and out
+
+
+def test_fused_paths(spark):
+    none = "array<struct<ts_ms:bigint,id:bigint,lat:double,lng:double>>"
+    p = "struct<lat:double,lng:double>"
+    rows = [(1, 1, "CAR", 0, 100_000, 0.0, (40.0, 0.0), (40.2, 0.0), None, None), (1, 2, "CAR", 500_000, 600_000, 77.0, None, None, [(1, 1, 40.0, 0.0)], None), (1, 3, "AIRPLANE", 900_000, 950_000, 0.0, (1.0, 1.0), (2.0, 2.0), None, []), (1, 4, "CAR", 990_000, 995_000, 0.0, None, None, None, None)]
+    a = spark.createDataFrame(rows, f"trip bigint, id bigint, mode string, start_ms bigint, end_ms bigint, metres double, a {p}, b {p}, raw {none}, own {none}")
+    pts = spark.createDataFrame([(1, 7, 130_000, 40.1, 0.0), (1, 8, 130_001, 40.1, 0.01), (1, 9, -1, 40.0, 0.0)], "trip bigint, id bigint, ts_ms bigint, lat double, lng double")
+    got = {r.id: r for r in C.fused_paths(a, pts).collect()}
+    assert sorted(got) == [1, 2, 3] and [x.lat for x in got[1].path] == [40.0, 40.1, 40.2] and got[1].provenance == "OBSERVED"
+    assert got[2].metres == 77 and got[2].provenance == "SIMPLIFIED_OBSERVED" and got[3].provenance == "ESTIMATED_GEODESIC" and got[3].metres > 150_000
+
+
+def test_splitter_over_any_cut():
+    """Escapes, strings and braces may be cut anywhere."""
+    doc = json.dumps({"x": {"semanticSegments": 1}, "semanticSegments": [{"a": 'q"}{\\'}, {"b": [{"c": "\\\\"}]}], "other": [{"z": 1}], "locations": [{"d": "\n]"}]}) + '{"rawSignals": [{"e": 1}, {"f": '
+    want = list(TL.split_elements(iter([doc])))
+    assert [w[2] for w in want] == ["ok", "ok", "ok", "ok", "truncated"] and json.loads(want[0][1]) == {"a": 'q"}{\\'}
+    for n in (1, 2, 3, 7):
+        assert list(TL.split_elements(doc[i : i + n] for i in range(0, len(doc), n))) == want
+
+
 # --- sources and sinks ---
 
 VISIT = {"startTime": "2026-07-01T10:00:00Z", "endTime": "2026-07-01T11:00:00Z", "visit": {"topCandidate": {"placeName": "UNKNOWN", "semanticType": "INFERRED_HOME", "placeLocation": {"latLng": "42.3550°, -71.0656°"}}}}

@@ -44,16 +44,38 @@ def a5b(spark, d):
     return S.neighbours(C.canonicalise_moves(moves(spark, d)), ["trip"], ["id"]).agg(F.count_if("violation").alias("overlaps"))
 
 
-@query("a1_a2_p1_path_fusion")
+def activities(spark, d):
+    """Movements with and without ends, a raw path, an own path and a stated distance; ids are made unique."""
+    k = F.col("part")
+    point = lambda dy, dx: F.struct((F.col("lat") + dy).alias("lat"), (F.col("lng") + dx).alias("lng"))
+    timed = lambda i, dy, dx: F.struct((F.col("start_ms") + i).alias("ts_ms"), F.lit(i).cast("bigint").alias("id"), (F.col("lat") + dy).alias("lat"), (F.col("lng") + dx).alias("lng"))
+    s = stays(spark, d).where("mode <> 'WALK'")
+    return s.select(
+        "trip", (F.col("id") * 1_000_000 + k).alias("id"), "mode", "start_ms", "end_ms", F.when(k % 2 == 0, F.col("metres")).otherwise(0.0).alias("metres"), F.when(k % 4 != 1, point(0.0, 0.0)).alias("a"), F.when(k % 4 != 2, point(0.05, 0.05)).alias("b"),
+        F.when(k % 5 == 1, F.array(timed(1, 0.0, 0.0), timed(2, 0.01, 0.0), timed(3, 0.02, 0.01))).alias("raw"), F.when(k % 3 == 0, F.array(timed(1, 0.02, 0.0), timed(2, 0.02, 0.01))).alias("own"),
+    )
+
+
+@query("a1_path_fusion", f"""WITH {STAYS}, {_AT}, act AS (SELECT trip, id * 1000000 + part AS id, mode, CASE WHEN part % 2 = 0 THEN metres ELSE 0 END AS metres, part, lat, lng, list(struct_pack(y := o_lat, x := o_lng) ORDER BY ts_ms, o_id) FILTER (o_id IS NOT NULL) AS seen
+    FROM (SELECT stays.*, obs.id AS o_id, obs.ts_ms, obs.lat AS o_lat, obs.lng AS o_lng FROM stays LEFT JOIN obs ON obs.trip = stays.trip AND obs.ts_ms BETWEEN start_ms - 30000 AND end_ms + 30000 WHERE mode <> 'WALK') GROUP BY ALL),
+  p AS (SELECT *, list_concat(CASE WHEN part % 4 <> 1 THEN [struct_pack(y := lat, x := lng)] ELSE [] END, CASE WHEN part % 5 = 1 THEN [struct_pack(y := lat, x := lng), struct_pack(y := lat + 0.01::DOUBLE, x := lng), struct_pack(y := lat + 0.02::DOUBLE, x := lng + 0.01::DOUBLE)] WHEN len(seen) > 0 THEN seen WHEN part % 3 = 0 THEN [struct_pack(y := lat + 0.02::DOUBLE, x := lng), struct_pack(y := lat + 0.02::DOUBLE, x := lng + 0.01::DOUBLE)] ELSE [] END,
+    CASE WHEN part % 4 <> 2 THEN [struct_pack(y := lat + 0.05::DOUBLE, x := lng + 0.05::DOUBLE)] ELSE [] END) AS path FROM act),
+  q AS (SELECT trip, id, unnest(range(1, len(path) + 1)) AS i, unnest(path) AS v FROM p), s AS (SELECT trip, id, i, {hav('lag(v.y) OVER w', 'lag(v.x) OVER w', 'v.y', 'v.x')} AS step FROM q WINDOW w AS (PARTITION BY trip, id ORDER BY i)),
+  n AS (SELECT trip, id, count(*) FILTER (step IS NULL OR step >= 1) AS n, sum(step) AS run FROM s GROUP BY trip, id)
+  SELECT p.trip, p.id, CAST(n AS INT) AS n_points, round(CASE WHEN metres > 0 THEN metres ELSE coalesce(run, 0) END, 3) AS metres, CASE WHEN part % 5 = 1 THEN 'SIMPLIFIED_OBSERVED' WHEN len(seen) > 0 OR part % 3 = 0 THEN 'OBSERVED' WHEN mode = 'AIRPLANE' THEN 'ESTIMATED_GEODESIC' ELSE 'ENDPOINT_INTERPOLATED' END AS provenance FROM p JOIN n ON n.trip = p.trip AND n.id = p.id""")
 def a1(spark, d):
-    """A1: points of a stay's time, in order, without near repeats, simplified; A2's uncovered points are in j6_points_uncovered and w1_sessions."""
-    from .joins import at, own
+    """Points lie a kilometre apart or on one another, so SQL finds near repeats by the step before."""
+    from .joins import at
+
+    return C.fused_paths(activities(spark, d), at(spark, d)).select("trip", "id", F.size("path").alias("n_points"), F.round("metres", 3).alias("metres"), "provenance")
+
 
-    m = J.interval_join(at(spark, d), own(stays(spark, d)), ["trip"], "ts_ms", "start_ms", "end_ms", pad=30_000)
-    g = m.groupBy("trip", "stay").agg(F.sort_array(F.collect_list(F.struct("ts_ms", "id", "lat", "lng"))).alias("points"))
-    g = g.withColumn("points", S.dedupe_points("points"))
-    g = g.withColumn("metres", F.round(S.path_length("points"), 3))
-    return C.simplified(g, "points").select("trip", "stay", "metres", F.size("points").alias("kept"))
+@query("p1_simplified_paths")
+def p1(spark, d):
+    """The fused paths, simplified: recursion over the farthest point is beyond SQL; tests compare with brute force."""
+    from .joins import at
+
+    return C.simplified(C.fused_paths(activities(spark, d), at(spark, d)), "path").select("trip", "id", F.size("path").alias("kept"))
 
 
 @query("a2_fallback_movement", f"""WITH {STAYS}, {_AT}, u AS (SELECT * FROM obs WHERE NOT EXISTS (SELECT 1 FROM stays WHERE obs.trip = stays.trip AND ts_ms BETWEEN start_ms AND end_ms)),
@@ -74,26 +96,43 @@ def a2(spark, d):
     return m.where((F.col("n") > 1) & (F.col("metres") >= 150) & (speed >= 0.5)).select("trip", "session", "n", F.round("metres", 3).alias("metres"))
 
 
-@query("a9_photo_moments")
+@query("a9_photo_moments", f"""WITH RECURSIVE p AS (SELECT CAST(label AS BIGINT) AS parent, vec_id AS id, vec_id * 40000 AS ts, 40.0::DOUBLE AS lat, (vec_id % 2)::DOUBLE / 1000 AS lng, vec_id % 3 AS h, list_transform(embedding[1:8], lambda v: CAST(v / 10 AS DOUBLE)) AS c, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS r FROM embeddings),
+  g AS (SELECT parent, id, ts, r, 0 AS cluster, true AS is_first, [struct_pack(ts := ts, lat := lat, lng := lng, h := h, c := c, k := 0)] AS firsts FROM p WHERE r = 1
+  UNION ALL SELECT parent, id, ts, r, CASE WHEN hit IS NULL THEN len(firsts) ELSE hit.k END, hit IS NULL, CASE WHEN hit IS NULL THEN list_append(firsts, struct_pack(ts := ts, lat := lat, lng := lng, h := h, c := c, k := CAST(len(firsts) AS INT))) ELSE firsts END
+    FROM (SELECT x.*, g.firsts, list_filter(g.firsts, lambda f: x.ts - f.ts <= 180000 AND {hav('f.lat', 'f.lng', 'x.lat', 'x.lng')} <= 300 AND bit_count(xor(x.h, f.h)) <= 6 AND list_sum(list_transform(range(1, 9), lambda i: abs(x.c[i] - f.c[i]))) < 0.22)[1] AS hit FROM g JOIN p x ON x.parent = g.parent AND x.r = g.r + 1))
+  SELECT parent, id, ts AS ts_ms, CAST(cluster AS INT) AS cluster, is_first FROM g""")
 def a9(spark, d):
     e = read(spark, d, "embeddings").select("vec_id", "label", "embedding")
     p = e.select(F.col("label").cast("bigint").alias("parent"), F.col("vec_id").alias("id"), (F.col("vec_id") * 40_000).alias("ts_ms"), F.lit(40.0).alias("lat"), (F.col("vec_id") % 2 / 1000).alias("lng"), (F.col("vec_id") % 3).alias("hash"), F.transform(F.slice("embedding", 1, 8), lambda x: (x / 10).cast("double")).alias("color"))
     return C._grouped(p, ["parent"], C.photo_moments, C.PHOTO)
 
 
-@query("t4_hero_and_thumbnails")
+@query("t4_hero_and_thumbnails", f"""WITH RECURSIVE {STAYS}, p AS MATERIALIZED (SELECT trip, id, part % 1000 AS score, part % 6 AS category FROM stays),
+  g AS (SELECT trip, id, score, category, 0 AS rank, [id] AS ids, [category] AS cats FROM (SELECT *, row_number() OVER (PARTITION BY trip ORDER BY score DESC, id) AS r FROM p) WHERE r = 1
+  UNION ALL SELECT trip, id, score, category, rank + 1, list_append(ids, id), list_append(cats, category) FROM (SELECT p.*, g.rank, g.ids, g.cats, row_number() OVER (PARTITION BY p.trip ORDER BY p.score - CASE WHEN list_contains(g.cats, p.category) THEN 180 ELSE 0 END DESC, p.id) AS r FROM g JOIN p ON p.trip = g.trip AND NOT list_contains(g.ids, p.id) WHERE g.rank < 3) WHERE r = 1)
+  SELECT trip, id, score, category, rank FROM g""")
 def t4(spark, d):
-    p = stays(spark, d).select("trip", "id", (F.col("part") % 1000).alias("score"), (F.col("part") % 6).alias("category"))
-    return C._grouped(p, ["trip"], C.hero_and_thumbnails, "trip bigint, id bigint, score bigint, category bigint, rank int")
+    return C.heroes(stays(spark, d).select("trip", "id", (F.col("part") % 1000).alias("score"), (F.col("part") % 6).alias("category")))
 
 
 @query("t5_budgeted_moments")
 def t5(spark, d):
-    p = stays(spark, d).select("trip", "id", F.col("part").alias("anchor"), (F.col("part") % 1000).alias("score"), F.col("start_ms").alias("ts_ms"), (F.col("id") % 400 == 0).alias("pinned"), (F.col("part") % 2 == 0).alias("important"))
-    return C._grouped(p, ["trip"], C.budgeted, "trip bigint, id bigint, anchor bigint, score bigint, ts_ms bigint")
+    """Four passes that depend on one another: beyond SQL; tests compare with a version that follows the rules one pick at a time."""
+    k = F.col("part")
+    p = stays(spark, d).select(
+        "trip", "id", (k % 40).alias("anchor"), (k % 40 % 9).alias("day"), (k % 40 * 131 % 1000).alias("importance"), (k % 40 % 3 == 0).alias("important"), (k % 40 % 7 == 1).alias("moving"), (k % 1000).alias("score"),
+        (k % 6).alias("category"), F.col("start_ms").alias("ts_ms"), (F.col("id") % 400 == 0).alias("pinned"),
+    )
+    return C.budgeted_moments(p).select("trip", "id", "anchor", "score", "ts_ms")
+
+
+_USE = "2 * ln(1 + hours) + 2 * ln(1 + photos) + 2 * least(3, len(list_filter(days, lambda x: NOT list_contains(covered, x))))"
 
 
-@query("g3_visit_summary")
+@query("g3_visit_summary", f"""WITH RECURSIVE {STAYS}, s AS MATERIALIZED (SELECT trip, 'place ' || (part % 12) AS label, sum(least(24.0::DOUBLE, (end_ms - start_ms) / 3600000)) AS hours, count(*) AS photos, list(DISTINCT start_ms // 86400000) AS days, min(start_ms) AS first, CASE WHEN part % 12 = 0 THEN 0 ELSE 1 END AS priority FROM stays GROUP BY trip, part % 12),
+  g AS (SELECT trip, 0 AS n, CAST([] AS VARCHAR[]) AS names, CAST([] AS BIGINT[]) AS covered FROM (SELECT DISTINCT trip FROM s)
+  UNION ALL SELECT trip, n + 1, list_append(names, label), list_concat(covered, days) FROM (SELECT *, row_number() OVER (PARTITION BY trip ORDER BY priority, u DESC, first) AS r FROM (SELECT s.*, g.n, g.names, g.covered, {_USE} AS u FROM g JOIN s ON s.trip = g.trip AND NOT list_contains(g.names, s.label) WHERE g.n < 3)) WHERE r = 1),
+  c AS (SELECT trip, count(*) AS k FROM s GROUP BY trip) SELECT g.trip, names, k - n AS others FROM g JOIN c ON c.trip = g.trip WHERE n = least(3, k)""")
 def g3(spark, d):
     s = stays(spark, d).groupBy("trip", (F.col("part") % 12).alias("k")).agg(F.sum(F.least(F.lit(24.0), (F.col("end_ms") - F.col("start_ms")) / 3_600_000)).alias("hours"), F.count("*").alias("photos"), F.collect_set(F.expr("start_ms div 86400000")).alias("days"), F.min("start_ms").alias("first"))
     s = s.withColumns({"label": F.concat(F.lit("place "), F.col("k").cast("string")), "priority": F.when(F.col("k") == 0, 0).otherwise(1)})

@@ -28,7 +28,7 @@ def _export(spark, d):
     shapes = [
         text('{"startTime": "%s", "endTime": "%s", "visit": {"topCandidate": {"placeName": "place %s", "placeId": "p%s", "placeLocation": {"latLng": "%s°, 5°"}}}}', t, later, k.cast("string"), a, a),
         text('{"startTime": "%s", "endTime": "%s", "activity": {"topCandidate": {"type": "IN_TRAIN", "probability": 0.5}, "distanceMeters": 1200, "start": {"latLng": "%s°, 5°"}, "end": {"latLng": "%s°, 6°"}, "simplifiedRawPath": {"points": [{"latE7": %s, "lngE7": 50000000, "timestamp": "%s"}, {"latE7": %s, "lngE7": 55000000}]}}}', t, later, a, a, e7, later, e7),
-        text('{"placeVisit": {"location": {"latitudeE7": %s, "longitudeE7": 50000000, "name": "old } place \\\\\\"%s\\\\\\""}, "duration": {"startTimestampMs": "%s", "endTimestampMs": "%s"}, "placeConfidence": "HIGH_CONFIDENCE"}}'.replace("\\\\", "\\"), e7, k.cast("string"), t, later),
+        text(r'{"placeVisit": {"location": {"latitudeE7": %s, "longitudeE7": 50000000, "name": "old } place \"%s\""}, "duration": {"startTimestampMs": "%s", "endTimestampMs": "%s"}, "placeConfidence": "HIGH_CONFIDENCE"}}', e7, k.cast("string"), t, later),
         text('{"activitySegment": {"duration": {"startTimestampMs": "%s", "endTimestampMs": "%s"}, "activityType": "FLYING", "distance": 900000, "simplifiedRawPath": {"points": [{"latE7": %s, "lngE7": 10000000}, {"latE7": %s, "lngE7": 20000000}]}}}', t, later, e7, e7),
         text('{"startTime": "%s", "endTime": "%s", "timelinePath": [{"point": "%s°, 5°", "durationMinutesOffsetFromStartTime": 5}, {"point": "%s°, 6°", "time": "%s"}, {"point": "nowhere"}]}', t, later, a, a, later),
         text('{"activitySegment": {"duration": {"startTimestampMs": "%s"}, "activityType": "WALKING", "endLocation": {"latitudeE7": %s, "longitudeE7": 50000000}}}', t, e7),
