@@ -160,10 +160,16 @@ def test_image_features():
 
 def test_paths(spark):
     path = [{"ts_ms": t * 600_000, "lat": 40 + t / 100, "lng": -74.0} for t in range(7)]
-    got = C.slice_path(path, 300_000, 2_100_000)
+    pts = F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in p.items())) for p in path))
+    got = one(spark, C.sliced(pts, F.lit(300_000), F.lit(2_100_000)))
     assert len(got) == 5 and got[0][0] == pytest.approx(40.005, abs=1e-6) and got[-1][0] == pytest.approx(40.035, abs=1e-6)
-    a, b = C.split_path([(40.0, 0.0), (40.1, 0.0), (40.2, 0.0)], (40.1, 0.001), 0.9)
-    assert a[-1] == b[0] == (40.1, 0.0)
+    assert [round(x.lat, 6) for x in one(spark, C.sliced(pts, F.lit(-5), F.lit(600_001)))] == [40.0, 40.01] and len(one(spark, C.sliced(pts, F.lit(9_000_000), F.lit(9_000_001)))) == 2
+    line = F.array(*(F.struct(F.lit(x).alias("lat"), F.lit(0.0).alias("lng")) for x in (40.0, 40.1, 40.2)))
+    cut = one(spark, C.split_at_place(line, F.lit(40.1), F.lit(0.001), F.lit(0.9)))
+    assert cut.before[-1].lat == cut.after[0].lat == 40.1 and len(cut.after) == 2
+    cut = one(spark, C.split_at_place(line, F.lit(0.0), F.lit(0.0), F.lit(0.75)))
+    assert cut.before[-1].lat == cut.after[0].lat == pytest.approx(40.15, abs=1e-6) and len(cut.before) == 3 and len(cut.after) == 2
+    assert len(one(spark, C.split_at_place(line, F.lit(0.0), F.lit(0.0), F.lit(1.0))).after) == 1
     m, v = spark.createDataFrame([(1, 1, 0, 10_000)], "trip int, id int, start_ms bigint, end_ms bigint"), spark.createDataFrame([(1, 2000, 3000), (1, 2500, 2600), (1, 9500, 20_000)], "trip int, b_start bigint, b_end bigint")
     assert sorted((x.piece, x.start_ms, x.end_ms) for x in C.around_stays(m, v).collect()) == [(0, 0, 2000), (1, 3000, 9500)]
 

@@ -8,9 +8,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trekframe.functions.arrays import let, running
 from trekframe.functions.geo import haversine
 
 
@@ -488,39 +489,63 @@ def representative_names(rows: list[dict]) -> list[dict]:
 # P4, P5, A10 ----------------------------------------------------------------------------------
 
 
-def slice_path(path: list[dict], a: int, b: int, least_m: float = 1.0) -> list[tuple[float, float]]:
-    """The part of a timed path from a to b: made-up points at both ends, and the vertices between, over 1 m from the one before."""
-
-    def at(t):
-        for p, q in zip(path, path[1:]):
-            if p["ts_ms"] <= t <= q["ts_ms"]:
-                return position({"start_ms": p["ts_ms"], "end_ms": q["ts_ms"], "lat": p["lat"], "lng": p["lng"], "lat2": q["lat"], "lng2": q["lng"]}, t)
-        return (path[0]["lat"], path[0]["lng"]) if t < path[0]["ts_ms"] else (path[-1]["lat"], path[-1]["lng"])
-
-    out = [at(a)]
-    for p in path:
-        if a < p["ts_ms"] < b and metres(*out[-1], p["lat"], p["lng"]) > least_m:
-            out.append((p["lat"], p["lng"]))
-    end = at(b)
-    return out + [end] if len(out) < 2 or metres(*out[-1], *end) > least_m else [*out[:-1], end]
-
-
-def split_path(path: list[tuple[float, float]], place: tuple[float, float], fraction: float, most_m: float = 3000.0) -> tuple[list, list]:
-    """P5: the path before and after a place: at its nearest vertex within 3 km, else at a share of its length."""
-    far = [metres(*p, *place) for p in path]
-    k = far.index(min(far))
-    if far[k] <= most_m:
-        return path[: k + 1], path[k:]
-    run = [0.0]
-    for p, q in zip(path, path[1:]):
-        run.append(run[-1] + metres(*p, *q))
-    goal = run[-1] * min(1.0, max(0.0, fraction))
-    k = max(i for i, x in enumerate(run) if x <= goal)
-    if k == len(path) - 1:
-        return path, path[-1:]
-    f = (goal - run[k]) / (run[k + 1] - run[k]) if run[k + 1] > run[k] else 0.0
-    mid = tuple(x + (y - x) * f for x, y in zip(path[k], path[k + 1]))
-    return [*path[: k + 1], mid], [mid, *path[k + 1 :]]
+def sliced(points, a, b, least_m: float = 1.0) -> Column:
+    """The part of a timed path from a to b: made-up points at both ends, and the vertices between, over least_m from the one before.
+
+    points: array<struct<ts_ms, lat, lng, ...>> in order of time, not empty.  An
+    end within least_m of the last vertex kept takes its place.
+    """
+    from trekframe.functions.geo import c, distance, slerp
+
+    at = lambda x: F.struct(x["lat"].alias("lat"), x["lng"].alias("lng"))
+
+    def when(p, t):
+        i = F.size(F.filter(p, lambda x: x["ts_ms"] < t))  # vertices before t
+        before, after = F.get(p, i - 1), F.get(p, i)
+        f = (t - before["ts_ms"]) / F.greatest(F.lit(1), after["ts_ms"] - before["ts_ms"])
+        return F.when(i == 0, at(F.get(p, F.lit(0)))).when(i == F.size(p), at(F.element_at(p, -1))).otherwise(slerp(before["lat"], before["lng"], after["lat"], after["lng"], f))
+
+    def cut(p):
+        inner = F.transform(F.filter(p, lambda x: (x["ts_ms"] > c(a)) & (x["ts_ms"] < c(b))), at)
+        return let(F.concat(F.array(when(p, c(a))), inner), lambda q: let(when(p, c(b)), lambda end: closed(q, end)))
+
+    def closed(q, end):
+        last = running(q, F.get(q, F.lit(-1)), lambda k, x: F.when(k.isNull() | (distance(k, x) > least_m), x).otherwise(k))
+        pairs = F.zip_with(q, last, lambda x, k: F.struct(x.alias("x"), (k.isNull() | (distance(k, x) > least_m)).alias("keep")))
+        kept = F.transform(F.filter(pairs, lambda r: r["keep"]), lambda r: r["x"])
+        return let(kept, lambda k: F.when((F.size(k) < 2) | (distance(F.element_at(k, -1), end) > least_m), F.concat(k, F.array(end))).otherwise(F.concat(F.slice(k, 1, F.size(k) - 1), F.array(end))))
+
+    return let(c(points), cut)
+
+
+def split_at_place(points, lat, lng, fraction, most_m: float = 3000.0) -> Column:
+    """P5: struct<before, after>: the path cut at a place: at its nearest vertex within most_m, else at a fraction of its length."""
+    from trekframe.functions.geo import c, haversine
+
+    from .sequence import cumulative
+
+    at = lambda x: F.struct(x["lat"].alias("lat"), x["lng"].alias("lng"))
+    both = lambda x, y: F.struct(x.alias("before"), y.alias("after"))
+    part = lambda p, i, n: F.slice(p, i, n)
+
+    def cut(p):
+        n = F.size(p)
+        far = F.transform(p, lambda x: haversine(x["lat"], x["lng"], lat, lng))
+        return let(far, lambda d: F.when(F.array_min(d) <= most_m, let(F.array_position(d, F.array_min(d)).cast("int"), lambda k: both(part(p, F.lit(1), k), part(p, k, n)))).otherwise(let(cumulative(p), lambda run: by_length(p, n, run))))
+
+    def by_length(p, n, run):
+        goal = F.element_at(run, -1) * F.least(F.lit(1.0), F.greatest(F.lit(0.0), c(fraction)))
+        k = F.size(F.filter(run, lambda x: x <= goal))  # vertices up to the goal
+
+        def middle(i):
+            a, b, u, v = F.get(p, i - 1), F.get(p, i), F.get(run, i - 1), F.get(run, i)
+            f = F.when(v > u, (goal - u) / (v - u)).otherwise(0.0)
+            mid = F.struct((a["lat"] + (b["lat"] - a["lat"]) * f).alias("lat"), (a["lng"] + (b["lng"] - a["lng"]) * f).alias("lng"))
+            return both(F.concat(part(p, F.lit(1), i), F.array(mid)), F.concat(F.array(mid), part(p, i + 1, n)))
+
+        return let(k, lambda i: F.when(i >= n, both(p, part(p, n, F.lit(1)))).otherwise(middle(i)))
+
+    return let(F.transform(c(points), at), cut)
 
 
 def around_stays(moves: DataFrame, stays: DataFrame, least_ms: int = 1000) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from trekframe.functions import geo
+from trekframe.operators import composite as C
 from trekframe.operators import joins as J
 from trekframe.operators import sequence as S
 
@@ -219,3 +220,27 @@ def t9(spark, d):
 @query("t10_newest", "SELECT o_orderkey FROM orders ORDER BY o_orderkey DESC LIMIT 1000")
 def t10(spark, d):
     return read(spark, d, "orders").select("o_orderkey").orderBy(F.desc("o_orderkey")).limit(1000)
+
+
+_A, _Z = "hour * 3600000 + 600000", "hour * 3600000 + 2400000"
+
+
+@query("p4_sliced_paths", f"""WITH {PINGS}, {_TRACK}, n AS (SELECT *, lead(ts_ms) OVER w AS ts2, lead(lat) OVER w AS lat2, lead(lng) OVER w AS lng2, first(lat) OVER w AS lat0, row_number() OVER w AS k FROM t WINDOW w AS (PARTITION BY hour ORDER BY ts_ms, id)),
+  cutat AS (SELECT hour, unnest([0, 1]) AS side, unnest([{_A}, {_Z}]) AS at FROM (SELECT DISTINCT hour FROM t)),
+  ends AS (SELECT c.hour, c.side, c.at, CASE WHEN min(n.ts_ms) >= c.at THEN arg_min(n.lat, n.k) WHEN max(n.ts_ms) < c.at THEN arg_max(n.lat, n.k) ELSE max(n.lat + (n.lat2 - n.lat) * (c.at - n.ts_ms) / greatest(1, n.ts2 - n.ts_ms)) FILTER (n.ts_ms < c.at AND n.ts2 >= c.at) END AS lat,
+    CASE WHEN min(n.ts_ms) >= c.at THEN arg_min(n.lng, n.k) WHEN max(n.ts_ms) < c.at THEN arg_max(n.lng, n.k) ELSE max(n.lng + (n.lng2 - n.lng) * (c.at - n.ts_ms) / greatest(1, n.ts2 - n.ts_ms)) FILTER (n.ts_ms < c.at AND n.ts2 >= c.at) END AS lng FROM cutat c JOIN n ON n.hour = c.hour GROUP BY c.hour, c.side, c.at),
+  v AS (SELECT hour, side AS g, 0 AS k, lat, lng FROM ends WHERE side = 0 UNION ALL SELECT hour, 1, k, lat, lng FROM n WHERE ts_ms > {_A} AND ts_ms < {_Z} UNION ALL SELECT hour, 2, 0, lat, lng FROM ends WHERE side = 1),
+  s AS (SELECT *, {hav('lag(lat) OVER w', 'lag(lng) OVER w', 'lat', 'lng')} AS step FROM v WINDOW w AS (PARTITION BY hour ORDER BY g, k))
+  SELECT hour, CAST(greatest(2, count(*) FILTER (step IS NULL OR step > 1)) AS INT) AS n_points, round(max(lat) FILTER (g = 0), 3) AS first_lat, round(max(lat) FILTER (g = 2), 3) AS last_lat FROM s GROUP BY hour""")
+def p4(spark, d):
+    """From the tenth to the fortieth minute of each hour's track."""
+    t = tracks(spark, d).withColumn("cut", C.sliced("points", F.expr(_A), F.expr(_Z)))
+    return t.select("hour", F.size("cut").alias("n_points"), F.round(F.get("cut", F.lit(0))["lat"], 3).alias("first_lat"), F.round(F.element_at("cut", -1)["lat"], 3).alias("last_lat"))
+
+
+@query("p5_split_paths", f"""WITH {PINGS}, {_TRACK}, s AS (SELECT *, {hav('lat', 'lng', '40.5', '-73.9999')} AS far, coalesce({hav('lag(lat) OVER w', 'lag(lng) OVER w', 'lat', 'lng')}, 0) AS step, row_number() OVER w AS k FROM t WINDOW w AS (PARTITION BY hour ORDER BY ts_ms, id)), r AS (SELECT *, sum(step) OVER (PARTITION BY hour ORDER BY k) AS run FROM s),
+  h AS (SELECT hour, count(*) AS n, min(far) AS near, arg_min(k, (far, k)) AS pos, max(run) AS total FROM r GROUP BY hour), c AS (SELECT h.*, (SELECT count(*) FROM r WHERE r.hour = h.hour AND r.run <= h.total * 0.37::DOUBLE) AS k FROM h)
+  SELECT hour, CAST(CASE WHEN near <= 3000 THEN pos WHEN k >= n THEN n ELSE k + 1 END AS INT) AS n_before, CAST(CASE WHEN near <= 3000 THEN n - pos + 1 WHEN k >= n THEN 1 ELSE n - k + 1 END AS INT) AS n_after FROM c""")
+def p5(spark, d):
+    t = tracks(spark, d).withColumn("cut", C.split_at_place("points", F.lit(40.5), F.lit(-73.9999), F.lit(0.37)))
+    return t.select("hour", F.size("cut.before").alias("n_before"), F.size("cut.after").alias("n_after"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from trekframe.operators import composite as C
+from trekframe.operators import compress as CS
 from trekframe.operators import story as ST
 
 from .base import PINGS, STAYS, hav, pings, query, read, stays
@@ -82,3 +82,53 @@ def a13(spark, d):
     w = Window.partitionBy("trip").orderBy("k")
     back = s.withColumn("b", F.coalesce((F.lag("id").over(w) == F.col("id")) & (F.lag("progress").over(w) > F.col("progress")), F.lit(False)))
     return back.groupBy("trip").agg(F.count("*").alias("samples"), F.count_distinct("id").alias("episodes"), F.count_if("b").alias("backwards"), F.count_if(~F.col("progress").between(0, 1)).alias("outside"), F.round(F.sum("progress"), 4).alias("progress"))
+
+
+def story_items(spark, d):
+    """Stays and movements of a trip a year, with photos, pins and names set by users."""
+    s, k = stays(spark, d), F.col("part")
+    return s.select((F.col("trip") * 10_000 + F.expr("start_ms div 31557600000")).alias("trip"), (F.col("id") * 1_000_000 + k).alias("id"), F.when(F.col("mode").isin("WALK", "UNKNOWN"), "VISIT").otherwise("MOVE").alias("kind"), "start_ms", "end_ms", "mode", "metres", (k % 4).alias("photos"), (k % 40 == 3).alias("pinned"), (k % 60 == 7).alias("is_override"))
+
+
+_ITEMS = f"""{STAYS}, item AS (SELECT trip * 10000 + start_ms // 31557600000 AS trip, id * 1000000 + part AS id, mode IN ('WALK', 'UNKNOWN') AS stay, start_ms, end_ms, mode, metres, part % 4 AS photos, part % 40 = 3 AS pinned, part % 60 = 7 AS own FROM stays),
+  st AS (SELECT trip, count(*) FILTER (stay) AS nv, count(*) FILTER (NOT stay) AS nm, coalesce(sum(metres) FILTER (NOT stay), 0) / 1000 AS km, coalesce(min(start_ms) FILTER (stay), min(start_ms)) AS a, coalesce(arg_max(end_ms, (start_ms, end_ms, id)) FILTER (stay), arg_max(end_ms, (start_ms, end_ms, id))) AS b FROM item GROUP BY trip),
+  d AS (SELECT *, greatest(1, (b - a) // 86400000 + 1) AS days FROM st),
+  tg AS (SELECT trip, nv, nm, CASE WHEN days >= 3 THEN least(150.0::DOUBLE, greatest(90.0::DOUBLE, days * 14.0::DOUBLE * 0.45::DOUBLE + least(40, nv) * 3.2::DOUBLE * 0.35::DOUBLE + least(40, nm) * 3.8::DOUBLE * 0.3::DOUBLE + least(40.0::DOUBLE, km / 300))) ELSE least(90.0::DOUBLE, greatest(30.0::DOUBLE, days * 14.0::DOUBLE * 0.4::DOUBLE + least(40, nv) * 3.2::DOUBLE * 0.35::DOUBLE + least(40, nm) * 3.8::DOUBLE * 0.25::DOUBLE + least(40.0::DOUBLE, km / 300))) END AS target FROM d),
+  i1 AS (SELECT item.*, nv, nm, target, row_number() OVER (PARTITION BY item.trip, stay ORDER BY start_ms, end_ms, id) AS n FROM item JOIN tg ON tg.trip = item.trip),
+  v1 AS (SELECT *, CASE WHEN n = 1 OR n = nv THEN 0 WHEN pinned OR own THEN 1 WHEN photos > 0 THEN 2 ELSE 3 END AS p FROM i1 WHERE stay), v2 AS (SELECT *, row_number() OVER (PARTITION BY trip ORDER BY p, CASE WHEN p = 3 THEN start_ms - end_ms ELSE 0 END, n) AS r FROM v1),
+  m2 AS (SELECT *, row_number() OVER (PARTITION BY trip ORDER BY n = 1 OR n = nm DESC, CASE WHEN n = 1 OR n = nm THEN 0 WHEN mode = 'AIRPLANE' THEN 1 ELSE 2 END, CASE WHEN n = 1 OR n = nm THEN false ELSE own END DESC, CASE WHEN n = 1 OR n = nm THEN 0 ELSE -metres END, n) AS r FROM i1 WHERE NOT stay),
+  kept AS (SELECT trip, id, start_ms, end_ms, target, CASE WHEN photos > 1 THEN 3.5 WHEN photos > 0 THEN 3.0 WHEN end_ms - start_ms >= 3600000 OR own THEN 2.5 ELSE 1.5 END::DOUBLE AS base, CASE WHEN photos > 1 THEN 2.0 WHEN photos > 0 THEN 1.5 WHEN end_ms - start_ms >= 3600000 OR own THEN 1.2 ELSE 0.8 END::DOUBLE AS low FROM v2 WHERE nv <= 10 OR r <= least(40, greatest(6, floor(target / 3)))
+    UNION ALL SELECT trip, id, start_ms, end_ms, target, CASE mode WHEN 'AIRPLANE' THEN 5.5 WHEN 'TRAIN' THEN 4.0 ELSE 3.5 END::DOUBLE, CASE mode WHEN 'AIRPLANE' THEN 3.5 WHEN 'TRAIN' THEN 2.5 ELSE 2.0 END::DOUBLE FROM m2 WHERE nm <= 12 OR r <= least(45, greatest(6, floor(target / 2.5)))),
+  sc AS (SELECT *, target / sum(base) OVER (PARTITION BY trip) AS f FROM kept), sec AS (SELECT trip, id, start_ms, end_ms, greatest(low * least(1.0::DOUBLE, f), base * f) AS seconds, row_number() OVER (PARTITION BY trip ORDER BY start_ms, end_ms, id) AS k FROM sc)"""
+_STORY = f"""WITH RECURSIVE {_ITEMS}, g AS (SELECT trip, k, id, seconds, start_ms AS s, greatest(start_ms + 1000, end_ms) AS e, 0::DOUBLE AS t0 FROM sec WHERE k = 1
+  UNION ALL SELECT x.trip, x.k, x.id, x.seconds, greatest(x.start_ms, g.e), greatest(greatest(x.start_ms, g.e) + 1000, x.end_ms), g.t0 + g.seconds FROM g JOIN sec x ON x.trip = g.trip AND x.k = g.k + 1)"""
+
+
+@query("t7_a14_compressed_story", f"{_STORY} SELECT trip, id, s AS start_ms, e AS end_ms, round(seconds, 4) AS seconds, round(t0, 4) AS story_start FROM g")
+def t7(spark, d):
+    s = CS.compressed_story(story_items(spark, d))
+    return s.select("trip", "id", "start_ms", "end_ms", F.round("seconds", 4).alias("seconds"), F.round("story_start", 4).alias("story_start"))
+
+
+@query("a14_evaluate", f"""{_STORY}, tot AS (SELECT trip, sum(seconds) AS total FROM g GROUP BY trip), smp AS (SELECT g.*, k2, total FROM g JOIN tot ON tot.trip = g.trip, range(20) r(k2) WHERE k2 >= round(t0 / (total / 20), 6) AND k2 < round((t0 + seconds) / (total / 20), 6))
+  SELECT trip, CAST(k2 AS INT) AS k, id, CAST(floor(greatest(0.0, least(1.0, (k2 * total / 20 - t0) / seconds)) * 1000 + 1e-6) AS BIGINT) AS permille, CAST(floor((s + (e - s) * greatest(0.0, least(1.0, (k2 * total / 20 - t0) / seconds))) / 60000 + 1e-6) AS BIGINT) AS minute FROM smp""")
+def a14(spark, d):
+    """The node, its progress and the trip's time at evenly spaced story times; each node makes its own samples."""
+    s = CS.compressed_story(story_items(spark, d)).withColumn("step", F.col("total") / 20)
+    a, b = F.ceil(F.round(F.col("story_start") / F.col("step"), 6)), F.ceil(F.round((F.col("story_start") + F.col("seconds")) / F.col("step"), 6)) - 1
+    s = s.where(b >= a).withColumn("k", F.explode(F.sequence(a.cast("int"), F.least(F.lit(19), b.cast("int"))))).where("k <= 19")
+    p = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("k") * F.col("step") - F.col("story_start")) / F.col("seconds")))
+    return s.select("trip", "k", "id", F.floor(p * 1000 + 1e-6).alias("permille"), F.floor((F.col("start_ms") + (F.col("end_ms") - F.col("start_ms")) * p) / 60_000 + 1e-6).alias("minute"))
+
+
+@query("t8_label_placement", """WITH RECURSIVE l AS (SELECT user_id AS frame, event_id AS id, event_id * 31 % 1000 AS pr, (event_id * 37 % 1000)::DOUBLE AS x, (event_id * 53 % 700)::DOUBLE AS y, CASE event_id % 5 WHEN 0 THEN 'Near city ' || event_id % 3 WHEN 1 THEN ' ' ELSE 'stop ' || event_id % 50 END AS txt FROM events),
+  b AS (SELECT frame, id, txt, CASE WHEN x + w > 984 THEN x - w - 12 ELSE x + 14 END AS x0, y - 13 AS y0, w, row_number() OVER (PARTITION BY frame ORDER BY pr DESC, id) AS r FROM (SELECT *, length(txt) * 9.0::DOUBLE + 16 AS w FROM l) WHERE trim(txt) <> ''),
+  g AS (SELECT frame, 0::BIGINT AS r, NULL::BIGINT AS id, [] ::STRUCT(x0 DOUBLE, y0 DOUBLE, x1 DOUBLE, y1 DOUBLE, t VARCHAR)[] AS placed FROM (SELECT DISTINCT frame FROM b)
+  UNION ALL SELECT frame, r, CASE WHEN fits THEN id END, CASE WHEN fits THEN list_append(placed, struct_pack(x0 := x0, y0 := y0, x1 := x0 + w, y1 := y0 + 34, t := txt)) ELSE placed END FROM (
+    SELECT b.*, g.placed, b.x0 >= 0 AND b.y0 >= 0 AND b.x0 + b.w <= 1000 AND b.y0 + 34 <= 700 AND len(list_filter(g.placed, lambda q: (q.x0 < b.x0 + b.w AND b.x0 < q.x1 AND q.y0 < b.y0 + 34 AND b.y0 < q.y1) OR (starts_with(b.txt, 'Near') AND q.t = b.txt))) = 0 AS fits FROM g JOIN b ON b.frame = g.frame AND b.r = g.r + 1))
+  SELECT g.frame, g.id, b.x0, b.y0 FROM g JOIN b ON b.frame = g.frame AND b.id = g.id""")
+def t8(spark, d):
+    k = F.col("event_id")
+    text = F.when(k % 5 == 0, F.concat(F.lit("Near city "), (k % 3).cast("string"))).when(k % 5 == 1, " ").otherwise(F.concat(F.lit("stop "), (k % 50).cast("string")))
+    l = read(spark, d, "events").select(F.col("user_id").alias("frame"), k.alias("id"), text.alias("text"), (k * 31 % 1000).alias("priority"), (k * 37 % 1000).cast("double").alias("x"), (k * 53 % 700).cast("double").alias("y"))
+    return CS.placed_labels(l.withColumn("text_width", F.length("text") * 9.0), 1000.0, 700.0).select("frame", "id", "x0", "y0")
