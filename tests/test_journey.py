@@ -21,6 +21,7 @@ from trekframe.operators import joins as J
 from trekframe.operators import sequence as S
 from trekframe.operators.classify import transport
 from trekframe.plans import registry
+from trekframe.sources import basemap as BM
 from trekframe.sources import store as K
 from trekframe.sources import timeline as TL
 
@@ -281,10 +282,14 @@ def test_timeline(spark, tmp_path):
 
 
 def test_ring_files(spark, tmp_path):
-    ring = [0.0, 0.0, 1.0, 0.0, 1.0, 1.0]
-    data = b"MAP3" + struct.pack(">iii", 1, 1, 3) + struct.pack(">6f", *ring)
-    got = TL.packed_rings(spark.createDataFrame([("a", bytearray(data))], "path string, content binary")).orderBy("n").collect()
-    assert [(r.x, r.y) for r in got] == [(0, 0), (1, 0), (1, 1)]
+    ring = [(0.5, 0.25), (0.75, 0.25), (0.75, 0.5)]
+    section = BM.packed_section([{"name": "é", "type": "lake", "rings": [ring]}], [{"name": "r", "type": "ROAD", "points": [(0.99, 0.5), (0.01, 0.5)]}], [{"name": "p", "x": 0.5, "y": 0.5, "rank": 3}])
+    data = b"MAP3" + struct.pack(">i", 1) + section + BM.packed_section([], [], [])
+    got = BM.packed_features(spark.createDataFrame([("a", bytearray(data))], "path string, content binary")).collect()
+    assert [(r.x, r.y) for r in got if r.kind == "polygon"] == ring and {(r.name, r.type) for r in got if r.kind == "polygon"} == {("é", "lake")}
+    assert [round(r.x, 2) for r in got if r.kind == "line"] == [0.99, 1.01] and [r.rank for r in got if r.kind == "place"] == [3]
+    with pytest.raises(ValueError):
+        list(BM.unpacked(b"MAP2" + data[4:]))
     (tmp_path / "g.json").write_text(json.dumps({"features": [{"properties": {"name": "A"}, "geometry": {"type": "Polygon", "coordinates": [[[0, 0], [1, 0], [1, 1]], [[0, 0], [1, 1]]]}}]}))
     assert TL.geojson_rings(spark, str(tmp_path / "g.json")).count() == 3
 

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from trekframe.sources import basemap as BM
 from trekframe.sources import store as K
 from trekframe.sources import timeline as TL
 
@@ -172,3 +173,49 @@ def f16(spark, d):
 def f2(spark, d):
     o = read(spark, d, "orders")
     return o.where((F.col("o_orderstatus") != "F") & F.col("o_orderdate").between(F.lit("1996-01-01").cast("timestamp_ntz"), F.lit("1996-12-31").cast("timestamp_ntz"))).select("o_orderkey")
+
+
+@query("s16_geojson_features", """WITH k AS (SELECT n_nationkey::DOUBLE AS k, n_name AS name FROM nation)
+  SELECT 'polygon' AS kind, name, 'land' AS type, 0 AS part, 4 AS n, round(k + 0.12347, 4) AS x, k AS y, NULL::INT AS rank FROM k UNION ALL SELECT 'polygon', 'Land', 'land', p, 3, k + p, k, NULL FROM k, range(2) r(p)
+  UNION ALL SELECT 'line', 'road', 'ROAD', 0, 3, k, k, NULL FROM k UNION ALL SELECT 'line', 'E' || CAST(k AS INT), 'ROAD', p, 2, k + p, k, NULL FROM k, range(2) r(p)
+  UNION ALL SELECT 'place', name, NULL, NULL, NULL, k, k, CAST(CASE WHEN k % 2 = 0 THEN k ELSE 5 END AS INT) FROM k""")
+def s16(spark, d):
+    """One document a nation with outlines, lines and places of every kind; short rings, short lines and places without a name go."""
+    k = F.col("n_nationkey").cast("double")
+    n = lambda x: F.round(x, 6).cast("string")
+    point = lambda x, y: F.concat(F.lit("["), n(x), F.lit(","), n(y), F.lit("]"))
+    many = lambda *items: F.concat(F.lit("["), F.concat_ws(",", *items), F.lit("]"))
+    feature = lambda props, kind, coordinates: F.concat(F.lit('{"properties": '), props, F.lit(f', "geometry": {{"type": "{kind}", "coordinates": '), coordinates, F.lit("}}"))
+    square = many(point(k + 0.12347, k), point(k + 1, k), point(k + 1, k + 1), point(k, k + 1))
+    triangle = lambda i: many(point(k + i, k), point(k + i + 1, k), point(k + i, k + 1))
+    named = F.concat(F.lit('{"name": "'), "n_name", F.when(k % 2 == 0, F.concat(F.lit('", "scalerank": '), k.cast("int").cast("string"), F.lit("}"))).otherwise('"}'))
+    document = many(
+        feature(named, "Polygon", many(square, many(point(k, k), point(k, k)))), feature(F.lit("{}"), "MultiPolygon", many(many(triangle(0)), many(triangle(1)))), feature(F.lit('{"name": "", "featurecla": "road"}'), "LineString", many(point(k, k), point(k + 1, k), point(k + 1, k + 1))),
+        feature(F.concat(F.lit('{"name_en": "E'), k.cast("int").cast("string"), F.lit('"}')), "MultiLineString", many(many(point(k, k), point(k, k + 1)), many(point(k + 1, k), point(k, k + 1)), many(point(k, k)))), feature(named, "Point", point(k, k)), feature(F.lit("{}"), "Point", point(k, k)),
+        F.lit('{"properties": {"name": "nowhere"}, "geometry": null}'),
+    )
+    out = folder(spark)
+    read(spark, d, "nation").select("n_nationkey", F.concat(F.lit('{"features": '), document, F.lit("}")).alias("value")).repartition("n_nationkey").write.partitionBy("n_nationkey").text(out)
+    none = lambda t: F.lit(None).cast(t)
+    p = BM.geojson_polygons(spark, out, "land").select(F.lit("polygon").alias("kind"), "name", "type", F.col("polygon").alias("part"), F.get("rings", F.lit(0)).alias("points"))
+    lines = BM.geojson_lines(spark, out, "ROAD").select(F.lit("line").alias("kind"), "name", "type", F.col("line").alias("part"), "points")
+    both = p.unionByName(lines).select("kind", "name", "type", "part", F.size("points").alias("n"), F.get("points", F.lit(0))["x"].alias("x"), F.get("points", F.lit(0))["y"].alias("y"), none("int").alias("rank"))
+    places = BM.geojson_places(spark, out).where("name <> ''").select(F.lit("place").alias("kind"), "name", none("string").alias("type"), none("int").alias("part"), none("int").alias("n"), F.col("lng").alias("x"), F.col("lat").alias("y"), "rank")
+    return both.unionByName(places)
+
+
+_MERC = "round(CAST(CAST(0.5 - ln(tan(radians({y}) / 2 + pi() / 4)) / (2 * pi()) AS FLOAT) AS DOUBLE), 5)"
+
+
+@query("s13_k12_packed_maps", f"""WITH k AS (SELECT n_regionkey AS r, n_nationkey AS f, n_name AS name, n_nationkey::DOUBLE AS k FROM nation), f AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY f) - 1 AS i FROM k),
+  q AS (SELECT r AS map, 0 AS section, 'polygon' AS kind, i, name, CASE WHEN f % 2 = 0 THEN 'lake' ELSE 'land' END AS type, 0 AS ring, n, k + n % 2 AS lng, k + n // 2 AS lat, NULL::INT AS rank FROM f, range(3) t(n)
+    UNION ALL SELECT r, 1, 'line', i, name, 'ROAD', 0, n, k + n, k, NULL FROM f, range(2) t(n) UNION ALL SELECT r, 1, 'place', i, name, NULL, NULL, 0, k, k, CAST(f % 4 AS INT) FROM f)
+  SELECT CAST(map AS VARCHAR) AS map, section, kind, CAST(i AS INT) AS feature, name, type, CAST(ring AS INT) AS ring, CAST(n AS INT) AS n, round(CAST(CAST((lng + 180) / 360 AS FLOAT) AS DOUBLE), 5) AS x, {_MERC.format(y='lat')} AS y, rank FROM q""")
+def s13(spark, d):
+    """A packed map for each region, written and read again."""
+    k, n = F.col("n_nationkey"), F.col("n")
+    rows = read(spark, d, "nation").select(F.col("n_regionkey").cast("string").alias("map"), "n_nationkey", F.col("n_name").alias("name"))
+    shape = lambda section, kind, kind_of, size, lng, lat, rank: rows.select("map", F.lit(section).alias("section"), F.lit(kind).alias("kind"), k.cast("int").alias("feature"), "name", kind_of.alias("type"), F.lit(0).alias("ring"), "n_nationkey", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("n")).select("map", "section", "kind", "feature", "name", "type", "ring", "n", lng.cast("double").alias("lng"), lat.cast("double").alias("lat"), rank.cast("int").alias("rank"))
+    all_ = shape(0, "polygon", F.when(k % 2 == 0, "lake").otherwise("land"), 3, k + n % 2, k + F.floor(n / 2), F.lit(None)).unionByName(shape(1, "line", F.lit("ROAD"), 2, k + n, k, F.lit(None))).unionByName(shape(1, "place", F.lit(None).cast("string"), 1, k, k, k % 4))
+    files = BM.packed_maps(all_).select(F.col("map").alias("path"), "content")
+    return BM.packed_features(files).select(F.col("path").alias("map"), "section", "kind", "feature", "name", "type", "ring", "n", F.round("x", 5).alias("x"), F.round("y", 5).alias("y"), "rank")

@@ -265,29 +265,6 @@ def geojson_rings(spark: SparkSession, path: str) -> DataFrame:
     return rings.select("name", "ring", F.posexplode("points").alias("n", "p")).select("name", "ring", "n", F.col("p")[0].alias("x"), F.col("p")[1].alias("y"))
 
 
-def packed_rings(files: DataFrame) -> DataFrame:
-    """Big-endian files of a magic word, a version, and rings of float pairs; files(path, content)."""
-    import struct
-
-    import pandas as pd
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            rows = []
-            for path, data in zip(part["path"], part["content"]):
-                if data[:4] != b"MAP3" or struct.unpack(">i", data[4:8])[0] != 1:
-                    raise ValueError(f"{path}: not a version 1 ring file")
-                n, at = struct.unpack(">i", data[8:12])[0], 12
-                for ring in range(n):
-                    size = struct.unpack(">i", data[at : at + 4])[0]
-                    xy = struct.unpack(f">{2 * size}f", data[at + 4 : at + 4 + 8 * size])
-                    at += 4 + 8 * size
-                    rows += [(path, ring, k, xy[2 * k], xy[2 * k + 1]) for k in range(size)]
-            yield pd.DataFrame(rows, columns=["path", "ring", "n", "x", "y"])
-
-    return files.select("path", "content").mapInPandas(run, "path string, ring int, n int, x double, y double")
-
-
 def restore_archive(texts: DataFrame, cap: int = 32 << 20) -> DataFrame:
     """archives(text): what passes the size cap, format and version, and the constraints; ok says whether."""
     schema = "format string, version int, trip struct<id: string, title: string, visits: array<struct<id: string, start_ms: bigint, end_ms: bigint, lat: double, lng: double>>>"
