@@ -233,6 +233,14 @@ def test_near_dedup_of_rows_without_id(spark):
     assert sorted(kept, key=str) == sorted([(None, a), (None, b), (7, c), (8, d), (None, "")], key=str)
 
 
+def test_near_dedup_of_repeated_ids(spark):
+    """Different texts under one id each keep a row; of equal texts under one id one stays."""
+    a, b, c = (" ".join(f"{w}{i}" for i in range(60)) for w in "abc")
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in [(1, a), (1, b), (1, b), (1, a), (2, c), (2, c), (3, c), (0, a)]], DOCS)
+    got = sorted((r.doc_id, r.text[0]) for r in simhash.near_dedup(df).collect())
+    assert got == [(0, "a"), (1, "b"), (2, "c")]
+
+
 def test_simhash_chunks_of_large_keys_lose_nothing(spark):
     centre = 0x0123456789ABCDEF
     values = {centre} | {centre ^ (1 << a) ^ (1 << b) ^ (1 << c) for a, b, c in (RND.sample(range(64), 3) for _ in range(300))} | {RND.getrandbits(64) for _ in range(200)}

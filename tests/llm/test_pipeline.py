@@ -40,3 +40,33 @@ def test_pipeline_stages(spark, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "near_dedup", "decontaminate", "personal_data", "byte_bpe"]
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs.limit(0), str(tmp_path)).columns == docs.columns
+
+
+def test_pipeline_odd_rows(spark, tmp_path):
+    """Nulls in any column, empty texts, repeated rows, ties and clashing columns pass every stage."""
+    import corpus_pipeline
+
+    r = T.random.Random(2)
+    word = lambda: "".join(r.choices("abcdefghij", k=5))
+    texts = [" ".join(word() for _ in range(40)) for _ in range(30)]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)] + [(3, texts[3], "en", "s", 1), (None, texts[4], None, None, None), (None, " ".join(word() for _ in range(40)), None, "s", 0), (None, None, None, None, None), (50, "", "en", "s", 0), (51, "mail a@b.co " + texts[5][:90], "en", None, None)]
+    docs = spark.createDataFrame(rows, T.DOCS).withColumns({c: T.F.lit("clash") for c in ("text_", "component", "fp", "__id", "__rows", "spans", "base", "row", "doc", "k", "share", "score", "held_out", "n_hit", "contaminated")})
+    spark.createDataFrame([(None, None), (1, ""), (None, "never found here at all")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        kept[name] = out.collect()
+    assert len(kept["language_id"]) == len(rows) - 2 and len(kept["decontaminate"]) == len(rows) == len(kept["personal_data"])
+    assert len(kept["near_dedup"]) == 30 + 1 + 1 + 1  # one of each text; 50 stands for those without one
+    assert sum("[EMAIL]" in (x.text or "") for x in kept["personal_data"]) == 1
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    assert len(last) == len(rows) and all(x.n_tokens == 0 for x in last if x.decoded_sha256 == hashlib.sha256(b"").hexdigest())
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    T.empty(spark).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

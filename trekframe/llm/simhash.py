@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, slices, small_batches, stored
+from .common import components, free, slices, small_batches, stored
 
 
 def fingerprint(text: bytes | None, shingle: int = 4) -> int:
@@ -156,21 +156,23 @@ def near_components(docs: DataFrame, shingle: int = 4, max_diff: int = 4) -> Dat
 
 
 def near_dedup(docs: DataFrame, shingle: int = 4, max_diff: int = 4) -> DataFrame:
-    """The rows of docs that stand for their component: those whose doc_id is its least, one row of each.
+    """The rows of docs that stand for their component: one of each, with its least doc_id.
 
-    Rows without an id stand for a component only where all of it has none: one
-    row, of the text with the least hash.
+    Where several rows have that id, the one whose text has the least hash stands
+    for it.  Rows without an id stand for a component only where all of it has
+    none.
     """
     rows, to = _classes(docs, shingle, max_diff)
-    kept = rows.join(to, "fp").where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("__rows")).select(F.col("doc_id").alias("__id"), "__rows")
-    found = docs.join(kept, F.col("doc_id") == F.col("__id"))
-    once = found.where("__rows = 1").drop("__id", "__rows")
-    # repeated rows of one id are rare; only they are compared
-    again = found.where("__rows > 1").drop("__id", "__rows").dropDuplicates(["doc_id"])
-    out = once.unionByName(again)
-    if rows.where("doc_id IS NULL").isEmpty():
-        return out
-    unnamed = docs.where("doc_id IS NULL").withColumn("__text", F.xxhash64("text"))
-    fps = fingerprints(unnamed.select(F.col("__text").alias("doc_id"), "text"), shingle).select(F.col("doc_id").alias("__text"), "fp")
-    stands = fps.join(to.where("component_id IS NULL"), "fp").groupBy("component").agg(F.min("__text").alias("__text")).select("__text")
-    return out.unionByName(unnamed.join(stands, "__text").dropDuplicates(["__text"]).drop("__text"))
+    id_, n, hash_ = (free(docs.columns, x) for x in ("__id", "__rows", "__text"))
+    kept = rows.join(to, "fp").where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias(n)).select(F.col("doc_id").alias(id_), n)
+    found = docs.join(kept, F.col("doc_id") == F.col(id_))
+    once = found.where(F.col(n) == 1).drop(id_, n)
+    # rows whose id is repeated or null are rare; only they are told apart by their texts
+    rest = found.where(F.col(n) > 1).drop(id_, n)
+    if not rows.where("doc_id IS NULL").isEmpty():
+        rest = rest.unionByName(docs.where("doc_id IS NULL"))
+    rest = rest.withColumn(hash_, F.xxhash64("text"))
+    fps = fingerprints(rest.select(F.col(hash_).alias("doc_id"), "text"), shingle).select(F.col("doc_id").alias(hash_), "fp")
+    best = fps.join(to, "fp").groupBy("component", F.col("component_id").alias(id_)).agg(F.min(hash_).alias(n)).select(id_, n)
+    stands = rest.join(best, (F.col(hash_) == F.col(n)) & F.col("doc_id").eqNullSafe(F.col(id_))).dropDuplicates(["doc_id", hash_])
+    return once.unionByName(stands.drop(id_, n, hash_))
