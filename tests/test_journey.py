@@ -133,11 +133,48 @@ def test_canonical_moves():
     a = MOVE | {"id": 1, "start_ms": 0, "end_ms": 3_600_000}
     nested = MOVE | {"id": 2, "start_ms": 600_000, "end_ms": 1_200_000, "lat": 45.0, "lat2": 45.1}
     assert [(x["id"], x["start_ms"], x["end_ms"]) for x in C.canonical_moves([nested, a])] == [(1, 0, 3_600_000)]
-    after = MOVE | {"id": 3, "start_ms": 3_000_000, "end_ms": 7_200_000, "lat": C.position(a, 3_600_000)[0], "lat2": 40.3}
+    after = MOVE | {"id": 3, "start_ms": 3_000_000, "end_ms": 7_200_000, "lat": C.position(C.track(a), 3_600_000)[0], "lat2": 40.3}
     got = C.canonical_moves([a, after])
     assert got[0]["end_ms"] <= got[-1]["start_ms"] and {x["id"] for x in got} <= {1, 3}
 
 
+def test_canonical_moves_against_all_paths():
+    """The choice scores as much as the best of all sequences of candidates, whose steps stay within 1500 m."""
+    from itertools import product
+
+    r = random.Random(6)
+    for _ in range(60):
+        rows = []
+        for i in range(4):
+            s = r.randint(0, 20) * 60_000
+            e = s + r.randint(1, 30) * 60_000
+            path = [{"ts_ms": s + (e - s) * k // 3 if i % 2 else None, "lat": 40 + r.random() / 50, "lng": -74.0} for k in range(4)] if r.random() < 0.7 else None
+            rows.append(MOVE | {"id": i, "start_ms": s, "end_ms": e, "mode": r.choice(["CAR", "BUS"]), "confidence": r.random(), "provenance": r.choice(list(C.GEOMETRY)), "path": path, "is_override": r.random() < 0.2, "lat2": 40.005})
+        edges = sorted({t for s in rows for t in (s["start_ms"], s["end_ms"])})
+        steps = [(a, b, on) for a, b in zip(edges, edges[1:]) if (on := [s for s in rows if s["start_ms"] <= a and b <= s["end_ms"]])]
+        tracks = {s["id"]: C.track(s) for s in rows}
+        far = lambda p, q, t: C.metres(*C.position(tracks[p["id"]], t), *C.position(tracks[q["id"]], t))  # noqa: B023, E731
+
+        def score(way):
+            total = sum(C._worth(s, a, b) for s, (a, b, _) in zip(way, steps))  # noqa: B023
+            for p, q, (a, _, _) in zip(way, way[1:], steps[1:]):  # noqa: B023
+                if p["id"] != q["id"]:
+                    total -= (15 if p["mode"] == q["mode"] else 40) + 0.05 * far(p, q, a) if far(p, q, a) <= 1500 else np.inf  # noqa: B023
+            return total
+
+        ways = list(product(*(on for *_, on in steps)))
+        best = max(map(score, ways))
+        got = C.canonical_moves(rows)
+        assert all(p["end_ms"] <= q["start_ms"] for p, q in zip(got, got[1:])) and sum(s["end_ms"] - s["start_ms"] for s in got) == sum(b - a for a, b, _ in steps)
+        chosen = [next(rows[g["id"]] for g in got if g["start_ms"] <= a and b <= g["end_ms"]) for a, b, _ in steps]
+        jump = lambda way: any(p["id"] != q["id"] and far(p, q, a) > 500 for p, q, (a, _, _) in zip(way, way[1:], steps[1:]))  # noqa: B023, E731
+        if best > -np.inf and not any(jump(w) for w in ways if score(w) > best - 1e-9):
+            assert score(chosen) == pytest.approx(best)
+        for g in got:
+            if g.get("path"):
+                assert g["path"][0]["ts_ms"] == g["start_ms"] and g["path"][-1]["ts_ms"] == g["end_ms"]
+
+
 def test_photo_kernels():
     p = {"parent": 1, "lat": 40.0, "lng": 1.0, "hash": 5, "color": [0.1] * 8}
     rows = [p | {"id": i, "ts_ms": i * 2000} for i in range(50)]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -185,7 +186,7 @@ STAY = "trip bigint, island bigint, id bigint, name string, place_id string, lat
 def _grouped(df: DataFrame, by: list[str], kernel, schema: str) -> DataFrame:
     """kernel over each group's rows.  Groups stream through sorted partitions, so many small ones share a batch."""
     fields = [x.split(" ", 1) for x in schema.split(", ")]
-    kinds = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
+    kinds = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string()), PATH: pa.list_(pa.struct([("ts_ms", pa.int64()), ("lat", pa.float64()), ("lng", pa.float64())]))}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def packed(rows: list[dict]) -> pa.RecordBatch:
@@ -228,24 +229,62 @@ def canonicalise_stays(visits: DataFrame) -> DataFrame:
 
 #: Worth of a movement's geometry by its origin.
 GEOMETRY = {"OBSERVED": 100.0, "SIMPLIFIED_OBSERVED": 80.0, "ESTIMATED_GEODESIC": 60.0, "ENDPOINT_INTERPOLATED": 30.0, "CONTINUITY_ESTIMATE": 20.0, "UNKNOWN": 10.0}
-MOVE = "trip bigint, island bigint, id bigint, mode string, lat double, lng double, lat2 double, lng2 double, start_ms bigint, end_ms bigint, confidence double, provenance string, sliced boolean"
-
-
-def position(s: dict, t: int) -> tuple[float, float]:
-    """Where a movement is at a time, along the great circle of its ends."""
-    f = min(1.0, max(0.0, (t - s["start_ms"]) / max(1, s["end_ms"] - s["start_ms"])))
-    a, b = (s["lat"], s["lng"]), (s["lat2"], s["lng2"])
+PATH = "array<struct<ts_ms:bigint,lat:double,lng:double>>"
+MOVE = f"trip bigint, island bigint, id bigint, mode string, lat double, lng double, lat2 double, lng2 double, start_ms bigint, end_ms bigint, confidence double, is_override boolean, provenance string, path {PATH}, sliced boolean"
+Track = tuple[list[float], list[tuple[float, float]]]
+
+
+def track(s: dict) -> Track:
+    """Times and places of a movement: its timed points, or its path's vertices at their share of its length, or its ends."""
+    path = s.get("path") or []
+    timed = sorted((p["ts_ms"], p["lat"], p["lng"]) for p in path if p["ts_ms"] is not None)
+    if len(timed) > 1:
+        return [t for t, *_ in timed], [(y, x) for _, y, x in timed]
+    spots = [(p["lat"], p["lng"]) for p in path] if len(path) > 1 else [(s["lat"], s["lng"]), (s["lat2"], s["lng2"])]
+    run = [0.0]
+    for p, q in zip(spots, spots[1:]):
+        run.append(run[-1] + metres(*p, *q))
+    long = max(1, s["end_ms"] - s["start_ms"])
+    return [s["start_ms"] + long * (r / run[-1] if run[-1] else i / (len(run) - 1)) for i, r in enumerate(run)], spots
+
+
+def position(of: Track, t: float) -> tuple[float, float]:
+    """Where a movement is at a time: on the great circle between the places before and after."""
+    times, spots = of
+    i = bisect_left(times, t)
+    if i == 0 or i == len(times):
+        return spots[min(i, len(times) - 1)]
+    f, a, b = (t - times[i - 1]) / max(1e-9, times[i] - times[i - 1]), spots[i - 1], spots[i]
     d = metres(*a, *b) / R
-    if d < 1e-9 or f in (0.0, 1.0):
-        return b if f == 1.0 else a
+    if d < 1e-9 or f >= 1:
+        return b if f >= 1 else a
     u, v = math.sin((1 - f) * d) / math.sin(d), math.sin(f * d) / math.sin(d)
     p, q = [(math.cos(math.radians(x)) * math.cos(math.radians(y)), math.cos(math.radians(x)) * math.sin(math.radians(y)), math.sin(math.radians(x))) for x, y in (a, b)]
     x, y, z = (u * i + v * j for i, j in zip(p, q))
     return math.degrees(math.atan2(z, math.hypot(x, y))), math.degrees(math.atan2(y, x))
 
 
+def between(of: Track, a: int, b: int, least_m: float = 1.0) -> list[dict]:
+    """The track from a to b: a place at each end, and its vertices between, over least_m from the one before."""
+    times, spots = of
+    out = [(a, *position(of, a))]
+    for t, p in zip(times[bisect_right(times, a) : bisect_left(times, b)], spots[bisect_right(times, a) : bisect_left(times, b)]):
+        if metres(*out[-1][1:], *p) > least_m:
+            out.append((int(t), *p))
+    end = (b, *position(of, b))
+    if len(out) > 1 and metres(*out[-1][1:], *end[1:]) <= least_m:
+        out.pop()
+    return [dict(zip(("ts_ms", "lat", "lng"), x)) for x in [*out, end]]
+
+
+#: What a path of over two vertices, and points of its own time, add to a movement's worth; a user's word for it.
+BY_PATH, BY_POINTS, BY_USER = 20.0, 15.0, 1.5
+
+
 def _worth(s: dict, a: int, b: int) -> float:
-    return GEOMETRY[s["provenance"]] * s["confidence"] * (b - a) / max(1, s["end_ms"] - s["start_ms"])
+    path = s.get("path") or []
+    own = GEOMETRY[s["provenance"]] * (BY_USER if s.get("is_override") else s["confidence"]) + BY_PATH * (len(path) > 2) + BY_POINTS * any(p["ts_ms"] is not None for p in path)
+    return own * (b - a) / max(1, s["end_ms"] - s["start_ms"])
 
 
 def canonical_moves(rows: list[dict]) -> list[dict]:
@@ -257,6 +296,7 @@ def canonical_moves(rows: list[dict]) -> list[dict]:
     """
     rows = sorted(rows, key=lambda s: (s["start_ms"], s["end_ms"], s["id"]))
     edges = sorted({t for s in rows for t in (s["start_ms"], s["end_ms"])})
+    tracks = {s["id"]: track(s) for s in rows}
     steps = [(a, b, on) for a, b in zip(edges, edges[1:]) if (on := [s for s in rows if s["start_ms"] <= a and b <= s["end_ms"]])]
     if not steps:
         return []
@@ -264,7 +304,7 @@ def canonical_moves(rows: list[dict]) -> list[dict]:
     def change(p: dict, q: dict, t: int) -> float:
         if p["id"] == q["id"]:
             return 0.0
-        far = metres(*position(p, t), *position(q, t))
+        far = metres(*position(tracks[p["id"]], t), *position(tracks[q["id"]], t))
         return -math.inf if far > 1500 else -(15 if p["mode"] == q["mode"] else 40) - 0.05 * far
 
     def first_best(values: list[float]) -> int:
@@ -281,7 +321,7 @@ def canonical_moves(rows: list[dict]) -> list[dict]:
     for come in reversed(back):
         path.append(k := come[k])
     chosen = [on[i] for (_, _, on), i in zip(steps, reversed(path))]
-    jump = any(p["id"] != q["id"] and metres(*position(p, a), *position(q, a)) > 500 for p, q, (a, _, _) in zip(chosen, chosen[1:], steps[1:]))
+    jump = any(p["id"] != q["id"] and metres(*position(tracks[p["id"]], a), *position(tracks[q["id"]], a)) > 500 for p, q, (a, _, _) in zip(chosen, chosen[1:], steps[1:]))
     if jump or max(score) == -math.inf:
         low, high = steps[0][0], steps[-1][1]
         best = rows[first_best([_worth(s, max(low, s["start_ms"]), min(high, s["end_ms"])) for s in rows])]
@@ -295,13 +335,15 @@ def canonical_moves(rows: list[dict]) -> list[dict]:
     for s in out:
         of = s.pop("__of")
         s["sliced"] = (s["start_ms"], s["end_ms"]) != (of["start_ms"], of["end_ms"])
-        s["lat"], s["lng"] = position(of, s["start_ms"])
-        s["lat2"], s["lng2"] = position(of, s["end_ms"])
+        s["lat"], s["lng"] = position(tracks[of["id"]], s["start_ms"])
+        s["lat2"], s["lng2"] = position(tracks[of["id"]], s["end_ms"])
+        if s.get("path"):
+            s["path"] = between(tracks[of["id"]], s["start_ms"], s["end_ms"])
     return out
 
 
 def canonicalise_moves(moves: DataFrame) -> DataFrame:
-    """A5 over moves(trip, id, mode, lat, lng, lat2, lng2, start_ms, end_ms, confidence, provenance); islands of one skip the kernel."""
+    """A5 over moves(trip, id, mode, lat, lng, lat2, lng2, start_ms, end_ms, confidence, is_override, provenance, path); islands of one skip the kernel."""
     from pyspark.sql.window import Window
 
     from .sequence import islands
