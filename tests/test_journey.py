@@ -22,6 +22,7 @@ from trekframe.operators import sequence as S
 from trekframe.operators.classify import transport
 from trekframe.plans import registry
 from trekframe.sources import basemap as BM
+from trekframe.sources import media as MD
 from trekframe.sources import store as K
 from trekframe.sources import timeline as TL
 
@@ -318,6 +319,12 @@ def test_timeline(spark, tmp_path):
     assert spark.read.format("timeline").load(str(tmp_path / "good.json")).count() == 4
 
 
+def test_media_files_that_are_broken(spark):
+    files = [("a", b""), ("b", None), ("c", b"\xff\xd8\xff\xe1\xff\xff" + b"Exif\0\0MM"), ("d", b"\0\0\0\x08ftyp" + b"\0\0\0\x20moov"), ("e", b"plain"), ("f", b"\xff\xd8\xff\xe1\0\x20Exif\0\0II\x2a\0\xff\xff\xff\x7f")]
+    got = MD.metadata(spark.createDataFrame([(p, bytearray(x) if x is not None else None) for p, x in files], "path string, content binary")).collect()
+    assert len(got) == len(files) and all(r[1:] == (None,) * 5 for r in got)
+
+
 def test_ring_files(spark, tmp_path):
     ring = [(0.5, 0.25), (0.75, 0.25), (0.75, 0.5)]
     section = BM.packed_section([{"name": "é", "type": "lake", "rings": [ring]}], [{"name": "r", "type": "ROAD", "points": [(0.99, 0.5), (0.01, 0.5)]}], [{"name": "p", "x": 0.5, "y": 0.5, "rank": 3}])

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from trekframe.sources import basemap as BM
+from trekframe.sources import media as MD
 from trekframe.sources import store as K
 from trekframe.sources import timeline as TL
 
@@ -219,3 +220,34 @@ def s13(spark, d):
     all_ = shape(0, "polygon", F.when(k % 2 == 0, "lake").otherwise("land"), 3, k + n % 2, k + F.floor(n / 2), F.lit(None)).unionByName(shape(1, "line", F.lit("ROAD"), 2, k + n, k, F.lit(None))).unionByName(shape(1, "place", F.lit(None).cast("string"), 1, k, k, k % 4))
     files = BM.packed_maps(all_).select(F.col("map").alias("path"), "content")
     return BM.packed_features(files).select(F.col("path").alias("map"), "section", "kind", "feature", "name", "type", "ring", "n", F.round("x", 5).alias("x"), F.round("y", 5).alias("y"), "rank")
+
+
+@query("s11_media_metadata", """WITH p AS (SELECT p_partkey AS k FROM part) SELECT CAST(k AS VARCHAR) AS path, CASE WHEN k % 4 < 3 THEN '2026:07:01 10:' || lpad(CAST(k % 60 AS VARCHAR), 2, '0') || ':00' END AS taken, CASE WHEN k % 4 = 0 THEN '+02:00' END AS "offset",
+  CASE k % 4 WHEN 0 THEN k % 80 + 0.5 WHEN 1 THEN -(k % 80 + 0.5) WHEN 3 THEN k % 80 + 0.25 END::DOUBLE AS lat, CASE k % 4 WHEN 0 THEN 10.25 WHEN 1 THEN -10.25 WHEN 3 THEN -20.5 END::DOUBLE AS lng, CASE k % 4 WHEN 0 THEN 12 WHEN 1 THEN -12 WHEN 3 THEN 7 END::DOUBLE AS alt FROM p""")
+def s11(spark, d):
+    """A file for each part: photos of both byte orders with and without position, and videos."""
+    k = F.col("p_partkey")
+    be = lambda n, x: F.unhex(F.lpad(F.hex(F.lit(x) if isinstance(x, int) else x), 2 * n, "0"))
+    le = lambda n, x: F.unhex(F.concat(*(F.substring(F.hex(be(n, x)), 2 * i + 1, 2) for i in reversed(range(n)))))
+    text = lambda x: F.encode(x if not isinstance(x, str) else F.lit(x), "ISO-8859-1")
+    time = F.concat(F.lit("2026:07:01 10:"), F.lpad((k % 60).cast("string"), 2, "0"), F.lit(":00"))
+
+    def tiff(i, mark, south, west, below, offset):
+        """Main directory at 8, Exif directory at 50, GPS directory at 80, values from 160 on."""
+        entry = lambda tag, kind, n, value: F.concat(i(2, tag), i(2, kind), i(4, n), value)
+        short = lambda x: F.concat(text(x), F.unhex(F.lit("00" * (4 - len(x)))))
+        main = F.concat(i(2, 2), entry(0x8769, 4, 1, i(4, 50)), entry(0x8825, 4, 1, i(4, 80)), i(4, 0), F.unhex(F.lit("00" * 12)))
+        own = F.concat(i(2, 2), entry(0x9003, 2, 20, i(4, 160)), entry(0x9011, 2, 7, i(4, 180)) if offset else entry(0x0100, 3, 1, i(4, 0)), i(4, 0))
+        gps = F.concat(i(2, 6), entry(1, 2, 2, short("S" if south else "N")), entry(2, 5, 3, i(4, 188)), entry(3, 2, 2, short("W" if west else "E")), entry(4, 5, 3, i(4, 212)), entry(5, 1, 1, F.unhex(F.lit("01000000" if below else "00000000"))), entry(6, 5, 1, i(4, 236)), i(4, 0), F.unhex(F.lit("00" * 2)))
+        values = F.concat(text(time), F.unhex(F.lit("00")), text("+02:00"), F.unhex(F.lit("0000")), i(4, k % 80), i(4, 1), i(4, 30), i(4, 1), i(4, 0), i(4, 1), i(4, 10), i(4, 1), i(4, 15), i(4, 1), i(4, 0), i(4, 1), i(4, 24), i(4, 2))
+        return F.concat(text(mark), i(2, 42), i(4, 8), main, own, gps, values)
+
+    def jpeg(body):
+        return F.concat(F.unhex(F.lit("FFD8FFE00004AAAA")), F.unhex(F.lit("FFE1")), be(2, F.octet_length(body) + 8), text("Exif"), F.unhex(F.lit("0000")), body, F.unhex(F.lit("FFDA0000")))
+
+    old = F.concat(text("MM"), be(2, 42), be(4, 8), be(2, 1), be(2, 0x0132), be(2, 2), be(4, 20), be(4, 26), be(4, 0), text(time), F.unhex(F.lit("00")))
+    spot = F.concat(F.lit("+"), F.lpad((k % 80).cast("string"), 2, "0"), F.lit(".25-020.50+7.0/"))
+    box = lambda kind, body: F.concat(be(4, F.octet_length(body) + 8), kind, body)
+    movie = F.concat(box(text("ftyp"), text("isom0000")), box(text("moov"), F.concat(box(text("mvhd"), text("....")), box(text("udta"), box(F.unhex(F.lit("A978797A")), F.concat(be(2, F.octet_length(text(spot))), be(2, 0), text(spot)))))))
+    content = F.when(k % 4 == 0, jpeg(tiff(be, "MM", False, False, False, True))).when(k % 4 == 1, jpeg(tiff(le, "II", True, True, True, False))).when(k % 4 == 2, jpeg(old)).otherwise(movie)
+    return MD.metadata(read(spark, d, "part").select(k.cast("string").alias("path"), content.alias("content")))
