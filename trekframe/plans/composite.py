@@ -155,11 +155,17 @@ def g3(spark, d):
     return C._grouped(s, ["trip"], C.representative_names, C.SUMMARY)
 
 
-@query("h6_g20_image_features")
+@query("h6_g20_image_features", """WITH px AS (SELECT p_partkey AS id, i // 12 AS y, i % 12 AS x, CAST((i * 7919 + p_partkey * 104729) % 16777216 AS BIGINT) AS v FROM part, range(144) r(i)),
+  c AS (SELECT id, y, x, v >> 16 & 255 AS r, v >> 8 & 255 AS g, v & 255 AS b FROM px), q AS (SELECT *, r * 0.299::DOUBLE + g * 0.587::DOUBLE + b * 0.114::DOUBLE AS grey FROM c),
+  bit AS (SELECT id, sum(CASE WHEN l.grey > m.grey THEN (1::HUGEINT << CAST(k AS INT)) ELSE 0 END) AS h FROM range(64) t(k) JOIN q l ON l.y = k // 8 * 12 // 8 AND l.x = k % 8 * 12 // 9 JOIN q m USING (id) WHERE m.y = l.y AND m.x = (k % 8 + 1) * 12 // 9 GROUP BY id),
+  inn AS (SELECT id, y, x, grey, r, g, b, lag(grey) OVER h AS a1, lead(grey) OVER h AS a2, lag(grey) OVER w AS a3, lead(grey) OVER w AS a4 FROM q WINDOW h AS (PARTITION BY id, y ORDER BY x), w AS (PARTITION BY id, x ORDER BY y)),
+  f AS (SELECT id, var_pop(a1 + a2 + a3 + a4 - 4 * grey) AS sharp, 1 - avg(CASE WHEN grey < 5 OR grey > 250 THEN 1.0::DOUBLE ELSE 0 END) AS fine, list_transform(range(8), lambda z: len(list_filter(list(CASE WHEN r >= 128 THEN 4 ELSE 0 END + CASE WHEN g >= 128 THEN 2 ELSE 0 END + CASE WHEN b >= 128 THEN 1 ELSE 0 END), lambda o: o = z)) / 100) AS color FROM inn WHERE y BETWEEN 1 AND 10 AND x BETWEEN 1 AND 10 GROUP BY id)
+  SELECT f.id, CAST(CASE WHEN h >= 9223372036854775808 THEN h - 18446744073709551616 ELSE h END AS BIGINT) AS hash, round(sharp, 3) AS sharpness, round(fine, 6) AS exposure, CAST(color AS DOUBLE[]) AS color FROM f JOIN bit ON bit.id = f.id""")
 def h6(spark, d):
     n = F.col("p_partkey")
     px = F.transform(F.sequence(F.lit(0), F.lit(143)), lambda i: (i * 7919 + n * 104729) % 16_777_216)
-    return C.extract_features(read(spark, d, "part").select(n.alias("id"), F.lit(12).alias("width"), F.lit(12).alias("height"), px.alias("pixels")))
+    f = C.extract_features(read(spark, d, "part").select(n.alias("id"), F.lit(12).alias("width"), F.lit(12).alias("height"), px.alias("pixels")))
+    return f.select("id", "hash", F.round("sharpness", 3).alias("sharpness"), F.round("exposure", 6).alias("exposure"), F.transform("color", lambda x: F.round(x, 6)).alias("color"))
 
 
 @query("a10_around_stays", f"""WITH {STAYS}, m AS (SELECT trip, id, start_ms, end_ms FROM stays WHERE mode = 'CAR'), t AS (SELECT m.trip, m.id, m.start_ms AS t FROM m UNION SELECT m.trip, m.id, m.end_ms FROM m UNION SELECT m.trip, m.id, unnest([v.start_ms, v.end_ms]) FROM m JOIN stays v ON v.trip = m.trip AND v.mode = 'WALK' AND greatest(v.start_ms, m.start_ms) < least(v.end_ms, m.end_ms)),
