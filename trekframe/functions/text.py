@@ -66,19 +66,23 @@ def display_label(name, address, city, landmark, landmark_m, city_m) -> Column:
     )
 
 
+#: Words and patterns of private labels and titles.
 HOME_WORDS = r"(?i)\b(home|inferred_home|work|inferred_work)\b"
+PRIVATE_LABEL = r"집|자택|\p{Nd}"
+PRIVATE_TITLE = "자택|^집$"
+STREET = r"(?i)\b\d+\s+.+\b(street|st|road|rd|avenue|ave|drive|dr|lane|ln|court|ct|boulevard|blvd)\b"
+KOREAN_ROAD = r"[가-힣]+(?:로|길)\s*\d+"
+HOME = r"(?i)\bhome\b|집"
 
 
 def redact_label(text) -> Column:
     """Labels with home or work words, or any digit."""
-    return F.when(c(text).rlike(HOME_WORDS) | c(text).rlike(r"집|자택|\p{Nd}"), "Private place").otherwise(c(text))
+    return F.when(c(text).rlike(HOME_WORDS) | c(text).rlike(PRIVATE_LABEL), "Private place").otherwise(c(text))
 
 
 def redact_title(text) -> Column:
     """Titles with home or work words, a street address, or a Korean road name with a number."""
-    street = r"(?i)\b\d+\s+.+\b(street|st|road|rd|avenue|ave|drive|dr|lane|ln|court|ct|boulevard|blvd)\b"
-    korean = r"[가-힣]+(?:로|길)\s*\d+"
-    private = c(text).rlike(HOME_WORDS + "|자택|^집$") | c(text).rlike(street) | c(text).rlike(korean)
+    private = c(text).rlike(f"{HOME_WORDS}|{PRIVATE_TITLE}") | c(text).rlike(STREET) | c(text).rlike(KOREAN_ROAD)
     return F.when(private, "My Travel Story").otherwise(c(text))
 
 
@@ -89,7 +93,7 @@ def generalised(name) -> Column:
 
 def is_home(text) -> Column:
     """X8."""
-    return F.coalesce(c(text).rlike(r"(?i)\bhome\b|집"), F.lit(False))
+    return F.coalesce(c(text).rlike(HOME), F.lit(False))
 
 
 def safe_file_name(text) -> Column:
@@ -109,13 +113,19 @@ def story_name(name) -> Column:
     return ~F.lower(c(name)).rlike("|".join(NOT_STORY))
 
 
+#: Parts of folders and file names of screenshots, of browsers and of cameras.
+SCREEN_FOLDER, SCREEN_NAME = "screenshot", "^(screenshot|screen_shot)|screencapture"
+BROWSER_PATH, BROWSER_BUCKET = "browser", "chrome"
+CAMERA_PATH, CAMERA_BUCKET, CAMERA_NAME = "dcim|camera", "camera|100andro", "^(img_|dsc_|pxl_|mvi_|cimg)"
+
+
 def capture_evidence(path, bucket, name, taken, exif_original, exif_offset, gps) -> Column:
     """screenshots first, then downloads and messaging apps, then signs of a camera.  The last three say what is there."""
     p, b, n = (F.lower(F.coalesce(c(x), F.lit(""))) for x in (path, bucket, name))
-    either = lambda words: F.lit(False) if not words else p.rlike("|".join(words)) | b.rlike("|".join(words))
-    screenshot = either(["screenshot"]) | n.rlike("^(screenshot|screen_shot)|screencapture")
-    external = either(EXTERNAL_FOLDERS) | p.contains("browser") | b.contains("chrome")
-    camera = p.rlike("dcim|camera") | b.rlike("camera|100andro") | n.rlike("^(img_|dsc_|pxl_|mvi_|cimg)")
+    either = lambda words: p.rlike("|".join(words)) | b.rlike("|".join(words))
+    screenshot = either([SCREEN_FOLDER]) | n.rlike(SCREEN_NAME)
+    external = either(EXTERNAL_FOLDERS) | p.contains(BROWSER_PATH) | b.contains(BROWSER_BUCKET)
+    camera = p.rlike(CAMERA_PATH) | b.rlike(CAMERA_BUCKET) | n.rlike(CAMERA_NAME)
     has_taken = c(taken).isNotNull()
     strong = (c(exif_offset) & c(exif_original)) | (c(gps) & (has_taken | c(exif_original))) | (camera & (c(exif_original) | has_taken))
     return (

@@ -128,6 +128,24 @@ def one_stay(a: dict, b: dict) -> bool:
     return any(shared / shorter >= share and shared >= ms and far <= most for share, ms, most in ONE_STAY)
 
 
+def one_stay_pairs(visits: DataFrame) -> DataFrame:
+    """J13 over visits(trip, id, lat, lng, start_ms, end_ms): (trip, a, b) of the pairs, a before b, that ``one_stay`` joins."""
+    from .joins import overlap_join
+
+    cols = ("id", "lat", "lng", "start_ms", "end_ms")
+    # records of the same time need not meet, so times are widened by half of what they may differ
+    wide = lambda df, p: df.select("trip", *(F.col(c).alias(f"{p}_{c}") for c in cols), (F.col("start_ms") - SAME_TIME_MS // 2 - 1).alias("start_ms" if p == "a" else "b_start"), (F.col("end_ms") + SAME_TIME_MS // 2 + 1).alias("end_ms" if p == "a" else "b_end"))
+    pairs = overlap_join(wide(visits, "a"), wide(visits, "b"), ["trip"]).where(F.struct("a_start_ms", "a_end_ms", "a_id") < F.struct("b_start_ms", "b_end_ms", "b_id"))
+    shared = F.least("a_end_ms", "b_end_ms") - F.greatest("a_start_ms", "b_start_ms")
+    shorter = F.greatest(F.lit(1), F.least(F.col("a_end_ms") - F.col("a_start_ms"), F.col("b_end_ms") - F.col("b_start_ms")))
+    same = (F.abs(F.col("a_start_ms") - F.col("b_start_ms")) <= SAME_TIME_MS) & (F.abs(F.col("a_end_ms") - F.col("b_end_ms")) <= SAME_TIME_MS)
+    pairs = pairs.withColumns({"shared": shared, "share": shared / shorter, "far": haversine("a_lat", "a_lng", "b_lat", "b_lng")})
+    fits = F.lit(False)
+    for share, ms, most in ONE_STAY:
+        fits = fits | ((F.col("share") >= share) & (F.col("shared") >= ms) & (F.col("far") <= most))
+    return pairs.where(same | ((F.col("shared") > 0) & fits)).select("trip", F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+
+
 def _filled(x: str | None) -> bool:
     return bool(x and x.strip())
 

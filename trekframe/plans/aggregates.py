@@ -27,10 +27,16 @@ def g5(spark, d):
     return e.groupBy("event_type").agg(F.count("*").alias("scanned"), F.count_if(F.col("value") > 50).alias("eligible"), F.count_if((F.col("value") > 90) & (F.col("user_id") % 2 == 0)).alias("matched"), F.count_distinct("user_id").alias("owners"), F.count_if(F.col("props").isNull()).alias("unknown"))
 
 
-@query("g10_cluster_merge", f"WITH {STAYS} SELECT trip, part, min(start_ms) AS start_ms, max(end_ms) AS end_ms, arg_max(id, {{'c': confidence, 'd': end_ms - start_ms, 'i': id}}) AS best, bool_or(mode = 'CAR') AS any_override FROM stays GROUP BY trip, part")
+@query("g10_cluster_merge", f"""WITH {STAYS}, v AS (SELECT *, part % 50 = 0 OR id % 31 = 0 AS own, CASE WHEN id % 4 > 0 THEN 'place' WHEN id % 8 = 0 THEN ' unknown ' END AS name, id % 3 > 0 AS known FROM stays)
+  SELECT trip, part % 500 AS k, min(start_ms) AS start_ms, max(end_ms) AS end_ms, arg_max(id, {{'a': own, 'b': name = 'place', 'p': known, 'c': confidence, 'd': end_ms - start_ms, 'i': id}}) AS best, bool_or(own) AS any_override FROM (SELECT * REPLACE (coalesce(name, '') AS name) FROM v) GROUP BY trip, part % 500""")
 def g10(spark, d):
-    best = F.max_by("id", F.struct("confidence", (F.col("end_ms") - F.col("start_ms")).alias("d"), "id"))
-    return stays(spark, d).groupBy("trip", "part").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), best.alias("best"), F.bool_or(F.col("mode") == "CAR").alias("any_override"))
+    """The best record by six keys: a user's name, a name, a place id, confidence, length, id."""
+    k, i = F.col("part"), F.col("id")
+    name = F.when(i % 4 > 0, "place").when(i % 8 == 0, " unknown ")
+    named = F.coalesce((F.trim(name) != "") & (F.upper(F.trim(name)) != "UNKNOWN"), F.lit(False))
+    s = stays(spark, d).withColumns({"own": (k % 50 == 0) | (i % 31 == 0), "named": named, "known": i % 3 > 0, "k": k % 500})
+    best = F.max_by("id", F.struct("own", "named", "known", "confidence", (F.col("end_ms") - F.col("start_ms")).alias("d"), "id"))
+    return s.groupBy("trip", "k").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), best.alias("best"), F.bool_or("own").alias("any_override"))
 
 
 @query("g11_distinct_first_wins", f"WITH {PINGS}, r AS (SELECT *, row_number() OVER (PARTITION BY trip, lat, lng ORDER BY ts_ms, id) AS r FROM pings) SELECT id FROM r WHERE r = 1")

@@ -18,6 +18,14 @@ def visits(spark, d):
     return stays(spark, d).select("trip", "id", F.when(k % 4 > 0, F.concat(F.lit("place "), (k % 7).cast("string"))).alias("name"), F.when(k % 3 > 0, F.concat(F.lit("id"), (k % 11).cast("string"))).alias("place_id"), "lat", "lng", "start_ms", "end_ms", "confidence", (k % 50 == 0).alias("is_override"))
 
 
+@query("j13_one_stay_pairs", f"""WITH {STAYS}, v AS (SELECT trip, id * 1000000 + part AS id, lat, lng, start_ms, end_ms FROM stays), p AS (SELECT a.trip, a.id AS a, b.id AS b, least(a.end_ms, b.end_ms) - greatest(a.start_ms, b.start_ms) AS shared, greatest(1, least(a.end_ms - a.start_ms, b.end_ms - b.start_ms)) AS shorter, {hav('a.lat', 'a.lng', 'b.lat', 'b.lng')} AS far, abs(a.start_ms - b.start_ms) <= 10000 AND abs(a.end_ms - b.end_ms) <= 10000 AS same
+    FROM v a JOIN v b ON a.trip = b.trip AND a.end_ms + 10002 > b.start_ms AND b.end_ms + 10002 > a.start_ms AND (a.start_ms, a.end_ms, a.id) < (b.start_ms, b.end_ms, b.id))
+  SELECT trip, a, b FROM p WHERE same OR (shared > 0 AND ((shared / shorter >= 0.9 AND far <= 1500) OR (shared / shorter >= 0.5 AND far <= 500) OR (shared >= 600000 AND far <= 500)))""")
+def j13(spark, d):
+    s = stays(spark, d)
+    return C.one_stay_pairs(s.select("trip", (F.col("id") * 1_000_000 + F.col("part")).alias("id"), "lat", "lng", "start_ms", "end_ms"))
+
+
 @query("a4_canonical_stays")
 def a4(spark, d):
     return C.canonicalise_stays(visits(spark, d)).drop("island")

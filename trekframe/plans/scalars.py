@@ -233,10 +233,10 @@ def x2(spark, d):
 
 @query("x5_x9_redaction", f"""WITH e AS (SELECT event_id, {_NAMES}[CAST(event_id % 10 AS INT) + 1] AS n FROM events)
   SELECT event_id, CASE WHEN regexp_matches(n, '(?i)\\b(home|inferred_home|work|inferred_work)\\b') OR regexp_matches(n, '집|자택|[0-9]') THEN 'Private place' ELSE n END AS label,
-  CASE WHEN regexp_matches(n, '(?i)\\b(home|inferred_home|work|inferred_work)\\b|자택|^집$') OR regexp_matches(n, '(?i)\\b\\d+\\s+.+\\b(street|st|road|rd|avenue|ave|drive|dr|lane|ln|court|ct|boulevard|blvd)\\b') OR regexp_matches(n, '[가-힣]+(?:로|길)\\s*\\d+') THEN 'My Travel Story' ELSE n END AS title, regexp_replace(n, '[^a-zA-Z0-9_-]', '_', 'g') AS file FROM e""")
+  CASE WHEN regexp_matches(n, '(?i)\\b(home|inferred_home|work|inferred_work)\\b|자택|^집$') OR regexp_matches(n, '(?i)\\b\\d+\\s+.+\\b(street|st|road|rd|avenue|ave|drive|dr|lane|ln|court|ct|boulevard|blvd)\\b') OR regexp_matches(n, '[가-힣]+(?:로|길)\\s*\\d+') THEN 'My Travel Story' ELSE n END AS title, regexp_replace(n, '[^a-zA-Z0-9_-]', '_', 'g') AS file, coalesce(regexp_matches(n, '(?i)\\bhome\\b|집'), false) AS home FROM e""")
 def x5(spark, d):
     e = read(spark, d, "events").select("event_id", F.element_at(F.array(*map(F.lit, _NAMES)), (F.col("event_id") % 10 + 1).cast("int")).alias("n"))
-    return e.select("event_id", text.generalised("n").alias("label"), text.redact_title("n").alias("title"), text.safe_file_name("n").alias("file"))
+    return e.select("event_id", text.generalised("n").alias("label"), text.redact_title("n").alias("title"), text.safe_file_name("n").alias("file"), text.is_home("n").alias("home"))
 
 
 @query("x10_file_name_time", """WITH f AS (SELECT o_orderkey, 'IMG_' || CASE WHEN o_orderkey % 4 = 0 THEN strftime(o_orderdate + INTERVAL 20 YEAR, '%Y%m%d') WHEN o_orderkey % 4 = 1 THEN '20261399' ELSE '20240101' END || '_' || lpad(CAST(o_orderkey % 24 AS VARCHAR), 2, '0') || '3015.jpg' AS n FROM orders)

@@ -21,9 +21,9 @@ class Store:
         return df if where is None else df.where(where)
 
     def replace_trips(self, name: str, rows: DataFrame, key: list[str] | None = None, recency: str | None = None) -> None:
-        """K1: all rows of the trips in ``rows`` are replaced; of rows with one key the last stays."""
+        """K1: all rows of the trips in ``rows`` are replaced; of rows with one key the most recent stays, of equally recent ones that with the least hash."""
         if key:
-            w = Window.partitionBy("trip_id", *key).orderBy(F.desc(recency) if recency else F.lit(0))
+            w = Window.partitionBy("trip_id", *key).orderBy(*([F.desc(recency)] if recency else []), F.xxhash64(*rows.columns))
             rows = rows.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
         rows.repartition("trip_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("trip_id").parquet(self.path(name))
 
@@ -75,14 +75,18 @@ class Store:
         return n
 
     def _swap(self, name: str, rows: DataFrame, touched: DataFrame | None = None) -> None:
-        """Writes new partitions beside the table, then moves them in; rows may read the table itself."""
+        """Writes new partitions beside the table, then moves them in; rows may read the table itself.
+
+        A partition that has lost all its rows is removed last, so a run cut short
+        leaves old rows or new ones, and is finished by running it again.
+        """
         aside = f"{self.root}/.{name}-new"
         rows.repartition("trip_id").write.mode("overwrite").partitionBy("trip_id").parquet(aside)
         fresh = self.spark.read.schema(self.read(name).schema).parquet(aside)
-        if touched is not None:
-            self._remove(name, [r[0] for r in touched.toLocalIterator()])
+        empty = [] if touched is None else [r[0] for r in touched.join(fresh.select("trip_id").distinct(), "trip_id", "left_anti").collect()]  # trip ids only
         if not fresh.isEmpty():
             self.replace_trips(name, fresh)
+        self._remove(name, empty)
 
     def _remove(self, name: str, trips: list) -> None:
         jvm = self.spark.sparkContext._jvm
@@ -95,8 +99,11 @@ class Store:
 VERSIONS = {2: {"confidence": "CAST(NULL AS FLOAT)"}, 3: {"is_override": "false"}, 4: {"zone": "CAST(NULL AS STRING)"}}
 
 
-def migrated(df: DataFrame, version: int, target: int = 4) -> DataFrame:
-    """A table of an older version with the columns since added; rows stay."""
+def migrated(df: DataFrame, version: int, target: int = 4, key: list[str] | None = None) -> DataFrame:
+    """A table of an older version with the columns since added; rows stay, of those with one key that with the least hash."""
+    if key:
+        w = Window.partitionBy(*key).orderBy(F.xxhash64(*df.columns))
+        df = df.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
     for v in range(version + 1, target + 1):
         for name, default in VERSIONS.get(v, {}).items():
             if name not in df.columns:

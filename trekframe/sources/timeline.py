@@ -81,6 +81,8 @@ def split_elements(pieces: Iterator[str]) -> Iterator[tuple[str, str, str]]:
 
 
 class TimelineReader(DataSourceReader):
+    """Opens paths that every worker mounts; for others, such as object stores, use ``elements``."""
+
     def __init__(self, options: dict):
         self.paths = [p for p in options.get("paths", options.get("path", "")).split(",") if p]
 
