@@ -84,8 +84,39 @@ def bridges(episodes: DataFrame) -> DataFrame:
     n = episodes.withColumns({"n_lat": F.lead("lat").over(w), "n_lng": F.lead("lng").over(w), "n_start": F.lead("start_ms").over(w)})
     far = haversine("lat", "lng", "n_lat", "n_lng")
     gap = n.withColumn("metres", far).where((F.col("metres") > 150) & (F.col("n_start") > F.col("end_ms")))
-    seconds = F.least(F.lit(5.0), F.greatest(F.lit(2.0), 2 + 0.5 * F.log(1 + F.col("metres") / 1000)))
-    return gap.select("trip", F.concat(F.lit("bridge_"), F.col("id").cast("string")).alias("id"), F.col("end_ms").alias("start_ms"), F.col("n_start").alias("end_ms"), "metres", F.round(seconds, 6).alias("seconds"))
+    return gap.select("trip", F.concat(F.lit("bridge_"), F.col("id").cast("string")).alias("id"), F.col("end_ms").alias("start_ms"), F.col("n_start").alias("end_ms"), "metres", bridge_seconds("metres").alias("seconds"))
+
+
+def build_story(items: DataFrame, max_stays: int = 25, max_moves: int = 30) -> DataFrame:
+    """A11 over items(trip, id, kind: VISIT or MOVE, start_ms, end_ms, mode, metres, photos, required, lat, lng, lat2, lng2): the story's episodes.
+
+    Of stays and of movements those that are required stay, then the first and
+    the last, then the longest, up to a number each.  They are put in order of
+    time; between neighbours apart in place and time comes a made-up movement.
+    Times never run backwards, and every episode has its seconds and its start.
+    """
+    from .sequence import monotonic
+
+    stay = F.col("kind") == "VISIT"
+    of = Window.partitionBy("trip", "kind")
+    edge = (F.row_number().over(of.orderBy("start_ms", "end_ms", "id")) == 1) | (F.row_number().over(of.orderBy(F.desc("start_ms"), F.desc("end_ms"), F.desc("id"))) == 1)
+    first = F.when(F.col("required"), 0).when(F.col("__edge"), 1).otherwise(2)
+    i = items.withColumn("__edge", edge).withColumns({"__first": first, "__long": F.when(stay, (F.col("end_ms") - F.col("start_ms")).cast("double")).otherwise(F.col("metres"))})
+    i = i.withColumn("__r", F.row_number().over(of.orderBy("__first", F.desc("__long"), "id"))).where(F.col("__r") <= F.when(stay, max_stays).otherwise(max_moves))
+    i = i.withColumn("seconds", story_seconds("kind", "mode", "metres", "photos"))
+    w = Window.partitionBy("trip").orderBy("start_ms", "end_ms", "id")
+    n = i.withColumns({"n_lat": F.lead("lat").over(w), "n_lng": F.lead("lng").over(w), "n_start": F.lead("start_ms").over(w), "far": haversine("lat2", "lng2", F.lead("lat").over(w), F.lead("lng").over(w))})
+    names = ["trip", "id", "kind", "start_ms", "end_ms", "seconds"]
+    own = F.struct(F.col("id").cast("string").alias("id"), "kind", "start_ms", "end_ms", "seconds")
+    made = F.struct(F.concat(F.lit("bridge_"), F.col("id").cast("string")).alias("id"), F.lit("BRIDGE").alias("kind"), F.col("end_ms").alias("start_ms"), F.col("n_start").alias("end_ms"), bridge_seconds("far").alias("seconds"))
+    apart = F.coalesce((F.col("far") > 150) & (F.col("n_start") > F.col("end_ms")), F.lit(False))
+    episodes = n.select("trip", F.inline(F.when(apart, F.array(own, made)).otherwise(F.array(own)))).select(names)
+    return schedule(monotonic(episodes, ["trip"], ["id"]))
+
+
+def bridge_seconds(metres) -> Column:
+    """Seconds of a made-up movement: 2 + 0.5 ln(1 + km), from 2 to 5."""
+    return F.round(F.least(F.lit(5.0), F.greatest(F.lit(2.0), 2 + 0.5 * F.log(1 + c(metres) / 1000))), 6)
 
 
 def schedule(episodes: DataFrame) -> DataFrame:

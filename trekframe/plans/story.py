@@ -87,7 +87,7 @@ def a13(spark, d):
 def story_items(spark, d):
     """Stays and movements of a trip a year, with photos, pins and names set by users."""
     s, k = stays(spark, d), F.col("part")
-    return s.select((F.col("trip") * 10_000 + F.expr("start_ms div 31557600000")).alias("trip"), (F.col("id") * 1_000_000 + k).alias("id"), F.when(F.col("mode").isin("WALK", "UNKNOWN"), "VISIT").otherwise("MOVE").alias("kind"), "start_ms", "end_ms", "mode", "metres", (k % 4).alias("photos"), (k % 40 == 3).alias("pinned"), (k % 60 == 7).alias("is_override"))
+    return s.select((F.col("trip") * 10_000 + F.expr("start_ms div 31557600000")).alias("trip"), (F.col("id") * 1_000_000 + k).alias("id"), F.when(F.col("mode").isin("WALK", "UNKNOWN"), "VISIT").otherwise("MOVE").alias("kind"), "start_ms", "end_ms", "mode", "metres", (k % 4).alias("photos"), (k % 40 == 3).alias("pinned"), (k % 60 == 7).alias("is_override"), "lat", "lng", (F.col("lat") + F.when(F.col("mode").isin("WALK", "UNKNOWN"), 0.0).otherwise(0.01)).alias("lat2"), F.col("lng").alias("lng2"))
 
 
 _ITEMS = f"""{STAYS}, item AS (SELECT trip * 10000 + start_ms // 31557600000 AS trip, id * 1000000 + part AS id, mode IN ('WALK', 'UNKNOWN') AS stay, start_ms, end_ms, mode, metres, part % 4 AS photos, part % 40 = 3 AS pinned, part % 60 = 7 AS own FROM stays),
@@ -132,3 +132,18 @@ def t8(spark, d):
     text = F.when(k % 5 == 0, F.concat(F.lit("Near city "), (k % 3).cast("string"))).when(k % 5 == 1, " ").otherwise(F.concat(F.lit("stop "), (k % 50).cast("string")))
     l = read(spark, d, "events").select(F.col("user_id").alias("frame"), k.alias("id"), text.alias("text"), (k * 31 % 1000).alias("priority"), (k * 37 % 1000).cast("double").alias("x"), (k * 53 % 700).cast("double").alias("y"))
     return CS.placed_labels(l.withColumn("text_width", F.length("text") * 9.0), 1000.0, 700.0).select("frame", "id", "x0", "y0")
+
+
+@query("a11_story_build", f"""WITH RECURSIVE {STAYS}, item AS (SELECT trip * 10000 + start_ms // 31557600000 AS trip, id * 1000000 + part AS id, mode IN ('WALK', 'UNKNOWN') AS stay, start_ms, end_ms, mode, metres, part % 4 AS photos, part % 40 = 3 OR part % 60 = 7 AS required, lat, lng, lat + CASE WHEN mode IN ('WALK', 'UNKNOWN') THEN 0 ELSE 0.01::DOUBLE END AS lat2 FROM stays),
+  e AS (SELECT *, row_number() OVER (PARTITION BY trip, stay ORDER BY start_ms, end_ms, id) AS n, count(*) OVER (PARTITION BY trip, stay) AS c FROM item),
+  k AS (SELECT *, row_number() OVER (PARTITION BY trip, stay ORDER BY CASE WHEN required THEN 0 WHEN n = 1 OR n = c THEN 1 ELSE 2 END, CASE WHEN stay THEN end_ms - start_ms ELSE metres END DESC, id) AS r FROM e),
+  s AS (SELECT *, round(CASE WHEN NOT stay THEN least(18.0::DOUBLE, CASE mode WHEN 'AIRPLANE' THEN 5.5 WHEN 'TRAIN' THEN 4.0 WHEN 'CAR' THEN 3.5 ELSE 2.2 END::DOUBLE + 1.8::DOUBLE * ln(1 + metres / 5000)) ELSE 2.0::DOUBLE + CASE WHEN photos > 0 THEN 2.5::DOUBLE + 1.8::DOUBLE * (photos - 1) ELSE 0 END END, 6) AS seconds FROM k WHERE r <= CASE WHEN stay THEN 25 ELSE 30 END),
+  n AS (SELECT *, lead(start_ms) OVER w AS ns, {hav('lat2', 'lng', 'lead(lat) OVER w', 'lead(lng) OVER w')} AS far FROM s WINDOW w AS (PARTITION BY trip ORDER BY start_ms, end_ms, id)),
+  u AS (SELECT trip, CAST(id AS VARCHAR) AS id, CASE WHEN stay THEN 'VISIT' ELSE 'MOVE' END AS kind, start_ms, end_ms, seconds FROM n UNION ALL SELECT trip, 'bridge_' || id, 'BRIDGE', end_ms, ns, round(least(5.0::DOUBLE, greatest(2.0::DOUBLE, 2 + 0.5::DOUBLE * ln(1 + far / 1000))), 6) FROM n WHERE far > 150 AND ns > end_ms),
+  o AS (SELECT *, row_number() OVER (PARTITION BY trip ORDER BY start_ms, end_ms, id) AS k FROM u),
+  g AS (SELECT trip, k, id, kind, seconds, start_ms AS a, greatest(start_ms + 1000, end_ms) AS b, 0::DOUBLE AS t FROM o WHERE k = 1 UNION ALL SELECT o.trip, o.k, o.id, o.kind, o.seconds, greatest(o.start_ms, g.b), greatest(greatest(o.start_ms, g.b) + 1000, o.end_ms), g.t + g.seconds FROM g JOIN o ON o.trip = g.trip AND o.k = g.k + 1)
+  SELECT trip, id, kind, a AS start_ms, b AS end_ms, seconds, round(t, 6) AS story_start FROM g""")
+def a11c(spark, d):
+    """Selection, order, bridges, times and starts in one, over the trips of story_items."""
+    i = story_items(spark, d).withColumn("required", F.col("pinned") | F.col("is_override"))
+    return ST.build_story(i).select("trip", "id", "kind", "start_ms", "end_ms", "seconds", "story_start")
