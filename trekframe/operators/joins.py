@@ -18,16 +18,19 @@ def interval_join(points: DataFrame, intervals: DataFrame, on: list[str], ts: st
 
     An interval is dealt to the buckets it covers, at the finest of eight bucket
     sizes, each 16 times the one before, at which it covers at most 17.  A point
-    is in one bucket of each size.  So long and short intervals cost the same, a
-    pair meets once, and the join is an equi-join on (on, size, bucket).
+    is in one bucket of each size that some interval has; the others go before the
+    shuffle.  So long and short intervals cost the same, a pair meets once, and
+    the join is an equi-join on (on, size, bucket).
     """
     s, e = F.col(start) - pad, F.col(end) + pad
     size = F.lit(_levels(bucket)[-1])
     for b in reversed(_levels(bucket)[:-1]):
         size = F.when(e - s <= b * STEP, F.lit(b)).otherwise(size)
-    cut = intervals.where(e >= s).withColumn("__size", size.cast("bigint")).withColumn("__bucket", F.explode(F.sequence(F.floor(s / F.col("__size")), F.floor(e / F.col("__size")))))
+    sized = intervals.where(e >= s).withColumn("__size", size.cast("bigint"))
+    cut = sized.withColumn("__bucket", F.explode(F.sequence(F.floor(s / F.col("__size")), F.floor(e / F.col("__size")))))
     sizes = F.array(*(F.lit(b).cast("bigint") for b in _levels(bucket)))
-    dealt = points.withColumn("__size", F.explode(sizes)).withColumn("__bucket", F.floor(F.col(ts) / F.col("__size")))
+    dealt = points.withColumn("__size", F.explode(sizes)).join(F.broadcast(sized.select("__size").distinct()), "__size", "left_semi")  # at most eight rows
+    dealt = dealt.select(*points.columns, "__size").withColumn("__bucket", F.floor(F.col(ts) / F.col("__size")))
     names = [*on, "__size", "__bucket"]
     if how == "inner":
         return dealt.join(cut, names).where(F.col(ts).between(s, e)).drop("__size", "__bucket")
@@ -104,15 +107,17 @@ def nearest_place(points: DataFrame, places: DataFrame, most_m: float, key: str,
     return points.join(best, key, "left")
 
 
-def point_in_rings(points: DataFrame, edges: DataFrame, key: str) -> DataFrame:
+def point_in_rings(points: DataFrame, edges: DataFrame, key: str, row: float = 0.0625) -> DataFrame:
     """points(lng, lat) with land: even-odd over edges(kind, x1, y1, x2, y2); a lake outweighs land.
 
-    Edges are dealt to the one-degree rows of latitude that they cross.
+    Edges are dealt to the rows of latitude that they cross, a sixteenth of a
+    degree high: a point meets the edges of its own row that do not lie west of
+    it.  Crossings are summed by point before and after the shuffle.
     """
-    dealt = edges.where("y1 <> y2").withColumn("__y", F.explode(F.sequence(F.floor(F.least("y1", "y2")), F.floor(F.greatest("y1", "y2")))))
-    at = points.withColumn("__y", F.floor("lat"))
+    dealt = edges.where("y1 <> y2").withColumn("__y", F.explode(F.sequence(F.floor(F.least("y1", "y2") / row), F.floor(F.greatest("y1", "y2") / row))))
+    at = points.withColumn("__y", F.floor(F.col("lat") / row))
     crosses = ((F.col("y1") > F.col("lat")) != (F.col("y2") > F.col("lat"))) & (F.col("lng") < (F.col("x2") - F.col("x1")) * (F.col("lat") - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1"))
-    odd = at.join(dealt, "__y").where(crosses).groupBy(key, "kind").agg((F.count("*") % 2).alias("odd"))
+    odd = at.join(dealt, "__y").where(F.greatest("x1", "x2") >= F.col("lng")).where(crosses).groupBy(key, "kind").agg((F.count("*") % 2).alias("odd"))
     flags = odd.groupBy(key).agg(*(F.max(F.when(F.col("kind") == k, F.col("odd")).otherwise(0)).alias(k) for k in ("land", "lake")))
     return points.join(flags, key, "left").withColumn("land", (F.coalesce("land", F.lit(0)) == 1) & (F.coalesce("lake", F.lit(0)) == 0)).drop("lake")
 
