@@ -87,8 +87,8 @@ def features(texts: list[bytes | None], bits: int) -> tuple[np.ndarray, ...]:
     Grams run backwards from each letter; the place before a word's first letter counts as a mark of its start.
     """
     decoded = [(t or b"").decode("utf-8", "replace") for t in texts]
-    joined = "\0".join([*decoded, ""])
-    cps = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+    joined = "\0".join([*decoded, ""]).encode("utf-32-le")
+    cps = np.frombuffer(joined, np.uint32)
     kind, low, script = tables()
     k = kind[cps]
     letter = k == 1
@@ -96,22 +96,24 @@ def features(texts: list[bytes | None], bits: int) -> tuple[np.ndarray, ...]:
     first = inside & ~np.concatenate([[False], inside[:-1]])
     starts = np.flatnonzero(first)
     owner = np.searchsorted(np.cumsum([len(t) + 1 for t in decoded]), starts, "right")  # by lengths: a text may hold the separator
-    word = np.cumsum(first)[inside] - 1
-    at = np.flatnonzero(inside)
+    word = (np.cumsum(first, dtype=np.int32) - 1)[inside]
+    at = np.flatnonzero(inside).astype(np.int32)
     c = low[cps[at]].astype(np.uint64) + np.uint64(1)
-    depth = at - starts[word]  # letters before it in its word
+    depth = at - starts[word].astype(np.int32)  # letters before it in its word
+    words_script = script[cps[starts]]
+    del cps, kind, k, letter, inside, first, at, joined, decoded  # a slice's arrays come to many times its text
     length = np.bincount(word, minlength=len(starts))
-    grams = np.full((4, len(at)), -1, np.int32)
-    h = np.zeros(len(at), np.uint64)
+    grams = np.full((4, len(c)), -1, np.int32)
+    h = np.zeros(len(c), np.uint64)
     for n in range(4):
-        back = np.zeros(len(at), np.uint64)
+        back = np.zeros(len(c), np.uint64)
         back[n:] = c[: len(c) - n] if n else c
         back[depth < n] = 0  # the word's start
         h = (h ^ back) * _SEED[n]
         h ^= h >> np.uint64(29)
         ok = depth >= n - 1
         grams[n, ok] = (h[ok] >> np.uint64(64 - bits)).astype(np.int32)
-    return grams, word, owner, script[cps[starts]], length
+    return grams, word, owner, words_script, length
 
 
 def viterbi(scores: np.ndarray, owner: np.ndarray, n_texts: int, switch: float) -> np.ndarray:
@@ -160,7 +162,10 @@ class Model:
         scores = np.zeros((len(owner), len(self.languages)))
         for lang in range(len(self.languages)):
             table = np.append(self.weight[:, lang], 0.0)  # -1 is the place after the last
-            scores[:, lang] = np.bincount(word, weights=table[grams].sum(axis=0), minlength=len(owner))
+            worth = table[grams[0]]
+            for n in range(1, 4):
+                worth += table[grams[n]]
+            scores[:, lang] = np.bincount(word, weights=worth, minlength=len(owner))
         seen = self.seen[script]
         scores[:] = np.where(seen.any(axis=1, keepdims=True), np.where(seen, scores, scores.min(axis=1, keepdims=True) - s.foreign), 0.0)
         return viterbi(scores, owner, len(texts), s.switch), owner, length
@@ -203,7 +208,7 @@ def train(docs: DataFrame, settings: Settings = Settings()) -> Model:
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
         scripts: dict[str, np.ndarray] = {}
-        for batch, texts in slices(batches, "text"):
+        for batch, texts in slices(batches, "text", max_bytes=1 << 20):
             lang = np.array(batch.column(0).to_pylist(), dtype=object)
             for one in set(lang):
                 grams, _, _, script, _ = features([t for t, x in zip(texts, lang) if x == one], s.bits)
@@ -237,7 +242,7 @@ def identify(docs: DataFrame, model: Model | None = None, settings: Settings = S
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch, texts in slices(batches, "text", max_rows=4096, max_bytes=3 << 20):
+        for batch, texts in slices(batches, "text", max_rows=4096, max_bytes=1 << 20):
             got = m.predict(texts)
             cols = [batch.column(batch.schema.get_field_index(c)) for c in names]
             if reject is not None:
