@@ -27,7 +27,6 @@ column has their name.
 from __future__ import annotations
 
 import re
-import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -67,14 +66,15 @@ def _pieces(found: list[bytes], most: int) -> list[int]:
     return [*out, len(found)]
 
 
-def sentences(text: bytes, s: Settings) -> tuple[list[tuple[int, int]], list[int], list[bytes]]:
-    """Byte spans of the sentences, each with the white space up to the next; their words; their hashes."""
+def sentences(text: bytes, s: Settings, hashed: bool = True) -> tuple[list[tuple[int, int]], list[int], list[bytes]]:
+    """Byte spans of the sentences, each with the white space up to the next; their words; their hashes, if asked for."""
     spans, words, hashes, at = [], [], [], 0
 
     def add(start: int, after: int, found: list[bytes]):
         spans.append((start, after))
         words.append(len(found))
-        hashes.append(xxhash.xxh3_128_digest(b" ".join(found)))
+        if hashed:
+            hashes.append(xxhash.xxh3_128_digest(b" ".join(found)))
 
     for m in [*_BREAK.finditer(text), None]:
         stop, after = (m.start(), m.end()) if m else (len(text), len(text))
@@ -93,11 +93,6 @@ def sentences(text: bytes, s: Settings) -> tuple[list[tuple[int, int]], list[int
     return spans, words, hashes
 
 
-def _two(data: bytes) -> tuple[int, int]:
-    """A 128-bit hash as two signed integers."""
-    return struct.unpack("<2q", xxhash.xxh3_128_digest(data))
-
-
 def runs(words: list[int], hashes: list[bytes], s: Settings) -> tuple[list[int], list[int], list[tuple[int, int]]]:
     """First and end sentence of each run, and its hash."""
     n = len(words)
@@ -105,21 +100,29 @@ def runs(words: list[int], hashes: list[bytes], s: Settings) -> tuple[list[int],
     i = np.arange(n)
     end = np.maximum(np.searchsorted(total, total[:-1] + s.min_words), i + 2)
     back = np.minimum(np.searchsorted(total, total[1:] - s.min_words, "right") - 1, i - 1)
-    pairs = np.concatenate([np.stack([i, end], 1)[end <= n], np.stack([back, i + 1], 1)[back >= 0]])
-    pairs = np.unique(pairs, axis=0) if len(pairs) else pairs.reshape(0, 2)
+    fits, reaches = end <= n, back >= 0
+    pairs = sorted({*zip(i[fits].tolist(), end[fits].tolist()), *zip(back[reaches].tolist(), (i[reaches] + 1).tolist())})
     data = b"".join(hashes)
-    return pairs[:, 0].tolist(), pairs[:, 1].tolist(), [_two(data[16 * a : 16 * b]) for a, b in pairs.tolist()]
+    got = b"".join([xxhash.xxh3_128_digest(data[16 * a : 16 * b]) for a, b in pairs])
+    return [a for a, _ in pairs], [b for _, b in pairs], list(map(tuple, np.frombuffer(got, "<i8").reshape(-1, 2).tolist()))
+
+
+#: Stands for a document that repeats a run of its own.
+OWN = (0, 0)
 
 
 def run_hashes(docs: DataFrame, s: Settings) -> DataFrame:
-    """(doc, h, g): each document's run hashes, once."""
+    """(doc, h, g): each document's run hashes, once, and OWN if it has one twice."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches, "text"):
             ids, out_id, out_h = batch.column(0).to_pylist(), [], []
             for doc, text in zip(ids, texts):
                 _, words, hashes = sentences(text or b"", s)
-                h = set(runs(words, hashes, s)[2])
+                every = runs(words, hashes, s)[2]
+                h = set(every)
+                if len(h) < len(every):
+                    h.add(OWN)
                 out_h.extend(h)
                 out_id.extend([doc] * len(h))
             yield pa.RecordBatch.from_arrays([pa.array(out_id, pa.int64()), *(pa.array(x, pa.int64()) for x in (zip(*out_h) if out_h else ((), ())))], names=["doc", "h", "g"])
@@ -129,6 +132,8 @@ def run_hashes(docs: DataFrame, s: Settings) -> DataFrame:
 
 def remove(text: bytes, repeated: set[tuple], s: Settings) -> tuple[bytes, int, int]:
     """The text without the sentences of repeated runs, or of runs seen before in it; sentences, and how many went."""
+    if not repeated:  # nothing to hash for
+        return text, len(sentences(text, s, hashed=False)[0]), 0
     spans, words, hashes = sentences(text, s)
     gone = np.zeros(len(spans), bool)
     seen: set[tuple] = set()
@@ -147,9 +152,11 @@ def dedup_spans(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     s = settings
     small_batches(docs.sparkSession)
     found = stored(run_hashes(docs, s), "runs")
-    first = found.groupBy("h", "g").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first <> last").select("h", "g", "first")
+    own = (F.col("h") == OWN[0]) & (F.col("g") == OWN[1])
+    first = found.where(~own).groupBy("h", "g").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first <> last").select("h", "g", "first")
     doc, mine = free(docs.columns, "doc"), free(docs.columns, "repeated")
-    repeated = found.join(first, ["h", "g"]).where("doc <> first").groupBy(F.col("doc").alias(doc)).agg(F.collect_set(F.array("h", "g")).alias(mine))
+    later = found.join(first, ["h", "g"]).where("doc <> first").select("doc", "h", "g")
+    repeated = later.unionByName(found.where(own)).groupBy(F.col("doc").alias(doc)).agg(F.collect_set(F.array("h", "g")).alias(mine))
     rows = docs.withColumn(doc, _doc()).join(repeated, doc, "left").drop(doc)
     keep = [f for f in docs.schema.fields if f.name not in ("n_sentences", "n_removed")]
     names = [f.name for f in keep]
