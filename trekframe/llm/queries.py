@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, embed, html, langid, pii, simhash, spans, sql, urls
+from . import align, bpe, chat, decontam, embed, html, langid, pii, simhash, spans, sql, urls
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -64,6 +64,12 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "valid")
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = align.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.PATTERN)
+    return found.select(F.col("doc_id").cast("bigint").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 def queries() -> dict:
     return {
         "op1_language_id": op1_language_id,
@@ -76,6 +82,7 @@ def queries() -> dict:
         "op8_byte_bpe": op8_byte_bpe,
         "op9_embedding_dedup": op9_embedding_dedup,
         "op10_chat_format": op10_chat_format,
+        "op13_token_alignment": op13_token_alignment,
     }
 
 
