@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import align, bpe, chat, decontam, embed, html, langid, pii, simhash, spans, sql, urls
+from . import align, bpe, chat, decontam, embed, html, langid, lexical, pii, simhash, spans, sql, suffixes, urls
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -64,6 +64,15 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "valid")
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.dedup_strings(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = align.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.PATTERN)
@@ -82,9 +91,11 @@ def queries() -> dict:
         "op8_byte_bpe": op8_byte_bpe,
         "op9_embedding_dedup": op9_embedding_dedup,
         "op10_chat_format": op10_chat_format,
+        "op11_suffix_dedup": op11_suffix_dedup,
+        "op12_lexical_search": op12_lexical_search,
         "op13_token_alignment": op13_token_alignment,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filter": sql.OP3, "op4_html_text": sql.OP4, "op6_decontamination": sql.OP6, "op7_pii": sql.OP7, "op9_embedding_dedup": sql.OP9, "op10_chat_format": sql.OP10}
+    return {"op3_url_filter": sql.OP3, "op4_html_text": sql.OP4, "op6_decontamination": sql.OP6, "op7_pii": sql.OP7, "op9_embedding_dedup": sql.OP9, "op10_chat_format": sql.OP10, "op12_lexical_search": sql.OP12}

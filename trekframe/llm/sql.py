@@ -25,6 +25,21 @@ SELECT doc.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(word.n, 0) A
 FROM doc LEFT JOIN word USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+OP12 = f"""
+WITH doc AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL),
+total AS (SELECT count(*) AS docs, sum(len(w)) AS terms FROM doc WHERE len(w) > 0),
+item AS (SELECT DISTINCT item_id, unnest({_WORDS}) AS t FROM benchmark WHERE text IS NOT NULL),
+held AS (SELECT doc_id, t, n, count(*) AS tf FROM (SELECT doc_id, len(w) AS n, unnest(w) AS t FROM doc) WHERE t IN (SELECT t FROM item) GROUP BY ALL),
+many AS (SELECT t, count(*) AS df FROM held GROUP BY t),
+score AS (
+  SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+  FROM (SELECT item_id, doc_id, tf, CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT) AS w, 50 + (50 * n * docs) // terms AS m
+        FROM held JOIN many USING (t) JOIN item USING (t), total)
+  GROUP BY ALL),
+place AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM score WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM place WHERE rank <= 50
+"""
+
 _ESCAPED = r"regexp_replace({}, '<(\\*)\|', '<\1\\|', 'g')"
 
 OP10 = f"""
