@@ -138,3 +138,109 @@ def evaluate(episodes: DataFrame, samples: int = 20) -> DataFrame:
     s = episodes.where(last >= first).withColumn("k", F.explode(F.sequence(first.cast("int"), last.cast("int")))).withColumn("t", F.col("k") * step)
     s = s.withColumn("progress", F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("t") - F.col("story_start")) / F.col("seconds"))))
     return s.withColumn("p", slerp("lat", "lng", "lat2", "lng2", "progress")).select("trip", "k", "id", F.round("progress", 6).alias("progress"), F.round("p.lat", 6).alias("lat"), F.round("p.lng", 6).alias("lng"))
+
+
+#: Seconds a photo is shown, of a moment's representative and of others; the least, the room a photo takes, and the gap between two.
+SHOWN_BEST, SHOWN, SHOWN_LEAST, ROOM, ROOM_SPARE, GAP = 2.5, 1.8, 1.0, 2.6, 0.6, 0.05
+
+
+def with_photo_room(episodes: DataFrame, moments: DataFrame) -> DataFrame:
+    """episodes(trip, id, seconds) lengthened so that each of their moments(trip, parent) has room, and n_moments."""
+    n = moments.groupBy("trip", F.col("parent").alias("id")).agg(F.count("*").alias("n_moments"))
+    e = episodes.join(n, ["trip", "id"], "left").withColumn("n_moments", F.coalesce("n_moments", F.lit(0)))
+    room = F.when(F.col("n_moments") > 0, F.col("n_moments") * ROOM + ROOM_SPARE).otherwise(0.0)
+    return e.withColumn("seconds", F.round(F.greatest("seconds", room), 6))
+
+
+def photo_windows(episodes: DataFrame, moments: DataFrame) -> DataFrame:
+    """When each of moments(trip, parent, media, ts_ms, best) is shown within its episode.
+
+    episodes(trip, id, kind, start_ms, end_ms, seconds, story_start).  In order of
+    time each photo is centred at its share of the episode, but starts no earlier
+    than the one before ends and leaves room for those to come; one that would
+    start within a hundredth second of the episode's end is left out, and so are
+    all after it.  A start is the greatest of its own bound and the start before
+    plus what that is shown, so it is a running maximum over prefix sums: one
+    window by episode, no fold.  Result: trip, id, media, shown_from, shown_to.
+    """
+    at = Window.partitionBy("trip", "id").orderBy("ts_ms", "media")
+    every = Window.partitionBy("trip", "id")
+    m = moments.withColumnRenamed("parent", "id").join(episodes, ["trip", "id"])
+    m = m.withColumns({"n": F.count("*").over(every), "k": F.row_number().over(at)})
+    share = F.greatest(F.lit(0.05), F.least(F.lit(0.95), (F.col("ts_ms") - F.col("start_ms")) / F.greatest(F.lit(1), F.col("end_ms") - F.col("start_ms"))))
+    shown = F.least(F.when(F.col("best"), SHOWN_BEST).otherwise(SHOWN), F.greatest(F.lit(SHOWN_LEAST), F.col("seconds") / F.col("n") * 0.9))
+    m = m.withColumns({"shown": shown, "stop": F.col("story_start") + F.col("seconds"), "settle": F.when(F.col("kind") == "MOVE", 0.0).otherwise(F.least(F.lit(0.35), F.col("seconds") * 0.12))})
+    # the first photo keeps the gap to the episode's start as well
+    earliest = F.col("story_start") + F.when(F.col("k") == 1, F.greatest("settle", F.lit(GAP))).otherwise(F.col("settle"))
+    latest = F.col("stop") - (F.col("n") - F.col("k") + 1) * (F.col("shown") + GAP)
+    own = F.greatest(earliest, F.least(latest, F.col("story_start") + F.col("seconds") * share - F.col("shown") / 2))
+    before = F.coalesce(F.sum(F.col("shown") + GAP).over(at.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    m = m.withColumns({"own": own, "before": before})
+    start = F.col("before") + F.max(F.col("own") - F.col("before")).over(at.rowsBetween(Window.unboundedPreceding, 0))
+    m = m.withColumn("start", start).withColumns({"shown_from": F.round("start", 6), "shown_to": F.round(F.least("stop", F.col("start") + F.col("shown")), 6)})
+    return m.where(F.col("shown_to") > F.col("shown_from") + 0.01).select("trip", "id", "media", "shown_from", "shown_to")
+
+
+def with_holds(episodes: DataFrame, windows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(episodes, windows) in which movements stand still while a photo is shown, instead of going on faster between photos.
+
+    A movement's photo holds the route at the middle of its window; the movement
+    lasts longer by all its holds, and all later episodes and windows move.
+    """
+    held = windows.groupBy("trip", "id").agg(F.sum(F.col("shown_to") - F.col("shown_from")).alias("held"))
+    order = Window.partitionBy("trip").orderBy("start_ms", "end_ms", "id").rowsBetween(Window.unboundedPreceding, -1)
+    e = episodes.join(held, ["trip", "id"], "left").withColumn("held", F.when(F.col("kind") == "MOVE", F.coalesce("held", F.lit(0.0))).otherwise(0.0))
+    e = e.withColumn("shift", F.coalesce(F.sum("held").over(order), F.lit(0.0)))
+    w = windows.join(e.select("trip", "id", "kind", "shift"), ["trip", "id"])
+    length = F.col("shown_to") - F.col("shown_from")
+    prior = F.coalesce(F.sum(length).over(Window.partitionBy("trip", "id").orderBy("shown_from", "media").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    start = F.when(F.col("kind") == "MOVE", (F.col("shown_from") + F.col("shown_to")) / 2 + prior).otherwise(F.col("shown_from")) + F.col("shift")
+    w = w.withColumns({"start": F.round(start, 6), "length": length}).select("trip", "id", "media", F.col("start").alias("shown_from"), F.round(F.col("start") + F.col("length"), 6).alias("shown_to"))
+    e = e.withColumns({"seconds": F.round(F.col("seconds") + F.col("held"), 6), "story_start": F.round(F.col("story_start") + F.col("shift"), 6), "held": F.round("held", 6)}).drop("shift")
+    return e, w
+
+
+def hold_progress(samples: DataFrame, episodes: DataFrame, windows: DataFrame) -> DataFrame:
+    """samples(trip, id, k, t) of story times within episodes, with the photo shown and the progress on the route.
+
+    Story time runs on in a movement's holds, its route's clock does not: progress
+    is the time since the episode's start less the holds behind, over the
+    episode's seconds without holds.  Samples and windows are stacked by time, and
+    a running sum and the last window are carried to each sample: one shuffle by
+    episode, whatever the number of holds.
+    """
+    none = F.lit(None)
+    s = samples.select("trip", "id", "t", F.lit(1).alias("side"), "k", none.cast(windows.schema["media"].dataType).alias("media"), none.cast("double").alias("from"), none.cast("double").alias("to"))
+    w = windows.select("trip", "id", F.col("shown_from").alias("t"), F.lit(0).alias("side"), none.cast(samples.schema["k"].dataType).alias("k"), "media", F.col("shown_from").alias("from"), F.col("shown_to").alias("to"))
+    at = Window.partitionBy("trip", "id").orderBy("t", "side", "k").rowsBetween(Window.unboundedPreceding, 0)
+    last = F.last(F.when(F.col("side") == 0, F.struct("media", "from", "to")), ignorenulls=True).over(at)
+    both = s.unionByName(w).withColumns({"last": last, "behind": F.coalesce(F.sum(F.col("to") - F.col("from")).over(at), F.lit(0.0))}).where("side = 1")
+    j = both.join(episodes.select("trip", "id", "kind", "seconds", "story_start", "held"), ["trip", "id"])
+    within = F.coalesce(F.col("t") < F.col("last.to"), F.lit(False))
+    hold = within & (F.col("kind") == "MOVE")
+    clock = F.when(hold, F.col("last.from")).otherwise(F.col("t"))
+    behind = F.when(F.col("kind") != "MOVE", 0.0).when(hold, F.col("behind") - (F.col("last.to") - F.col("last.from"))).otherwise(F.col("behind"))
+    travel = F.col("seconds") - F.col("held")
+    progress = F.when(travel > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (clock - F.col("story_start") - behind) / travel))).otherwise(1.0)
+    return j.select("trip", "k", "t", "id", F.when(within, F.col("last.media")).alias("media"), hold.alias("held"), progress.alias("progress"))
+
+
+def story_samples(episodes: DataFrame, samples: int) -> DataFrame:
+    """(trip, id, k, t): evenly spaced story times of each trip; each episode makes its own, so nothing is compared across episodes."""
+    total = episodes.groupBy("trip").agg(F.max(F.col("story_start") + F.col("seconds")).alias("total"))
+    e = episodes.join(total, "trip").withColumn("step", F.col("total") / samples)
+    first, last = F.ceil(F.round(F.col("story_start") / F.col("step"), 6)), F.ceil(F.round((F.col("story_start") + F.col("seconds")) / F.col("step"), 6)) - 1
+    return e.where(last >= first).withColumn("k", F.explode(F.sequence(first.cast("int"), last.cast("int")))).select("trip", "id", "k", (F.col("k") * F.col("step")).alias("t"))
+
+
+def window_violations(episodes: DataFrame, windows: DataFrame) -> DataFrame:
+    """For each trip its windows, those without a parent, out of their parent by over 0.02 s, whose middle lies in another episode, or that overlap the one before."""
+    w = windows.join(episodes.select("trip", "id", "story_start", "seconds"), ["trip", "id"], "left")
+    stop, middle = F.col("story_start") + F.col("seconds"), (F.col("shown_from") + F.col("shown_to")) / 2
+    before = F.lag("shown_to").over(Window.partitionBy("trip").orderBy("shown_from", "media"))
+    w = w.withColumn("overlaps", F.coalesce(F.col("shown_from") < before - 1e-5, F.lit(False)))
+    known = F.col("story_start").isNotNull()
+    return w.groupBy("trip").agg(
+        F.count("*").alias("windows"), F.count_if(~known).alias("orphans"), F.count_if(known & ((F.col("shown_from") < F.col("story_start") - 0.02) | (F.col("shown_to") > stop + 0.02))).alias("outside"),
+        F.count_if(known & ~((middle >= F.col("story_start")) & (middle < stop))).alias("strangers"), F.count_if("overlaps").alias("overlapping"),
+    )

@@ -147,3 +147,64 @@ def a11c(spark, d):
     """Selection, order, bridges, times and starts in one, over the trips of story_items."""
     i = story_items(spark, d).withColumn("required", F.col("pinned") | F.col("is_override"))
     return ST.build_story(i).select("trip", "id", "kind", "start_ms", "end_ms", "seconds", "story_start")
+
+
+def own_episodes(spark, d):
+    """Episodes numbered by trip: line items repeat their ids."""
+    w = Window.partitionBy("trip").orderBy("start_ms", "end_ms", "id", "part")
+    s = stays(spark, d).withColumn("r", F.row_number().over(w)).withColumn("kind", F.when(F.col("r") % 2 == 0, "MOVE").otherwise("STAY"))
+    return s.withColumns({"id": F.col("trip") * 10_000_000 + F.col("r"), "seconds": ST.story_seconds("kind", "mode", "metres", F.col("part") % 4)})
+
+
+def moments(spark, d):
+    """Photos of the episodes: up to six each, at times that spread over the episode and a little beyond."""
+    e = own_episodes(spark, d).where(F.col("part") % 7 > 0).withColumn("j", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("part") % 7)))
+    span = F.expr("(end_ms - start_ms) div 100")
+    return e.select("trip", F.col("id").alias("parent"), (F.col("id") * 10 + F.col("j")).alias("media"), (F.col("start_ms") + span * ((F.col("j") * 37 + F.col("part") * 13) % 110 - 5)).alias("ts_ms"), ((F.col("part") + F.col("j")) % 3 == 0).alias("best"))
+
+
+def shown(spark, d):
+    m = moments(spark, d)
+    e = ST.schedule(ST.with_photo_room(own_episodes(spark, d), m))
+    return e, ST.photo_windows(e, m)
+
+
+_SHOWN = f"""{STAYS}, nr AS (SELECT *, row_number() OVER (PARTITION BY trip ORDER BY start_ms, end_ms, id, part) AS r FROM stays),
+  own AS (SELECT * REPLACE (trip * 10000000 + r AS id), round(CASE WHEN r % 2 = 0 THEN least(18.0::DOUBLE, CASE mode WHEN 'AIRPLANE' THEN 5.5 WHEN 'TRAIN' THEN 4.0 WHEN 'CAR' THEN 3.5 ELSE 2.2 END::DOUBLE + 1.8::DOUBLE * ln(1 + metres / 5000)) ELSE 2.0::DOUBLE + CASE WHEN part % 4 > 0 THEN 2.5::DOUBLE + 1.8::DOUBLE * (part % 4 - 1) ELSE 0 END END, 6) AS seconds FROM nr), mo AS (SELECT trip, id, id * 10 + j AS media, start_ms + (end_ms - start_ms) // 100 * ((j * 37 + part * 13) % 110 - 5) AS ts_ms, (part + j) % 3 = 0 AS best FROM own, range(1, 7) q(j) WHERE j <= part % 7),
+  rm AS (SELECT * EXCLUDE (seconds), round(greatest(seconds, CASE WHEN part % 7 > 0 THEN (part % 7) * 2.6::DOUBLE + 0.6::DOUBLE ELSE 0 END), 6) AS seconds FROM own),
+  sc AS (SELECT *, round(coalesce(sum(seconds) OVER (PARTITION BY trip ORDER BY start_ms, end_ms, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 6) AS t0 FROM rm),
+  mk AS (SELECT mo.trip, mo.id, media, ts_ms, t0, seconds, r % 2 = 0 AS move, row_number() OVER w AS k, count(*) OVER (PARTITION BY mo.id) AS n, greatest(0.05::DOUBLE, least(0.95::DOUBLE, (ts_ms - start_ms)::DOUBLE / greatest(1, end_ms - start_ms))) AS share, best FROM mo JOIN sc ON sc.id = mo.id AND sc.trip = mo.trip WINDOW w AS (PARTITION BY mo.id ORDER BY ts_ms, media)),
+  md AS (SELECT *, least(CASE WHEN best THEN 2.5 ELSE 1.8 END::DOUBLE, greatest(1.0::DOUBLE, seconds / n * 0.9::DOUBLE)) AS shown, CASE WHEN move THEN 0 ELSE least(0.35::DOUBLE, seconds * 0.12::DOUBLE) END AS settle FROM mk),
+  lay AS (SELECT id, 0::BIGINT AS k, t0 AS last, NULL::BIGINT AS media, NULL::DOUBLE AS a, NULL::DOUBLE AS b FROM md WHERE k = 1
+    UNION ALL SELECT x.id, x.k, CASE WHEN x.b > x.a + 0.01 THEN x.b ELSE x.last END, x.media, CASE WHEN x.b > x.a + 0.01 THEN x.a END, CASE WHEN x.b > x.a + 0.01 THEN x.b END FROM (
+      SELECT *, least(t0 + seconds, a + shown) AS b FROM (SELECT md.*, lay.last, greatest(greatest(t0 + settle, lay.last + 0.05::DOUBLE), least(t0 + seconds - (n - md.k + 1) * (shown + 0.05::DOUBLE), t0 + seconds * share - shown / 2)) AS a FROM lay JOIN md ON md.id = lay.id AND md.k = lay.k + 1)) x),
+  win AS (SELECT sc.trip, lay.id, media, round(a, 6) AS a, round(b, 6) AS b, sc.r % 2 = 0 AS move FROM lay JOIN sc USING (id) WHERE a IS NOT NULL)"""
+
+
+@query("a11_photo_windows", f"WITH RECURSIVE {_SHOWN} SELECT trip, id, media, CAST(floor(a * 1000 + 1e-4) AS BIGINT) AS from_ms, CAST(floor(b * 1000 + 1e-4) AS BIGINT) AS to_ms FROM win")
+def a11w(spark, d):
+    w = shown(spark, d)[1]
+    return w.select("trip", "id", "media", F.floor(F.col("shown_from") * 1000 + 1e-4).alias("from_ms"), F.floor(F.col("shown_to") * 1000 + 1e-4).alias("to_ms"))
+
+
+_HOLDS = f"""{_SHOWN}, hs AS (SELECT id, sum(b - a) AS held FROM win WHERE move GROUP BY id), he AS (SELECT sc.*, round(coalesce(held, 0), 6) AS held FROM sc LEFT JOIN hs USING (id)),
+  sh AS (SELECT *, coalesce(sum(held) OVER (PARTITION BY trip ORDER BY start_ms, end_ms, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS shift FROM he),
+  ex AS (SELECT trip, id, r % 2 = 0 AS move, held, round(seconds + held, 6) AS seconds, round(t0 + shift, 6) AS t0 FROM sh),
+  hw AS (SELECT * REPLACE (round(s + len, 6) - round(s, 6) AS len, round(s, 6) AS s) FROM (SELECT win.trip, win.id, media, win.move, b - a AS len, CASE WHEN win.move THEN (a + b) / 2 + coalesce(sum(b - a) OVER (PARTITION BY win.id ORDER BY a, media ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) ELSE a END + shift AS s FROM win JOIN sh USING (id)))"""
+
+
+@query("a12_hold_progress", f"""WITH RECURSIVE {_HOLDS}, tt AS (SELECT trip, max(t0 + seconds) AS total FROM ex GROUP BY trip),
+  smp AS (SELECT ex.*, k, k * total / 400 AS t FROM ex JOIN tt USING (trip), range(400) q(k) WHERE k >= round(t0 / (total / 400), 6) AND k < round((t0 + seconds) / (total / 400), 6)),
+  j AS (SELECT smp.trip, smp.k, smp.id, smp.move, smp.t, smp.t0, smp.seconds, smp.held, coalesce(sum(greatest(0.0::DOUBLE, least(len, t - s))), 0) AS behind, max(media) FILTER (t >= s AND t < s + len) AS media, max(s) FILTER (t >= s AND t < s + len) AS hold0 FROM smp LEFT JOIN hw ON hw.id = smp.id AND hw.s <= smp.t GROUP BY ALL)
+  SELECT trip, CAST(k AS INT) AS k, id, media, move AND media IS NOT NULL AS held, CAST(floor(1000 * greatest(0.0::DOUBLE, least(1.0::DOUBLE, CASE WHEN move THEN coalesce(hold0, t) - t0 - (behind - coalesce(t - hold0, 0)) ELSE t - t0 END / (seconds - held))) + 1e-4) AS BIGINT) AS permille FROM j""")
+def a12h(spark, d):
+    """Photo and progress at 400 story times of each trip, with movements that stand still in holds."""
+    e, w = ST.with_holds(*shown(spark, d))
+    got = ST.hold_progress(ST.story_samples(e, 400), e, w)
+    return got.select("trip", "k", "id", "media", "held", F.floor(F.col("progress") * 1000 + 1e-4).alias("permille"))
+
+
+@query("a13_photo_windows", f"""WITH RECURSIVE {_HOLDS}, v AS (SELECT hw.trip, s, s + len AS e, t0, t0 + seconds AS stop, coalesce(s < lag(s + len) OVER (PARTITION BY hw.trip ORDER BY s, media) - 1e-5, false) AS over FROM hw JOIN ex USING (id))
+  SELECT trip, count(*) AS windows, 0::BIGINT AS orphans, count(*) FILTER (s < t0 - 0.02 OR e > stop + 0.02) AS outside, count(*) FILTER (NOT ((s + e) / 2 >= t0 AND (s + e) / 2 < stop)) AS strangers, count(*) FILTER (over) AS overlapping FROM v GROUP BY trip""")
+def a13w(spark, d):
+    return ST.window_violations(*ST.with_holds(*shown(spark, d)))
