@@ -1,4 +1,4 @@
-"""Anchors, photo matching, day assignment and the story's timeline."""
+"""Anchors, day assignment and the story's timeline."""
 
 from __future__ import annotations
 
@@ -8,8 +8,6 @@ from pyspark.sql.window import Window
 
 from trekframe.functions.geo import c, haversine
 
-from .joins import interval_join, nearest_in_time
-
 
 def anchor_score(ms, clusters, photos, eligible, arrival_m, is_override, is_named, pinned) -> Column:
     """struct<score, important> of a stay by dwell, photo clusters, arrival and labels; short stops without reason lose 1800."""
@@ -23,40 +21,6 @@ def anchor_score(ms, clusters, photos, eligible, arrival_m, is_override, is_name
     return F.struct(score.cast("bigint").alias("score"), important.alias("important"))
 
 
-def match_photos(photos: DataFrame, visits: DataFrame, moves: DataFrame, points: DataFrame) -> DataFrame:
-    """A7 over photos(trip, id, ts_ms, lat, lng, gps): matched visit or move and a confidence.
-
-    With a position: the visit of the time within 1500 m; the move of the time
-    within 3 km (50 km by air); the nearest visit within 2 h and 300 m; else none.
-    Without: the visit, the move, or the nearest point within 30 whole minutes.
-    """
-    key = ["trip"]
-    own = lambda df, p: df.select("trip", *(F.col(x).alias(f"{p}_{x}") for x in ("id", "start_ms", "end_ms", "lat", "lng", "mode")))
-
-    def active(df, p):
-        m = interval_join(photos.select("trip", "id", "ts_ms"), own(df, p), key, "ts_ms", f"{p}_start_ms", f"{p}_end_ms")
-        first = F.min(F.struct(f"{p}_start_ms", f"{p}_end_ms", f"{p}_id", f"{p}_lat", f"{p}_lng", f"{p}_mode"))
-        return m.groupBy("trip", "id").agg(first.alias(p))
-
-    near = interval_join(photos.where("gps").select("trip", "id", "ts_ms", "lat", "lng"), own(visits, "n"), key, "ts_ms", "n_start_ms", "n_end_ms", pad=7_200_000)
-    near = near.groupBy("trip", "id").agg(F.min(F.struct(F.round(haversine("lat", "lng", "n_lat", "n_lng"), 3).alias("m"), "n_id")).alias("n"))
-    timed = nearest_in_time(photos.where("NOT gps").select("trip", "id", "ts_ms"), points.select("trip", F.col("ts_ms").alias("at"), F.col("id").alias("point")), key, "ts_ms", "at", ["point"])
-    all_ = photos.join(active(visits, "v"), ["trip", "id"], "left").join(active(moves, "s"), ["trip", "id"], "left").join(near, ["trip", "id"], "left").join(timed.select("trip", "id", "r_at", "r_point"), ["trip", "id"], "left")
-    minutes = F.floor(F.abs(F.col("r_at") - F.col("ts_ms")) / 60_000)
-    on_visit = F.col("v").isNotNull() & (haversine("lat", "lng", "v.v_lat", "v.v_lng") <= 1500)
-    reach = F.when(F.col("s.s_mode") == "AIRPLANE", 50_000).otherwise(3000)
-    on_move = F.col("s").isNotNull() & (haversine("lat", "lng", "s.s_lat", "s.s_lng") <= reach)
-    got = lambda v, s, p: F.struct(v.cast("bigint").alias("visit"), s.cast("bigint").alias("move"), p.cast("double").alias("confidence"))
-    no, one = F.lit(None), F.lit(0.98)
-    move_p = F.when(F.col("s.s_mode") == "AIRPLANE", 0.70).when(F.col("s.s_end_ms") - F.col("s.s_start_ms") < 1_800_000, 0.85).otherwise(0.60)
-    pick = (
-        F.when(F.col("gps") & on_visit, got(F.col("v.v_id"), no, one)).when(F.col("gps") & on_move, got(no, F.col("s.s_id"), one)).when(F.col("gps") & (F.col("n.m") <= 300), got(F.col("n.n_id"), no, one))
-        .when(F.col("gps"), got(no, no, one)).when(F.col("v").isNotNull(), got(F.col("v.v_id"), no, F.lit(0.92))).when(F.col("s").isNotNull(), got(no, F.col("s.s_id"), move_p))
-        .when(minutes <= 30, got(no, no, F.greatest(F.lit(0.4), F.least(F.lit(0.75), 1 - minutes / 40)))).otherwise(got(no, no, F.lit(0.1)))
-    )
-    return all_.select("trip", "id", pick.alias("p")).select("trip", "id", "p.*")
-
-
 def assign_day(parent_day, own_day, consensus_day, status) -> Column:
     """The parent's day, the photo's own, what all zones agree on, or none, and how sure that is."""
     out = lambda d, s: F.struct(d.alias("day"), F.lit(s).alias("confidence"))

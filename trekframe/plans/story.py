@@ -6,26 +6,53 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from trekframe.operators import compress as CS
+from trekframe.operators import routes as R
 from trekframe.operators import story as ST
 
 from .base import PINGS, STAYS, hav, pings, query, read, stays
 from .joins import _AT, at
 
-_V, _S = hav("p.lat", "p.lng", "v.lat", "v.lng"), hav("p.lat", "p.lng", "s.lat", "s.lng")
-
-
-@query("a7_photo_match", f"""WITH {STAYS}, {_AT}, {PINGS}, pt AS (SELECT id, trip, ts_ms - 883612800000 + 220924800000 AS ts_ms FROM pings),
-  a AS (SELECT o.id, x.id AS stay, x.mode, x.lat, x.lng, x.end_ms - x.start_ms AS ms, x.mode IN ('WALK', 'UNKNOWN') AS visit, row_number() OVER (PARTITION BY o.id, x.mode IN ('WALK', 'UNKNOWN') ORDER BY x.start_ms, x.end_ms, x.id) AS r FROM obs o JOIN stays x ON o.trip = x.trip AND o.ts_ms BETWEEN x.start_ms AND x.end_ms),
-  n AS (SELECT o.id, x.id AS stay, round({hav('o.lat', 'o.lng', 'x.lat', 'x.lng')}, 3) AS m FROM obs o JOIN stays x ON o.trip = x.trip AND o.gps AND x.mode IN ('WALK', 'UNKNOWN') AND o.ts_ms BETWEEN x.start_ms - 7200000 AND x.end_ms + 7200000), nb AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY m, stay) AS r FROM n),
-  t AS (SELECT o.id, min(abs(pt.ts_ms - o.ts_ms)) AS gap FROM obs o JOIN pt ON pt.trip = o.trip AND NOT o.gps GROUP BY o.id),
-  j AS (SELECT p.id, p.trip, p.gps, v.stay AS vs, s.stay AS ss, {_V} AS vm, {_S} AS sm, s.mode, s.ms, nb.stay AS ns, nb.m AS nm, gap // 60000 AS mins FROM obs p LEFT JOIN a v ON v.id = p.id AND v.visit AND v.r = 1 LEFT JOIN a s ON s.id = p.id AND NOT s.visit AND s.r = 1 LEFT JOIN nb ON nb.id = p.id AND nb.r = 1 LEFT JOIN t ON t.id = p.id),
-  k AS (SELECT *, CASE WHEN gps AND vs IS NOT NULL AND vm <= 1500 THEN 1 WHEN gps AND ss IS NOT NULL AND sm <= CASE WHEN mode = 'AIRPLANE' THEN 50000 ELSE 3000 END THEN 2 WHEN gps AND nm <= 300 THEN 3 WHEN gps THEN 4 WHEN vs IS NOT NULL THEN 5 WHEN ss IS NOT NULL THEN 6 WHEN mins <= 30 THEN 7 ELSE 8 END AS c FROM j)
-  SELECT trip, id, CASE c WHEN 1 THEN vs WHEN 3 THEN ns WHEN 5 THEN vs END AS visit, CASE c WHEN 2 THEN ss WHEN 6 THEN ss END AS move, CASE WHEN c <= 4 THEN 0.98 WHEN c = 5 THEN 0.92 WHEN c = 6 THEN CASE WHEN mode = 'AIRPLANE' THEN 0.7 WHEN ms < 1800000 THEN 0.85 ELSE 0.6 END WHEN c = 7 THEN greatest(0.4, least(0.75, 1 - mins / 40)) ELSE 0.1 END::DOUBLE AS confidence FROM k""")
+#: Stays under ids of their own; the moves go on by up to eleven points, timed, untimed or none.
+_MATCH = f"""{STAYS}, {_AT}, {PINGS}, pt AS (SELECT id, trip, ts_ms - 883612800000 + 220924800000 AS ts_ms, lat, lng FROM pings),
+  st AS (SELECT DISTINCT trip, id * 1000000 + part AS id, start_ms, end_ms, lat, lng, mode, part, mode IN ('WALK', 'UNKNOWN') AS still, 3 + part % 9 AS n FROM stays),
+  ph AS (SELECT id, trip, CASE WHEN id % 40 <> 11 THEN ts_ms END AS ts_ms, lat, lng, gps, id % 50 = 7 AS own, CASE WHEN id % 2 = 0 THEN id * 3 END AS visit0, CASE WHEN id % 2 = 1 THEN id * 5 END AS move0 FROM obs), au AS (SELECT * FROM ph WHERE NOT own AND ts_ms IS NOT NULL),
+  pa AS (SELECT trip, id AS move, k AS seq, CASE WHEN part % 2 = 0 THEN start_ms + (end_ms - start_ms) // n * k END AS ts_ms, lat + (k * (part % 3 - 1) * 100)::DOUBLE / 10000 AS lat, lng + (k * 200)::DOUBLE / 10000 AS lng FROM st, range(12) r(k) WHERE NOT still AND k <= n AND part % 11 > 0
+    UNION ALL SELECT trip, id, k, NULL, lat + k * 0.1::DOUBLE, lng FROM st, range(2) r(k) WHERE NOT still AND part % 11 = 0),
+  lg AS (SELECT trip, move, seq, ts_ms AS t1, lat AS lat1, lng AS lng1, lead(ts_ms) OVER w AS t2, lead(lat) OVER w AS lat2, lead(lng) OVER w AS lng2 FROM pa WINDOW w AS (PARTITION BY trip, move ORDER BY seq)),
+  le AS (SELECT *, {hav('lat1', 'lng1', 'lat2', 'lng2')} AS metres FROM lg WHERE lat2 IS NOT NULL),
+  a AS (SELECT o.trip, o.id, x.id AS stay, x.mode, x.lat, x.lng, x.start_ms AS s0, x.end_ms - x.start_ms AS ms, still, row_number() OVER (PARTITION BY o.id, still ORDER BY x.start_ms, x.end_ms, x.id) AS r FROM au o JOIN st x ON o.trip = x.trip AND o.ts_ms BETWEEN x.start_ms AND x.end_ms)"""
+_X, _Y = "radians(p.lng - lng1) * cos(radians((lat1 + lat2) / 2)) * 6371000.0::DOUBLE", "radians(p.lat - lat1) * 6371000.0::DOUBLE"
+_X2, _Y2 = "radians(lng2 - lng1) * cos(radians((lat1 + lat2) / 2)) * 6371000.0::DOUBLE", "radians(lat2 - lat1) * 6371000.0::DOUBLE"
+
+
+@query("a7_photo_match", f"""WITH {_MATCH},
+  xy AS (SELECT p.id, s.mode, {_X} AS x, {_Y} AS y, {_X2} AS x2, {_Y2} AS y2 FROM au p JOIN a s ON s.id = p.id AND NOT s.still AND s.r = 1 AND p.gps JOIN le ON le.trip = p.trip AND le.move = s.stay),
+  near AS (SELECT id, min(sqrt(pow(x - t * x2, 2) + pow(y - t * y2, 2))) AS m FROM (SELECT *, CASE WHEN x2 * x2 + y2 * y2 > 0 THEN least(1.0::DOUBLE, greatest(0.0::DOUBLE, (x * x2 + y * y2) / (x2 * x2 + y2 * y2))) ELSE 0 END AS t FROM xy) GROUP BY id),
+  n AS (SELECT o.id, x.id AS stay, round({hav('o.lat', 'o.lng', 'x.lat', 'x.lng')}, 3) AS m FROM au o JOIN st x ON o.trip = x.trip AND o.gps AND still AND o.ts_ms BETWEEN x.start_ms - 7200000 AND x.end_ms + 7200000), nb AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY m, stay) AS r FROM n),
+  t AS (SELECT o.id, abs(pt.ts_ms - o.ts_ms) AS gap, pt.lat, pt.lng, row_number() OVER (PARTITION BY o.id ORDER BY abs(pt.ts_ms - o.ts_ms), pt.ts_ms) AS r FROM au o JOIN pt ON pt.trip = o.trip AND NOT o.gps AND abs(pt.ts_ms - o.ts_ms) < 1860000),
+  ru AS (SELECT *, coalesce(sum(metres) OVER (PARTITION BY trip, move ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run, sum(metres) OVER (PARTITION BY trip, move) AS total FROM le),
+  po AS (SELECT p.id, lat1, lng1, lat2, lng2, metres, CASE WHEN p.ts_ms BETWEEN t1 AND t2 THEN (p.ts_ms - t1)::DOUBLE / greatest(1, t2 - t1) ELSE least(1.0::DOUBLE, ((p.ts_ms - s0)::DOUBLE / ms * total - run) / metres) END AS f, row_number() OVER (PARTITION BY p.id ORDER BY coalesce(p.ts_ms BETWEEN t1 AND t2, false) DESC, CASE WHEN p.ts_ms BETWEEN t1 AND t2 THEN seq ELSE -seq END) AS r
+    FROM au p JOIN a s ON s.id = p.id AND NOT s.still AND s.r = 1 AND NOT p.gps JOIN ru ON ru.trip = p.trip AND ru.move = s.stay WHERE coalesce(p.ts_ms BETWEEN t1 AND t2, false) OR run <= (p.ts_ms - s0)::DOUBLE / ms * total),
+  pw AS (SELECT *, metres / 6371000.0::DOUBLE AS w, radians(lat1) AS a1, radians(lng1) AS b1, radians(lat2) AS c1, radians(lng2) AS d1 FROM po WHERE r = 1), pu AS (SELECT *, sin((1 - f) * w) / sin(w) AS u, sin(f * w) / sin(w) AS v FROM pw),
+  pz AS (SELECT *, u * cos(a1) * cos(b1) + v * cos(c1) * cos(d1) AS x, u * cos(a1) * sin(b1) + v * cos(c1) * sin(d1) AS y, u * sin(a1) + v * sin(c1) AS z FROM pu), pp AS (SELECT id, CASE WHEN w < 1e-9 THEN lat1 ELSE degrees(atan2(z, sqrt(x * x + y * y))) END AS lat, CASE WHEN w < 1e-9 THEN lng1 ELSE degrees(atan2(y, x)) END AS lng FROM pz),
+  j AS (SELECT p.*, v.stay AS vs, v.lat AS vlat, v.lng AS vlng, s.stay AS ss, s.mode, s.ms, {hav('p.lat', 'p.lng', 'v.lat', 'v.lng')} AS vm, near.m AS sm, nb.stay AS ns, nb.m AS nm, t.gap // 60000 AS mins, t.lat AS tlat, t.lng AS tlng, pp.lat AS plat, pp.lng AS plng
+    FROM ph p LEFT JOIN a v ON v.id = p.id AND v.still AND v.r = 1 LEFT JOIN a s ON s.id = p.id AND NOT s.still AND s.r = 1 LEFT JOIN near ON near.id = p.id LEFT JOIN nb ON nb.id = p.id AND nb.r = 1 LEFT JOIN t ON t.id = p.id AND t.r = 1 LEFT JOIN pp ON pp.id = p.id),
+  k AS (SELECT *, CASE WHEN own THEN 0 WHEN ts_ms IS NULL AND gps THEN 4 WHEN ts_ms IS NULL THEN 9 WHEN gps AND vm <= 1500 THEN 1 WHEN gps AND sm <= CASE WHEN mode = 'AIRPLANE' THEN 50000 ELSE 3000 END THEN 2 WHEN gps AND nm <= 300 THEN 3 WHEN gps THEN 4 WHEN vs IS NOT NULL THEN 5 WHEN ss IS NOT NULL THEN 6 WHEN mins <= 30 THEN 7 ELSE 8 END AS c FROM j)
+  SELECT trip, id, CASE c WHEN 0 THEN visit0 WHEN 1 THEN vs WHEN 3 THEN ns WHEN 5 THEN vs END AS visit, CASE c WHEN 0 THEN move0 WHEN 2 THEN ss WHEN 6 THEN ss END AS move, CASE WHEN c = 0 THEN 0.5 WHEN c <= 4 THEN 0.98 WHEN c = 5 THEN 0.92 WHEN c = 6 THEN CASE WHEN mode = 'AIRPLANE' THEN 0.7 WHEN ms < 1800000 THEN 0.85 ELSE 0.6 END WHEN c = 7 THEN greatest(0.4, least(0.75, 1 - mins / 40)) WHEN c = 8 THEN 0.1 ELSE 0 END::DOUBLE AS confidence,
+    round(CASE WHEN c <= 4 THEN lat WHEN c = 5 THEN vlat WHEN c = 6 THEN plat WHEN c = 7 THEN tlat END, 5) AS lat, round(CASE WHEN c <= 4 THEN lng WHEN c = 5 THEN vlng WHEN c = 6 THEN plng WHEN c = 7 THEN tlng END, 5) AS lng, ['USER', 'GPS_EXACT', 'GPS_EXACT', 'GPS_EXACT', 'GPS_EXACT', 'VISIT_INFERRED', 'TIMELINE_INTERPOLATED', 'TIMELINE_INTERPOLATED', 'TIME_ONLY', 'UNKNOWN'][c + 1] AS source FROM k""")
 def a7(spark, d):
-    s = stays(spark, d)
+    """Photos against stays, routes with timed and untimed points, and points; a route's start may be far from the photo."""
+    part, k = F.col("part"), F.col("seq")
+    s = stays(spark, d).withColumn("id", F.col("id") * 1_000_000 + part).select("trip", "id", "start_ms", "end_ms", "lat", "lng", "mode", "part").distinct()
     still = F.col("mode").isin("WALK", "UNKNOWN")
+    moves = s.where(~still).withColumns({"lat2": F.col("lat") + 0.1, "lng2": F.col("lng")})
+    paths = moves.where(part % 11 > 0).withColumn("n", 3 + part % 9).withColumn("seq", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n"))))
+    paths = paths.select("trip", F.col("id").alias("move"), "seq", F.when(part % 2 == 0, F.col("start_ms") + F.expr("(end_ms - start_ms) div n") * k).alias("ts_ms"), (F.col("lat") + (k * (part % 3 - 1) * 100).cast("double") / 10000).alias("lat"), (F.col("lng") + (k * 200).cast("double") / 10000).alias("lng"))
+    i = F.col("id")
+    photos = at(spark, d).withColumns({"ts_ms": F.when(i % 40 != 11, F.col("ts_ms")), "own": i % 50 == 7, "visit": F.when(i % 2 == 0, i * 3), "move": F.when(i % 2 == 1, i * 5), "confidence": F.lit(0.5)})
     points = pings(spark, d).withColumn("ts_ms", F.col("ts_ms") - 883_612_800_000 + 220_924_800_000)
-    return ST.match_photos(at(spark, d), s.where(still), s.where(~still), points)
+    got = R.match_photos(photos, s.where(still), moves, points, paths)
+    return got.select("trip", "id", "visit", "move", "confidence", F.round("lat", 5).alias("lat"), F.round("lng", 5).alias("lng"), "source")
 
 
 @query("a8_d8_day_reconstruction", """WITH p AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey % 3 = 0 THEN CAST(o_orderdate AS DATE) END AS parent, CASE WHEN l_partkey % 4 = 0 THEN CAST(l_shipdate AS DATE) END AS own, ['CONSENSUS', 'AMBIGUOUS', 'NONE'][CAST(l_partkey % 5 % 3 AS INT) + 1] AS st, CAST(l_shipdate AS DATE) AS cd FROM lineitem JOIN orders ON o_orderkey = l_orderkey)
