@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from trekframe.functions.geo import haversine
 from trekframe.operators import joins as J
+from trekframe.operators import zones as Z
 
 from .base import PINGS, STAYS, hav, pings, query, read, stays
 
@@ -189,3 +190,30 @@ def j25(spark, d):
     o = read(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("raw"), "o_orderstatus")
     li = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.substring_index(F.concat_ws("_", "l_orderkey", "l_linenumber"), "_", 1).alias("raw"))
     return li.join(o, "raw").drop("raw")
+
+
+#: A zone for each supplier: twelve corners about its centre and a hole of four; some centres lie near the antimeridian.
+_SHAPE = [(40, 0), (34, 13), (26, 31), (9, 30), (0, 41), (-15, 28), (-33, 30), (-28, 8), (-41, -3), (-29, -21), (-2, -38), (27, -19)]
+_HOLE = [(12, 0), (0, 14), (-11, 1), (1, -13)]
+_CORNERS = ", ".join(f"({r}, {i}, {x}, {y})" for r, ring in enumerate((_SHAPE, _HOLE)) for i, (x, y) in enumerate(ring))
+_SCALE = "(1 + s_suppkey % 5)"
+_ZONES = f"""corner(ring, seq, dx, dy) AS (VALUES {_CORNERS}), vx AS (SELECT s_suppkey AS zone, ring, seq, (s_suppkey * 7919 % 36000 + dx * {_SCALE} * 3)::DOUBLE / 100 - 180 AS x, (s_suppkey * 104729 % 13000 + dy * {_SCALE} * 3)::DOUBLE / 100 - 65 AS y FROM supplier, corner),
+  ze AS (SELECT zone, x AS x1, y AS y1, coalesce(lead(x) OVER w, first(x) OVER w) AS x2, coalesce(lead(y) OVER w, first(y) OVER w) AS y2 FROM vx WINDOW w AS (PARTITION BY zone, ring ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+  wp AS (SELECT event_id AS id, (event_id * 7907 % 36000)::DOUBLE / 100 + 0.005 - 180 AS lng, (event_id * 6397 % 14000)::DOUBLE / 100 + 0.005 - 70 AS lat FROM events)"""
+
+
+def zone_rings(spark, d):
+    s = read(spark, d, "supplier").select(F.col("s_suppkey").alias("zone")).withColumn("c", F.explode(F.array(*(F.struct(F.lit(r).alias("ring"), F.lit(i).alias("seq"), F.lit(x).cast("bigint").alias("dx"), F.lit(y).cast("bigint").alias("dy")) for r, ring in enumerate((_SHAPE, _HOLE)) for i, (x, y) in enumerate(ring))))).select("zone", "c.*")
+    wide = 1 + F.col("zone") % 5
+    x = (F.col("zone") * 7919 % 36000 + F.col("dx") * wide * 3).cast("double") / 100 - 180
+    y = (F.col("zone") * 104729 % 13000 + F.col("dy") * wide * 3).cast("double") / 100 - 65
+    return s.select("zone", "ring", "seq", (F.pmod(x + 180.0, F.lit(360.0)) - 180.0).alias("lng"), y.alias("lat"))
+
+
+@query("j19_zone_of_point", f"""WITH {_ZONES}, t AS (SELECT wp.id, zone, count(*) % 2 AS odd FROM wp, range(-1, 2) q(turn), ze WHERE (y1 > lat) <> (y2 > lat) AND lng + 360 * turn < (x2 - x1) * (lat - y1) / (y2 - y1) + x1 GROUP BY wp.id, zone, turn)
+  SELECT wp.id, min(zone) AS zone FROM wp LEFT JOIN t ON t.id = wp.id AND odd = 1 GROUP BY wp.id""")
+def j19z(spark, d):
+    """The zone of points all over the globe, of as many rings as suppliers, with holes, some across the antimeridian."""
+    k = F.col("event_id")
+    points = read(spark, d, "events").select(k.alias("id"), ((k * 7907 % 36000).cast("double") / 100 + 0.005 - 180).alias("lng"), ((k * 6397 % 14000).cast("double") / 100 + 0.005 - 70).alias("lat"))
+    return Z.zone_of_point(points, Z.zone_index(Z.ring_edges(zone_rings(spark, d))), "id").select("id", "zone")
