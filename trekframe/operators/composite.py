@@ -312,12 +312,41 @@ def canonical_moves(rows: list[dict]) -> list[dict]:
     metre, and is ruled out beyond 1500 m.  A path with a jump over 500 m inside
     falls back to the single best movement.
     """
+    return _resolved(rows)[0]
+
+
+def canonical_records(rows: list[dict]) -> list[dict]:
+    """As canonical_moves, with a record of each movement that went, and what was counted on the island's first row.
+
+    A movement goes as SAME_MODE_NESTED if one of its mode stays in the island,
+    else as CONFLICTING_MODE_LOWER_CONFIDENCE; what replaced it is the island's
+    first movement that stays.  Counted are the records, the conflicts in each
+    atomic interval with one of the same mode and of another, what was cut,
+    what went, and whether a jump was repaired.
+    """
+    kept, counts = _resolved(rows)
+    if not kept:
+        return []
+    stay = {s["id"] for s in kept}
+    gone = [s for s in sorted(rows, key=lambda s: (s["start_ms"], s["end_ms"], s["id"])) if s["id"] not in stay]
+    modes = {s["mode"] for s in rows if s["id"] in stay}
+    zero = dict.fromkeys(COUNTS, 0)
+    out = [s | zero | {"reason": None, "replaced_by": None} for s in kept]
+    out[0] |= counts | {"n_raw": len(rows), "n_groups": 1, "n_gone": len(gone)}
+    reason = lambda s: "SAME_MODE_NESTED" if s["mode"] in modes else "CONFLICTING_MODE_LOWER_CONFIDENCE"
+    return out + [s | zero | {"reason": reason(s), "replaced_by": kept[0]["id"]} for s in gone]
+
+
+COUNTS = ["n_raw", "n_groups", "n_same_mode", "n_other_mode", "n_cut", "n_gone", "n_repaired"]
+
+
+def _resolved(rows: list[dict]) -> tuple[list[dict], dict[str, int]]:
     rows = sorted(rows, key=lambda s: (s["start_ms"], s["end_ms"], s["id"]))
     edges = sorted({t for s in rows for t in (s["start_ms"], s["end_ms"])})
     tracks = {s["id"]: track(s) for s in rows}
     steps = [(a, b, on) for a, b in zip(edges, edges[1:]) if (on := [s for s in rows if s["start_ms"] <= a and b <= s["end_ms"]])]
     if not steps:
-        return []
+        return [], {}
 
     def change(p: dict, q: dict, t: int) -> float:
         if p["id"] == q["id"]:
@@ -339,8 +368,8 @@ def canonical_moves(rows: list[dict]) -> list[dict]:
     for come in reversed(back):
         path.append(k := come[k])
     chosen = [on[i] for (_, _, on), i in zip(steps, reversed(path))]
-    jump = any(p["id"] != q["id"] and metres(*position(tracks[p["id"]], a), *position(tracks[q["id"]], a)) > 500 for p, q, (a, _, _) in zip(chosen, chosen[1:], steps[1:]))
-    if jump or max(score) == -math.inf:
+    repaired = max(score) == -math.inf or any(p["id"] != q["id"] and metres(*position(tracks[p["id"]], a), *position(tracks[q["id"]], a)) > 500 for p, q, (a, _, _) in zip(chosen, chosen[1:], steps[1:]))
+    if repaired:
         low, high = steps[0][0], steps[-1][1]
         best = rows[first_best([_worth(s, max(low, s["start_ms"]), min(high, s["end_ms"])) for s in rows])]
         chosen = [best if best in on else on[first_best([_worth(s, a, b) for s in on])] for a, b, on in steps]
@@ -357,7 +386,78 @@ def canonical_moves(rows: list[dict]) -> list[dict]:
         s["lat2"], s["lng2"] = position(tracks[of["id"]], s["end_ms"])
         if s.get("path"):
             s["path"] = between(tracks[of["id"]], s["start_ms"], s["end_ms"])
-    return out
+    others = [x["mode"] == s["mode"] for s, (_, _, on) in zip(chosen, steps) for x in on if x["id"] != s["id"]]
+    return out, {"n_same_mode": sum(others), "n_other_mode": len(others) - sum(others), "n_cut": sum(s["sliced"] for s in out), "n_repaired": int(repaired)}
+
+
+RECORD = MOVE + ", reason string, replaced_by bigint, " + ", ".join(f"{n} bigint" for n in COUNTS)
+
+
+def canonicalise_with_records(moves: DataFrame) -> DataFrame:
+    """canonicalise_moves with a row for each movement that went, its reason (null where it stays) and what replaced it."""
+    from pyspark.sql.window import Window
+
+    from .sequence import islands
+
+    rows = islands(moves, ["trip"], ["id"]).withColumns({"__n": F.count("*").over(Window.partitionBy("trip", "island")), "sliced": F.lit(False)})
+    cols = [x.split()[0] for x in MOVE.split(", ")]
+    alone = {"reason": F.lit(None).cast("string"), "replaced_by": F.lit(None).cast("bigint")} | {n: F.lit(int(n == "n_raw")).cast("bigint") for n in COUNTS}
+    return rows.where("__n = 1").select(*cols).withColumns(alone).unionByName(_grouped(rows.where("__n > 1").select(*cols), ["trip", "island"], canonical_records, RECORD))
+
+
+def joined_moves(moves: DataFrame) -> DataFrame:
+    """W8 over canonical moves: neighbours of one mode, not by air, at most 15 min and 500 m from end to start, become one; first is the id that it begins with."""
+    from pyspark.sql.window import Window
+
+    w = Window.partitionBy("trip").orderBy("start_ms", "end_ms", "id")
+    before = lambda x: F.lag(x).over(w)
+    same = (before("mode") == F.col("mode")) & (F.col("mode") != "AIRPLANE") & (F.col("start_ms") - before("end_ms")).between(0, 900_000) & (haversine(before("lat2"), before("lng2"), "lat", "lng") <= 500)
+    m = moves.withColumn("__new", (~F.coalesce(same, F.lit(False))).cast("bigint")).withColumn("episode", F.sum("__new").over(w))
+    head, tail = F.struct("start_ms", "end_ms", "id"), F.struct("start_ms", "end_ms", "id", "lat2", "lng2")
+    return m.groupBy("trip", "episode").agg(
+        F.min_by("id", head).alias("first"), F.first("mode").alias("mode"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.min_by("lat", head).alias("lat"), F.min_by("lng", head).alias("lng"),
+        F.max_by("lat2", tail).alias("lat2"), F.max_by("lng2", tail).alias("lng2"), F.count("*").alias("members"), *(F.sum(n).alias(n) for n in COUNTS),
+    )
+
+
+def timeline_jumps(episodes: DataFrame, raw: DataFrame) -> DataFrame:
+    """W5-W7 from each of joined_moves to the next: gap_ms, jump_m and what they are.
+
+    A jump over 500 m within a second is the source's if the records from which
+    both come lie over 400 m apart themselves, or are one; else canonicalisation
+    has made it.  raw(trip, id, lat, lng, lat2, lng2) are the records.
+    """
+    from pyspark.sql.window import Window
+
+    w = Window.partitionBy("trip").orderBy("start_ms", "end_ms", "first")
+    nxt = lambda x: F.lead(x).over(w)
+    e = episodes.withColumns({"next": nxt("first"), "gap_ms": nxt("start_ms") - F.col("end_ms"), "jump_m": haversine("lat2", "lng2", nxt("lat"), nxt("lng"))})
+    hit = F.coalesce(F.col("gap_ms").between(0, 1000) & (F.col("jump_m") > 500), F.lit(False))
+    e = e.withColumn("hit", hit)
+    a = raw.select("trip", F.col("id").alias("first"), F.col("lat2").alias("a_lat"), F.col("lng2").alias("a_lng"))
+    b = raw.select("trip", F.col("id").alias("next"), F.col("lat").alias("b_lat"), F.col("lng").alias("b_lng"))
+    typed = e.where("hit").select("trip", "episode", "first", "next").join(a, ["trip", "first"]).join(b, ["trip", "next"])
+    source = (F.col("first") == F.col("next")) | (haversine("a_lat", "a_lng", "b_lat", "b_lng") > 400)
+    typed = typed.select("trip", "episode", F.when(source, "SOURCE_TIMELINE_GAP").otherwise("CANONICALIZER_INTRODUCED_JUMP").alias("discontinuity"))
+    small = F.col("jump_m").between(1, 500) & F.col("gap_ms").between(0, 900_000)
+    fast = F.col("gap_ms").between(0, 300_000) & (F.col("jump_m") > 1000) & ((F.col("gap_ms") <= 1000) | (F.col("jump_m") / (F.col("gap_ms") / 1000) > 150))
+    sure = lambda x: F.coalesce(x, F.lit(False))
+    e = e.withColumns({"violation": sure(F.col("gap_ms") < 0), "connector": sure(small), "true_gap": sure(~small & ((F.col("jump_m") > 5000) | (F.col("gap_ms") > 3_600_000))), "backtrack": sure(fast)})
+    return e.join(typed, ["trip", "episode"], "left").drop("hit")
+
+
+def canonical_diagnostics(records: DataFrame, raw: DataFrame) -> DataFrame:
+    """For each trip the counters of canonicalisation, and its jumps and backtracks as text, over canonicalise_with_records."""
+    j = timeline_jumps(joined_moves(records.where("reason IS NULL")), raw)
+    told = lambda test, text: F.sort_array(F.collect_list(F.when(test, text)))
+    jump = F.format_string("%s %d m %d-%d", "discontinuity", F.col("jump_m").cast("bigint"), "first", "next")
+    back = F.format_string("%d km in %d s %d-%d", (F.col("jump_m") / 1000).cast("bigint"), F.expr("gap_ms div 1000"), "first", "next")
+    return j.groupBy("trip").agg(
+        F.sum("n_raw").alias("raw"), F.sum("n_groups").alias("groups"), F.sum("n_same_mode").alias("same_mode_conflicts"), F.sum("n_other_mode").alias("other_mode_conflicts"), F.sum("n_gone").alias("suppressed"), F.sum("n_cut").alias("cut"), F.sum("n_repaired").alias("repaired"),
+        (F.sum("members") - F.count("*")).alias("joined"), F.count("*").alias("episodes"), F.count_if("connector").alias("connectors"), F.count_if("true_gap").alias("true_gaps"), F.count_if("violation").alias("violations"),
+        F.count("discontinuity").alias("discontinuities"), F.count_if(F.col("discontinuity") == "SOURCE_TIMELINE_GAP").alias("source_gaps"), F.count_if(F.col("discontinuity") == "CANONICALIZER_INTRODUCED_JUMP").alias("introduced_jumps"),
+        F.count_if("backtrack").alias("backtracks"), told(F.col("discontinuity").isNotNull(), jump).alias("discontinuity_notes"), told(F.col("backtrack"), back).alias("backtrack_notes"),
+    )
 
 
 def canonicalise_moves(moves: DataFrame) -> DataFrame:

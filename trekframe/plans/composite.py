@@ -68,6 +68,32 @@ def a5c(spark, d):
     return S.merged_episodes(C.canonicalise_moves(moves(spark, d)), ["trip"], ["id"]).select("trip", "episode", "mode", "start_ms", "end_ms", "members")
 
 
+@query("g6_canonical_diagnostics")
+def g6(spark, d):
+    """All counters of each trip; they hang on the choices of a5, so tests compare them with a slow version."""
+    m = moves(spark, d)
+    g = C.canonical_diagnostics(C.canonicalise_with_records(m), m)
+    return g.withColumns({c: F.concat_ws("; ", c) for c in ("discontinuity_notes", "backtrack_notes")})
+
+
+@query("g6_accounts", f"""WITH {STAYS}, m AS (SELECT trip, id * 1000000 + part AS id, start_ms, end_ms FROM stays), f AS (SELECT *, NOT coalesce(start_ms < max(end_ms) OVER (PARTITION BY trip ORDER BY start_ms, end_ms, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS new FROM m),
+  i AS (SELECT trip, island, count(*) AS n FROM (SELECT *, sum(CAST(new AS INT)) OVER (PARTITION BY trip ORDER BY start_ms, end_ms, id) AS island FROM f) GROUP BY trip, island)
+  SELECT trip, CAST(sum(n) AS BIGINT) AS raw, count(*) FILTER (n > 1) AS groups, CAST(sum(n) AS BIGINT) AS accounted, 0::BIGINT AS violations FROM i GROUP BY trip""")
+def g6b(spark, d):
+    """What SQL can say of the records: every movement either stays or has a record, and none overlaps another."""
+    r = C.canonicalise_with_records(moves(spark, d))
+    w = Window.partitionBy("trip").orderBy("start_ms", "end_ms", "id")
+    kept = r.where("reason IS NULL").withColumn("over", F.coalesce(F.lead("start_ms").over(w) < F.col("end_ms"), F.lit(False)))
+    a = kept.groupBy("trip").agg(F.sum("n_raw").alias("raw"), F.sum("n_groups").alias("groups"), (F.count_distinct("id") + F.sum("n_gone")).alias("accounted"), F.count_if("over").alias("violations"))
+    return a
+
+
+@query("g21_suppression_records")
+def g21r(spark, d):
+    """Each movement that canonicalisation drops, why, and what replaced it."""
+    return C.canonicalise_with_records(moves(spark, d)).where("reason IS NOT NULL").select("trip", "id", "reason", "replaced_by")
+
+
 def activities(spark, d):
     """Movements with and without ends, a raw path, an own path and a stated distance; ids are made unique."""
     k = F.col("part")
