@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from trekframe.sources import basemap as BM
 from trekframe.sources import media as MD
+from trekframe.sources import snapshots as SN
 from trekframe.sources import store as K
 from trekframe.sources import timeline as TL
 
@@ -255,3 +256,31 @@ def s11(spark, d):
     movie = F.concat(box(text("ftyp"), text("isom0000")), box(text("moov"), F.concat(box(text("mvhd"), text("....")), box(text("udta"), box(F.unhex(F.lit("A978797A")), F.concat(be(2, F.octet_length(text(spot))), be(2, 0), text(spot)))))))
     content = F.when(k % 4 == 0, jpeg(tiff(be, "MM", False, False, False, True))).when(k % 4 == 1, jpeg(tiff(le, "II", True, True, True, False))).when(k % 4 == 2, jpeg(old)).otherwise(movie)
     return MD.metadata(read(spark, d, "part").select(k.cast("string").alias("path"), content.alias("content")))
+
+
+def _trip_tables(spark, d):
+    """Trips, stays, movements and photos of customers, from orders and line items."""
+    o = read(spark, d, "orders").select((F.col("o_custkey") % 50).alias("trip_id"), F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("name"))
+    li = read(spark, d, "lineitem").join(o.select("trip_id", F.col("id").alias("l_orderkey")), "l_orderkey")
+    item = li.select("trip_id", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_returnflag").alias("name"), "l_linenumber")
+    trips = o.groupBy("trip_id").agg(F.min("id").alias("id"), F.lit("trip").alias("name"))
+    return {"trips": trips, "visits": o, "segments": item.where("l_linenumber % 2 = 0").drop("l_linenumber"), "media": item.where("l_linenumber % 2 = 1").drop("l_linenumber")}
+
+
+@query("s18_versioned_snapshot", """WITH o AS (SELECT o_custkey % 50 AS trip_id, o_orderkey AS id FROM orders), i AS (SELECT trip_id, l_orderkey * 10 + l_linenumber AS id, l_linenumber % 2 = 0 AS even FROM lineitem JOIN o ON id = l_orderkey),
+  t AS (SELECT 'visits' AS tbl, trip_id, id FROM o UNION ALL SELECT CASE WHEN even THEN 'segments' ELSE 'media' END, trip_id, id FROM i UNION ALL SELECT 'trips', trip_id, min(id) FROM o GROUP BY trip_id),
+  v AS (SELECT 1 AS version, * FROM t UNION ALL SELECT 2, * FROM t WHERE trip_id % 5 <> 0 UNION ALL SELECT 2, tbl, trip_id, id FROM t WHERE trip_id % 5 = 0 AND tbl <> 'media' AND id % 3 = 0)
+  SELECT version, tbl, trip_id, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids FROM v GROUP BY version, tbl, trip_id""")
+def s18(spark, d):
+    """Four tables replaced in one commit, for a fifth of the trips: both versions are read, a writer that comes too late fails, the memo is used."""
+    s = SN.Snapshots(spark, folder(spark))
+    every = _trip_tables(spark, d)
+    s.commit(every, keys={"visits": "first"})
+    some = {n: df.where("trip_id % 5 = 0 AND id % 3 = 0" if n != "media" else "false") for n, df in every.items()}
+    s.commit(some, every["trips"].where("trip_id % 5 = 0"), {"visits": "second"})
+    rows = [s.memo(n, "second", lambda: every["visits"]).select("trip_id", "id").withColumns({"tbl": F.lit(n), "version": F.lit(2)}) if n == "visits" else s.read(n, 2).select("trip_id", "id").withColumns({"tbl": F.lit(n), "version": F.lit(2)}) for n in every]
+    rows += [s.read(n, 1).select("trip_id", "id").withColumns({"tbl": F.lit(n), "version": F.lit(1)}) for n in every]
+    out = rows[0]
+    for df in rows[1:]:
+        out = out.unionByName(df)
+    return out.groupBy("version", "tbl", "trip_id").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
