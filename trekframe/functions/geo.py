@@ -42,10 +42,10 @@ def bearing(lat1, lng1, lat2, lng2) -> Column:
     return F.pmod(F.degrees(F.atan2(y, x)) + 360.0, F.lit(360.0))
 
 
-def slerp(lat1, lng1, lat2, lng2, t) -> Column:
-    """M3: the point at fraction t of the great circle; the first point where both nearly coincide."""
+def slerp(lat1, lng1, lat2, lng2, t, metres=None) -> Column:
+    """M3: the point at fraction t of the great circle; the first point where both nearly coincide.  metres: their distance, where it is known."""
     p1, l1, p2, l2 = (F.radians(c(x)) for x in (lat1, lng1, lat2, lng2))
-    d = haversine(lat1, lng1, lat2, lng2) / EARTH_M
+    d = (haversine(lat1, lng1, lat2, lng2) if metres is None else c(metres)) / EARTH_M
     a, b = F.sin((1 - c(t)) * d) / F.sin(d), F.sin(c(t) * d) / F.sin(d)
     x = a * F.cos(p1) * F.cos(l1) + b * F.cos(p2) * F.cos(l2)
     y = a * F.cos(p1) * F.sin(l1) + b * F.cos(p2) * F.sin(l2)

@@ -73,7 +73,7 @@ def on_route(points: DataFrame, route: DataFrame, key: str) -> DataFrame:
     rest = rest.join(total, names).withColumn("target", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("share"))) * F.col("total"))
     found = asof(rest.select(*names, key, "target"), route.select(*names, "run", "seq", "metres", "lat1", "lng1", "lat2", "lng2"), names, "target", "run", ["seq", "metres", "lat1", "lng1", "lat2", "lng2"])
     part = F.when(F.col("r_metres") > 0, F.least(F.lit(1.0), (F.col("target") - F.col("r_run")) / F.col("r_metres"))).otherwise(0.0)
-    by_share = found.where("r_seq IS NOT NULL").select(*names, key, slerp("r_lat1", "r_lng1", "r_lat2", "r_lng2", part).alias("p"))
+    by_share = found.where("r_seq IS NOT NULL").select(*names, key, slerp("r_lat1", "r_lng1", "r_lat2", "r_lng2", part, "r_metres").alias("p"))
     return by_time.unionByName(by_share).select("trip", key, "p.lat", "p.lng")
 
 

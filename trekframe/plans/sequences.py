@@ -8,9 +8,11 @@ from pyspark.sql.window import Window
 from trekframe.functions import geo
 from trekframe.operators import composite as C
 from trekframe.operators import joins as J
+from trekframe.operators import playback as PB
+from trekframe.operators import routes as R
 from trekframe.operators import sequence as S
 
-from .base import PINGS, STAYS, hav, pings, query, read, stays
+from .base import MODES, PINGS, STAYS, hav, pings, query, read, stays
 
 _W = "WINDOW w AS (PARTITION BY trip ORDER BY ts_ms, id)"
 
@@ -244,3 +246,35 @@ def p4(spark, d):
 def p5(spark, d):
     t = tracks(spark, d).withColumn("cut", C.split_at_place("points", F.lit(40.5), F.lit(-73.9999), F.lit(0.37)))
     return t.select("hour", F.size("cut.before").alias("n_before"), F.size("cut.after").alias("n_after"))
+
+
+def tours(spark, d):
+    """A route for each customer: its orders in time, some metres apart; and its mode."""
+    k, w = F.col("o_orderkey"), Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    o = read(spark, d, "orders")
+    paths = o.select((F.col("o_custkey") % 10).alias("trip"), F.col("o_custkey").alias("move"), F.row_number().over(w).cast("bigint").alias("seq"), F.lit(None).cast("bigint").alias("ts_ms"), ((400000 + k % 50 * 4).cast("double") / 10000).alias("lat"), ((-740000 + k * 7 % 50 * 4).cast("double") / 10000).alias("lng"))
+    modes = paths.select("trip", "move").distinct().withColumn("mode", F.element_at(F.array(*map(F.lit, MODES)), (F.col("move") % 5 + 1).cast("int")))
+    return modes, R.legs(paths)
+
+
+_BEAR = "fmod(degrees(atan2(sin(radians({y} - {b})) * cos(radians({x})), cos(radians({a})) * sin(radians({x})) - sin(radians({a})) * cos(radians({x})) * cos(radians({y} - {b})))) + 360, 360.0)"
+_TOUR = f"""pth AS (SELECT o_custkey AS move, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS seq, (400000 + o_orderkey % 50 * 4)::DOUBLE / 10000 AS lat1, (-740000 + o_orderkey * 7 % 50 * 4)::DOUBLE / 10000 AS lng1 FROM orders),
+  l0 AS (SELECT *, lead(lat1) OVER w AS lat2, lead(lng1) OVER w AS lng2 FROM pth WINDOW w AS (PARTITION BY move ORDER BY seq)), l1 AS (SELECT *, {hav('lat1', 'lng1', 'lat2', 'lng2')} AS metres FROM l0 WHERE lat2 IS NOT NULL),
+  lg AS (SELECT *, coalesce(sum(metres) OVER (PARTITION BY move ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS run FROM l1), tot AS (SELECT p.move, coalesce(max(t), 0)::DOUBLE AS total, ['WALK', 'CAR', 'TRAIN', 'AIRPLANE', 'UNKNOWN'][CAST(p.move % 5 AS INT) + 1] AS mode FROM (SELECT DISTINCT move FROM pth) p LEFT JOIN (SELECT move, sum(metres) AS t FROM l1 GROUP BY move) q ON q.move = p.move GROUP BY p.move),
+  st AS (SELECT *, greatest(5.0::DOUBLE, least(50.0::DOUBLE, total / 100)) AS step, CASE mode WHEN 'WALK' THEN 15 WHEN 'CAR' THEN 80 WHEN 'TRAIN' THEN 200 WHEN 'AIRPLANE' THEN 50000 ELSE 50 END::DOUBLE AS look FROM tot WHERE total >= 1),
+  sm AS (SELECT move, look, total, i, least(i * step, total) AS d FROM (SELECT *, unnest(range(0, CAST(floor(round(total / step, 6)) AS BIGINT) + 2)) AS i FROM st)),
+  qd AS (SELECT move, i, 0 AS w, d AS a FROM sm UNION ALL SELECT move, i, 1, least(d + look, total) FROM sm UNION ALL SELECT move, i, 2, greatest(d - look, 0) FROM sm),
+  on_leg AS (SELECT q.*, lat1, lng1, lat2, lng2, metres / 6371000.0::DOUBLE AS ww, greatest(0.0::DOUBLE, least(1.0::DOUBLE, (a - run) / metres)) AS f FROM qd q ASOF JOIN (SELECT * FROM lg WHERE metres > 0) l ON l.move = q.move AND q.a >= l.run),
+  uv AS (SELECT *, sin((1 - f) * ww) / sin(ww) AS u, sin(f * ww) / sin(ww) AS v FROM on_leg), xyz AS (SELECT *, u * cos(radians(lat1)) * cos(radians(lng1)) + v * cos(radians(lat2)) * cos(radians(lng2)) AS x, u * cos(radians(lat1)) * sin(radians(lng1)) + v * cos(radians(lat2)) * sin(radians(lng2)) AS y, u * sin(radians(lat1)) + v * sin(radians(lat2)) AS z FROM uv),
+  pos AS (SELECT move, i, w, a, CASE WHEN ww < 1e-9 THEN lat1 ELSE degrees(atan2(z, sqrt(x * x + y * y))) END AS lat, CASE WHEN ww < 1e-9 THEN lng1 ELSE degrees(atan2(y, x)) END AS lng FROM xyz),
+  b0 AS (SELECT h.move, h.i, h.a AS d, CASE WHEN n.a - h.a >= 1.5 THEN {_BEAR.format(a='h.lat', b='h.lng', x='n.lat', y='n.lng')} WHEN h.a - p.a >= 1.5 THEN {_BEAR.format(a='p.lat', b='p.lng', x='h.lat', y='h.lng')} END AS b FROM pos h JOIN pos n ON n.move = h.move AND n.i = h.i AND n.w = 1 JOIN pos p ON p.move = h.move AND p.i = h.i AND p.w = 2 WHERE h.w = 0),
+  b1 AS (SELECT move, i, d, coalesce(last_value(b IGNORE NULLS) OVER (PARTITION BY move ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS b FROM b0),
+  tn AS (SELECT *, coalesce(fmod(fmod(b - lag(b) OVER (PARTITION BY move ORDER BY i) + 180, 360) + 360, 360) - 180, b) AS turn FROM b1), un AS (SELECT *, sum(turn) OVER (PARTITION BY move ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS u FROM tn),
+  hd AS (SELECT move, i, d, 0.2 * coalesce(lag(u) OVER w, u) + 0.6 * u + 0.2 * coalesce(lead(u) OVER w, u) AS h FROM un WINDOW w AS (PARTITION BY move ORDER BY i) UNION ALL SELECT move, 0, 0, 0 FROM tot WHERE total < 1)"""
+
+
+@query("w14_heading_track", f"WITH {_TOUR} SELECT move, CAST(i AS BIGINT) AS i, round(d, 3) AS at, round(sin(radians(h)), 3) + 0.0::DOUBLE AS s, round(cos(radians(h)), 3) + 0.0::DOUBLE AS c FROM hd")
+def w14t(spark, d):
+    """Headings at equal distances, looking ahead along the route."""
+    h = F.radians("heading")
+    return PB.heading_samples(*tours(spark, d)).select("move", "i", F.round("at", 3).alias("at"), (F.round(F.sin(h), 3) + 0.0).alias("s"), (F.round(F.cos(h), 3) + 0.0).alias("c"))

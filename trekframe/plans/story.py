@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from trekframe.operators import compress as CS
+from trekframe.operators import playback as PB
 from trekframe.operators import routes as R
 from trekframe.operators import story as ST
 
@@ -235,3 +236,33 @@ def a12h(spark, d):
   SELECT trip, count(*) AS windows, 0::BIGINT AS orphans, count(*) FILTER (s < t0 - 0.02 OR e > stop + 0.02) AS outside, count(*) FILTER (NOT ((s + e) / 2 >= t0 AND (s + e) / 2 < stop)) AS strangers, count(*) FILTER (over) AS overlapping FROM v GROUP BY trip""")
 def a13w(spark, d):
     return ST.window_violations(*ST.with_holds(*shown(spark, d)))
+
+
+_ON = """{n} AS (SELECT q.*, lat1, lng1, lat2, lng2, metres AS leg, metres / 6371000.0::DOUBLE AS ww, greatest(0.0::DOUBLE, least(1.0::DOUBLE, ({at} - run) / metres)) AS sh FROM {src} q ASOF LEFT JOIN lr l ON l.mid = q.id AND {at} >= l.run),
+  {n}p AS (SELECT * EXCLUDE (lat1, lng1, lat2, lng2, leg, ww, sh, u, v), CASE WHEN ww < 1e-9 THEN lat1 ELSE degrees(atan2(u * sin(radians(lat1)) + v * sin(radians(lat2)), sqrt(pow(u * cos(radians(lat1)) * cos(radians(lng1)) + v * cos(radians(lat2)) * cos(radians(lng2)), 2) + pow(u * cos(radians(lat1)) * sin(radians(lng1)) + v * cos(radians(lat2)) * sin(radians(lng2)), 2)))) END AS {y}, CASE WHEN ww < 1e-9 THEN lng1 ELSE degrees(atan2(u * cos(radians(lat1)) * sin(radians(lng1)) + v * cos(radians(lat2)) * sin(radians(lng2)), u * cos(radians(lat1)) * cos(radians(lng1)) + v * cos(radians(lat2)) * cos(radians(lng2)))) END AS {x} FROM (SELECT *, sin((1 - sh) * ww) / sin(ww) AS u, sin(sh * ww) / sin(ww) AS v FROM {n}))"""
+
+
+@query("a12_state_on_route", f"""WITH RECURSIVE {_HOLDS}, tt AS (SELECT trip, max(t0 + seconds) AS total FROM ex GROUP BY trip),
+  smp AS (SELECT ex.*, k, k * total / 40 AS t FROM ex JOIN tt USING (trip), range(40) q(k) WHERE k >= round(t0 / (total / 40), 6) AND k < round((t0 + seconds) / (total / 40), 6)),
+  j AS (SELECT smp.trip, smp.k, smp.id, smp.move, smp.t, smp.t0, smp.seconds, smp.held, coalesce(sum(greatest(0.0::DOUBLE, least(len, t - s))), 0) AS behind, max(media) FILTER (t >= s AND t < s + len) AS media, max(s) FILTER (t >= s AND t < s + len) AS hold0 FROM smp LEFT JOIN hw ON hw.id = smp.id AND hw.s <= smp.t GROUP BY ALL),
+  pr AS (SELECT trip, CAST(k AS INT) AS k, id, media, greatest(0.0::DOUBLE, least(1.0::DOUBLE, CASE WHEN move THEN coalesce(hold0, t) - t0 - (behind - coalesce(t - hold0, 0)) ELSE t - t0 END / (seconds - held))) AS f FROM j),
+  vt AS (SELECT trip, id AS mid, part, q.k AS seq, lat + (q.k * (part % 3 - 1) * 20)::DOUBLE / 10000 AS lat1, lng + (q.k * 30)::DOUBLE / 10000 AS lng1 FROM own, range(5) q(k) WHERE r % 2 = 0 AND q.k <= 1 + part % 4),
+  vl AS (SELECT *, lead(lat1) OVER w AS lat2, lead(lng1) OVER w AS lng2 FROM vt WINDOW w AS (PARTITION BY mid ORDER BY seq)), vm AS (SELECT *, {hav('lat1', 'lng1', 'lat2', 'lng2')} AS metres FROM vl WHERE lat2 IS NOT NULL),
+  lr AS (SELECT *, coalesce(sum(metres) OVER (PARTITION BY mid ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS run FROM vm), rt AS (SELECT mid, sum(metres) AS way FROM vm GROUP BY mid),
+  ee AS (SELECT own.*, ex.seconds AS secs, coalesce(sum(CASE WHEN r % 2 = 0 THEN metres ELSE 0 END) OVER (PARTITION BY own.trip ORDER BY start_ms, end_ms, own.id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS bef, min(start_ms) OVER (PARTITION BY own.trip) AS trip_ms FROM own JOIN ex ON ex.id = own.id),
+  p1 AS (SELECT pr.*, ee.r % 2 = 0 AS move, mode, ee.lat AS e_lat, ee.lng AS e_lng, metres AS dist, start_ms, end_ms, secs, bef, trip_ms, coalesce(way, 0)::DOUBLE AS way, coalesce(way, 0)::DOUBLE * f * f * (3 - 2 * f) AS at_m FROM pr JOIN ee ON ee.id = pr.id LEFT JOIN rt ON rt.mid = pr.id), p2 AS (SELECT *, least(way, at_m + greatest(200.0::DOUBLE, least(35000.0::DOUBLE, way * 0.18::DOUBLE))) AS lead_m FROM p1),
+  {_ON.format(n='h1', src='p2', at='q.at_m', y='h_lat', x='h_lng')}, {_ON.format(n='h2', src='h1p', at='q.lead_m', y='l_lat', x='l_lng')},
+  fin AS (SELECT *, 0.22::DOUBLE * CASE WHEN f > 0.82 THEN greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1 - (f - 0.82::DOUBLE) / 0.18::DOUBLE)) ELSE least(1.0::DOUBLE, f / 0.12::DOUBLE) END AS wt, greatest(0.0::DOUBLE, least(1.0::DOUBLE, (f - 0.85::DOUBLE) / 0.15::DOUBLE)) AS nr, greatest(0.0::DOUBLE, least(1.0::DOUBLE, f / 0.35::DOUBLE)) AS se, least(least(1.0::DOUBLE, f / 0.1::DOUBLE), least(1.0::DOUBLE, (1 - f) / 0.1::DOUBLE)) AS en,
+    CASE WHEN mode = 'AIRPLANE' THEN 6.0 WHEN mode = 'TRAIN' THEN 0.28 WHEN mode = 'WALK' THEN 0.045 WHEN way > 80000 THEN 0.22 WHEN way > 20000 THEN 0.14 ELSE 0.085 END::DOUBLE AS sp, dist / 1000 / (greatest(1, end_ms - start_ms)::DOUBLE / 3600000) AS mean, start_ms + CAST(trunc((end_ms - start_ms) * f) AS BIGINT) AS ts FROM h2p)
+  SELECT trip, k, id, media, (ts + 1000) // 600000 AS ts_10min, round(CASE WHEN move THEN h_lat ELSE e_lat END, 5) AS lat, round(CASE WHEN move THEN h_lng ELSE e_lng END, 5) AS lng, round(CASE WHEN move AND media IS NULL THEN CASE WHEN mean BETWEEN 0.5 AND 1200 THEN mean ELSE way / 1000 / (secs / 3600) END * en * en * (3 - 2 * en) ELSE 0 END, 2) AS kmh,
+    round(CASE WHEN move THEN h_lat * (1 - wt) + l_lat * wt ELSE e_lat END, 5) AS camera_lat, round(CASE WHEN move THEN h_lng * (1 - wt) + l_lng * wt ELSE e_lng END, 5) AS camera_lng, round(CASE WHEN NOT move THEN 0.08::DOUBLE * (1 - se) + 0.06::DOUBLE * se WHEN f > 0.85 AND mode <> 'AIRPLANE' THEN sp * (1 - nr) + 0.065::DOUBLE * nr ELSE sp END, 5) AS span,
+    (ts - trip_ms) // 86400000 + 1 AS day, (ts - trip_ms) // 86400000 > 0 AND (ts - trip_ms) % 86400000 < 4000000 AS new_day, CAST(floor((bef + CASE WHEN move THEN dist * least(1.0::DOUBLE, at_m / greatest(1.0::DOUBLE, way)) ELSE 0 END) / 100 + 1e-3) AS BIGINT) AS travelled FROM fin""")
+def a12s(spark, d):
+    """Position, speed, camera, day and way travelled at 40 story times of each trip, on routes of two to five points; headings are in w14_heading_track."""
+    e, w = ST.with_holds(*shown(spark, d))
+    e = e.withColumn("n", 1 + F.col("part") % 4)
+    k = F.col("seq")
+    paths = e.where("kind = 'MOVE'").withColumn("seq", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n")))).select("trip", F.col("id").alias("move"), "seq", F.lit(None).cast("bigint").alias("ts_ms"), (F.col("lat") + (k * (F.col("part") % 3 - 1) * 20).cast("double") / 10000).alias("lat"), (F.col("lng") + (k * 30).cast("double") / 10000).alias("lng"))
+    got = PB.state_on_route(ST.hold_progress(ST.story_samples(e, 40), e, w), e, R.legs(paths))
+    fixed = {"lat": 5, "lng": 5, "kmh": 2, "camera_lat": 5, "camera_lng": 5, "span": 5}
+    return got.select("trip", "k", "id", "media", F.expr("(ts_ms + 1000) div 600000").alias("ts_10min"), *(F.round(c, n).alias(c) for c, n in fixed.items()), F.floor(F.col("travelled") / 100 + 1e-3).alias("travelled"), "day", "new_day")
