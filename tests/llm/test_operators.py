@@ -82,6 +82,15 @@ def test_language_edges(spark, languages):
     assert langid.identify(empty(spark), model).count() == 0
 
 
+def test_language_of_unseen_scripts(spark, languages):
+    _, model = languages
+    texts = ["ახალი ამბები დღეს", "ᚠᚢᚦᚨᚱᚲ ᚷᚹᚺ", "Ελληνικά κείμενα", "balkortim ახალი", "balkortim timbalkor ახალი"]
+    got = model.predict([t.encode() for t in texts])
+    assert [x for x, _ in got] == ["aa"] * 5 and [round(y, 3) for _, y in got] == [0, 0, 0, round(9 / 14, 3), round(18 / 23, 3)]
+    assert [r.doc_id for r in langid.identify(frame(spark, texts), model, reject=0.7).collect()] == [4]
+    assert [r.doc_id for r in langid.identify(frame(spark, texts), model, reject=0.5).orderBy("doc_id").collect()] == [3, 4]
+
+
 def slow_model(rows, s):
     """Gram counts, languages' weights and scripts by dictionaries."""
     seeds, mask = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], (1 << 64) - 1
@@ -116,10 +125,11 @@ def slow_model(rows, s):
         words = cut(text or "")
         if not words:
             return "und", 0.0
-        rows_ = []
+        rows_, sure = [], []
         for w in words:
             v = [sum(logs[h, i] for _, h in word_grams(w)) for i in range(len(names))]
             ok = [known(x, script(w)) for x in names]
+            sure.append(any(ok))
             rows_.append([v[i] if ok[i] else min(v) - s.foreign for i in range(len(names))] if any(ok) else [0.0] * len(names))
         best, back = rows_[0], []
         for x in rows_[1:]:
@@ -130,9 +140,9 @@ def slow_model(rows, s):
         path = [k]
         for come in reversed(back):
             path.append(k := come[k])
-        share = [sum(len(w) for w, p in zip(words, path[::-1]) if p == i) for i in range(len(names))]
+        share = [sum(len(w) for w, p, y in zip(words, path[::-1], sure) if y and p == i) for i in range(len(names))]
         top = int(np.argmax(share))
-        return names[top], share[top] / sum(share)
+        return names[top], share[top] / sum(map(len, words))
 
     return predict
 

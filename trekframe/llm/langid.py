@@ -11,10 +11,12 @@ Prediction reads whole texts.  Maximal runs of letters (and marks after them) ar
 words.  A word's script, from fixed code point ranges, narrows the languages to
 those seen in that script; the others cost a fixed amount.  The words' scores go
 through Viterbi with a penalty for each switch of language, which labels spans.
-The prediction is the language with most letters under it, the score its share.
+The prediction is the language with most letters under it, the score its share of
+all letters.
 
 Defined results: a null or letterless text is ``und`` with score 0; a word in a
-script that no language was seen in scores the same for all; ties go to the
+script that no language was seen in speaks for none, its letters count in the
+total only, so a text wholly in such a script has score 0; ties go to the
 language first in order; languages are the non-null lang values of the training
 rows, and without any every text is ``und``; null ids are not held out; repeated
 rows give repeated results; an empty table gives an empty result; a long text is
@@ -156,7 +158,7 @@ class Model:
     settings: Settings
 
     def label(self, texts: list[bytes | None]) -> tuple[np.ndarray, ...]:
-        """(label, owner, length) of the words of all texts."""
+        """(label, owner, length, whether some language was seen in its script) of the words of all texts."""
         s = self.settings
         grams, word, owner, script, length = features(texts, s.bits)
         scores = np.zeros((len(owner), len(self.languages)))
@@ -167,22 +169,23 @@ class Model:
                 worth += table[grams[n]]
             scores[:, lang] = np.bincount(word, weights=worth, minlength=len(owner))
         seen = self.seen[script]
-        scores[:] = np.where(seen.any(axis=1, keepdims=True), np.where(seen, scores, scores.min(axis=1, keepdims=True) - s.foreign), 0.0)
-        return viterbi(scores, owner, len(texts), s.switch), owner, length
+        known = seen.any(axis=1)
+        scores[:] = np.where(known[:, None], np.where(seen, scores, scores.min(axis=1, keepdims=True) - s.foreign), 0.0)
+        return viterbi(scores, owner, len(texts), s.switch), owner, length, known
 
     def predict(self, texts: list[bytes | None]) -> list[tuple[str, float]]:
         if not self.languages:
             return [("und", 0.0)] * len(texts)
-        label, owner, length = self.label(texts)
+        label, owner, length, known = self.label(texts)
         n = len(self.languages)
-        held = np.bincount(owner * n + label, weights=length, minlength=n * len(texts)).reshape(-1, n)
-        total = held.sum(axis=1)
+        held = np.bincount(owner * n + label, weights=length * known, minlength=n * len(texts)).reshape(-1, n)
+        total = np.bincount(owner, weights=length, minlength=len(texts))
         top = held.argmax(axis=1)
         return [("und", 0.0) if not t else (self.languages[k], float(held[i, k] / t)) for i, (t, k) in enumerate(zip(total, top))]
 
     def spans(self, text: str) -> list[tuple[int, int, str]]:
         """(first word, end word, language) of the spans of a text."""
-        label, _, _ = self.label([text.encode()])
+        label, *_ = self.label([text.encode()])
         cut = [0, *(np.flatnonzero(np.diff(label)) + 1).tolist(), len(label)]
         return [(a, b, self.languages[label[a]]) for a, b in zip(cut, cut[1:]) if b > a]
 
