@@ -18,7 +18,8 @@ from trekframe.llm.queries import VOCABULARY
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents with a known language that holds at least half of their letters.
 
-    Texts that are null, empty or without a letter have no language and go; of
+    Texts that are null, empty or without a letter have no language and go, as do
+    those mostly in scripts that no labelled document is written in; of
     languages with equal shares the first in order counts; repeated rows are
     kept or go alike; with no labelled row to learn from, all go.
     """
