@@ -86,6 +86,14 @@ def j9(spark, d):
     return near.groupBy("id").agg(F.min(F.struct("m", "stay")).alias("b")).select("id", "b.stay", "b.m").where("m <= 30000")
 
 
+@query("j9_nearest_stay", f"""WITH {STAYS}, {_AT}, m AS (SELECT obs.id, stays.id AS stay, round({_D}, 3) AS m FROM obs JOIN stays ON obs.trip = stays.trip AND ts_ms BETWEEN start_ms - 7200000 AND end_ms + 7200000),
+  b AS (SELECT id, stay, m, row_number() OVER (PARTITION BY id ORDER BY m, stay) AS r FROM m) SELECT id, stay, m FROM b WHERE r = 1 AND m <= 300""")
+def j9n(spark, d):
+    """J9 within its own 300 m; the gates of J10 are in a7_photo_match."""
+    near = J.interval_join(at(spark, d), own(stays(spark, d)), ["trip"], "ts_ms", "start_ms", "end_ms", pad=7_200_000).withColumn("m", F.round(haversine("lat", "lng", "s_lat", "s_lng"), 3))
+    return near.groupBy("id").agg(F.min(F.struct("m", "stay")).alias("b")).select("id", "b.stay", "b.m").where("m <= 300")
+
+
 @query("j11_nearest_point", f"""WITH {PINGS}, a AS (SELECT id, trip, ts_ms + 600000 AS t FROM pings WHERE id % 10 = 0), p AS (SELECT * FROM pings WHERE id % 10 <> 0),
   m AS (SELECT a.id, p.id AS point, abs(p.ts_ms - t) AS gap, row_number() OVER (PARTITION BY a.id ORDER BY abs(p.ts_ms - t), p.ts_ms, p.id) AS r FROM a JOIN p ON a.trip = p.trip)
   SELECT id, point, gap // 60000 <= 30 AS usable, round(greatest(0.4, least(0.75, 1 - gap // 60000 / 40)), 6) AS confidence FROM m WHERE r = 1""")

@@ -198,6 +198,15 @@ def t1(spark, d):
     return by_name.join(by_created, "c_custkey").orderBy("by_name")
 
 
+@query("t11_card_order", f"WITH {STAYS} SELECT trip, id, part, row_number() OVER (ORDER BY trip % 7 DESC, trip, start_ms, id, part) AS place FROM stays")
+def t11(spark, d):
+    """Cards of all trips: those made last first, then by trip, start of the stay and its id; places are counted range by range."""
+    from .sources_sinks import folder
+
+    s = stays(spark, d).select("trip", "id", "part", "start_ms", (F.col("trip") % 7).alias("created"))
+    return S.numbered(s, [F.desc("created"), F.asc("trip"), F.asc("start_ms"), F.asc("id"), F.asc("part")], "place", folder(spark)).select("trip", "id", "part", "place")
+
+
 @query("t2_t3_t11_ordered_items", f"""WITH {STAYS} SELECT trip, id, row_number() OVER (PARTITION BY trip ORDER BY start_ms, end_ms, confidence DESC, id) AS r FROM stays""")
 def t2(spark, d):
     return stays(spark, d).select("trip", "id", F.row_number().over(Window.partitionBy("trip").orderBy("start_ms", "end_ms", F.desc("confidence"), "id")).cast("bigint").alias("r"))

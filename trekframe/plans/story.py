@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from trekframe.functions.timefn import millis
 from trekframe.operators import compress as CS
+from trekframe.operators import days as DY
 from trekframe.operators import playback as PB
 from trekframe.operators import routes as R
 from trekframe.operators import story as ST
@@ -266,3 +268,47 @@ def a12s(spark, d):
     got = PB.state_on_route(ST.hold_progress(ST.story_samples(e, 40), e, w), e, R.legs(paths))
     fixed = {"lat": 5, "lng": 5, "kmh": 2, "camera_lat": 5, "camera_lng": 5, "span": 5}
     return got.select("trip", "k", "id", "media", F.expr("(ts_ms + 1000) div 600000").alias("ts_10min"), *(F.round(c, n).alias(c) for c, n in fixed.items()), F.floor(F.col("travelled") / 100 + 1e-3).alias("travelled"), "day", "new_day")
+
+
+_ZONE = ["America/New_York", "Asia/Tokyo", "UTC", None]
+
+
+def diary(spark, d):
+    """Trips, stays, movements and photos from orders and line items; trips end two weeks before their last order."""
+    k, at_ms = F.col("o_orderkey"), millis("o_orderdate")
+    zone = lambda n: F.element_at(F.array(*map(F.lit, _ZONE)), (n % 4 + 1).cast("int"))
+    o = read(spark, d, "orders").withColumn("trip", F.col("o_custkey") % 100)
+    trips = o.groupBy("trip").agg(F.min("o_orderdate").cast("date").alias("start_day"), F.date_sub(F.max("o_orderdate").cast("date"), 14).alias("end_day"))
+    row = o.select("trip", k.alias("id"), F.col("o_orderstatus").alias("name"), F.element_at(F.array(*map(F.lit, ["WALK", "CAR", "TRAIN"])), (k % 3 + 1).cast("int")).alias("mode"), (at_ms + k % 24 * 3_600_000).alias("start_ms"), (at_ms + k % 24 * 3_600_000 + k % 60 * 3_600_000).alias("end_ms"), zone(k).alias("zone"), zone(F.expr("o_orderkey div 4")).alias("end_zone"), (k % 900 * F.lit(100.0)).alias("metres"))
+    part = F.col("l_partkey")
+    li = read(spark, d, "lineitem").join(o.select("trip", k.alias("l_orderkey")), "l_orderkey")
+    photos = li.select("trip", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.when(part % 17 > 0, millis("l_shipdate")).alias("ts_ms"), F.when(part % 13 > 0, F.col("l_shipdate").cast("date") - (part % 90).cast("int")).alias("day"), F.when(part % 3 == 0, F.col("l_orderkey")).alias("visit"), F.when(part % 4 < 2, F.col("l_orderkey")).alias("move"))
+    return trips, row.where("id % 5 < 3"), row.where("id % 5 >= 2"), photos
+
+
+_ZSQL = "(['America/New_York', 'Asia/Tokyo', 'UTC', NULL])[CAST({} % 4 AS INT) + 1]"
+_LOCAL = "CAST((make_timestamp({} * 1000) AT TIME ZONE 'UTC') AT TIME ZONE {} AS DATE)"
+_DIARY = f"""o AS (SELECT *, o_custkey % 100 AS trip FROM orders), tr AS (SELECT trip, CAST(min(o_orderdate) AS DATE) AS a, CAST(max(o_orderdate) AS DATE) - 14 AS b FROM o GROUP BY trip),
+  rw AS (SELECT trip, o_orderkey AS id, o_orderstatus AS name, ['WALK', 'CAR', 'TRAIN'][CAST(o_orderkey % 3 AS INT) + 1] AS mode, epoch_ms(o_orderdate) + o_orderkey % 24 * 3600000 AS s, epoch_ms(o_orderdate) + o_orderkey % 24 * 3600000 + o_orderkey % 60 * 3600000 AS e, {_ZSQL.format('o_orderkey')} AS z, coalesce({_ZSQL.format('(o_orderkey // 4)')}, {_ZSQL.format('o_orderkey')}) AS z2, o_orderkey % 900 * 100.0::DOUBLE AS metres FROM o),
+  lc AS (SELECT rw.*, a, b, coalesce({_LOCAL.format('s', 'z')}, a) AS d1, coalesce({_LOCAL.format('e', 'z')}, b) AS d2, coalesce({_LOCAL.format('e', 'z2')}, b) AS d3 FROM rw JOIN tr USING (trip)),
+  vs AS (SELECT trip, id, name, s, CASE WHEN d2 >= a AND d1 <= b THEN greatest(a, least(b, d1)) ELSE d1 END AS day FROM lc WHERE id % 5 < 3),
+  mv AS (SELECT trip, id, mode, s, metres, CASE WHEN greatest(d1, d3) >= a AND least(d1, d3) <= b THEN greatest(a, least(b, least(d1, d3))) ELSE least(d1, d3) END AS day FROM lc WHERE id % 5 >= 2),
+  ph AS (SELECT o.trip, l_orderkey * 10 + l_linenumber AS id, CASE WHEN l_partkey % 17 > 0 THEN epoch_ms(l_shipdate) END AS ts, CASE WHEN l_partkey % 13 > 0 THEN CAST(l_shipdate AS DATE) - CAST(l_partkey % 90 AS INT) END AS day, CASE WHEN l_partkey % 3 = 0 THEN l_orderkey END AS visit, CASE WHEN l_partkey % 3 <> 0 AND l_partkey % 4 < 2 THEN l_orderkey END AS move FROM lineitem JOIN o ON o_orderkey = l_orderkey),
+  pd AS (SELECT ph.*, coalesce(vs.day = ph.day, false) OR coalesce(mv.day = ph.day, false) AS home FROM ph JOIN tr ON tr.trip = ph.trip AND ph.day BETWEEN a AND b LEFT JOIN vs ON vs.trip = ph.trip AND vs.id = visit LEFT JOIN mv ON mv.trip = ph.trip AND mv.id = move),
+  ct AS (SELECT trip, day, CASE WHEN visit IS NOT NULL THEN CASE WHEN home THEN 1 ELSE 3 END WHEN move IS NOT NULL THEN CASE WHEN home THEN 2 ELSE 4 END ELSE 5 END AS kd, coalesce(visit, move) AS id, count(*) AS n, coalesce(min(ts), 0) AS ts FROM pd GROUP BY ALL),
+  it AS (SELECT vs.trip, vs.day, 1 AS kd, vs.id, name AS label, coalesce(n, 0) AS n, s AS ts FROM vs LEFT JOIN ct ON ct.trip = vs.trip AND ct.day = vs.day AND ct.kd = 1 AND ct.id = vs.id UNION ALL SELECT mv.trip, mv.day, 2, mv.id, mode, coalesce(n, 0), s FROM mv LEFT JOIN ct ON ct.trip = mv.trip AND ct.day = mv.day AND ct.kd = 2 AND ct.id = mv.id
+    UNION ALL SELECT ct.trip, ct.day, 3, ct.id, CASE WHEN vs.id IS NULL THEN 'Continued stay' ELSE coalesce(name, 'Place') || ' — continued stay' END, n, ts FROM ct LEFT JOIN vs ON vs.trip = ct.trip AND vs.id = ct.id WHERE kd = 3 UNION ALL SELECT ct.trip, ct.day, 4, ct.id, CASE WHEN mv.id IS NULL THEN 'During transit' ELSE 'During ' || lower(mode) END, n, ts FROM ct LEFT JOIN mv ON mv.trip = ct.trip AND mv.id = ct.id WHERE kd = 4 UNION ALL SELECT trip, day, 5, id, NULL, n, 0 FROM ct WHERE kd = 5),
+  dy AS (SELECT trip, CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS day, a FROM tr), nm AS (SELECT *, row_number() OVER (PARTITION BY trip, day ORDER BY ts, kd, id NULLS FIRST) AS place FROM it),
+  di AS (SELECT dy.trip, dy.day, CAST(dy.day - a + 1 AS INT) AS day_index, CAST(place AS INT) AS place, ['VISIT', 'MOVE', 'CONTEXT_VISIT', 'CONTEXT_MOVE', 'UNASSIGNED'][kd] AS kind, id, label, n AS n_photos, ts AS ts_ms FROM dy LEFT JOIN nm ON nm.trip = dy.trip AND nm.day = dy.day)"""
+
+
+@query("a8_days", f"WITH {_DIARY} SELECT * FROM di")
+def a8d(spark, d):
+    """Every day's items in order, with groups of photos whose parent belongs to another day, the unassigned block and empty days."""
+    return DY.day_items(*diary(spark, d))
+
+
+@query("a8_day_summaries", f"WITH {_DIARY} SELECT di.trip, di.day, day_index, count(kind) AS n_items, CAST(coalesce(sum(n_photos), 0) AS BIGINT) AS n_photos, CAST(coalesce(sum(n_photos) FILTER (kind = 'UNASSIGNED'), 0) AS BIGINT) AS n_unassigned, coalesce(sum(metres), 0)::DOUBLE AS metres FROM di LEFT JOIN mv ON mv.trip = di.trip AND mv.id = di.id AND di.kind = 'MOVE' GROUP BY ALL")
+def a8e(spark, d):
+    trips, visits, moves, photos = diary(spark, d)
+    return DY.day_summaries(DY.day_items(trips, visits, moves, photos), moves)
