@@ -46,12 +46,18 @@ def uncovered(points: DataFrame, intervals: DataFrame, on: list[str], key: str,
     return points.join(held, [*on, key], "left_anti")
 
 
-def overlap_join(a: DataFrame, b: DataFrame, on: list[str], bucket: int = 86_400_000) -> DataFrame:
-    """Pairs of a(start_ms, end_ms) and b(b_start, b_end) with max(start) < min(end) (J14); a pair counts in its first common bucket."""
-    deal = lambda df, s, e: df.withColumn("__bucket", F.explode(F.sequence(F.floor(F.col(s) / bucket), F.floor(F.col(e) / bucket))))
-    both = deal(a, "start_ms", "end_ms").join(deal(b, "b_start", "b_end"), [*on, "__bucket"])
+def overlap_join(a: DataFrame, b: DataFrame, on: list[str], bucket: int = 3_600_000) -> DataFrame:
+    """Pairs of a(start_ms, end_ms) and b(b_start, b_end) with max(start) < min(end).
+
+    Of two intervals that overlap one holds the other's start.  So each side's
+    starts are joined to the other's intervals by ``interval_join``, whose levels
+    keep an interval of any length to a few buckets, and equal starts count once.
+    """
+    start = interval_join(b, a, on, "b_start", "start_ms", "end_ms", bucket)
+    later = interval_join(a, b, on, "start_ms", "b_start", "b_end", bucket).where("start_ms > b_start")
     meets = F.greatest("start_ms", "b_start") < F.least("end_ms", "b_end")
-    return both.where(meets & (F.col("__bucket") == F.floor(F.greatest("start_ms", "b_start") / bucket))).drop("__bucket")
+    names = [*a.columns, *(c for c in b.columns if c not in on)]
+    return start.select(names).unionByName(later.select(names)).where(meets)
 
 
 def asof(left: DataFrame, right: DataFrame, on: list[str], lt: str, rt: str, values: list[str], direction: str = "backward", tie: list[str] | None = None) -> DataFrame:
@@ -107,6 +113,15 @@ def nearest_place(points: DataFrame, places: DataFrame, most_m: float, key: str,
     return points.join(best, key, "left")
 
 
+def nearest_stay(points: DataFrame, stays: DataFrame, within_ms: int = 7_200_000, most_m: float = 300.0) -> DataFrame:
+    """(id, stay, m) of points(trip, id, ts_ms, lat, lng): of the stays(trip, id, start_ms, end_ms, lat, lng) near in time the nearest, if it is near in place."""
+    from trekframe.functions.geo import haversine
+
+    s = stays.select("trip", F.col("id").alias("stay"), "start_ms", "end_ms", F.col("lat").alias("s_lat"), F.col("lng").alias("s_lng"))
+    near = interval_join(points, s, ["trip"], "ts_ms", "start_ms", "end_ms", pad=within_ms).withColumn("m", F.round(haversine("lat", "lng", "s_lat", "s_lng"), 3))
+    return near.groupBy("id").agg(F.min(F.struct("m", "stay")).alias("b")).select("id", "b.stay", "b.m").where(F.col("m") <= most_m)
+
+
 def point_in_rings(points: DataFrame, edges: DataFrame, key: str, row: float = 0.0625) -> DataFrame:
     """points(lng, lat) with land: even-odd over edges(kind, x1, y1, x2, y2); a lake outweighs land.
 

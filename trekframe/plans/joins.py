@@ -86,12 +86,15 @@ def j9(spark, d):
     return near.groupBy("id").agg(F.min(F.struct("m", "stay")).alias("b")).select("id", "b.stay", "b.m").where("m <= 30000")
 
 
-@query("j9_nearest_stay", f"""WITH {STAYS}, {_AT}, m AS (SELECT obs.id, stays.id AS stay, round({_D}, 3) AS m FROM obs JOIN stays ON obs.trip = stays.trip AND ts_ms BETWEEN start_ms - 7200000 AND end_ms + 7200000),
+_CLOSE = "ob AS (SELECT id, trip, ts_ms, 40 + (lat - 40) / 20 AS lat, -74 + (lng + 74) / 20 AS lng FROM obs), st AS (SELECT id, trip, start_ms, end_ms, 40 + (lat - 40) / 20 AS lat, -74 + (lng + 74) / 20 AS lng FROM stays)"
+
+
+@query("j9_nearest_stay", f"""WITH {STAYS}, {_AT}, {_CLOSE}, m AS (SELECT ob.id, st.id AS stay, round({hav('ob.lat', 'ob.lng', 'st.lat', 'st.lng')}, 3) AS m FROM ob JOIN st ON ob.trip = st.trip AND ts_ms BETWEEN start_ms - 7200000 AND end_ms + 7200000),
   b AS (SELECT id, stay, m, row_number() OVER (PARTITION BY id ORDER BY m, stay) AS r FROM m) SELECT id, stay, m FROM b WHERE r = 1 AND m <= 300""")
 def j9n(spark, d):
-    """J9 within its own 300 m; the gates of J10 are in a7_photo_match."""
-    near = J.interval_join(at(spark, d), own(stays(spark, d)), ["trip"], "ts_ms", "start_ms", "end_ms", pad=7_200_000).withColumn("m", F.round(haversine("lat", "lng", "s_lat", "s_lng"), 3))
-    return near.groupBy("id").agg(F.min(F.struct("m", "stay")).alias("b")).select("id", "b.stay", "b.m").where("m <= 300")
+    """J9 within its own 300 m, over a town's streets; the gates of J10 are in a7_photo_match."""
+    near = lambda df: df.withColumns({"lat": 40 + (F.col("lat") - 40) / 20, "lng": -74 + (F.col("lng") + 74) / 20})
+    return J.nearest_stay(near(at(spark, d)), near(stays(spark, d)))
 
 
 @query("j11_nearest_point", f"""WITH {PINGS}, a AS (SELECT id, trip, ts_ms + 600000 AS t FROM pings WHERE id % 10 = 0), p AS (SELECT * FROM pings WHERE id % 10 <> 0),
