@@ -484,10 +484,12 @@ PHOTO = "parent bigint, id bigint, ts_ms bigint, cluster int, is_first boolean"
 def photo_moments(rows: list[dict], window_ms: int = 180_000, most_m: float = 300.0) -> list[dict]:
     """A photo joins the first cluster whose first photo is near in time and place and looks alike; without features it never does."""
     firsts: list[dict] = []
-    out = []
+    out, low = [], 0
     for p in sorted(rows, key=lambda x: (x["ts_ms"], x["id"])):
-        fits = lambda f: p["hash"] is not None and f["hash"] is not None and p["ts_ms"] - f["ts_ms"] <= window_ms and metres(p["lat"], p["lng"], f["lat"], f["lng"]) <= most_m and _alike(p, f)
-        k = next((i for i, f in enumerate(firsts) if fits(f)), None)
+        while low < len(firsts) and p["ts_ms"] - firsts[low]["ts_ms"] > window_ms:
+            low += 1
+        fits = lambda f: p["hash"] is not None and f["hash"] is not None and metres(p["lat"], p["lng"], f["lat"], f["lng"]) <= most_m and _alike(p, f)
+        k = next((i for i in range(low, len(firsts)) if fits(firsts[i])), None)
         if k is None:
             firsts.append(p)
         out.append(p | {"cluster": len(firsts) - 1 if k is None else k, "is_first": k is None})

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from trekframe.operators import composite as C
+from trekframe.operators import moments as MO
 from trekframe.operators import joins as J
 from trekframe.operators import sequence as S
 
@@ -154,7 +155,27 @@ def a2(spark, d):
 def a9(spark, d):
     e = read(spark, d, "embeddings").select("vec_id", "label", "embedding")
     p = e.select(F.col("label").cast("bigint").alias("parent"), F.col("vec_id").alias("id"), (F.col("vec_id") * 40_000).alias("ts_ms"), F.lit(40.0).alias("lat"), (F.col("vec_id") % 2 / 1000).alias("lng"), (F.col("vec_id") % 3).alias("hash"), F.transform(F.slice("embedding", 1, 8), lambda x: (x / 10).cast("double")).alias("color"))
-    return C._grouped(p, ["parent"], C.photo_moments, C.PHOTO)
+    p = p.withColumns({"visit": F.lit(None).cast("bigint"), "best": F.lit(False)})
+    return MO.cluster_photos(p).drop("first")
+
+
+def _burst_photos(spark, d):
+    k = F.col("vec_id")
+    color = F.transform(F.slice("embedding", 1, 8), lambda x: (x / 10).cast("double"))
+    return read(spark, d, "embeddings").select(
+        F.col("label").cast("bigint").alias("parent"), k.alias("id"), (k * 2000).alias("ts_ms"), F.lit(40.0).alias("lat"), (k % 3 / 1000).alias("lng"), F.when(k % 11 > 0, k % 3).alias("hash"), color.alias("color"), F.when(k % 2 == 0, k % 4).alias("visit"), (k % 23 == 0).alias("best"), (k * 37 % 1000).alias("score")
+    )
+
+
+@query("a9_bursts", f"""WITH RECURSIVE p AS (SELECT CAST(label AS BIGINT) AS parent, vec_id AS id, vec_id * 2000 AS ts, 40.0::DOUBLE AS lat, (vec_id % 3)::DOUBLE / 1000 AS lng, CASE WHEN vec_id % 11 > 0 THEN vec_id % 3 END AS h, list_transform(embedding[1:8], lambda v: CAST(v / 10 AS DOUBLE)) AS c, CASE WHEN vec_id % 2 = 0 THEN vec_id % 4 END AS visit, vec_id % 23 = 0 AS best, vec_id * 37 % 1000 AS score, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS r FROM embeddings),
+  g AS (SELECT parent, id, ts, score, r, 0 AS cluster, 1 AS n, [struct_pack(ts := ts, lat := lat, lng := lng, h := h, c := c, v := visit, best := best, k := 0)] AS firsts FROM p WHERE r = 1
+  UNION ALL SELECT parent, id, ts, score, r, CASE WHEN hit IS NULL THEN n ELSE hit.k END, CASE WHEN hit IS NULL THEN n + 1 ELSE n END, CASE WHEN hit IS NULL THEN list_append(live, struct_pack(ts := ts, lat := lat, lng := lng, h := h, c := c, v := visit, best := best, k := CAST(n AS INT))) ELSE live END
+    FROM (SELECT x.*, g.n, list_filter(g.firsts, lambda f: x.ts - f.ts <= 60000) AS live, list_filter(g.firsts, lambda f: x.ts - f.ts <= 60000 AND NOT x.best AND NOT f.best AND x.h IS NOT NULL AND f.h IS NOT NULL AND ({hav('f.lat', 'f.lng', 'x.lat', 'x.lng')} <= 50 OR coalesce(x.visit = f.v, false)) AND coalesce(bit_count(xor(x.h, f.h)) <= 6, false) AND list_sum(list_transform(range(1, 9), lambda i: abs(x.c[i] - f.c[i]))) < 0.22)[1] AS hit FROM g JOIN p x ON x.parent = g.parent AND x.r = g.r + 1))
+  SELECT parent, CAST(cluster AS INT) AS cluster, arg_min(id, (-score, ts, id)) AS id, count(*) AS members FROM g GROUP BY parent, cluster""")
+def a9b(spark, d):
+    """Bursts within a minute, near in place or at one stay; each comes down to its best photo."""
+    p = _burst_photos(spark, d)
+    return MO.collapsed(MO.cluster_photos(p, MO.BURST), p)
 
 
 @query("t4_hero_and_thumbnails", f"""WITH RECURSIVE {STAYS}, p AS MATERIALIZED (SELECT trip, id, part % 1000 AS score, part % 6 AS category FROM stays),
