@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trekframe.functions.timefn import as_timestamp, millis
+from trekframe.sources import snapshots as SN
+from trekframe.streaming import cards as CA
 from trekframe.streaming import operators as O
 
 from .base import query, read
@@ -86,3 +88,32 @@ def import_eta(spark, d):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     t = read(spark, d, "events").select(F.col("user_id").alias("job"), F.row_number().over(w).cast("double").alias("at_s"), F.cume_dist().over(w).alias("share"))
     return O.eta(t).select("job", "at_s", F.round("eta_s", 6).alias("eta_s"))
+
+
+def _changes(spark, d):
+    """Orders as a stream of changes in three arrivals: first versions; corrections and deletions; rows that come too late."""
+    k = F.col("o_orderkey")
+    o = read(spark, d, "orders").select((F.col("o_custkey") % 200).alias("trip_id"), k.alias("id"), F.col("o_orderstatus").alias("name"), F.col("o_orderdate").cast("date").alias("day"))
+    made = lambda v, gone=False: (F.lit(v).cast("bigint").alias("version"), F.lit(gone).alias("deleted"))
+    arrivals = [
+        o.where("id % 10 <> 7").select("*", *made(1)),
+        o.where("id % 10 = 7 AND id % 4 <> 0").select("*", *made(2)).unionByName(o.where("id % 4 = 0").withColumn("name", F.lit("corrected")).select("*", *made(3))).unionByName(o.where("id % 9 = 0 AND id % 4 <> 0").select("*", *made(5, True))),
+        o.where("trip_id % 10 = 3").withColumn("name", F.lit("late")).select("*", *made(0)),
+    ]
+    out = folder(spark)
+    for rows in arrivals:
+        rows.repartition(4).write.mode("append").parquet(out)
+    return spark.readStream.schema(arrivals[0].schema).option("maxFilesPerTrigger", 4).parquet(out)
+
+
+def _cards(rows):
+    return rows.groupBy("trip_id").agg(F.count("*").alias("visits"), F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.count_if(F.col("name") == "corrected").alias("corrected"), F.sum("id").alias("ids"))
+
+
+@query("stream_trip_cards", """WITH o AS (SELECT o_custkey % 200 AS trip_id, o_orderkey AS id, CAST(o_orderdate AS DATE) AS day FROM orders)
+  SELECT trip_id, count(*) AS visits, min(day) AS first_day, max(day) AS last_day, count(*) FILTER (id % 4 = 0) AS corrected, CAST(sum(id) AS BIGINT) AS ids FROM o WHERE id % 4 = 0 OR id % 9 <> 0 GROUP BY trip_id""")
+def stream_cards(spark, d):
+    """Cards kept by the stream, trip by trip, after corrected, deleted and late rows: those of the whole table."""
+    store = SN.Snapshots(spark, folder(spark), buckets=8)
+    CA.follow(_changes(spark, d), store, "visits", "cards", _cards, ["id"], f"{store.root}/checkpoint", deleted=F.col("deleted")).awaitTermination()
+    return store.read("cards")

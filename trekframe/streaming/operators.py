@@ -115,8 +115,3 @@ def hourly(events: DataFrame, late: str = "10 minutes", every: str = "1 hour") -
 def user_sessions(events: DataFrame, gap: str = "2 hours", late: str = "10 minutes") -> DataFrame:
     """Beyond the journey operators: session windows with a watermark."""
     return events.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("session_window.start").alias("start"), "n")
-
-
-def refreshed(stream: DataFrame, recompute, path: str, checkpoint: str):
-    """Re-emits a whole result whenever the stream has new rows: recompute(batch, n) returns a DataFrame, written to path."""
-    return stream.writeStream.foreachBatch(lambda batch, n: recompute(batch, n).write.mode("overwrite").parquet(path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
