@@ -29,8 +29,8 @@ def positions(points: DataFrame, route: DataFrame, at: str) -> DataFrame:
     distance beyond an end is at that end.
     """
     legs = route.where("metres > 0").select("trip", "move", "run", "seq", "metres", "lat1", "lng1", "lat2", "lng2")
-    on = asof(points, legs, ["trip", "move"], at, "run", ["seq", "metres", "lat1", "lng1", "lat2", "lng2"])
-    share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col(at) - F.col("r_run")) / F.col("r_metres")))
+    on = asof(points.withColumn("__at", F.greatest(F.lit(0.0), at)), legs, ["trip", "move"], "__at", "run", ["seq", "metres", "lat1", "lng1", "lat2", "lng2"])
+    share = F.least(F.lit(1.0), (F.col("__at") - F.col("r_run")) / F.col("r_metres"))
     return on.withColumn("__share", share).withColumn("__p", slerp("r_lat1", "r_lng1", "r_lat2", "r_lng2", "__share", "r_metres")).select(*points.columns, F.col("__p.lat").alias("lat"), F.col("__p.lng").alias("lng"))
 
 
@@ -65,8 +65,8 @@ def heading_at(points: DataFrame, track: DataFrame, at: str) -> DataFrame:
     """points(trip, move, ...) with the heading at the distance ``at``: between two samples by the shorter turn, beyond the ends that of the end."""
     w = Window.partitionBy("trip", "move").orderBy("i")
     t = track.withColumns({"next_at": F.lead("at").over(w), "next": F.lead("heading").over(w)}).select("trip", "move", F.col("at").alias("from"), "i", "heading", "next_at", "next")
-    on = asof(points, t, ["trip", "move"], at, "from", ["i", "heading", "next_at", "next"])
-    share = F.when(F.col("r_next_at") > F.col("r_from"), F.least(F.lit(1.0), (F.col(at) - F.col("r_from")) / (F.col("r_next_at") - F.col("r_from")))).otherwise(0.0)
+    on = asof(points.withColumn("__at", F.greatest(F.lit(0.0), at)), t, ["trip", "move"], "__at", "from", ["i", "heading", "next_at", "next"])
+    share = F.when(F.col("r_next_at") > F.col("r_from"), F.least(F.lit(1.0), (F.col("__at") - F.col("r_from")) / (F.col("r_next_at") - F.col("r_from")))).otherwise(0.0)
     turned = F.when(F.col("r_next").isNull(), F.col("r_heading")).otherwise(F.pmod(F.col("r_heading") + angle_delta(F.col("r_heading"), F.col("r_next")) * share + 360.0, F.lit(360.0)))
     return on.select(*points.columns, turned.alias("heading"))
 
