@@ -167,6 +167,10 @@ def border(a: dict, b: dict) -> int:
     return min(max((a["end_ms"] + b["start_ms"]) // 2, a["start_ms"] + 1000), max(a["end_ms"], a["start_ms"] + 1000))
 
 
+#: Records further apart than this cannot be of one stay: both ends may differ by 10 s.
+MEET_MS = 10_001
+
+
 def canonical_stays(rows: list[dict]) -> list[dict]:
     """A4: each record joins the first group that holds one of its stay; then no two stays overlap.
 
@@ -175,11 +179,15 @@ def canonical_stays(rows: list[dict]) -> list[dict]:
     its predecessor's place still begins no earlier than the stay before that.
     """
     groups: list[list[dict]] = []
+    live: list[tuple[int, list[dict]]] = []  # groups, with their records that a later one can still match
     for v in sorted(rows, key=lambda v: (v["start_ms"], v["end_ms"], -v["confidence"], v["id"])):
-        home = [g for g in groups if any(one_stay(x, v) for x in g)][:1] or [[]]
-        if not home[0]:
-            groups.append(home[0])
-        home[0].append(v)
+        live = [(k, own) for k, g in live if (own := [x for x in g if x["end_ms"] + MEET_MS > v["start_ms"]])]
+        k = next((k for k, own in live if any(one_stay(x, v) for x in own)), len(groups))
+        if k == len(groups):
+            groups.append([])
+            live.append((k, []))
+        groups[k].append(v)
+        next(own for i, own in live if i == k).append(v)
     free, out = -math.inf, []
     for v in sorted(map(united, groups), key=lambda v: v["start_ms"]):
         if out and v["start_ms"] < out[-1]["end_ms"]:
@@ -238,7 +246,7 @@ def canonicalise_stays(visits: DataFrame) -> DataFrame:
 
     from .sequence import islands
 
-    rows = islands(visits, ["trip"], ["id"], pad=10_001).withColumn("__n", F.count("*").over(Window.partitionBy("trip", "island")))
+    rows = islands(visits, ["trip"], ["id"], pad=MEET_MS).withColumn("__n", F.count("*").over(Window.partitionBy("trip", "island")))
     cols = [x.split()[0] for x in STAY.split(", ")]
     return rows.where("__n = 1").select(*cols).unionByName(_grouped(rows.where("__n > 1").select(*cols), ["trip", "island"], canonical_stays, STAY))
 
@@ -344,14 +352,20 @@ def _resolved(rows: list[dict]) -> tuple[list[dict], dict[str, int]]:
     rows = sorted(rows, key=lambda s: (s["start_ms"], s["end_ms"], s["id"]))
     edges = sorted({t for s in rows for t in (s["start_ms"], s["end_ms"])})
     tracks = {s["id"]: track(s) for s in rows}
-    steps = [(a, b, on) for a, b in zip(edges, edges[1:]) if (on := [s for s in rows if s["start_ms"] <= a and b <= s["end_ms"]])]
+    steps, on, k = [], [], 0
+    for a, b in zip(edges, edges[1:]):  # a sweep: those on are in the order of rows
+        on = [s for s in on if s["end_ms"] >= b]
+        while k < len(rows) and rows[k]["start_ms"] <= a:
+            on += [rows[k]] if rows[k]["end_ms"] >= b else []
+            k += 1
+        if on:
+            steps.append((a, b, on))
     if not steps:
         return [], {}
 
-    def change(p: dict, q: dict, t: int) -> float:
+    def change(p: dict, q: dict, far: float) -> float:
         if p["id"] == q["id"]:
             return 0.0
-        far = metres(*position(tracks[p["id"]], t), *position(tracks[q["id"]], t))
         return -math.inf if far > 1500 else -(15 if p["mode"] == q["mode"] else 40) - 0.05 * far
 
     def first_best(values: list[float]) -> int:
@@ -359,7 +373,8 @@ def _resolved(rows: list[dict]) -> tuple[list[dict], dict[str, int]]:
 
     score, back = [_worth(s, *steps[0][:2]) for s in steps[0][2]], []
     for (_, _, before), (a, b, now) in zip(steps, steps[1:]):
-        table = [[x + change(p, q, a) for x, p in zip(score, before)] for q in now]
+        from_, to = ([position(tracks[s["id"]], a) for s in side] for side in (before, now))
+        table = [[x + change(p, q, metres(*y, *z)) for x, p, y in zip(score, before, from_)] for q, z in zip(now, to)]
         come = [first_best(line) for line in table]
         back.append(come)
         score = [line[k] + _worth(q, a, b) for line, k, q in zip(table, come, now)]

@@ -89,13 +89,14 @@ def nearest_in_time(left: DataFrame, right: DataFrame, on: list[str], lt: str, r
     return after.select(*left.columns, *(F.when(use, F.col(f"b_{v}")).otherwise(F.col(f"r_{v}")).alias(f"r_{v}") for v in names))
 
 
-def nearest_place(points: DataFrame, places: DataFrame, most_m: float, key: str, cell: float | None = None) -> DataFrame:
+def nearest_place(points: DataFrame, places: DataFrame, most_m: float, cell: float | None = None) -> DataFrame:
     """points(lat, lng) with the nearest place(place, p_lat, p_lng, ord) strictly within most_m, the first listed on a tie.
 
-    Places are dealt to the grid cells that their reach touches, so a point meets
-    those of its own cell only.  Cells measure half the reach: a point meets few
-    places out of reach, and points spread over many keys; the places' side is
-    broadcast by size, or hot cells split, at run time.
+    Places are dealt to the grid cells that their reach touches, and a cell's
+    places are one array; a point meets its own cell's once and picks the nearest
+    within its row, so no row is multiplied and nothing is gathered by point.
+    Cells measure half the reach: points spread over many keys; the places' side
+    is broadcast by size, or hot cells split, at run time.
     """
     from trekframe.functions.geo import haversine
 
@@ -105,12 +106,19 @@ def nearest_place(points: DataFrame, places: DataFrame, most_m: float, key: str,
     rows = F.sequence(F.floor((F.col("p_lat") - rise) / cell), F.floor((F.col("p_lat") + rise) / cell))
     cols = F.sequence(F.floor((F.col("p_lng") - spread) / cell), F.floor((F.col("p_lng") + spread) / cell))
     turn = round(360 / cell)
+    own = F.struct("ord", "place", "p_lat", "p_lng", F.radians("p_lat").alias("y"), F.radians("p_lng").alias("x"), F.cos(F.radians("p_lat")).alias("cos"))
     grid = places.withColumn("__y", F.explode(rows)).withColumn("__x", F.explode(F.array_distinct(F.transform(cols, lambda x: F.pmod(x, F.lit(turn))))))
-    at = points.withColumns({"__y": F.floor(F.col("lat") / cell), "__x": F.pmod(F.floor(F.col("lng") / cell), F.lit(turn))})
-    d = haversine("lat", "lng", "p_lat", "p_lng")
-    near = at.join(grid, ["__y", "__x"]).where(F.abs(F.col("lat") - F.col("p_lat")) <= rise * 1.01).withColumn("__d", d).where(F.col("__d") < most_m)
-    best = near.groupBy(key).agg(F.min(F.struct(F.round("__d", 6).alias("d"), "ord", "place")).alias("b")).select(key, F.col("b.place").alias("place"), F.col("b.d").alias("place_m"))
-    return points.join(best, key, "left")
+    grid = grid.groupBy("__y", "__x").agg(F.collect_list(own).alias("__near"))
+    at = points.withColumns({"__y": F.floor(F.col("lat") / cell), "__x": F.pmod(F.floor(F.col("lng") / cell), F.lit(turn)), "__cos": F.cos(F.radians("lat"))})
+    # half the chord tells who can be nearest: the distance itself is worked out for those alone
+    chord = lambda p: F.pow(F.sin((p["y"] - F.radians("lat")) / 2), 2) + p["cos"] * F.col("__cos") * F.pow(F.sin((p["x"] - F.radians("lng")) / 2), 2)
+    j = at.join(grid, ["__y", "__x"], "left").withColumn("__all", F.transform("__near", lambda p: F.struct(chord(p).alias("h"), p["ord"].alias("ord"), p["place"].alias("place"), p["p_lat"].alias("p_lat"), p["p_lng"].alias("p_lng"))))
+    j = j.withColumn("__least", F.array_min(F.transform("__all", lambda p: p["h"])))
+    close = F.filter("__all", lambda p: F.sqrt(p["h"]) <= F.sqrt("__least") + 1e-12)
+    exact = F.transform(close, lambda p: F.struct(haversine("lat", "lng", p["p_lat"], p["p_lng"]).alias("m"), p["ord"].alias("ord"), p["place"].alias("place")))
+    best = F.array_min(F.transform(F.filter(exact, lambda p: p["m"] < most_m), lambda p: F.struct(F.round(p["m"], 6).alias("d"), p["ord"].alias("ord"), p["place"].alias("place"))))
+    j = j.withColumn("__best", best)
+    return j.select(*points.columns, F.col("__best.place").alias("place"), F.col("__best.d").alias("place_m"))
 
 
 def nearest_stay(points: DataFrame, stays: DataFrame, within_ms: int = 7_200_000, most_m: float = 300.0) -> DataFrame:

@@ -89,6 +89,65 @@ def g6b(spark, d):
     return a
 
 
+_CHANGE = "CASE WHEN p.id = q.id THEN 0.0::DOUBLE WHEN {far} > 1500 THEN '-infinity'::DOUBLE ELSE (CASE WHEN p.mode = q.mode THEN -15 ELSE -40 END)::DOUBLE - 0.05::DOUBLE * {far} END".format(far=hav("p.lat", "p.lng", "q.lat", "q.lng"))
+_FAR = hav("p.lat", "p.lng", "q.lat", "q.lng")
+#: Movements that stand still, at most half a kilometre apart, so that SQL can place them at every boundary; their worths differ, so that no two paths tie.
+_VITERBI = f"""{STAYS}, m AS (SELECT trip, id * 1000000 + part AS id, mode, 40 + (lat - 40) / 200 AS lat, -74 + (lng + 74) / 200 AS lng, start_ms, end_ms, CASE part % 3 WHEN 0 THEN 100 WHEN 1 THEN 80 ELSE 10 END::DOUBLE * CASE WHEN part % 60 = 7 THEN 1.5::DOUBLE ELSE confidence::DOUBLE + (part * 7 + id % 1009)::DOUBLE * 1e-7::DOUBLE END AS own FROM stays),
+  f AS (SELECT *, NOT coalesce(start_ms < max(end_ms) OVER (PARTITION BY trip ORDER BY start_ms, end_ms, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS new FROM m), i AS (SELECT *, CAST(sum(CAST(new AS INT)) OVER (PARTITION BY trip ORDER BY start_ms, end_ms, id) AS BIGINT) AS island FROM f),
+  cut AS (SELECT DISTINCT trip, island, unnest([start_ms, end_ms]) AS a FROM i), iv0 AS (SELECT *, lead(a) OVER (PARTITION BY trip, island ORDER BY a) AS b FROM cut), iv AS (SELECT *, row_number() OVER (PARTITION BY trip, island ORDER BY a) AS k FROM iv0 WHERE b IS NOT NULL),
+  ca AS (SELECT iv.trip, iv.island, k, a, b, list({{'id': id, 'mode': mode, 'lat': lat, 'lng': lng, 'worth': own * (b - a)::DOUBLE / greatest(1, end_ms - start_ms)}} ORDER BY start_ms, end_ms, id) AS cs FROM iv JOIN i ON i.trip = iv.trip AND i.island = iv.island AND start_ms <= a AND end_ms >= b GROUP BY ALL),
+  g AS (SELECT trip, island, k, cs, list_transform(cs, lambda c: c.worth) AS score, [0]::BIGINT[] AS back FROM ca WHERE k = 1
+    UNION ALL SELECT trip, island, k, cs, list_transform(come, lambda t, j: list_max(t) + cs[j].worth), list_transform(come, lambda t: CAST(list_position(t, list_max(t)) AS BIGINT)) FROM (
+      SELECT ca.trip, ca.island, ca.k, ca.cs, list_transform(ca.cs, lambda q: list_transform(g.cs, lambda p, i: g.score[i] + {_CHANGE})) AS come FROM g JOIN ca ON ca.trip = g.trip AND ca.island = g.island AND ca.k = g.k + 1)),
+  en AS (SELECT trip, island, max(k) AS k FROM g GROUP BY trip, island),
+  w AS (SELECT g.trip, g.island, g.k, CAST(list_position(score, list_max(score)) AS BIGINT) AS n, list_max(score) AS top FROM g JOIN en ON en.trip = g.trip AND en.island = g.island AND en.k = g.k
+    UNION ALL SELECT w.trip, w.island, w.k - 1, g.back[w.n], w.top FROM w JOIN g ON g.trip = w.trip AND g.island = w.island AND g.k = w.k WHERE w.k > 1),
+  ch AS (SELECT w.trip, w.island, w.k, w.top, ca.a, ca.b, ca.cs, ca.cs[w.n] AS q, lag(ca.cs[w.n]) OVER (PARTITION BY w.trip, w.island ORDER BY w.k) AS p FROM w JOIN ca ON ca.trip = w.trip AND ca.island = w.island AND ca.k = w.k),
+  rp AS (SELECT trip, island, bool_or(top = '-infinity'::DOUBLE OR coalesce(p.id <> q.id AND {_FAR} > 500, false)) AS repaired FROM ch GROUP BY trip, island),
+  be AS (SELECT trip, island, arg_min(id, (-own * (end_ms > start_ms)::INT, start_ms, end_ms, id)) AS best FROM i GROUP BY trip, island),
+  pk AS (SELECT ch.trip, ch.island, k, a, b, cs, CASE WHEN NOT repaired THEN q.id WHEN list_contains(list_transform(cs, lambda c: c.id), best) THEN best ELSE cs[list_position(list_transform(cs, lambda c: c.worth), list_max(list_transform(cs, lambda c: c.worth)))].id END AS id FROM ch JOIN rp ON rp.trip = ch.trip AND rp.island = ch.island JOIN be ON be.trip = ch.trip AND be.island = ch.island),
+  sp AS (SELECT *, sum(CAST(coalesce(before <> id, true) AS INT)) OVER (PARTITION BY trip, island ORDER BY k) AS span FROM (SELECT *, lag(id) OVER (PARTITION BY trip, island ORDER BY k) AS before FROM pk)),
+  kept AS (SELECT trip, island, id, min(a) AS start_ms, max(b) AS end_ms FROM sp GROUP BY trip, island, id, span)"""
+
+
+def still_moves(spark, d):
+    k = F.col("part")
+    origin = F.element_at(F.array(*map(F.lit, ["OBSERVED", "SIMPLIFIED_OBSERVED", "UNKNOWN"])), (k % 3 + 1).cast("int"))
+    lat, lng = 40 + (F.col("lat") - 40) / 200, -74 + (F.col("lng") + 74) / 200
+    return stays(spark, d).select("trip", (F.col("id") * 1_000_000 + k).alias("id"), "mode", lat.alias("lat"), lng.alias("lng"), lat.alias("lat2"), lng.alias("lng2"), "start_ms", "end_ms", (F.col("confidence").cast("double") + (k * 7 + F.col("id") % 1009).cast("double") * 1e-7).alias("confidence"), (k % 60 == 7).alias("is_override"), origin.alias("provenance"), F.lit(None).cast(C.PATH).alias("path"))
+
+
+@query("a5_chosen_moves", f"WITH RECURSIVE {_VITERBI} SELECT trip, id, start_ms, end_ms FROM kept")
+def a5v(spark, d):
+    """The choices of A5 over movements that stand still: Viterbi in SQL, the fallback of a path with a jump included."""
+    return C.canonicalise_moves(still_moves(spark, d)).select("trip", "id", "start_ms", "end_ms")
+
+
+@query("g21_records_of_still_moves", f"""WITH RECURSIVE {_VITERBI}, hd AS (SELECT trip, island, arg_min(id, start_ms) AS first FROM kept GROUP BY trip, island), md AS (SELECT DISTINCT kept.trip, kept.island, mode FROM kept JOIN m ON m.trip = kept.trip AND m.id = kept.id)
+  SELECT i.trip, i.id, CASE WHEN md.mode IS NULL THEN 'CONFLICTING_MODE_LOWER_CONFIDENCE' ELSE 'SAME_MODE_NESTED' END AS reason, hd.first AS replaced_by FROM i JOIN hd ON hd.trip = i.trip AND hd.island = i.island LEFT JOIN md ON md.trip = i.trip AND md.island = i.island AND md.mode = i.mode WHERE NOT EXISTS (SELECT 1 FROM kept WHERE kept.trip = i.trip AND kept.id = i.id)""")
+def g21s(spark, d):
+    return C.canonicalise_with_records(still_moves(spark, d)).where("reason IS NOT NULL").select("trip", "id", "reason", "replaced_by")
+
+
+_NEXT = hav("lat", "lng", "lead(lat) OVER w", "lead(lng) OVER w")
+
+
+@query("g6_counters_of_still_moves", f"""WITH RECURSIVE {_VITERBI}, k0 AS (SELECT kept.*, mode, lat, lng, m.start_ms AS s0, m.end_ms AS e0 FROM kept JOIN m ON m.trip = kept.trip AND m.id = kept.id),
+  j AS (SELECT *, NOT coalesce(lag(mode) OVER w = mode AND mode <> 'AIRPLANE' AND start_ms - lag(end_ms) OVER w BETWEEN 0 AND 900000 AND {hav('lag(lat) OVER w', 'lag(lng) OVER w', 'lat', 'lng')} <= 500, false) AS new FROM k0 WINDOW w AS (PARTITION BY trip ORDER BY start_ms, end_ms, id)),
+  ep AS (SELECT trip, episode, min(start_ms) AS start_ms, max(end_ms) AS end_ms, arg_min(lat, start_ms) AS lat, arg_min(lng, start_ms) AS lng, arg_max(lat, start_ms) AS lat2, arg_max(lng, start_ms) AS lng2, arg_min(id, start_ms) AS first, count(*) AS n FROM (SELECT *, sum(CAST(new AS INT)) OVER (PARTITION BY trip ORDER BY start_ms, end_ms, id) AS episode FROM j) GROUP BY trip, episode),
+  nx AS (SELECT *, lead(start_ms) OVER w - end_ms AS gap, {hav('lat2', 'lng2', 'lead(lat) OVER w', 'lead(lng) OVER w')} AS jump FROM ep WINDOW w AS (PARTITION BY trip ORDER BY start_ms)),
+  cf AS (SELECT pk.trip, count(*) FILTER (c.id <> pk.id AND c.mode = m.mode) AS same, count(*) FILTER (c.id <> pk.id AND c.mode <> m.mode) AS other FROM (SELECT trip, id, unnest(cs) AS c FROM pk) pk JOIN m ON m.trip = pk.trip AND m.id = pk.id GROUP BY pk.trip),
+  ra AS (SELECT trip, count(*) AS raw, count(*) FILTER (NOT EXISTS (SELECT 1 FROM kept WHERE kept.trip = i.trip AND kept.id = i.id)) AS gone FROM i GROUP BY trip), gr AS (SELECT trip, count(*) FILTER (n > 1) AS groups FROM (SELECT trip, island, count(*) AS n FROM i GROUP BY trip, island) GROUP BY trip),
+  fx AS (SELECT trip, count(*) FILTER (repaired) AS repaired FROM rp GROUP BY trip), sl AS (SELECT trip, count(*) FILTER (start_ms <> s0 OR end_ms <> e0) AS cut FROM k0 GROUP BY trip)
+  SELECT nx.trip, any_value(raw) AS raw, any_value(groups) AS groups, any_value(same) AS same_mode_conflicts, any_value(other) AS other_mode_conflicts, any_value(gone) AS suppressed, any_value(cut) AS cut, any_value(repaired) AS repaired, CAST(sum(n) - count(*) AS BIGINT) AS joined, count(*) AS episodes,
+    count(*) FILTER (jump BETWEEN 1 AND 500 AND gap BETWEEN 0 AND 900000) AS connectors, count(*) FILTER (NOT (jump BETWEEN 1 AND 500 AND gap BETWEEN 0 AND 900000) AND (jump > 5000 OR gap > 3600000)) AS true_gaps, count(*) FILTER (gap < 0) AS violations, count(*) FILTER (gap BETWEEN 0 AND 1000 AND jump > 500) AS discontinuities, count(*) FILTER (gap BETWEEN 0 AND 300000 AND jump > 1000) AS backtracks
+  FROM nx JOIN ra ON ra.trip = nx.trip JOIN gr ON gr.trip = nx.trip JOIN cf ON cf.trip = nx.trip JOIN fx ON fx.trip = nx.trip JOIN sl ON sl.trip = nx.trip GROUP BY nx.trip""")
+def g6s(spark, d):
+    """The counters of G6, but for the kinds and notes of jumps, where SQL can follow the choices."""
+    m = still_moves(spark, d)
+    return C.canonical_diagnostics(C.canonicalise_with_records(m), m).select("trip", "raw", "groups", "same_mode_conflicts", "other_mode_conflicts", "suppressed", "cut", "repaired", "joined", "episodes", "connectors", "true_gaps", "violations", "discontinuities", "backtracks")
+
+
 @query("g21_suppression_records")
 def g21r(spark, d):
     """Each movement that canonicalisation drops, why, and what replaced it."""

@@ -152,7 +152,7 @@ def cities(spark, d):
 @query("j17_nearest_place", f"""WITH {_AT}, {_CITIES}, m AS (SELECT id, place, ord, round({hav('lat', 'lng', 'p_lat', 'p_lng')}, 6) AS m FROM obs, c), b AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY m, ord) AS r FROM m WHERE m < 60000)
   SELECT obs.id, place, round(m, 3) AS m FROM obs LEFT JOIN b ON b.id = obs.id AND r = 1""")
 def j17(spark, d):
-    return J.nearest_place(at(spark, d), cities(spark, d), 60_000, "id").select("id", "place", F.round("place_m", 3).alias("m"))
+    return J.nearest_place(at(spark, d), cities(spark, d), 60_000).select("id", "place", F.round("place_m", 3).alias("m"))
 
 
 _RINGS = "e(kind, x1, y1, x2, y2) AS (VALUES ('land', -74.5, 39.5, -72.5, 39.5), ('land', -72.5, 39.5, -72.5, 40.55), ('land', -72.5, 40.55, -74.5, 40.75), ('land', -74.5, 40.75, -74.5, 39.5), ('lake', -73.95, 40.15, -73.85, 40.15), ('lake', -73.85, 40.15, -73.85, 40.35), ('lake', -73.85, 40.35, -73.95, 40.35), ('lake', -73.95, 40.35, -73.95, 40.15))"

@@ -80,67 +80,71 @@ def w8(spark, d):
 _PTS = "list({'ts_ms': ts_ms, 'lat': lat, 'lng': lng} ORDER BY ts_ms, id)"
 
 
+#: A traveller's week as one number.
+WEEK = F.expr("trip * 10000 + ts_ms div 604800000")
+
+
 def tracks(spark, d, alt: bool = False):
-    """A day's points in order, cut in hours, as arrays."""
-    p = pings(spark, d).withColumn("hour", F.expr("ts_ms div 3600000")).withColumn("alt", (F.col("id") % 5 * 90).cast("double"))
+    """A traveller's points of a week in order, as an array."""
+    p = pings(spark, d).withColumn("track", WEEK).withColumn("alt", (F.col("id") % 5 * 90).cast("double"))
     row = F.sort_array(F.collect_list(F.struct("ts_ms", "id", "lat", "lng", "alt")))
-    return p.groupBy("hour").agg(row.alias("points"))
+    return p.groupBy("track").agg(row.alias("points"))
 
 
-_TRACK = "t AS (SELECT *, ts_ms // 3600000 AS hour, (id % 5 * 90)::DOUBLE AS alt FROM pings)"
+_TRACK = "t AS (SELECT *, trip * 10000 + ts_ms // 604800000 AS track, (id % 5 * 90)::DOUBLE AS alt FROM pings)"
 
 
-@query("w9_consecutive_dedupe", f"""WITH RECURSIVE {PINGS}, {_TRACK}, r AS (SELECT *, row_number() OVER (PARTITION BY hour ORDER BY ts_ms, id) AS k FROM t),
-  g AS (SELECT hour, k, lat, lng, 1 AS kept FROM r WHERE k = 1 UNION ALL SELECT r.hour, r.k, CASE WHEN {hav('g.lat', 'g.lng', 'r.lat', 'r.lng')} >= 25 THEN r.lat ELSE g.lat END, CASE WHEN {hav('g.lat', 'g.lng', 'r.lat', 'r.lng')} >= 25 THEN r.lng ELSE g.lng END, CASE WHEN {hav('g.lat', 'g.lng', 'r.lat', 'r.lng')} >= 25 THEN 1 ELSE 0 END FROM g JOIN r ON r.hour = g.hour AND r.k = g.k + 1)
-  SELECT hour, CAST(sum(kept) AS INT) AS kept FROM g GROUP BY hour""")
+@query("w9_consecutive_dedupe", f"""WITH RECURSIVE {PINGS}, {_TRACK}, r AS (SELECT *, row_number() OVER (PARTITION BY track ORDER BY ts_ms, id) AS k FROM t),
+  g AS (SELECT track, k, lat, lng, 1 AS kept FROM r WHERE k = 1 UNION ALL SELECT r.track, r.k, CASE WHEN {hav('g.lat', 'g.lng', 'r.lat', 'r.lng')} >= 25 THEN r.lat ELSE g.lat END, CASE WHEN {hav('g.lat', 'g.lng', 'r.lat', 'r.lng')} >= 25 THEN r.lng ELSE g.lng END, CASE WHEN {hav('g.lat', 'g.lng', 'r.lat', 'r.lng')} >= 25 THEN 1 ELSE 0 END FROM g JOIN r ON r.track = g.track AND r.k = g.k + 1)
+  SELECT track, CAST(sum(kept) AS INT) AS kept FROM g GROUP BY track""")
 def w9(spark, d):
-    return tracks(spark, d).select("hour", F.size(S.dedupe_points("points", 25.0)).alias("kept"))
+    return tracks(spark, d).select("track", F.size(S.dedupe_points("points", 25.0)).alias("kept"))
 
 
-@query("w10_w13_clean_and_measure", f"""WITH {PINGS}, {_TRACK}, s AS (SELECT *, {hav('lag(lat) OVER w', 'lag(lng) OVER w', 'lat', 'lng')} AS step FROM t WINDOW w AS (PARTITION BY hour ORDER BY ts_ms, id))
-  SELECT hour, CAST(count(*) FILTER (step IS NULL OR step > 0.5) AS INT) AS kept, round(coalesce(sum(step), 0), 3) AS metres, round(coalesce(sum(step), 0), 2) AS run FROM s GROUP BY hour""")
+@query("w10_w13_clean_and_measure", f"""WITH {PINGS}, {_TRACK}, s AS (SELECT *, {hav('lag(lat) OVER w', 'lag(lng) OVER w', 'lat', 'lng')} AS step FROM t WINDOW w AS (PARTITION BY track ORDER BY ts_ms, id))
+  SELECT track, CAST(count(*) FILTER (step IS NULL OR step > 0.5) AS INT) AS kept, round(coalesce(sum(step), 0), 3) AS metres, round(coalesce(sum(step), 0), 2) AS run FROM s GROUP BY track""")
 def w10(spark, d):
-    return tracks(spark, d).select("hour", F.size(S.clean_points("points")).alias("kept"), F.round(S.path_length("points"), 3).alias("metres"), F.round(F.element_at(S.cumulative("points"), -1), 2).alias("run"))
+    return tracks(spark, d).select("track", F.size(S.clean_points("points")).alias("kept"), F.round(S.path_length("points"), 3).alias("metres"), F.round(F.element_at(S.cumulative("points"), -1), 2).alias("run"))
 
 
 _TO = "radians(-73.99 - lng) * cos(radians((lat + lat2) / 2)) * 6371000.0 AS x, radians(40.5 - lat) * 6371000.0 AS y, radians(lng2 - lng) * cos(radians((lat + lat2) / 2)) * 6371000.0 AS x2, radians(lat2 - lat) * 6371000.0 AS y2"
 
 
-@query("p6_path_distance", f"""WITH {PINGS}, {_TRACK}, n AS (SELECT *, lead(lat) OVER w AS lat2, lead(lng) OVER w AS lng2, count(*) OVER (PARTITION BY hour) AS k FROM t WINDOW w AS (PARTITION BY hour ORDER BY ts_ms, id)), v AS (SELECT *, {_TO} FROM n),
+@query("p6_path_distance", f"""WITH {PINGS}, {_TRACK}, n AS (SELECT *, lead(lat) OVER w AS lat2, lead(lng) OVER w AS lng2, count(*) OVER (PARTITION BY track) AS k FROM t WINDOW w AS (PARTITION BY track ORDER BY ts_ms, id)), v AS (SELECT *, {_TO} FROM n),
   f AS (SELECT *, CASE WHEN x2 * x2 + y2 * y2 > 0 THEN least(1.0, greatest(0.0, (x * x2 + y * y2) / (x2 * x2 + y2 * y2))) ELSE 0 END AS t FROM v)
-  SELECT hour, round(min(CASE WHEN k = 1 THEN {hav('40.5', '-73.99', 'lat', 'lng')} WHEN lat2 IS NOT NULL THEN sqrt(pow(x - t * x2, 2) + pow(y - t * y2, 2)) END), 2) AS metres FROM f GROUP BY hour""")
+  SELECT track, round(min(CASE WHEN k = 1 THEN {hav('40.5', '-73.99', 'lat', 'lng')} WHEN lat2 IS NOT NULL THEN sqrt(pow(x - t * x2, 2) + pow(y - t * y2, 2)) END), 2) AS metres FROM f GROUP BY track""")
 def p6(spark, d):
-    return tracks(spark, d).select("hour", F.round(S.distance_to_path(F.lit(40.5), F.lit(-73.99), "points"), 2).alias("metres"))
+    return tracks(spark, d).select("track", F.round(S.distance_to_path(F.lit(40.5), F.lit(-73.99), "points"), 2).alias("metres"))
 
 
-@query("p7_display_route", f"""WITH {PINGS}, {_TRACK}, s AS (SELECT *, {hav('lag(lat) OVER w', 'lag(lng) OVER w', 'lat', 'lng')} / greatest(0.001, (ts_ms - lag(ts_ms) OVER w) / 1000) AS v0, {hav('lat', 'lng', 'lead(lat) OVER w', 'lead(lng) OVER w')} / greatest(0.001, (lead(ts_ms) OVER w - ts_ms) / 1000) AS v1, {hav('lag(lat) OVER w', 'lag(lng) OVER w', 'lead(lat) OVER w', 'lead(lng) OVER w')} AS chord FROM t WINDOW w AS (PARTITION BY hour ORDER BY ts_ms, id)),
-  k AS (SELECT * FROM s WHERE NOT coalesce(v0 > CASE WHEN hour % 2 = 0 THEN 400 ELSE 100 END AND v1 > CASE WHEN hour % 2 = 0 THEN 400 ELSE 100 END AND chord < 500, false)), m AS (SELECT *, {hav('lag(lat) OVER w', 'lag(lng) OVER w', 'lat', 'lng')} AS step FROM k WINDOW w AS (PARTITION BY hour ORDER BY ts_ms, id)), n AS (SELECT hour, count(*) FILTER (step IS NULL OR step > 0.5) AS n FROM m GROUP BY hour)
-  SELECT hour, CAST(CASE WHEN hour % 2 = 0 AND n <= 2 THEN 65 ELSE n END AS INT) AS n_points FROM n""")
+@query("p7_display_route", f"""WITH {PINGS}, {_TRACK}, s AS (SELECT *, {hav('lag(lat) OVER w', 'lag(lng) OVER w', 'lat', 'lng')} / greatest(0.001, (ts_ms - lag(ts_ms) OVER w) / 1000) AS v0, {hav('lat', 'lng', 'lead(lat) OVER w', 'lead(lng) OVER w')} / greatest(0.001, (lead(ts_ms) OVER w - ts_ms) / 1000) AS v1, {hav('lag(lat) OVER w', 'lag(lng) OVER w', 'lead(lat) OVER w', 'lead(lng) OVER w')} AS chord FROM t WINDOW w AS (PARTITION BY track ORDER BY ts_ms, id)),
+  k AS (SELECT * FROM s WHERE NOT coalesce(v0 > CASE WHEN track % 2 = 0 THEN 400 ELSE 100 END AND v1 > CASE WHEN track % 2 = 0 THEN 400 ELSE 100 END AND chord < 500, false)), m AS (SELECT *, {hav('lag(lat) OVER w', 'lag(lng) OVER w', 'lat', 'lng')} AS step FROM k WINDOW w AS (PARTITION BY track ORDER BY ts_ms, id)), n AS (SELECT track, count(*) FILTER (step IS NULL OR step > 0.5) AS n FROM m GROUP BY track)
+  SELECT track, CAST(CASE WHEN track % 2 = 0 AND n <= 2 THEN 65 ELSE n END AS INT) AS n_points FROM n""")
 def p7(spark, d):
-    mode = F.when(F.col("hour") % 2 == 0, "AIRPLANE").otherwise("CAR")
+    mode = F.when(F.col("track") % 2 == 0, "AIRPLANE").otherwise("CAR")
     routes = S.display_route(tracks(spark, d), "points", mode, F.get("points", F.lit(0)), F.element_at("points", -1))
-    return routes.select("hour", F.size("route").alias("n_points"))
+    return routes.select("track", F.size("route").alias("n_points"))
 
 
-@query("w11_w12_spikes", f"""WITH {PINGS}, {_TRACK}, s AS (SELECT *, {hav('lag(lat) OVER w', 'lag(lng) OVER w', 'lat', 'lng')} / greatest(0.001, (ts_ms - lag(ts_ms) OVER w) / 1000) AS v0, {hav('lat', 'lng', 'lead(lat) OVER w', 'lead(lng) OVER w')} / greatest(0.001, (lead(ts_ms) OVER w - ts_ms) / 1000) AS v1, {hav('lag(lat) OVER w', 'lag(lng) OVER w', 'lead(lat) OVER w', 'lead(lng) OVER w')} AS chord, lag(alt) OVER w AS a, lead(alt) OVER w AS b FROM t WINDOW w AS (PARTITION BY hour ORDER BY ts_ms, id))
-  SELECT hour, CAST(count(*) FILTER (NOT coalesce(v0 > 0.05 AND v1 > 0.05 AND chord < 500, false)) AS INT) AS kept, round(sum(CASE WHEN (alt - a > 100 AND alt - b > 100) OR (a - alt > 100 AND b - alt > 100) THEN (a + b) / 2 ELSE alt END), 3) AS altitude FROM s GROUP BY hour""")
+@query("w11_w12_spikes", f"""WITH {PINGS}, {_TRACK}, s AS (SELECT *, {hav('lag(lat) OVER w', 'lag(lng) OVER w', 'lat', 'lng')} / greatest(0.001, (ts_ms - lag(ts_ms) OVER w) / 1000) AS v0, {hav('lat', 'lng', 'lead(lat) OVER w', 'lead(lng) OVER w')} / greatest(0.001, (lead(ts_ms) OVER w - ts_ms) / 1000) AS v1, {hav('lag(lat) OVER w', 'lag(lng) OVER w', 'lead(lat) OVER w', 'lead(lng) OVER w')} AS chord, lag(alt) OVER w AS a, lead(alt) OVER w AS b FROM t WINDOW w AS (PARTITION BY track ORDER BY ts_ms, id))
+  SELECT track, CAST(count(*) FILTER (NOT coalesce(v0 > 0.05 AND v1 > 0.05 AND chord < 500, false)) AS INT) AS kept, round(sum(CASE WHEN (alt - a > 100 AND alt - b > 100) OR (a - alt > 100 AND b - alt > 100) THEN (a + b) / 2 ELSE alt END), 3) AS altitude FROM s GROUP BY track""")
 def w11(spark, d):
     t = tracks(spark, d)
     alt = F.aggregate(S.without_altitude_impulses("points"), F.lit(0.0), lambda a, x: a + x["alt"])
-    return t.select("hour", F.size(S.without_spikes("points", 0.05)).alias("kept"), F.round(alt, 3).alias("altitude"))
+    return t.select("track", F.size(S.without_spikes("points", 0.05)).alias("kept"), F.round(alt, 3).alias("altitude"))
 
 
 _B = "(degrees(atan2(sin(radians(nlng - lng)) * cos(radians(nlat)), cos(radians(lat)) * sin(radians(nlat)) - sin(radians(lat)) * cos(radians(nlat)) * cos(radians(nlng - lng)))) + 360)"
 
 
-@query("w14_heading", f"""WITH {PINGS}, {_TRACK}, n AS (SELECT *, lead(lat) OVER w AS nlat, lead(lng) OVER w AS nlng FROM t WINDOW w AS (PARTITION BY hour ORDER BY ts_ms, id)), b0 AS (SELECT *, fmod({_B}, 360.0) AS b FROM n),
-  b1 AS (SELECT hour, id, ts_ms, coalesce(b, lag(b) OVER w, 0) AS b FROM b0 WINDOW w AS (PARTITION BY hour ORDER BY ts_ms, id)), d AS (SELECT *, coalesce(fmod(fmod(b - lag(b) OVER w + 180, 360) + 360, 360) - 180, b) AS turn FROM b1 WINDOW w AS (PARTITION BY hour ORDER BY ts_ms, id)),
-  u AS (SELECT *, sum(turn) OVER (PARTITION BY hour ORDER BY ts_ms, id) AS u FROM d), h AS (SELECT id, 0.2 * coalesce(lag(u) OVER w, u) + 0.6 * u + 0.2 * coalesce(lead(u) OVER w, u) AS s FROM u WINDOW w AS (PARTITION BY hour ORDER BY ts_ms, id))
-  SELECT id, round(sin(radians(s)), 4) AS s, round(cos(radians(s)), 4) AS c FROM h""")
+@query("w14_heading", f"""WITH {PINGS}, {_TRACK}, n AS (SELECT *, lead(lat) OVER w AS nlat, lead(lng) OVER w AS nlng FROM t WINDOW w AS (PARTITION BY track ORDER BY ts_ms, id)), b0 AS (SELECT *, fmod({_B}, 360.0) AS b FROM n),
+  b1 AS (SELECT track, id, ts_ms, coalesce(b, lag(b) OVER w, 0) AS b FROM b0 WINDOW w AS (PARTITION BY track ORDER BY ts_ms, id)), d AS (SELECT *, coalesce(fmod(fmod(b - lag(b) OVER w + 180, 360) + 360, 360) - 180, b) AS turn FROM b1 WINDOW w AS (PARTITION BY track ORDER BY ts_ms, id)),
+  u AS (SELECT *, sum(turn) OVER (PARTITION BY track ORDER BY ts_ms, id) AS u FROM d), h AS (SELECT id, 0.2 * coalesce(lag(u) OVER w, u) + 0.6 * u + 0.2 * coalesce(lead(u) OVER w, u) AS s FROM u WINDOW w AS (PARTITION BY track ORDER BY ts_ms, id))
+  SELECT id, round(sin(radians(s)), 4) + 0.0::DOUBLE AS s, round(cos(radians(s)), 4) + 0.0::DOUBLE AS c FROM h""")
 def w14(spark, d):
-    p = pings(spark, d).withColumn("hour", F.expr("ts_ms div 3600000"))
-    h = S.heading_track(p, ["hour"], ["ts_ms", "id"])
-    return h.select("id", F.round(F.sin(F.radians("heading")), 4).alias("s"), F.round(F.cos(F.radians("heading")), 4).alias("c"))
+    p = pings(spark, d).withColumn("track", WEEK)
+    h = S.heading_track(p, ["track"], ["ts_ms", "id"])
+    return h.select("id", (F.round(F.sin(F.radians("heading")), 4) + 0.0).alias("s"), (F.round(F.cos(F.radians("heading")), 4) + 0.0).alias("c"))
 
 
 @query("w15_monotonic", f"""WITH RECURSIVE {STAYS}, r AS (SELECT *, row_number() OVER (PARTITION BY trip ORDER BY start_ms, end_ms, id) AS k FROM stays),
@@ -178,13 +182,13 @@ def w19(spark, d):
     return J.running_budget(read(spark, d, "documents").select("doc_id", "source", "n_chars"), "n_chars", 20_000, [F.desc("doc_id")], ["source"]).select("doc_id", "source", "running")
 
 
-@query("p2_p3_position_at", f"""WITH {PINGS}, {_TRACK}, c AS (SELECT hour, ts_ms, id, lat, lng, sum(coalesce(step, 0)) OVER (PARTITION BY hour ORDER BY ts_ms, id) AS along FROM (SELECT *, {hav('lag(lat) OVER w', 'lag(lng) OVER w', 'lat', 'lng')} AS step FROM t WINDOW w AS (PARTITION BY hour ORDER BY ts_ms, id))),
-  n AS (SELECT *, lead(lat) OVER w AS lat2, lead(lng) OVER w AS lng2, lead(along) OVER w AS along2, max(along) OVER (PARTITION BY hour) / 3 AS goal, row_number() OVER w AS k FROM c WINDOW w AS (PARTITION BY hour ORDER BY ts_ms, id)),
-  p AS (SELECT *, row_number() OVER (PARTITION BY hour ORDER BY along DESC, k DESC) AS r FROM n WHERE along <= goal AND along2 IS NOT NULL)
-  SELECT hour, round(lat + (lat2 - lat) * CASE WHEN along2 > along THEN (goal - along) / (along2 - along) ELSE 0 END, 3) AS lat FROM p WHERE r = 1""")
+@query("p2_p3_position_at", f"""WITH {PINGS}, {_TRACK}, c AS (SELECT track, ts_ms, id, lat, lng, sum(coalesce(step, 0)) OVER (PARTITION BY track ORDER BY ts_ms, id) AS along FROM (SELECT *, {hav('lag(lat) OVER w', 'lag(lng) OVER w', 'lat', 'lng')} AS step FROM t WINDOW w AS (PARTITION BY track ORDER BY ts_ms, id))),
+  n AS (SELECT *, lead(lat) OVER w AS lat2, lead(lng) OVER w AS lng2, lead(along) OVER w AS along2, max(along) OVER (PARTITION BY track) / 3 AS goal, row_number() OVER w AS k FROM c WINDOW w AS (PARTITION BY track ORDER BY ts_ms, id)),
+  p AS (SELECT *, row_number() OVER (PARTITION BY track ORDER BY along DESC, k DESC) AS r FROM n WHERE along <= goal AND along2 IS NOT NULL)
+  SELECT track, round(lat + (lat2 - lat) * CASE WHEN along2 > along THEN (goal - along) / (along2 - along) ELSE 0 END, 3) AS lat FROM p WHERE r = 1""")
 def p2(spark, d):
     rows = tracks(spark, d).where(F.size("points") > 1)
-    return S.at_fraction(rows, "points", F.lit(1 / 3)).select("hour", F.round("position.lat", 3).alias("lat"))
+    return S.at_fraction(rows, "points", F.lit(1 / 3)).select("track", F.round("position.lat", 3).alias("lat"))
 
 
 @query("t1_trip_sort", "SELECT c_custkey, row_number() OVER (ORDER BY lower(c_name) DESC, c_custkey) AS by_name, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS by_created FROM customer ORDER BY by_name")
@@ -233,28 +237,28 @@ def t10(spark, d):
     return read(spark, d, "orders").select("o_orderkey").orderBy(F.desc("o_orderkey")).limit(1000)
 
 
-_A, _Z = "hour * 3600000 + 600000", "hour * 3600000 + 2400000"
+_A, _Z = "track % 10000 * 604800000 + 172800000", "track % 10000 * 604800000 + 432000000"
 
 
-@query("p4_sliced_paths", f"""WITH {PINGS}, {_TRACK}, n AS (SELECT *, lead(ts_ms) OVER w AS ts2, lead(lat) OVER w AS lat2, lead(lng) OVER w AS lng2, first(lat) OVER w AS lat0, row_number() OVER w AS k FROM t WINDOW w AS (PARTITION BY hour ORDER BY ts_ms, id)),
-  cutat AS (SELECT hour, unnest([0, 1]) AS side, unnest([{_A}, {_Z}]) AS at FROM (SELECT DISTINCT hour FROM t)),
-  ends AS (SELECT c.hour, c.side, c.at, CASE WHEN min(n.ts_ms) >= c.at THEN arg_min(n.lat, n.k) WHEN max(n.ts_ms) < c.at THEN arg_max(n.lat, n.k) ELSE max(n.lat + (n.lat2 - n.lat) * (c.at - n.ts_ms) / greatest(1, n.ts2 - n.ts_ms)) FILTER (n.ts_ms < c.at AND n.ts2 >= c.at) END AS lat,
-    CASE WHEN min(n.ts_ms) >= c.at THEN arg_min(n.lng, n.k) WHEN max(n.ts_ms) < c.at THEN arg_max(n.lng, n.k) ELSE max(n.lng + (n.lng2 - n.lng) * (c.at - n.ts_ms) / greatest(1, n.ts2 - n.ts_ms)) FILTER (n.ts_ms < c.at AND n.ts2 >= c.at) END AS lng FROM cutat c JOIN n ON n.hour = c.hour GROUP BY c.hour, c.side, c.at),
-  v AS (SELECT hour, side AS g, 0 AS k, lat, lng FROM ends WHERE side = 0 UNION ALL SELECT hour, 1, k, lat, lng FROM n WHERE ts_ms > {_A} AND ts_ms < {_Z} UNION ALL SELECT hour, 2, 0, lat, lng FROM ends WHERE side = 1),
-  s AS (SELECT *, {hav('lag(lat) OVER w', 'lag(lng) OVER w', 'lat', 'lng')} AS step FROM v WINDOW w AS (PARTITION BY hour ORDER BY g, k))
-  SELECT hour, CAST(greatest(2, count(*) FILTER (step IS NULL OR step > 1)) AS INT) AS n_points, round(max(lat) FILTER (g = 0), 3) AS first_lat, round(max(lat) FILTER (g = 2), 3) AS last_lat FROM s GROUP BY hour""")
+@query("p4_sliced_paths", f"""WITH {PINGS}, {_TRACK}, n AS (SELECT *, lead(ts_ms) OVER w AS ts2, lead(lat) OVER w AS lat2, lead(lng) OVER w AS lng2, first(lat) OVER w AS lat0, row_number() OVER w AS k FROM t WINDOW w AS (PARTITION BY track ORDER BY ts_ms, id)),
+  cutat AS (SELECT track, unnest([0, 1]) AS side, unnest([{_A}, {_Z}]) AS at FROM (SELECT DISTINCT track FROM t)),
+  ends AS (SELECT c.track, c.side, c.at, CASE WHEN min(n.ts_ms) >= c.at THEN arg_min(n.lat, n.k) WHEN max(n.ts_ms) < c.at THEN arg_max(n.lat, n.k) ELSE max(n.lat + (n.lat2 - n.lat) * (c.at - n.ts_ms) / greatest(1, n.ts2 - n.ts_ms)) FILTER (n.ts_ms < c.at AND n.ts2 >= c.at) END AS lat,
+    CASE WHEN min(n.ts_ms) >= c.at THEN arg_min(n.lng, n.k) WHEN max(n.ts_ms) < c.at THEN arg_max(n.lng, n.k) ELSE max(n.lng + (n.lng2 - n.lng) * (c.at - n.ts_ms) / greatest(1, n.ts2 - n.ts_ms)) FILTER (n.ts_ms < c.at AND n.ts2 >= c.at) END AS lng FROM cutat c JOIN n ON n.track = c.track GROUP BY c.track, c.side, c.at),
+  v AS (SELECT track, side AS g, 0 AS k, lat, lng FROM ends WHERE side = 0 UNION ALL SELECT track, 1, k, lat, lng FROM n WHERE ts_ms > {_A} AND ts_ms < {_Z} UNION ALL SELECT track, 2, 0, lat, lng FROM ends WHERE side = 1),
+  s AS (SELECT *, {hav('lag(lat) OVER w', 'lag(lng) OVER w', 'lat', 'lng')} AS step FROM v WINDOW w AS (PARTITION BY track ORDER BY g, k))
+  SELECT track, CAST(greatest(2, count(*) FILTER (step IS NULL OR step > 1)) AS INT) AS n_points, round(max(lat) FILTER (g = 0), 3) AS first_lat, round(max(lat) FILTER (g = 2), 3) AS last_lat FROM s GROUP BY track""")
 def p4(spark, d):
-    """From the tenth to the fortieth minute of each hour's track."""
+    """From the tenth to the fortieth minute of each track's track."""
     t = tracks(spark, d).withColumn("cut", C.sliced("points", F.expr(_A), F.expr(_Z)))
-    return t.select("hour", F.size("cut").alias("n_points"), F.round(F.get("cut", F.lit(0))["lat"], 3).alias("first_lat"), F.round(F.element_at("cut", -1)["lat"], 3).alias("last_lat"))
+    return t.select("track", F.size("cut").alias("n_points"), F.round(F.get("cut", F.lit(0))["lat"], 3).alias("first_lat"), F.round(F.element_at("cut", -1)["lat"], 3).alias("last_lat"))
 
 
-@query("p5_split_paths", f"""WITH {PINGS}, {_TRACK}, s AS (SELECT *, {hav('lat', 'lng', '40.5', '-73.9999')} AS far, coalesce({hav('lag(lat) OVER w', 'lag(lng) OVER w', 'lat', 'lng')}, 0) AS step, row_number() OVER w AS k FROM t WINDOW w AS (PARTITION BY hour ORDER BY ts_ms, id)), r AS (SELECT *, sum(step) OVER (PARTITION BY hour ORDER BY k) AS run FROM s),
-  h AS (SELECT hour, count(*) AS n, min(far) AS near, arg_min(k, (far, k)) AS pos, max(run) AS total FROM r GROUP BY hour), c AS (SELECT h.*, (SELECT count(*) FROM r WHERE r.hour = h.hour AND r.run <= h.total * 0.37::DOUBLE) AS k FROM h)
-  SELECT hour, CAST(CASE WHEN near <= 3000 THEN pos WHEN k >= n THEN n ELSE k + 1 END AS INT) AS n_before, CAST(CASE WHEN near <= 3000 THEN n - pos + 1 WHEN k >= n THEN 1 ELSE n - k + 1 END AS INT) AS n_after FROM c""")
+@query("p5_split_paths", f"""WITH {PINGS}, {_TRACK}, s AS (SELECT *, {hav('lat', 'lng', '40.5', '-73.9999')} AS far, coalesce({hav('lag(lat) OVER w', 'lag(lng) OVER w', 'lat', 'lng')}, 0) AS step, row_number() OVER w AS k FROM t WINDOW w AS (PARTITION BY track ORDER BY ts_ms, id)), r AS (SELECT *, sum(step) OVER (PARTITION BY track ORDER BY k) AS run FROM s),
+  h AS (SELECT track, count(*) AS n, min(far) AS near, arg_min(k, (far, k)) AS pos, max(run) AS total FROM r GROUP BY track), c AS (SELECT h.*, (SELECT count(*) FROM r WHERE r.track = h.track AND r.run <= h.total * 0.37::DOUBLE) AS k FROM h)
+  SELECT track, CAST(CASE WHEN near <= 3000 THEN pos WHEN k >= n THEN n ELSE k + 1 END AS INT) AS n_before, CAST(CASE WHEN near <= 3000 THEN n - pos + 1 WHEN k >= n THEN 1 ELSE n - k + 1 END AS INT) AS n_after FROM c""")
 def p5(spark, d):
     t = tracks(spark, d).withColumn("cut", C.split_at_place("points", F.lit(40.5), F.lit(-73.9999), F.lit(0.37)))
-    return t.select("hour", F.size("cut.before").alias("n_before"), F.size("cut.after").alias("n_after"))
+    return t.select("track", F.size("cut.before").alias("n_before"), F.size("cut.after").alias("n_after"))
 
 
 def tours(spark, d):

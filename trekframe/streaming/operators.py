@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -14,6 +16,21 @@ CHECK = "player bigint, frames bigint, progress_back bigint, episode_back bigint
 STATE = "frames bigint, progress double, episode bigint, lat double, lng double, done array<bigint>, progress_back bigint, episode_back bigint, reactivated bigint, jumps bigint"
 
 
+def within(ranges: list[int], n: int) -> bool:
+    """Whether n lies in one of the ranges first, last, first, last and so on, ascending and apart."""
+    k = bisect_left(ranges, n)
+    return k % 2 == 1 or k < len(ranges) and ranges[k] == n
+
+
+def with_number(ranges: list[int], n: int) -> list[int]:
+    """The ranges with n as well; neighbours become one, so a story seen in order is one range."""
+    if within(ranges, n):
+        return ranges
+    k = bisect_left(ranges, n)
+    left, right = k > 0 and ranges[k - 1] == n - 1, k < len(ranges) and ranges[k] == n + 1
+    return ranges[: k - 1 if left else k] + ([] if left else [n]) + ([] if right else [n]) + ranges[k + 1 if right else k :]
+
+
 def _frame(state: dict | None, f) -> dict:
     """One frame's effect: four counters of steps back and jumps over 200 km; scrubbing only moves the baseline."""
     from trekframe.operators.composite import metres
@@ -24,10 +41,10 @@ def _frame(state: dict | None, f) -> dict:
         if s["progress"] >= 0:
             s["progress_back"] += f.progress < s["progress"] - 0.0001
             s["episode_back"] += 0 <= f.episode < s["episode"]
-            s["reactivated"] += f.episode in s["done"]
+            s["reactivated"] += within(s["done"], f.episode)
             s["jumps"] += s["lat"] is not None and f.episode >= s["episode"] and metres(s["lat"], s["lng"], f.lat, f.lng) > 200_000
         if 0 <= s["episode"] < f.episode:
-            s["done"] = sorted({*s["done"], s["episode"]})
+            s["done"] = with_number(s["done"], s["episode"])
     return s | {"progress": f.progress, "episode": f.episode, "lat": f.lat, "lng": f.lng}
 
 
@@ -62,19 +79,25 @@ ZERO = {"at": 0.0, "p": 0.0, "speed": 1.0, "on": False}
 
 
 def clock(events: DataFrame, duration_s: float) -> DataFrame:
-    """The playback clock over a table events(player, n, at_s, action, value): progress at each event; start, pause, seek and speed; it stops at 1."""
-    from trekframe.functions.arrays import let, running
-
-    def step(a, x):
-        ran = F.when(a["on"], (x["at_s"] - a["at"]) * a["speed"] / duration_s).otherwise(0.0)
-        p = F.least(F.lit(1.0), a["p"] + ran)
-        on = F.when(p >= 1, False).when(x["action"].isin("start", "resume"), True).when(x["action"] == "pause", False).otherwise(a["on"])
-        return F.struct(x["at_s"].alias("at"), F.when(x["action"] == "seek", x["value"]).otherwise(p).alias("p"), F.when(x["action"] == "speed", x["value"]).otherwise(a["speed"]).alias("speed"), on.alias("on"))
-
-    zero = F.struct(*(F.lit(v).alias(k) for k, v in ZERO.items()))
-    rows = F.sort_array(F.collect_list(F.struct("n", "at_s", "action", "value")))
-    after = lambda e: F.zip_with(e, running(e, zero, step), lambda x, a: F.struct(x["n"].alias("n"), step(a, x)["p"].alias("progress")))
-    return events.groupBy("player").agg(rows.alias("e")).select("player", F.inline(let(F.col("e"), after)))
+    """The playback clock over a table events(player, n, at_s, action, value): progress at each event; start, pause, seek and speed; it stops at 1.
+
+    Each player's events stream past one state in order of n, however many they are.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in events.schema}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, s = None, dict(ZERO)
+        for batch in batches:
+            players, progress = batch.column(0).to_pylist(), []
+            for player, at_s, action, value in zip(players, *(batch.column(k).to_pylist() for k in (2, 3, 4))):
+                if player != now:
+                    now, s = player, dict(ZERO)
+                s = ticked(s, at_s, action, value, duration_s)
+                progress.append(s["p"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(progress, pa.float64())], names=["player", "n", "progress"])
+
+    rows = events.select("player", "n", F.col("at_s").cast("double"), "action", F.col("value").cast("double")).repartition("player").sortWithinPartitions("player", "n")
+    return rows.mapInArrow(run, f"player {kinds['player']}, n {kinds['n']}, progress double")
 
 
 def ticked(state: dict, at_s: float, action: str, value: float, duration_s: float) -> dict:
