@@ -92,7 +92,7 @@ def g6b(spark, d):
 _CHANGE = "CASE WHEN p.id = q.id THEN 0.0::DOUBLE WHEN {far} > 1500 THEN '-infinity'::DOUBLE ELSE (CASE WHEN p.mode = q.mode THEN -15 ELSE -40 END)::DOUBLE - 0.05::DOUBLE * {far} END".format(far=hav("p.lat", "p.lng", "q.lat", "q.lng"))
 _FAR = hav("p.lat", "p.lng", "q.lat", "q.lng")
 #: Movements that stand still, at most half a kilometre apart, so that SQL can place them at every boundary; their worths differ, so that no two paths tie.
-_VITERBI = f"""{STAYS}, m AS (SELECT trip, id * 1000000 + part AS id, mode, 40 + (lat - 40) / 200 AS lat, -74 + (lng + 74) / 200 AS lng, start_ms, end_ms, CASE part % 3 WHEN 0 THEN 100 WHEN 1 THEN 80 ELSE 10 END::DOUBLE * CASE WHEN part % 60 = 7 THEN 1.5::DOUBLE ELSE confidence::DOUBLE + (part * 7 + id % 1009)::DOUBLE * 1e-7::DOUBLE END AS own FROM stays),
+_VITERBI = f"""{STAYS}, m AS (SELECT trip, (id * 1000000 + part) * 10000 + start_ms // 86400000 % 10000 AS id, mode, 40 + (lat - 40) / 200 AS lat, -74 + (lng + 74) / 200 AS lng, start_ms, end_ms, CASE part % 3 WHEN 0 THEN 100 WHEN 1 THEN 80 ELSE 10 END::DOUBLE * CASE WHEN part % 60 = 7 THEN 1.5::DOUBLE ELSE confidence::DOUBLE + (part * 7 + id % 1009)::DOUBLE * 1e-7::DOUBLE END AS own FROM stays),
   f AS (SELECT *, NOT coalesce(start_ms < max(end_ms) OVER (PARTITION BY trip ORDER BY start_ms, end_ms, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS new FROM m), i AS (SELECT *, CAST(sum(CAST(new AS INT)) OVER (PARTITION BY trip ORDER BY start_ms, end_ms, id) AS BIGINT) AS island FROM f),
   cut AS (SELECT DISTINCT trip, island, unnest([start_ms, end_ms]) AS a FROM i), iv0 AS (SELECT *, lead(a) OVER (PARTITION BY trip, island ORDER BY a) AS b FROM cut), iv AS (SELECT *, row_number() OVER (PARTITION BY trip, island ORDER BY a) AS k FROM iv0 WHERE b IS NOT NULL),
   ca AS (SELECT iv.trip, iv.island, k, a, b, list({{'id': id, 'mode': mode, 'lat': lat, 'lng': lng, 'worth': own * (b - a)::DOUBLE / greatest(1, end_ms - start_ms)}} ORDER BY start_ms, end_ms, id) AS cs FROM iv JOIN i ON i.trip = iv.trip AND i.island = iv.island AND start_ms <= a AND end_ms >= b GROUP BY ALL),
@@ -114,7 +114,7 @@ def still_moves(spark, d):
     k = F.col("part")
     origin = F.element_at(F.array(*map(F.lit, ["OBSERVED", "SIMPLIFIED_OBSERVED", "UNKNOWN"])), (k % 3 + 1).cast("int"))
     lat, lng = 40 + (F.col("lat") - 40) / 200, -74 + (F.col("lng") + 74) / 200
-    return stays(spark, d).select("trip", (F.col("id") * 1_000_000 + k).alias("id"), "mode", lat.alias("lat"), lng.alias("lng"), lat.alias("lat2"), lng.alias("lng2"), "start_ms", "end_ms", (F.col("confidence").cast("double") + (k * 7 + F.col("id") % 1009).cast("double") * 1e-7).alias("confidence"), (k % 60 == 7).alias("is_override"), origin.alias("provenance"), F.lit(None).cast(C.PATH).alias("path"))
+    return stays(spark, d).select("trip", ((F.col("id") * 1_000_000 + k) * 10_000 + F.expr("start_ms div 86400000") % 10_000).alias("id"), "mode", lat.alias("lat"), lng.alias("lng"), lat.alias("lat2"), lng.alias("lng2"), "start_ms", "end_ms", (F.col("confidence").cast("double") + (k * 7 + F.col("id") % 1009).cast("double") * 1e-7).alias("confidence"), (k % 60 == 7).alias("is_override"), origin.alias("provenance"), F.lit(None).cast(C.PATH).alias("path"))
 
 
 @query("a5_chosen_moves", f"WITH RECURSIVE {_VITERBI} SELECT trip, id, start_ms, end_ms FROM kept")
