@@ -65,9 +65,9 @@ def on_route(points: DataFrame, route: DataFrame, key: str) -> DataFrame:
     names = ["trip", "move"]
     timed = route.where("t1 IS NOT NULL AND t2 IS NOT NULL AND t2 >= t1")
     held = interval_join(points.select(*names, key, "ts_ms"), timed, names, "ts_ms", "t1", "t2")
-    first = held.groupBy(*names, key).agg(F.min(F.struct("seq", "ts_ms", "t1", "t2", "lat1", "lng1", "lat2", "lng2")).alias("h"))
+    first = held.groupBy(*names, key).agg(F.min(F.struct("seq", "ts_ms", "t1", "t2", "lat1", "lng1", "lat2", "lng2", "metres")).alias("h"))
     part = F.when(F.col("h.t2") > F.col("h.t1"), (F.col("h.ts_ms") - F.col("h.t1")) / (F.col("h.t2") - F.col("h.t1"))).otherwise(0.0)
-    by_time = first.select(*names, key, slerp("h.lat1", "h.lng1", "h.lat2", "h.lng2", part).alias("p"))
+    by_time = first.select(*names, key, slerp("h.lat1", "h.lng1", "h.lat2", "h.lng2", part, "h.metres").alias("p"))
     rest = points.join(by_time.select(*names, key), [*names, key], "left_anti")
     total = route.groupBy(*names).agg(F.max("total").alias("total"))
     rest = rest.join(total, names).withColumn("target", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("share"))) * F.col("total"))
@@ -96,10 +96,7 @@ def match_photos(photos: DataFrame, visits: DataFrame, moves: DataFrame, points:
     the move and the place on its route; the nearest point within 30 whole
     minutes; else nothing.
     """
-    straight = F.array(F.struct(F.lit(0).cast("bigint").alias("seq"), "lat", "lng"), F.struct(F.lit(1).cast("bigint").alias("seq"), F.col("lat2").alias("lat"), F.col("lng2").alias("lng")))
     m = moves.withColumnRenamed("id", "move")
-    bare = m.join(paths.select("trip", "move").distinct(), ["trip", "move"], "left_anti").select("trip", "move", F.inline(straight)).withColumn("ts_ms", F.lit(None).cast("bigint"))
-    route = legs(paths.select("trip", "move", F.col("seq").cast("bigint").alias("seq"), "ts_ms", "lat", "lng").unionByName(bare))
     auto = photos.where("NOT own AND ts_ms IS NOT NULL").select("trip", "id", "ts_ms", "lat", "lng", "gps")
 
     def active(df, p, *more):
@@ -107,6 +104,13 @@ def match_photos(photos: DataFrame, visits: DataFrame, moves: DataFrame, points:
         return held.groupBy("trip", "id").agg(F.min(F.struct(*(F.col(f"{p}_{x}").alias(x) for x in ("start_ms", "end_ms", "id", *more)))).alias(p))
 
     j = auto.join(active(visits, "v", "lat", "lng"), ["trip", "id"], "left").join(active(moves, "s", "mode"), ["trip", "id"], "left")
+    # of the routes only those that a photo may lie on are worked out
+    asked = j.where("s IS NOT NULL AND (gps OR v IS NULL)").select("trip", F.col("s.id").alias("move")).distinct()
+    straight = F.array(F.struct(F.lit(0).cast("bigint").alias("seq"), "lat", "lng"), F.struct(F.lit(1).cast("bigint").alias("seq"), F.col("lat2").alias("lat"), F.col("lng2").alias("lng")))
+    m = m.join(asked, ["trip", "move"], "left_semi")
+    own = paths.join(asked, ["trip", "move"], "left_semi").select("trip", "move", F.col("seq").cast("bigint").alias("seq"), "ts_ms", "lat", "lng")
+    bare = m.join(own.select("trip", "move").distinct(), ["trip", "move"], "left_anti").select("trip", "move", F.inline(straight)).withColumn("ts_ms", F.lit(None).cast("bigint"))
+    route = legs(own.unionByName(bare.select(own.columns)))
     reach = F.when(F.col("mode") == "AIRPLANE", TO_FLIGHT).otherwise(TO_ROUTE).cast("double")
     reached = near_route(j.where("gps AND s IS NOT NULL").select("trip", F.col("s.id").alias("move"), "id", "lat", "lng"), route.join(m.select("trip", "move", reach.alias("reach")), ["trip", "move"]), ["trip", "move"], "id")
     length = F.col("s.end_ms") - F.col("s.start_ms")
