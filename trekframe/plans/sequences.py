@@ -81,12 +81,12 @@ _PTS = "list({'ts_ms': ts_ms, 'lat': lat, 'lng': lng} ORDER BY ts_ms, id)"
 
 
 #: A traveller's week as one number.
-WEEK = F.expr("trip * 10000 + ts_ms div 604800000")
+WEEK = "trip * 10000 + ts_ms div 604800000"
 
 
 def tracks(spark, d, alt: bool = False):
     """A traveller's points of a week in order, as an array."""
-    p = pings(spark, d).withColumn("track", WEEK).withColumn("alt", (F.col("id") % 5 * 90).cast("double"))
+    p = pings(spark, d).withColumn("track", F.expr(WEEK)).withColumn("alt", (F.col("id") % 5 * 90).cast("double"))
     row = F.sort_array(F.collect_list(F.struct("ts_ms", "id", "lat", "lng", "alt")))
     return p.groupBy("track").agg(row.alias("points"))
 
@@ -142,7 +142,7 @@ _B = "(degrees(atan2(sin(radians(nlng - lng)) * cos(radians(nlat)), cos(radians(
   u AS (SELECT *, sum(turn) OVER (PARTITION BY track ORDER BY ts_ms, id) AS u FROM d), h AS (SELECT id, 0.2 * coalesce(lag(u) OVER w, u) + 0.6 * u + 0.2 * coalesce(lead(u) OVER w, u) AS s FROM u WINDOW w AS (PARTITION BY track ORDER BY ts_ms, id))
   SELECT id, round(sin(radians(s)), 4) + 0.0::DOUBLE AS s, round(cos(radians(s)), 4) + 0.0::DOUBLE AS c FROM h""")
 def w14(spark, d):
-    p = pings(spark, d).withColumn("track", WEEK)
+    p = pings(spark, d).withColumn("track", F.expr(WEEK))
     h = S.heading_track(p, ["track"], ["ts_ms", "id"])
     return h.select("id", (F.round(F.sin(F.radians("heading")), 4) + 0.0).alias("s"), (F.round(F.cos(F.radians("heading")), 4) + 0.0).alias("c"))
 
