@@ -282,12 +282,16 @@ def h6(spark, d):
     return f.select("id", "hash", F.round("sharpness", 3).alias("sharpness"), F.round("exposure", 6).alias("exposure"), F.transform("color", lambda x: F.round(x, 6)).alias("color"))
 
 
-@query("a10_around_stays", f"""WITH {STAYS}, m AS (SELECT trip, id, start_ms, end_ms FROM stays WHERE mode = 'CAR'), t AS (SELECT m.trip, m.id, m.start_ms AS t FROM m UNION SELECT m.trip, m.id, m.end_ms FROM m UNION SELECT m.trip, m.id, unnest([v.start_ms, v.end_ms]) FROM m JOIN stays v ON v.trip = m.trip AND v.mode = 'WALK' AND greatest(v.start_ms, m.start_ms) < least(v.end_ms, m.end_ms)),
-  c AS (SELECT t.trip, t.id, t AS a, lead(t) OVER (PARTITION BY t.trip, t.id ORDER BY t) AS b, m.start_ms, m.end_ms FROM t JOIN m USING (trip, id)), touched AS (SELECT DISTINCT m.trip, m.id FROM m JOIN stays v ON v.trip = m.trip AND v.mode = 'WALK' AND greatest(v.start_ms, m.start_ms) < least(v.end_ms, m.end_ms)),
-  free AS (SELECT c.trip, c.id, c.a, c.b FROM c JOIN touched USING (trip, id) WHERE c.a >= c.start_ms AND c.b <= c.end_ms AND NOT EXISTS (SELECT 1 FROM stays v WHERE v.trip = c.trip AND v.mode = 'WALK' AND v.start_ms <= c.a AND v.end_ms >= c.b AND v.start_ms < v.end_ms))
+@query("a10_around_stays", f"""WITH {STAYS}, m AS (SELECT DISTINCT trip, id, start_ms, end_ms FROM stays WHERE mode = 'CAR'), h AS (SELECT m.*, v.start_ms AS vs, v.end_ms AS ve FROM m JOIN stays v ON v.trip = m.trip AND v.mode = 'WALK' AND greatest(v.start_ms, m.start_ms) < least(v.end_ms, m.end_ms)),
+  t AS (SELECT trip, id, start_ms, end_ms, unnest([start_ms, end_ms, vs, ve]) AS t FROM h), c AS (SELECT *, t AS a, lead(t) OVER (PARTITION BY trip, id, start_ms, end_ms ORDER BY t) AS b FROM (SELECT DISTINCT * FROM t)),
+  free AS (SELECT * FROM c WHERE a >= start_ms AND b <= end_ms AND NOT EXISTS (SELECT 1 FROM stays v WHERE v.trip = c.trip AND v.mode = 'WALK' AND v.start_ms <= c.a AND v.end_ms >= c.b AND v.start_ms < v.end_ms))
   SELECT trip, id, a AS start_ms, b AS end_ms FROM free WHERE b - a >= 1000""")
 def a10(spark, d):
-    """Free time as the operator finds it by a running end, and in SQL by the pieces between all boundaries that no stay covers."""
+    """Free time as the operator finds it by a running end, and in SQL by the pieces between all boundaries that no stay covers.
+
+    Line items repeat their ids: a movement is one trip, id and time, so another
+    record of its id neither cuts it nor adds to it.
+    """
     s = stays(spark, d)
     v = s.where("mode = 'WALK'").select("trip", F.col("start_ms").alias("b_start"), F.col("end_ms").alias("b_end"))
     return C.around_stays(s.where("mode = 'CAR'").select("trip", "id", "start_ms", "end_ms"), v).drop("piece")
