@@ -9,6 +9,10 @@ from pyspark.sql.window import Window
 from trekframe.functions.geo import wrapped_delta
 
 
+#: Degrees east and north by which cells lie off the decimals, so that no corner of a zone lies on a cell's border and no edge of a plain slope meets a cell's corner.
+EAST, NORTH = 0.00031415926535, 0.00027182818284
+
+
 def ring_edges(rings: DataFrame) -> DataFrame:
     """Edges (zone, x1, y1, x2, y2) of rings(zone, ring, seq, lat, lng), closed and unwrapped.
 
@@ -43,20 +47,22 @@ def zone_index(edges: DataFrame, cells: int = 720) -> DataFrame:
 
     Corners are told from one another row by row: the crossings of a row's
     southern parallel are counted by cell, and a corner is inside if an odd number
-    lies east of it.
+    lies east of it.  A corner's side is that just east of it, as in zone_of_point:
+    what crosses at the corner itself lies west.
     """
     size = F.lit(360.0 / cells)
-    to = lambda v: F.floor(v / size)
-    spot = edges.withColumn("y", F.explode(F.sequence(to(F.least("y1", "y2")), to(F.greatest("y1", "y2")))))
+    to = lambda v, shift=EAST: F.floor((v - shift) / size)
+    rows = F.sequence(to(F.least("y1", "y2"), NORTH), to(F.greatest("y1", "y2"), NORTH))
+    spot = edges.withColumn("y", F.explode(rows))
     # the stretch of the edge within the row, widened a little so that rounding loses no cell
-    south, north = F.greatest(F.least("y1", "y2"), F.col("y") * size), F.least(F.greatest("y1", "y2"), (F.col("y") + 1) * size)
+    south, north = F.greatest(F.least("y1", "y2"), F.col("y") * size + NORTH), F.least(F.greatest("y1", "y2"), (F.col("y") + 1) * size + NORTH)
     level = F.col("y1") == F.col("y2")
     a, b = F.when(level, F.col("x1")).otherwise(_crossing(south)), F.when(level, F.col("x2")).otherwise(_crossing(north))
     spot = spot.withColumns({"lo": to(F.least(a, b) - 1e-9), "hi": to(F.greatest(a, b) + 1e-9)})
     border = spot.withColumn("x", F.explode(F.sequence("lo", "hi"))).groupBy("zone", "x", "y").agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("edges"))
-    base = F.col("y") * size
-    cross = edges.where("y1 <> y2").withColumn("y", F.explode(F.sequence(to(F.least("y1", "y2")), to(F.greatest("y1", "y2"))))).where((F.col("y1") > base) != (F.col("y2") > base))
-    cross = cross.select("zone", "y", to(_crossing(base)).alias("x"), _crossing(base).alias("at"))
+    base = F.col("y") * size + NORTH
+    cross = edges.where("y1 <> y2").withColumn("y", F.explode(rows)).where((F.col("y1") > base) != (F.col("y2") > base))
+    cross = cross.select("zone", "y", (F.ceil((_crossing(base) - EAST) / size) - 1).alias("x"))
     # a run between two neighbouring crossings' cells is inside where an odd number lies east of it
     w = Window.partitionBy("zone", "y").orderBy(F.desc("x"))
     n = cross.groupBy("zone", "y", "x").agg(F.count("*").alias("n")).withColumns({"east": F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "west": F.lead("x").over(w)})
@@ -75,10 +81,11 @@ def zone_of_point(points: DataFrame, index: DataFrame, key: str, cells: int = 72
     corner north along the cell's side, then west to the point, crosses.
     """
     size = F.lit(360.0 / cells)
-    at = points.withColumns({"cx": F.pmod(F.floor(F.col("lng") / size), F.lit(cells)), "cy": F.floor(F.col("lat") / size)})
+    to = lambda v, shift: F.floor((F.col(v) - shift) / size)
+    at = points.withColumns({"cx": F.pmod(to("lng", EAST), F.lit(cells)), "cy": to("lat", NORTH)})
     j = at.join(index, ["cx", "cy"])
-    lng = F.col("lng") + F.round((F.col("x") - F.floor(F.col("lng") / size)) / cells) * 360.0
-    east, south, lat = (F.col("x") + 1) * size, F.col("cy") * size, F.col("lat")
+    lng = F.col("lng") + F.round((F.col("x") - to("lng", EAST)) / cells) * 360.0
+    east, south, lat = (F.col("x") + 1) * size + EAST, F.col("cy") * size + NORTH, F.col("lat")
 
     def crossed(e: Column) -> Column:
         up = e["y1"] + (east - e["x1"]) * (e["y2"] - e["y1"]) / (e["x2"] - e["x1"])
