@@ -34,14 +34,24 @@ def positions(points: DataFrame, route: DataFrame, at: str) -> DataFrame:
     return on.withColumn("__share", share).withColumn("__p", slerp("r_lat1", "r_lng1", "r_lat2", "r_lng2", "__share", "r_metres")).select(*points.columns, F.col("__p.lat").alias("lat"), F.col("__p.lng").alias("lng"))
 
 
+#: Degrees within which a turn is straight back; on the globe a route's way back is some ten-thousandths off 180.
+BACK = 0.01
+
+
+def turn(a, b) -> Column:
+    """The shortest turn from heading a to b; one straight back, within BACK, is about -180, whichever side rounding puts it."""
+    d = c(b) - c(a)
+    return d - 360.0 * F.floor((d + 180.0 + BACK) / 360.0)
+
+
 def heading_samples(routes: DataFrame, route: DataFrame) -> DataFrame:
     """(trip, move, i, at, heading) at equal distances along each of routes(trip, move, mode), with legs in ``route``.
 
     A step is a hundredth of the way, from 5 to 50 m.  The heading is the bearing to
     the place some metres ahead, by mode; within 1.5 m of the end, from the place as
-    far behind; else that of the sample before.  Turns are summed, so that headings
-    go on beyond 360, and smoothed 0.2 / 0.6 / 0.2.  Routes under a metre have the
-    one heading 0.
+    far behind; else that of the sample before.  Turns are summed (straight back counts
+    as -180), so that headings go on beyond 360, and smoothed 0.2 / 0.6 / 0.2.
+    Routes under a metre have the one heading 0.
     """
     total = route.groupBy("trip", "move").agg(F.max("total").alias("total"))
     r = routes.select("trip", "move", look_ahead("mode").alias("look")).join(total, ["trip", "move"], "left").withColumn("total", F.coalesce("total", F.lit(0.0)))
@@ -56,7 +66,7 @@ def heading_samples(routes: DataFrame, route: DataFrame) -> DataFrame:
     so_far = w.rowsBetween(Window.unboundedPreceding, 0)
     h = three.withColumn("own", F.coalesce(to("here", "ahead"), to("behind", "here")))
     h = h.withColumn("own", F.coalesce(F.last("own", ignorenulls=True).over(so_far), F.lit(0.0)))
-    h = h.withColumn("turn", F.coalesce(angle_delta(F.lag("own").over(w), F.col("own")), F.col("own"))).withColumn("sum", F.sum("turn").over(so_far))
+    h = h.withColumn("turn", F.coalesce(turn(F.lag("own").over(w), F.col("own")), F.col("own"))).withColumn("sum", F.sum("turn").over(so_far))
     smooth = 0.2 * F.coalesce(F.lag("sum").over(w), "sum") + 0.6 * F.col("sum") + 0.2 * F.coalesce(F.lead("sum").over(w), "sum")
     return h.select("trip", "move", "i", "at", F.pmod(F.pmod(smooth, F.lit(360.0)) + 360.0, F.lit(360.0)).alias("heading")).unionByName(none)
 
