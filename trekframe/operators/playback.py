@@ -81,6 +81,45 @@ def heading_at(points: DataFrame, track: DataFrame, at: str) -> DataFrame:
     return on.select(*points.columns, turned.alias("heading"))
 
 
+def _headed(points: DataFrame, route: DataFrame, keys: list[str]) -> DataFrame:
+    """(trip, move, *keys, h_lat, h_lng, l_lat, l_lng, heading) of points(trip, move, *keys, mode, at, lead): place and heading at ``at``, and the place at ``lead``.
+
+    The heading is heading_at's over heading_samples.  Smoothing looks one sample
+    to either side, so it hangs on the four samples round the point alone: a point
+    costs fourteen places on its route, however long the route is.
+    """
+    total = route.groupBy("trip", "move").agg(F.max("total").alias("total"))
+    p = points.join(total, ["trip", "move"]).withColumns({"__look": look_ahead("mode"), "__step": F.greatest(F.lit(5.0), F.least(F.lit(50.0), F.col("total") / 100)), "__d": F.greatest(F.lit(0.0), F.col("at"))})
+    p = p.withColumn("__n", F.floor(F.round(F.col("total") / F.col("__step"), 6)) + 1)
+    i = F.floor(F.col("__d") / F.col("__step"))
+    i = F.when(i * F.col("__step") > F.col("__d"), i - 1).when((i + 1) * F.col("__step") <= F.col("__d"), i + 1).otherwise(i)
+    p = p.withColumn("__i", F.when(F.col("__d") >= F.col("total"), F.col("__n")).otherwise(F.least("__n", i)))
+    four = range(-1, 3)
+    at = {k: F.least(F.greatest(F.lit(0), F.least("__n", F.col("__i") + k)) * F.col("__step"), F.col("total")) for k in four}
+    spots = [F.col("at"), F.col("lead")]
+    for k in four:
+        spots += [at[k], F.least(at[k] + F.col("__look"), F.col("total")), F.greatest(at[k] - F.col("__look"), F.lit(0.0))]
+    own = F.struct("__d", "total", "__n", "__i", "__step", "__look")
+    far = p.select("trip", "move", *keys, own.alias("own"), F.posexplode(F.array(*spots)).alias("spot", "d"))
+    found = positions(far, route, "d").groupBy("trip", "move", *keys).agg(F.first("own").alias("own"), *(F.max(F.when(F.col("spot") == n, F.struct("d", "lat", "lng"))).alias(f"s{n}") for n in range(len(spots))))
+    found = found.select("trip", "move", *keys, "own.*", *(f"s{n}" for n in range(len(spots))))
+    to = lambda a, b: F.when(F.col(f"{b}.d") - F.col(f"{a}.d") >= 1.5, bearing(f"{a}.lat", f"{a}.lng", f"{b}.lat", f"{b}.lng"))
+    # on a route of a metre and a half a sample has a place 1.5 m ahead or behind; on a shorter one none has
+    found = found.withColumns({f"b{k + 1}": F.coalesce(to(f"s{2 + 3 * (k + 1)}", f"s{3 + 3 * (k + 1)}"), to(f"s{4 + 3 * (k + 1)}", f"s{2 + 3 * (k + 1)}"), F.lit(0.0)) for k in four})
+
+    def smooth(k: int) -> Column:
+        here = F.col("__i") + k
+        back = F.when(here > 0, turn(F.col(f"b{k}"), F.col(f"b{k + 1}"))).otherwise(0.0)
+        on = F.when(here < F.col("__n"), turn(F.col(f"b{k + 1}"), F.col(f"b{k + 2}"))).otherwise(0.0)
+        return F.pmod(F.pmod(F.col(f"b{k + 1}") - 0.2 * back + 0.2 * on, F.lit(360.0)) + 360.0, F.lit(360.0))
+
+    found = found.withColumns({"h0": smooth(0), "h1": smooth(1)})
+    a, b = F.col("s5.d"), F.col("s8.d")
+    share = F.when(b > a, F.least(F.lit(1.0), (F.col("__d") - a) / (b - a))).otherwise(0.0)
+    heading = F.when(F.col("__i") >= F.col("__n"), F.col("h0")).otherwise(F.pmod(F.col("h0") + angle_delta(F.col("h0"), F.col("h1")) * share + 360.0, F.lit(360.0)))
+    return found.select("trip", "move", *keys, F.col("s0.lat").alias("h_lat"), F.col("s0.lng").alias("h_lng"), F.col("s1.lat").alias("l_lat"), F.col("s1.lng").alias("l_lng"), F.when(F.col("total") < 1, 0.0).otherwise(heading).alias("heading"))
+
+
 #: Degrees that the camera spans, by mode; cars by metres of the way; at arrival and in a stay.
 SPANS, SPAN_FAR, SPAN_MIDDLE, SPAN_NEAR, SPAN_ARRIVAL, SPAN_STAY = [("AIRPLANE", 6.0), ("FERRY", 0.18), ("TRAIN", 0.28), ("WALK", 0.045), ("BICYCLE", 0.045)], (80_000, 0.22), (20_000, 0.14), 0.085, 0.065, (0.080, 0.060)
 DAY_MS, DAY_SHOWN_MS = 86_400_000, 4_000_000
@@ -102,12 +141,9 @@ def state_on_route(progress: DataFrame, episodes: DataFrame, route: DataFrame) -
     p = progress.select("trip", "id", "k", "media", "progress").join(e.withColumnsRenamed({"lat": "e_lat", "lng": "e_lng"}), ["trip", "id"]).join(total, ["trip", "id"], "left")
     p = p.withColumn("total", F.coalesce("total", F.lit(0.0))).withColumn("at", F.col("total") * smoothstep("progress"))
     p = p.withColumn("lead", F.least("total", F.col("at") + F.greatest(F.lit(200.0), F.least(F.lit(35_000.0), F.col("total") * 0.18))))
-    moving = p.where("kind = 'MOVE' AND total > 0").select("trip", F.col("id").alias("move"), "k", "at", "lead")
-    asked = moving.select("trip", "move").distinct()  # only routes that are looked at get headings
-    own = route.join(asked, ["trip", "move"], "left_semi")
-    track = heading_samples(e.select("trip", F.col("id").alias("move"), "mode").join(asked, ["trip", "move"], "left_semi"), own)
-    here = heading_at(positions(moving, own, "at").withColumnsRenamed({"lat": "h_lat", "lng": "h_lng"}), track, "at")
-    both = positions(here, own, "lead").select("trip", F.col("move").alias("id"), "k", "h_lat", "h_lng", "heading", F.col("lat").alias("l_lat"), F.col("lng").alias("l_lng"))
+    moving = p.where("kind = 'MOVE' AND total > 0").select("trip", F.col("id").alias("move"), "k", "mode", "at", "lead")
+    own = route.join(moving.select("trip", "move").distinct(), ["trip", "move"], "left_semi")  # only routes that are looked at
+    both = _headed(moving, own, ["k"]).withColumnRenamed("move", "id")
     s = p.join(both, ["trip", "id", "k"], "left")
     move, f = F.col("kind") == "MOVE", F.col("progress")
     clamp = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
