@@ -89,6 +89,11 @@ def nearest_in_time(left: DataFrame, right: DataFrame, on: list[str], lt: str, r
     return after.select(*left.columns, *(F.when(use, F.col(f"b_{v}")).otherwise(F.col(f"r_{v}")).alias(f"r_{v}") for v in names))
 
 
+def first_of_spot(places: DataFrame) -> DataFrame:
+    """Of places(place, p_lat, p_lng, ord) at one spot the first listed: no other can be nearest there."""
+    return places.groupBy("p_lat", "p_lng").agg(F.min(F.struct("ord", "place")).alias("b")).select("p_lat", "p_lng", "b.ord", "b.place")
+
+
 def nearest_place(points: DataFrame, places: DataFrame, most_m: float, key: str, cell: float | None = None) -> DataFrame:
     """points(lat, lng) with the nearest place(place, p_lat, p_lng, ord) strictly within most_m, the first listed on a tie.
 
@@ -105,7 +110,7 @@ def nearest_place(points: DataFrame, places: DataFrame, most_m: float, key: str,
     rows = F.sequence(F.floor((F.col("p_lat") - rise) / cell), F.floor((F.col("p_lat") + rise) / cell))
     cols = F.sequence(F.floor((F.col("p_lng") - spread) / cell), F.floor((F.col("p_lng") + spread) / cell))
     turn = round(360 / cell)
-    grid = places.withColumn("__y", F.explode(rows)).withColumn("__x", F.explode(F.array_distinct(F.transform(cols, lambda x: F.pmod(x, F.lit(turn))))))
+    grid = first_of_spot(places).withColumn("__y", F.explode(rows)).withColumn("__x", F.explode(F.array_distinct(F.transform(cols, lambda x: F.pmod(x, F.lit(turn))))))
     at = points.withColumns({"__y": F.floor(F.col("lat") / cell), "__x": F.pmod(F.floor(F.col("lng") / cell), F.lit(turn))})
     d = haversine("lat", "lng", "p_lat", "p_lng")
     near = at.join(grid, ["__y", "__x"]).where(F.abs(F.col("lat") - F.col("p_lat")) <= rise * 1.01).withColumn("__d", d).where(F.col("__d") < most_m)
