@@ -13,15 +13,34 @@ def _levels(bucket: int) -> list[int]:
     return [bucket * STEP**i for i in range(8)]
 
 
-def interval_join(points: DataFrame, intervals: DataFrame, on: list[str], ts: str, start: str, end: str, bucket: int = 3_600_000, pad: int = 0, how: str = "inner") -> DataFrame:
+#: Hashes of groups that ``in_groups`` tells apart: the most rows that it broadcasts.
+GROUPS = 1 << 16
+
+
+def in_groups(df: DataFrame, others: DataFrame, on: list[str]) -> DataFrame:
+    """Rows of df whose group may have a row in others, before any shuffle of df: all of a group that has one, and few of other groups.
+
+    The groups of others come as hashes of a bounded number of values, so they
+    are broadcast whatever their number; two groups of one hash only keep rows
+    that the join behind drops.
+    """
+    hashed = F.pmod(F.xxhash64(*on), F.lit(GROUPS)).alias("__group")
+    here = others.select(hashed).distinct()
+    return df.select("*", hashed).join(F.broadcast(here), "__group", "left_semi").drop("__group")
+
+
+def interval_join(points: DataFrame, intervals: DataFrame, on: list[str], ts: str, start: str, end: str, bucket: int = 3_600_000, pad: int = 0, how: str = "inner", prune: bool = True) -> DataFrame:
     """Rows of points with the intervals that hold their ts, both ends included, widened by pad.
 
     An interval is dealt to the buckets it covers, at the finest of eight bucket
     sizes, each 16 times the one before, at which it covers at most 17.  A point
     is in one bucket of each size that some interval has; the others go before the
     shuffle.  So long and short intervals cost the same, a pair meets once, and
-    the join is an equi-join on (on, size, bucket).
+    the join is an equi-join on (on, size, bucket).  Intervals of groups without
+    any point go before they are dealt; ``prune`` off spares reading points twice.
     """
+    if prune:
+        intervals = in_groups(intervals, points, on)
     s, e = F.col(start) - pad, F.col(end) + pad
     size = F.lit(_levels(bucket)[-1])
     for b in reversed(_levels(bucket)[:-1]):

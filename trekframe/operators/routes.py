@@ -64,7 +64,7 @@ def on_route(points: DataFrame, route: DataFrame, key: str) -> DataFrame:
     """
     names = ["trip", "move"]
     timed = route.where("t1 IS NOT NULL AND t2 IS NOT NULL AND t2 >= t1")
-    held = interval_join(points.select(*names, key, "ts_ms"), timed, names, "ts_ms", "t1", "t2")
+    held = interval_join(points.select(*names, key, "ts_ms"), timed, names, "ts_ms", "t1", "t2", prune=False)
     first = held.groupBy(*names, key).agg(F.min(F.struct("seq", "ts_ms", "t1", "t2", "lat1", "lng1", "lat2", "lng2", "metres")).alias("h"))
     part = F.when(F.col("h.t2") > F.col("h.t1"), (F.col("h.ts_ms") - F.col("h.t1")) / (F.col("h.t2") - F.col("h.t1"))).otherwise(0.0)
     by_time = first.select(*names, key, slerp("h.lat1", "h.lng1", "h.lat2", "h.lng2", part, "h.metres").alias("p"))
