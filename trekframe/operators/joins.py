@@ -82,8 +82,10 @@ def overlap_join(a: DataFrame, b: DataFrame, on: list[str], bucket: int = 3_600_
 def asof(left: DataFrame, right: DataFrame, on: list[str], lt: str, rt: str, values: list[str], direction: str = "backward", tie: list[str] | None = None) -> DataFrame:
     """left with the right row last at or before lt, or first at or after it, as ``r_`` columns.
 
-    One shuffle: both sides are stacked and a window carries the last right row.
-    Equal times count as before and as after.
+    One shuffle: both sides are stacked and a window carries the last right row;
+    forward it runs from the last time to the first, since a frame that ends at
+    the partition's end is worked out anew for every row.  Equal times count as
+    before and as after.
     """
     back = direction == "backward"
     row = F.struct(F.col(rt).alias(rt), *(F.col(v) for v in values))
@@ -91,9 +93,8 @@ def asof(left: DataFrame, right: DataFrame, on: list[str], lt: str, rt: str, val
     stack_r = right.withColumns({"__t": F.col(rt), "__side": F.lit(0 if back else 1), "__r": row, "__l": F.lit(None).cast(left.select(F.struct(*left.columns).alias("x")).schema["x"].dataType), "__tie": F.struct(*(tie or values))})
     cols = [*on, "__t", "__side", "__r", "__l"]
     both = stack_l.withColumn("__tie", F.lit(None).cast(stack_r.schema["__tie"].dataType)).select(*cols, "__tie").unionByName(stack_r.select(*cols, "__tie"))
-    w = Window.partitionBy(*on).orderBy("__t", "__side", "__tie")
-    w = w.rowsBetween(Window.unboundedPreceding, 0) if back else w.rowsBetween(0, Window.unboundedFollowing)
-    pick = (F.last if back else F.first)("__r", ignorenulls=True).over(w)
+    order = [F.asc(k) if back else F.desc(k) for k in ("__t", "__side", "__tie")]
+    pick = F.last("__r", ignorenulls=True).over(Window.partitionBy(*on).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     done = both.withColumn("__r", pick).where("__l IS NOT NULL")
     return done.select("__l.*", *(F.col(f"__r.{v}").alias(f"r_{v}") for v in [rt, *values]))
 

@@ -8,7 +8,8 @@ from pyspark.sql.window import Window
 
 from trekframe.functions.geo import haversine, point_to_segment, slerp, wrapped_delta
 
-from .joins import asof, interval_join, nearest_in_time
+from .joins import asof, in_groups, interval_join, nearest_in_time
+from .staged import staged
 
 #: Cells round the globe at each level; a level's cells are four times as wide as those before.
 AROUND = [4096 // 4**i for i in range(7)]
@@ -94,29 +95,33 @@ def match_photos(photos: DataFrame, visits: DataFrame, moves: DataFrame, points:
     route passes within 3 km (50 km by air); of the stays within 2 h the nearest,
     if within 300 m; else nothing.  Without: the stay of its time and its place;
     the move and the place on its route; the nearest point within 30 whole
-    minutes; else nothing.
+    minutes; else nothing.  What is on at a photo's time, and the routes asked
+    for, are written once, since every rule reads them.
     """
-    m = moves.withColumnRenamed("id", "move")
     auto = photos.where("NOT own AND ts_ms IS NOT NULL").select("trip", "id", "ts_ms", "lat", "lng", "gps")
 
-    def active(df, p, *more):
-        held = interval_join(auto.select("trip", "id", "ts_ms"), df.select("trip", *(F.col(x).alias(f"{p}_{x}") for x in ("start_ms", "end_ms", "id", *more))), ["trip"], "ts_ms", f"{p}_start_ms", f"{p}_end_ms")
-        return held.groupBy("trip", "id").agg(F.min(F.struct(*(F.col(f"{p}_{x}").alias(x) for x in ("start_ms", "end_ms", "id", *more)))).alias(p))
-
-    j = auto.join(active(visits, "v", "lat", "lng"), ["trip", "id"], "left").join(active(moves, "s", "mode"), ["trip", "id"], "left")
+    visits, moves, paths, points = (in_groups(df, photos, ["trip"]) for df in (visits, moves, paths, points))
+    m = moves.withColumnRenamed("id", "move")
+    # what is on at a photo's time, stays and moves in one join
+    span = ("start_ms", "end_ms", "id")
+    both = visits.select("trip", F.lit("v").alias("side"), *span, "lat", "lng", F.lit(None).cast("string").alias("mode")).unionByName(moves.select("trip", F.lit("s").alias("side"), *span, F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lng"), "mode"))
+    both = both.withColumnsRenamed({x: f"a_{x}" for x in (*span, "lat", "lng", "mode")})
+    held = interval_join(auto.select("trip", "id", "ts_ms"), both, ["trip"], "ts_ms", "a_start_ms", "a_end_ms", prune=False)
+    first = lambda side, *more: F.min(F.when(F.col("side") == side, F.struct(*(F.col(f"a_{x}").alias(x) for x in (*span, *more)))))
+    j = staged(auto.join(held.groupBy("trip", "id").agg(first("v", "lat", "lng").alias("v"), first("s", "mode").alias("s")), ["trip", "id"], "left"), "photos")
     # of the routes only those that a photo may lie on are worked out
     asked = j.where("s IS NOT NULL AND (gps OR v IS NULL)").select("trip", F.col("s.id").alias("move")).distinct()
     straight = F.array(F.struct(F.lit(0).cast("bigint").alias("seq"), "lat", "lng"), F.struct(F.lit(1).cast("bigint").alias("seq"), F.col("lat2").alias("lat"), F.col("lng2").alias("lng")))
     m = m.join(asked, ["trip", "move"], "left_semi")
     own = paths.join(asked, ["trip", "move"], "left_semi").select("trip", "move", F.col("seq").cast("bigint").alias("seq"), "ts_ms", "lat", "lng")
     bare = m.join(own.select("trip", "move").distinct(), ["trip", "move"], "left_anti").select("trip", "move", F.inline(straight)).withColumn("ts_ms", F.lit(None).cast("bigint"))
-    route = legs(own.unionByName(bare.select(own.columns)))
+    route = staged(legs(own.unionByName(bare.select(own.columns))), "routes")
     reach = F.when(F.col("mode") == "AIRPLANE", TO_FLIGHT).otherwise(TO_ROUTE).cast("double")
     reached = near_route(j.where("gps AND s IS NOT NULL").select("trip", F.col("s.id").alias("move"), "id", "lat", "lng"), route.join(m.select("trip", "move", reach.alias("reach")), ["trip", "move"]), ["trip", "move"], "id")
     length = F.col("s.end_ms") - F.col("s.start_ms")
     share = F.when(length > 0, (F.col("ts_ms") - F.col("s.start_ms")) / length).otherwise(0.0)
     placed = on_route(j.where("NOT gps AND v IS NULL AND s IS NOT NULL").select("trip", F.col("s.id").alias("move"), "id", "ts_ms", share.alias("share")), route, "id")
-    near = interval_join(auto.where("gps").select("trip", "id", "ts_ms", "lat", "lng"), visits.select("trip", F.col("id").alias("n_id"), "start_ms", "end_ms", F.col("lat").alias("n_lat"), F.col("lng").alias("n_lng")), ["trip"], "ts_ms", "start_ms", "end_ms", pad=NEAR_MS)
+    near = interval_join(auto.where("gps").select("trip", "id", "ts_ms", "lat", "lng"), visits.select("trip", F.col("id").alias("n_id"), "start_ms", "end_ms", F.col("lat").alias("n_lat"), F.col("lng").alias("n_lng")), ["trip"], "ts_ms", "start_ms", "end_ms", pad=NEAR_MS, prune=False)
     near = near.groupBy("trip", "id").agg(F.min(F.struct(F.round(haversine("lat", "lng", "n_lat", "n_lng"), 3).alias("m"), "n_id")).alias("n"))
     timed = nearest_in_time(j.where("NOT gps AND v IS NULL AND s IS NULL").select("trip", "id", "ts_ms"), points.select("trip", F.col("ts_ms").alias("at"), F.col("id").alias("point"), "lat", "lng"), ["trip"], "ts_ms", "at", ["point", "lat", "lng"])
     j = j.join(reached.select("trip", "id", F.lit(True).alias("reached")), ["trip", "id"], "left").join(placed.select("trip", "id", F.struct("lat", "lng").alias("p")), ["trip", "id"], "left").join(near, ["trip", "id"], "left")
