@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -209,6 +210,22 @@ def canonical_stays(rows: list[dict]) -> list[dict]:
 STAY = "trip bigint, island bigint, id bigint, name string, place_id string, lat double, lng double, start_ms bigint, end_ms bigint, confidence double, is_override boolean"
 
 
+def _values(a: pa.Array) -> list:
+    """An Arrow column as Python values, as ``to_pylist`` gives them; columns without nulls and nested ones at once, not value by value."""
+    if pa.types.is_list(a.type):
+        flat, sizes, at, out = _values(a.flatten()), _values(pc.list_value_length(a)), 0, []
+        for n in sizes:
+            out.append(None if n is None else flat[at : at + n])
+            at += n or 0
+        return out
+    if pa.types.is_struct(a.type) and not a.null_count:
+        names = a.type.names
+        return [dict(zip(names, x)) for x in zip(*map(_values, a.flatten()))]
+    if a.null_count or pa.types.is_nested(a.type) or pa.types.is_temporal(a.type):
+        return a.to_pylist()
+    return a.to_numpy(zero_copy_only=False).tolist()
+
+
 def _grouped(df: DataFrame, by: list[str], kernel, schema: str) -> DataFrame:
     """kernel over each group's rows.  Groups stream through sorted partitions, so many small ones share a batch."""
     fields = [x.split(" ", 1) for x in schema.split(", ")]
@@ -220,8 +237,10 @@ def _grouped(df: DataFrame, by: list[str], kernel, schema: str) -> DataFrame:
 
         now, group, out = None, [], []
         for batch in batches:
-            for row in batch.to_pylist():
-                key = tuple(row[c] for c in by)
+            names, columns = batch.schema.names, [_values(c) for c in batch.columns]
+            keys = zip(*(columns[names.index(c)] for c in by))
+            for key, values in zip(keys, zip(*columns)):
+                row = dict(zip(names, values))
                 if key != now:
                     out += kernel(group) if group else []
                     now, group = key, []
@@ -233,7 +252,9 @@ def _grouped(df: DataFrame, by: list[str], kernel, schema: str) -> DataFrame:
         if out:
             yield packed(out)
 
-    return df.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, schema)
+    # a kernel's time hangs on its rows, not their bytes: a number of its own keeps small partitions from being put together into few long tasks
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(parts, *by).sortWithinPartitions(*by).mapInArrow(run, schema)
 
 
 def canonicalise_stays(visits: DataFrame) -> DataFrame:
@@ -281,6 +302,8 @@ def position(of: Track, t: float) -> tuple[float, float]:
     if i == 0 or i == len(times):
         return spots[min(i, len(times) - 1)]
     f, a, b = (t - times[i - 1]) / max(1e-9, times[i] - times[i - 1]), spots[i - 1], spots[i]
+    if a == b:
+        return a
     d = metres(*a, *b) / R
     if d < 1e-9 or f >= 1:
         return b if f >= 1 else a
@@ -307,10 +330,16 @@ def between(of: Track, a: int, b: int, least_m: float = 1.0) -> list[dict]:
 BY_PATH, BY_POINTS, BY_USER = 20.0, 15.0, 1.5
 
 
-def _worth(s: dict, a: int, b: int) -> float:
+def _own(s: dict) -> tuple[float, int]:
+    """What a whole movement is worth, and the milliseconds it is worth that for."""
     path = s.get("path") or []
     own = GEOMETRY[s["provenance"]] * (BY_USER if s.get("is_override") else s["confidence"]) + BY_PATH * (len(path) > 2) + BY_POINTS * any(p["ts_ms"] is not None for p in path)
-    return own * (b - a) / max(1, s["end_ms"] - s["start_ms"])
+    return own, max(1, s["end_ms"] - s["start_ms"])
+
+
+def _worth(s: dict, a: int, b: int) -> float:
+    own, ms = _own(s)
+    return own * (b - a) / ms
 
 
 def canonical_moves(rows: list[dict]) -> list[dict]:
@@ -351,7 +380,8 @@ COUNTS = ["n_raw", "n_groups", "n_same_mode", "n_other_mode", "n_cut", "n_gone",
 def _resolved(rows: list[dict]) -> tuple[list[dict], dict[str, int]]:
     rows = sorted(rows, key=lambda s: (s["start_ms"], s["end_ms"], s["id"]))
     edges = sorted({t for s in rows for t in (s["start_ms"], s["end_ms"])})
-    tracks = {s["id"]: track(s) for s in rows}
+    last, tracks, seen = {s["id"]: s for s in rows}, {}, {}
+    worths = {id(s): _own(s) for s in rows}
     steps, on, k = [], [], 0
     for a, b in zip(edges, edges[1:]):  # a sweep: those on are in the order of rows
         on = [s for s in on if s["end_ms"] >= b]
@@ -363,31 +393,47 @@ def _resolved(rows: list[dict]) -> tuple[list[dict], dict[str, int]]:
     if not steps:
         return [], {}
 
-    def change(p: dict, q: dict, far: float) -> float:
+    def of(s: dict) -> Track:
+        if s["id"] not in tracks:
+            tracks[s["id"]] = track(last[s["id"]])
+        return tracks[s["id"]]
+
+    def place(s: dict, t: int) -> tuple[float, float]:
+        """Where a movement is at a time, worked out once: it is asked for as one that ends, goes on and begins."""
+        key = (s["id"], t)
+        if key not in seen:
+            seen[key] = position(of(s), t)
+        return seen[key]
+
+    def change(p: dict, q: dict, t: int) -> float:
         if p["id"] == q["id"]:
             return 0.0
+        far = metres(*place(p, t), *place(q, t))
         return -math.inf if far > 1500 else -(15 if p["mode"] == q["mode"] else 40) - 0.05 * far
 
+    def worth(s: dict, a: int, b: int) -> float:
+        own, ms = worths[id(s)]
+        return own * (b - a) / ms
+
     def first_best(values: list[float]) -> int:
-        return max(range(len(values)), key=lambda i: (values[i], -i))
+        return values.index(max(values))
 
-    score, back = [_worth(s, *steps[0][:2]) for s in steps[0][2]], []
+    score, back = [worth(s, *steps[0][:2]) for s in steps[0][2]], []
     for (_, _, before), (a, b, now) in zip(steps, steps[1:]):
-        from_, to = ([position(tracks[s["id"]], a) for s in side] for side in (before, now))
-        table = [[x + change(p, q, metres(*y, *z)) for x, p, y in zip(score, before, from_)] for q, z in zip(now, to)]
+        table = [[x + change(p, q, a) for x, p in zip(score, before)] for q in now]
         come = [first_best(line) for line in table]
         back.append(come)
-        score = [line[k] + _worth(q, a, b) for line, k, q in zip(table, come, now)]
+        score = [line[k] + worth(q, a, b) for line, k, q in zip(table, come, now)]
     k = first_best(score)
     path = [k]
     for come in reversed(back):
         path.append(k := come[k])
     chosen = [on[i] for (_, _, on), i in zip(steps, reversed(path))]
-    repaired = max(score) == -math.inf or any(p["id"] != q["id"] and metres(*position(tracks[p["id"]], a), *position(tracks[q["id"]], a)) > 500 for p, q, (a, _, _) in zip(chosen, chosen[1:], steps[1:]))
+    repaired = max(score) == -math.inf or any(p["id"] != q["id"] and metres(*place(p, a), *place(q, a)) > 500 for p, q, (a, _, _) in zip(chosen, chosen[1:], steps[1:]))
     if repaired:
         low, high = steps[0][0], steps[-1][1]
-        best = rows[first_best([_worth(s, max(low, s["start_ms"]), min(high, s["end_ms"])) for s in rows])]
-        chosen = [best if best in on else on[first_best([_worth(s, a, b) for s in on])] for a, b, on in steps]
+        best = rows[first_best([worth(s, max(low, s["start_ms"]), min(high, s["end_ms"])) for s in rows])]
+        chosen = [best if best in on else on[first_best([worth(s, a, b) for s in on])] for a, b, on in steps]
     out: list[dict] = []
     for s, (a, b, _) in zip(chosen, steps):
         if out and out[-1]["id"] == s["id"] and out[-1]["end_ms"] == a:
@@ -395,12 +441,12 @@ def _resolved(rows: list[dict]) -> tuple[list[dict], dict[str, int]]:
         else:
             out.append(s | {"start_ms": a, "end_ms": b, "__of": s})
     for s in out:
-        of = s.pop("__of")
-        s["sliced"] = (s["start_ms"], s["end_ms"]) != (of["start_ms"], of["end_ms"])
-        s["lat"], s["lng"] = position(tracks[of["id"]], s["start_ms"])
-        s["lat2"], s["lng2"] = position(tracks[of["id"]], s["end_ms"])
+        whole = s.pop("__of")
+        s["sliced"] = (s["start_ms"], s["end_ms"]) != (whole["start_ms"], whole["end_ms"])
+        s["lat"], s["lng"] = place(whole, s["start_ms"])
+        s["lat2"], s["lng2"] = place(whole, s["end_ms"])
         if s.get("path"):
-            s["path"] = between(tracks[of["id"]], s["start_ms"], s["end_ms"])
+            s["path"] = between(of(whole), s["start_ms"], s["end_ms"])
     others = [x["mode"] == s["mode"] for s, (_, _, on) in zip(chosen, steps) for x in on if x["id"] != s["id"]]
     return out, {"n_same_mode": sum(others), "n_other_mode": len(others) - sum(others), "n_cut": sum(s["sliced"] for s in out), "n_repaired": int(repaired)}
 
