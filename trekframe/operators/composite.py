@@ -509,7 +509,10 @@ def timeline_jumps(episodes: DataFrame, raw: DataFrame) -> DataFrame:
 
 def canonical_diagnostics(records: DataFrame, raw: DataFrame) -> DataFrame:
     """For each trip the counters of canonicalisation, and its jumps and backtracks as text, over canonicalise_with_records."""
-    j = timeline_jumps(joined_moves(records.where("reason IS NULL")), raw)
+    from .staged import staged
+
+    # jumps are found and typed in two branches, so the episodes are written once: each branch would resolve every island anew
+    j = timeline_jumps(staged(joined_moves(records.where("reason IS NULL")), "episodes"), raw)
     told = lambda test, text: F.sort_array(F.collect_list(F.when(test, text)))
     jump = F.format_string("%s %d m %d-%d", "discontinuity", F.col("jump_m").cast("bigint"), "first", "next")
     back = F.format_string("%d km in %d s %d-%d", (F.col("jump_m") / 1000).cast("bigint"), F.expr("gap_ms div 1000"), "first", "next")
