@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from trekframe.sources import basemap as BM
 from trekframe.sources import media as MD
@@ -41,13 +42,13 @@ def _export(spark, d):
         element = F.when(k % 6 == i, shape).otherwise(element)
     rows = read(spark, d, "orders").select(F.floor(k / 10_000).alias("f"), k.alias("n"), element.alias("e"))
     signals = read(spark, d, "orders").where("o_orderkey % 4 = 0").select((F.floor(k / 10_000) + 1_000_000_000).alias("f"), k.alias("n"), text('{"timestampMs": "%s", "latitudeE7": %s, "longitudeE7": 70000000}', t, e7).alias("e"))
-    both = rows.unionByName(signals)
-    edge = both.groupBy("f").agg(F.min("n").alias("a"), F.max("n").alias("b"))
-    lines = both.join(edge, "f")
-    head = F.when(F.col("n") == F.col("a"), F.concat(F.lit('{"'), F.when(F.col("f") >= 1_000_000_000, "locations").otherwise("semanticSegments"), F.lit('": ['))).otherwise(F.lit(""))
-    lines = lines.select("f", "n", F.concat(head, "e", F.when(F.col("n") == F.col("b"), "]}").otherwise(",")).alias("value"))
+    # a window keeps a file's lines in one task; a repartition above a join on the same key may be left out and the join read by mapper, which cuts files
+    w = Window.partitionBy("f").orderBy("n")
+    lines = rows.unionByName(signals).withColumns({"before": F.lag("n").over(w), "after": F.lead("n").over(w)})
+    head = F.when(F.col("before").isNull(), F.concat(F.lit('{"'), F.when(F.col("f") >= 1_000_000_000, "locations").otherwise("semanticSegments"), F.lit('": ['))).otherwise(F.lit(""))
+    lines = lines.select("f", "n", F.concat(head, "e", F.when(F.col("after").isNull(), "]}").otherwise(",")).alias("value"))
     out = folder(spark)
-    lines.repartition("f").sortWithinPartitions("f", "n").select("f", "value").write.partitionBy("f").text(out)
+    lines.sortWithinPartitions("f", "n").select("f", "value").write.partitionBy("f").text(out)
     return TL.elements(spark, out)
 
 
