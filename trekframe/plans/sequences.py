@@ -55,9 +55,7 @@ def w3(spark, d):
 @query("w4_atomic_intervals", f"""WITH {STAYS}, {_ISL}, b AS (SELECT DISTINCT trip, island, unnest([start_ms, end_ms]) AS a FROM isl), t AS (SELECT *, lead(a) OVER (PARTITION BY trip, island ORDER BY a) AS b FROM b)
   SELECT t.trip, t.island, t.a, t.b, count(*) AS candidates FROM t JOIN isl ON isl.trip = t.trip AND isl.island = t.island AND start_ms <= t.a AND end_ms >= t.b WHERE t.b IS NOT NULL GROUP BY ALL""")
 def w4(spark, d):
-    s = S.islands(stays(spark, d), ["trip"], ["id"])
-    t = S.atomic_intervals(s, ["trip", "island"])
-    return t.join(s, ["trip", "island"]).where("start_ms <= a AND end_ms >= b").groupBy("trip", "island", "a", "b").agg(F.count("*").alias("candidates"))
+    return S.atomic_counts(S.islands(stays(spark, d), ["trip"], ["id"]), ["trip", "island"])
 
 
 _NB = f"""n AS (SELECT trip, id, lead(start_ms) OVER w - end_ms AS gap, {hav('lat', 'lng', 'lead(lat) OVER w', 'lead(lng) OVER w')} AS jump FROM stays WINDOW w AS (PARTITION BY trip ORDER BY start_ms, end_ms, id))"""
