@@ -726,10 +726,13 @@ def sliced(points, a, b, least_m: float = 1.0) -> Column:
     at = lambda x: F.struct(x["lat"].alias("lat"), x["lng"].alias("lng"))
 
     def when(p, t):
-        i = F.size(F.filter(p, lambda x: x["ts_ms"] < t))  # vertices before t
-        before, after = F.get(p, i - 1), F.get(p, i)
-        f = (t - before["ts_ms"]) / F.greatest(F.lit(1), after["ts_ms"] - before["ts_ms"])
-        return F.when(i == 0, at(F.get(p, F.lit(0)))).when(i == F.size(p), at(F.element_at(p, -1))).otherwise(slerp(before["lat"], before["lng"], after["lat"], after["lng"], f))
+        def mid(q):
+            f = (t - q["a"]["ts_ms"]) / F.greatest(F.lit(1), q["b"]["ts_ms"] - q["a"]["ts_ms"])
+            return slerp(q["a"]["lat"], q["a"]["lng"], q["b"]["lat"], q["b"]["lng"], f)
+
+        around = lambda i: let(F.struct(F.get(p, i - 1).alias("a"), F.get(p, i).alias("b")), mid)
+        before = F.size(F.filter(p, lambda x: x["ts_ms"] < t))  # vertices before t
+        return let(before, lambda i: F.when(i == 0, at(F.get(p, F.lit(0)))).when(i == F.size(p), at(F.element_at(p, -1))).otherwise(around(i)))
 
     def cut(p):
         inner = F.transform(F.filter(p, lambda x: (x["ts_ms"] > c(a)) & (x["ts_ms"] < c(b))), at)
