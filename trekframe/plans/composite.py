@@ -278,7 +278,9 @@ def g3(spark, d):
 def h6(spark, d):
     n = F.col("p_partkey")
     px = F.transform(F.sequence(F.lit(0), F.lit(143)), lambda i: (i * 7919 + n * 104729) % 16_777_216)
-    f = C.extract_features(read(spark, d, "part").select(n.alias("id"), F.lit(12).alias("width"), F.lit(12).alias("height"), px.alias("pixels")))
+    # a small file makes many images: its rows are dealt out before they get their pixels
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    f = C.extract_features(read(spark, d, "part").select("p_partkey").repartition(parts, "p_partkey").select(n.alias("id"), F.lit(12).alias("width"), F.lit(12).alias("height"), px.alias("pixels")))
     return f.select("id", "hash", F.round("sharpness", 3).alias("sharpness"), F.round("exposure", 6).alias("exposure"), F.transform("color", lambda x: F.round(x, 6)).alias("color"))
 
 
