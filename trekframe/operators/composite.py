@@ -131,12 +131,15 @@ def one_stay(a: dict, b: dict) -> bool:
 
 def one_stay_pairs(visits: DataFrame) -> DataFrame:
     """J13 over visits(trip, id, lat, lng, start_ms, end_ms): (trip, a, b) of the pairs, a before b, that ``one_stay`` joins."""
-    from .joins import overlap_join
+    from .joins import interval_join
 
-    cols = ("id", "lat", "lng", "start_ms", "end_ms")
-    # records of the same time need not meet, so times are widened by half of what they may differ
-    wide = lambda df, p: df.select("trip", *(F.col(c).alias(f"{p}_{c}") for c in cols), (F.col("start_ms") - SAME_TIME_MS // 2 - 1).alias("start_ms" if p == "a" else "b_start"), (F.col("end_ms") + SAME_TIME_MS // 2 + 1).alias("end_ms" if p == "a" else "b_end"))
-    pairs = overlap_join(wide(visits, "a"), wide(visits, "b"), ["trip"]).where(F.struct("a_start_ms", "a_end_ms", "a_id") < F.struct("b_start_ms", "b_end_ms", "b_id"))
+    side = lambda p: visits.select("trip", *(F.col(c).alias(f"{p}_{c}") for c in ("id", "lat", "lng", "start_ms", "end_ms")))
+    # A pair's first record starts first, so it holds the other's start: one join finds every pair, once.
+    # Stays last hours, so buckets of a day cut few of them; records of the same time need not meet, hence the pad.
+    apart = 2 * (SAME_TIME_MS // 2 + 1)
+    met = interval_join(side("b"), side("a"), ["trip"], "b_start_ms", "a_start_ms", "a_end_ms", 86_400_000, apart, prune=False)
+    meets = (F.col("a_end_ms") + apart > F.col("b_start_ms")) & (F.col("b_end_ms") + apart > F.col("a_start_ms"))
+    pairs = met.where(meets & (F.struct("a_start_ms", "a_end_ms", "a_id") < F.struct("b_start_ms", "b_end_ms", "b_id")))
     shared = F.least("a_end_ms", "b_end_ms") - F.greatest("a_start_ms", "b_start_ms")
     shorter = F.greatest(F.lit(1), F.least(F.col("a_end_ms") - F.col("a_start_ms"), F.col("b_end_ms") - F.col("b_start_ms")))
     same = (F.abs(F.col("a_start_ms") - F.col("b_start_ms")) <= SAME_TIME_MS) & (F.abs(F.col("a_end_ms") - F.col("b_end_ms")) <= SAME_TIME_MS)
