@@ -95,20 +95,60 @@ def fused_paths(activities: DataFrame, points: DataFrame, pad: int = 30_000) ->
     under a metre from the one kept before go.  A stated distance outranks the
     path's.  Activities without any point are left out.
     """
-    from .joins import interval_join
-    from .sequence import dedupe_points, path_length
+    from .joins import group_hash, interval_join
 
-    times = activities.select("trip", F.col("id").alias("activity"), "start_ms", "end_ms")
-    met = interval_join(points.select("trip", F.col("id").alias("point"), "ts_ms", "lat", "lng"), times, ["trip"], "ts_ms", "start_ms", "end_ms", pad=pad)
-    seen = met.groupBy("trip", F.col("activity").alias("id")).agg(F.sort_array(F.collect_list(F.struct("ts_ms", F.col("point").alias("id"), "lat", "lng"))).alias("seen"))
+    # only activities without a raw path ask for points, and only in trips that have some; the wide rows of all others are not shuffled
     none = F.array().cast(POINTS)
+    here = points.select(group_hash(["trip"]).alias("__group"), F.lit(True).alias("__here")).distinct()
+    marked = activities.withColumns({c: F.coalesce(c, none) for c in ("raw", "own")}).withColumn("__group", group_hash(["trip"])).join(F.broadcast(here), "__group", "left")
+    asks = F.coalesce("__here", F.lit(False)) & (F.size("raw") == 0)
+    asking, rest = (marked.where(x).drop("__group", "__here") for x in (asks, ~asks))
+    times = asking.select("trip", F.col("id").alias("activity"), "start_ms", "end_ms")
+    met = interval_join(points.select("trip", F.col("id").alias("point"), "ts_ms", "lat", "lng"), times, ["trip"], "ts_ms", "start_ms", "end_ms", pad=pad, prune=False)
+    seen = met.groupBy("trip", F.col("activity").alias("id")).agg(F.sort_array(F.collect_list(F.struct("ts_ms", F.col("point").alias("id"), "lat", "lng"))).alias("seen"))
     end = lambda p, t: F.when(F.col(p).isNotNull(), F.array(F.struct(F.col(t).alias("ts_ms"), F.lit(None).cast("bigint").alias("id"), F.col(p)["lat"].alias("lat"), F.col(p)["lng"].alias("lng")))).otherwise(none)
     has = lambda p: F.size(p) > 0
-    df = activities.join(seen, ["trip", "id"], "left").withColumns({c: F.coalesce(c, none) for c in ("seen", "raw", "own")})
+    asking = asking.drop("raw").join(seen, ["trip", "id"], "left").withColumns({"seen": F.coalesce("seen", none), "raw": none})
+    df = asking.unionByName(rest.withColumn("seen", none))
     path = F.concat(end("a", "start_ms"), F.when(has("raw"), F.col("raw")).when(has("seen"), F.col("seen")).otherwise(F.col("own")), end("b", "end_ms"))
     origin = F.when(has("raw"), "SIMPLIFIED_OBSERVED").when(has("seen") | has("own"), "OBSERVED").when(F.col("mode") == "AIRPLANE", "ESTIMATED_GEODESIC").otherwise("ENDPOINT_INTERPOLATED")
-    df = df.withColumns({"path": path, "provenance": origin}).where(F.size("path") > 0).withColumn("path", dedupe_points("path"))
-    return df.withColumn("metres", F.when(F.col("metres") > 0, F.col("metres")).otherwise(path_length("path"))).drop("seen", "raw", "own", "a", "b")
+    df = df.withColumns({"path": path, "provenance": origin}).where(F.size("path") > 0)
+    of = lambda k: F.transform("path", lambda x: x[k])
+    df = df.withColumn("__way", F.arrow_udf(way_of, "struct<kept:array<int>,metres:double>")(of("lat"), of("lng")))
+    some = F.transform("__way.kept", lambda i: F.element_at("path", i + 1))
+    df = df.withColumns({"path": F.coalesce(some, "path"), "metres": F.when(F.col("metres") > 0, F.col("metres")).otherwise(F.col("__way.metres"))})
+    return df.drop("seen", "raw", "own", "a", "b", "__way")
+
+
+def way_of(lats: pa.Array, lngs: pa.Array) -> pa.Array:
+    """Of each path, none of them empty, the places of the points at least a metre from the one kept before (null: all), and the metres along these.
+
+    Steps of all paths are measured at once; only paths with a step under a metre are gone through point by point.
+    """
+    sizes = pc.list_value_length(lats).to_numpy(zero_copy_only=False).astype(np.int64)
+    lat, lng = (c.flatten().to_numpy(zero_copy_only=False).astype(float) for c in (lats, lngs))
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    y, x = np.radians(lat), np.radians(lng)
+    h = np.sin(np.diff(y) / 2) ** 2 + np.cos(y[:-1]) * np.cos(y[1:]) * np.sin(np.radians(np.diff(lng)) / 2) ** 2
+    step = np.zeros(len(lat))
+    step[1:] = 2 * R * np.arctan2(np.sqrt(h), np.sqrt(np.maximum(0.0, 1 - h)))
+    step[starts] = 0.0
+    near = ~(step >= 1.0)
+    near[starts] = False
+    way = np.add.reduceat(step, starts) if len(starts) else np.zeros(0)
+    kept: list = [None] * len(sizes)
+    for k in np.flatnonzero(np.add.reduceat(near, starts, dtype=np.int64)).tolist() if len(starts) else []:
+        a, b = int(starts[k]), int(ends[k])
+        places, total, last = [0], 0.0, (float(lat[a]), float(lng[a]))
+        for i in range(a + 1, b):
+            point = (float(lat[i]), float(lng[i]))
+            far = metres(*last, *point)
+            if far >= 1.0:
+                places.append(i - a)
+                total, last = total + far, point
+        kept[k], way[k] = places, total
+    return pa.StructArray.from_arrays([pa.array(kept, pa.list_(pa.int32())), pa.array(way)], names=["kept", "metres"])
 
 
 # A4 -------------------------------------------------------------------------------------------

@@ -17,6 +17,11 @@ def _levels(bucket: int) -> list[int]:
 GROUPS = 1 << 16
 
 
+def group_hash(on: list[str]) -> Column:
+    """One of a bounded number of values for a group."""
+    return F.pmod(F.xxhash64(*on), F.lit(GROUPS))
+
+
 def in_groups(df: DataFrame, others: DataFrame, on: list[str]) -> DataFrame:
     """Rows of df whose group may have a row in others, before any shuffle of df: all of a group that has one, and few of other groups.
 
@@ -24,7 +29,7 @@ def in_groups(df: DataFrame, others: DataFrame, on: list[str]) -> DataFrame:
     are broadcast whatever their number; two groups of one hash only keep rows
     that the join behind drops.
     """
-    hashed = F.pmod(F.xxhash64(*on), F.lit(GROUPS)).alias("__group")
+    hashed = group_hash(on).alias("__group")
     here = others.select(hashed).distinct()
     return df.select("*", hashed).join(F.broadcast(here), "__group", "left_semi").drop("__group")
 
