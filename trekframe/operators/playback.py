@@ -100,8 +100,8 @@ def _headed(points: DataFrame, route: DataFrame, keys: list[str]) -> DataFrame:
     for k in four:
         spots += [at[k], F.least(at[k] + F.col("__look"), F.col("total")), F.greatest(at[k] - F.col("__look"), F.lit(0.0))]
     own = F.struct("__d", "total", "__n", "__i", "__step", "__look")
-    far = p.select("trip", "move", *keys, own.alias("own"), F.posexplode(F.array(*spots)).alias("spot", "d"))
-    found = positions(far, route, "d").groupBy("trip", "move", *keys).agg(F.first("own").alias("own"), *(F.max(F.when(F.col("spot") == n, F.struct("d", "lat", "lng"))).alias(f"s{n}") for n in range(len(spots))))
+    far = p.select("trip", "move", *keys, own.alias("own"), F.posexplode(F.array(*spots)).alias("spot", "d")).withColumn("own", F.when(F.col("spot") == 0, F.col("own")))  # once, not with each spot
+    found = positions(far, route, "d").groupBy("trip", "move", *keys).agg(F.max("own").alias("own"), *(F.max(F.when(F.col("spot") == n, F.struct("d", "lat", "lng"))).alias(f"s{n}") for n in range(len(spots))))
     found = found.select("trip", "move", *keys, "own.*", *(f"s{n}" for n in range(len(spots))))
     to = lambda a, b: F.when(F.col(f"{b}.d") - F.col(f"{a}.d") >= 1.5, bearing(f"{a}.lat", f"{a}.lng", f"{b}.lat", f"{b}.lng"))
     # on a route of a metre and a half a sample has a place 1.5 m ahead or behind; on a shorter one none has
@@ -125,25 +125,31 @@ SPANS, SPAN_FAR, SPAN_MIDDLE, SPAN_NEAR, SPAN_ARRIVAL, SPAN_STAY = [("AIRPLANE",
 DAY_MS, DAY_SHOWN_MS = 86_400_000, 4_000_000
 
 
-def state_on_route(progress: DataFrame, episodes: DataFrame, route: DataFrame) -> DataFrame:
+def with_way_before(episodes: DataFrame) -> DataFrame:
+    """Episodes(trip, id, kind, start_ms, end_ms, metres) with the metres of movements before each, way_before, and the trip's start, trip_ms."""
+    order = Window.partitionBy("trip").orderBy("start_ms", "end_ms", "id").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.when(F.col("kind") == "MOVE", F.col("metres")).otherwise(0.0)).over(order), F.lit(0.0))
+    return episodes.withColumns({"way_before": before, "trip_ms": F.min("start_ms").over(Window.partitionBy("trip"))})
+
+
+def state_on_route(progress: DataFrame, route: DataFrame) -> DataFrame:
     """The state at story times on the episodes' routes.
 
-    progress(trip, id, k, media, progress) from story.hold_progress; episodes(trip,
-    id, kind, mode, start_ms, end_ms, lat, lng, metres, seconds); route: legs by
-    (trip, move = id).  A movement eases in and out of its way, looks ahead along
+    progress(trip, id, k, media, progress) with what its episodes have from
+    with_way_before, and their mode, lat, lng and seconds, as story.told_progress
+    keeps them, so that nothing is joined back; route: legs by (trip, move = id).
+    Of episodes only those at a sample's time are met here, however many a trip
+    has, and routes of others need not be worked out.  A movement eases in and out of its way, looks ahead along
     its heading, and its camera leads it by up to 0.22 of the way to a place ahead;
     a stay stands at its place while the camera settles.  Speed rises and falls
     over a tenth of the way and is 0 while a photo is shown.
     """
-    order = Window.partitionBy("trip").orderBy("start_ms", "end_ms", "id")
-    e = episodes.withColumns({"before": F.coalesce(F.sum(F.when(F.col("kind") == "MOVE", F.col("metres")).otherwise(0.0)).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)), "trip_ms": F.min("start_ms").over(Window.partitionBy("trip"))})
     total = route.groupBy("trip", F.col("move").alias("id")).agg(F.max("total").alias("total"))
-    p = progress.select("trip", "id", "k", "media", "progress").join(e.withColumnsRenamed({"lat": "e_lat", "lng": "e_lng"}), ["trip", "id"]).join(total, ["trip", "id"], "left")
+    p = progress.withColumnsRenamed({"lat": "e_lat", "lng": "e_lng"}).join(total, ["trip", "id"], "left")
     p = p.withColumn("total", F.coalesce("total", F.lit(0.0))).withColumn("at", F.col("total") * smoothstep("progress"))
     p = p.withColumn("lead", F.least("total", F.col("at") + F.greatest(F.lit(200.0), F.least(F.lit(35_000.0), F.col("total") * 0.18))))
     moving = p.where("kind = 'MOVE' AND total > 0").select("trip", F.col("id").alias("move"), "k", "mode", "at", "lead")
-    own = route.join(moving.select("trip", "move").distinct(), ["trip", "move"], "left_semi")  # only routes that are looked at
-    both = _headed(moving, own, ["k"]).withColumnRenamed("move", "id")
+    both = _headed(moving, route, ["k"]).withColumnRenamed("move", "id")
     s = p.join(both, ["trip", "id", "k"], "left")
     move, f = F.col("kind") == "MOVE", F.col("progress")
     clamp = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
@@ -166,5 +172,5 @@ def state_on_route(progress: DataFrame, episodes: DataFrame, route: DataFrame) -
     return s.select(
         "trip", "k", "id", "media", "ts_ms", lat.alias("lat"), lng.alias("lng"), F.when(move, F.coalesce("heading", F.lit(0.0))).otherwise(0.0).alias("heading"), F.when(move & F.col("media").isNull(), base * envelope).otherwise(0.0).alias("kmh"),
         F.when(move, lean(lat, "l_lat")).otherwise(lat).alias("camera_lat"), F.when(move, lean(lng, "l_lng")).otherwise(lng).alias("camera_lng"), F.when(move, span).otherwise(SPAN_STAY[0] * (1 - settle) + SPAN_STAY[1] * settle).alias("span"),
-        day.alias("day"), ((day > 1) & (F.expr(f"(ts_ms - trip_ms) % {DAY_MS}") < DAY_SHOWN_MS)).alias("new_day"), (F.col("before") + F.when(move, F.col("metres") * clamp(F.col("at") / F.greatest(F.lit(1.0), "total"))).otherwise(0.0)).alias("travelled"),
+        day.alias("day"), ((day > 1) & (F.expr(f"(ts_ms - trip_ms) % {DAY_MS}") < DAY_SHOWN_MS)).alias("new_day"), (F.col("way_before") + F.when(move, F.col("metres") * clamp(F.col("at") / F.greatest(F.lit(1.0), "total"))).otherwise(0.0)).alias("travelled"),
     )
