@@ -23,8 +23,7 @@ def ring_edges(rings: DataFrame) -> DataFrame:
     w = Window.partitionBy("zone", "ring").orderBy("seq")
     step = F.coalesce(wrapped_delta(F.col("lng") - F.lag("lng").over(w)), F.lit(0.0))
     r = rings.withColumn("step", step).withColumn("along", F.sum("step").over(w)).withColumn("first", F.first("lng").over(w))
-    anchor = rings.groupBy("zone").agg(F.min_by("lng", F.struct("ring", "seq")).alias("anchor"))
-    r = r.join(anchor, "zone").withColumn("x", F.col("anchor") + wrapped_delta(F.col("first") - F.col("anchor")) + F.col("along"))
+    r = r.withColumn("anchor", F.first("lng").over(Window.partitionBy("zone").orderBy("ring", "seq"))).withColumn("x", F.col("anchor") + wrapped_delta(F.col("first") - F.col("anchor")) + F.col("along"))
     ends = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     nxt = lambda c: F.coalesce(F.lead(c).over(w), F.first(c).over(ends))
     return r.select("zone", F.col("x").alias("x1"), F.col("lat").alias("y1"), nxt("x").alias("x2"), nxt("lat").alias("y2")).where("x1 <> x2 OR y1 <> y2")
@@ -76,14 +75,16 @@ def zone_index(edges: DataFrame, cells: int = 720) -> DataFrame:
 def zone_of_point(points: DataFrame, index: DataFrame, key: str, cells: int = 720) -> DataFrame:
     """points(key, lat, lng) with the zone that holds each, the least where several do, null where none does.
 
-    A point meets the zones of its own cell: an equi-join.  Within a border cell
+    A point meets the zones of its own cell: an equi-join, by sorting whatever size
+    the index is held to have, since an estimate counts no row that a sequence of
+    cells makes, and a broadcast brings the whole index to the driver.  Within a border cell
     the corner's side changes with each of the cell's edges that the way from the
     corner north along the cell's side, then west to the point, crosses.
     """
     size = F.lit(360.0 / cells)
     to = lambda v, shift: F.floor((F.col(v) - shift) / size)
     at = points.withColumns({"cx": F.pmod(to("lng", EAST), F.lit(cells)), "cy": to("lat", NORTH)})
-    j = at.join(index, ["cx", "cy"])
+    j = at.join(index.hint("merge"), ["cx", "cy"])
     lng = F.col("lng") + F.round((F.col("x") - to("lng", EAST)) / cells) * 360.0
     east, south, lat = (F.col("x") + 1) * size + EAST, F.col("cy") * size + NORTH, F.col("lat")
 
