@@ -573,6 +573,12 @@ def timeline_jumps(episodes: DataFrame, raw: DataFrame) -> DataFrame:
     both come lie over 400 m apart themselves, or are one; else canonicalisation
     has made it.  raw(trip, id, lat, lng, lat2, lng2) are the records.
     """
+    e = _neighbours(episodes)
+    return e.join(_typed_jumps(e, raw).select("trip", "episode", "discontinuity"), ["trip", "episode"], "left").drop("hit")
+
+
+def _neighbours(episodes: DataFrame) -> DataFrame:
+    """joined_moves with what lies between each and the next, and whether that is a jump to be typed (hit)."""
     from pyspark.sql.window import Window
 
     w = Window.partitionBy("trip").orderBy("start_ms", "end_ms", "first")
@@ -580,33 +586,43 @@ def timeline_jumps(episodes: DataFrame, raw: DataFrame) -> DataFrame:
     e = episodes.withColumns({"next": nxt("first"), "gap_ms": nxt("start_ms") - F.col("end_ms"), "jump_m": haversine("lat2", "lng2", nxt("lat"), nxt("lng"))})
     hit = F.coalesce(F.col("gap_ms").between(0, 1000) & (F.col("jump_m") > 500), F.lit(False))
     e = e.withColumn("hit", hit)
-    a = raw.select("trip", F.col("id").alias("first"), F.col("lat2").alias("a_lat"), F.col("lng2").alias("a_lng"))
-    b = raw.select("trip", F.col("id").alias("next"), F.col("lat").alias("b_lat"), F.col("lng").alias("b_lng"))
-    typed = e.where("hit").select("trip", "episode", "first", "next").join(a, ["trip", "first"]).join(b, ["trip", "next"])
-    source = (F.col("first") == F.col("next")) | (haversine("a_lat", "a_lng", "b_lat", "b_lng") > 400)
-    typed = typed.select("trip", "episode", F.when(source, "SOURCE_TIMELINE_GAP").otherwise("CANONICALIZER_INTRODUCED_JUMP").alias("discontinuity"))
     small = F.col("jump_m").between(1, 500) & F.col("gap_ms").between(0, 900_000)
     fast = F.col("gap_ms").between(0, 300_000) & (F.col("jump_m") > 1000) & ((F.col("gap_ms") <= 1000) | (F.col("jump_m") / (F.col("gap_ms") / 1000) > 150))
     sure = lambda x: F.coalesce(x, F.lit(False))
-    e = e.withColumns({"violation": sure(F.col("gap_ms") < 0), "connector": sure(small), "true_gap": sure(~small & ((F.col("jump_m") > 5000) | (F.col("gap_ms") > 3_600_000))), "backtrack": sure(fast)})
-    return e.join(typed, ["trip", "episode"], "left").drop("hit")
+    return e.withColumns({"violation": sure(F.col("gap_ms") < 0), "connector": sure(small), "true_gap": sure(~small & ((F.col("jump_m") > 5000) | (F.col("gap_ms") > 3_600_000))), "backtrack": sure(fast)})
+
+
+def _typed_jumps(neighbours: DataFrame, raw: DataFrame) -> DataFrame:
+    """(trip, episode, first, next, jump_m, discontinuity) of the jumps among _neighbours; the records of both sides are met in one join."""
+    sides = F.array(F.struct(F.lit("a").alias("side"), F.col("first").alias("id")), F.struct(F.lit("b").alias("side"), F.col("next").alias("id")))
+    ends = neighbours.where("hit").select("trip", "episode", "first", "next", "jump_m", F.inline(sides)).join(raw.select("trip", "id", "lat", "lng", "lat2", "lng2"), ["trip", "id"])
+    # a record's ends, not those that its piece was cut to; where a side has none the jump stays untyped
+    at = lambda side, lat, lng: F.max(F.when(F.col("side") == side, F.struct(F.col(lat).alias("lat"), F.col(lng).alias("lng"))))
+    both = ends.groupBy("trip", "episode").agg(F.first("first").alias("first"), F.first("next").alias("next"), F.first("jump_m").alias("jump_m"), at("a", "lat2", "lng2").alias("a"), at("b", "lat", "lng").alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
+    source = (F.col("first") == F.col("next")) | (haversine("a.lat", "a.lng", "b.lat", "b.lng") > 400)
+    return both.select("trip", "episode", "first", "next", "jump_m", F.when(source, "SOURCE_TIMELINE_GAP").otherwise("CANONICALIZER_INTRODUCED_JUMP").alias("discontinuity"))
 
 
 def canonical_diagnostics(records: DataFrame, raw: DataFrame) -> DataFrame:
     """For each trip the counters of canonicalisation, and its jumps and backtracks as text, over canonicalise_with_records."""
     from .staged import staged
 
-    # jumps are found and typed in two branches, so the episodes are written once: each branch would resolve every island anew
-    j = timeline_jumps(staged(joined_moves(records.where("reason IS NULL")), "episodes"), raw)
+    # jumps are found and typed in two branches, so the episodes are written once, with their neighbours: each branch would resolve every island anew, and deal them out anew
+    e = staged(_neighbours(joined_moves(records.where("reason IS NULL"))), "episodes")
     told = lambda test, text: F.sort_array(F.collect_list(F.when(test, text)))
     jump = F.format_string("%s %d m %d-%d", "discontinuity", F.col("jump_m").cast("bigint"), "first", "next")
     back = F.format_string("%d km in %d s %d-%d", (F.col("jump_m") / 1000).cast("bigint"), F.expr("gap_ms div 1000"), "first", "next")
-    return j.groupBy("trip").agg(
+    d = F.col("discontinuity")
+    jumps = _typed_jumps(e, raw).groupBy("trip").agg(F.count(d).alias("n"), F.count_if(d == "SOURCE_TIMELINE_GAP").alias("source"), F.count_if(d == "CANONICALIZER_INTRODUCED_JUMP").alias("introduced"), told(d.isNotNull(), jump).alias("notes"))
+    trips = e.groupBy("trip").agg(
         F.sum("n_raw").alias("raw"), F.sum("n_groups").alias("groups"), F.sum("n_same_mode").alias("same_mode_conflicts"), F.sum("n_other_mode").alias("other_mode_conflicts"), F.sum("n_gone").alias("suppressed"), F.sum("n_cut").alias("cut"), F.sum("n_repaired").alias("repaired"),
         (F.sum("members") - F.count("*")).alias("joined"), F.count("*").alias("episodes"), F.count_if("connector").alias("connectors"), F.count_if("true_gap").alias("true_gaps"), F.count_if("violation").alias("violations"),
-        F.count("discontinuity").alias("discontinuities"), F.count_if(F.col("discontinuity") == "SOURCE_TIMELINE_GAP").alias("source_gaps"), F.count_if(F.col("discontinuity") == "CANONICALIZER_INTRODUCED_JUMP").alias("introduced_jumps"),
-        F.count_if("backtrack").alias("backtracks"), told(F.col("discontinuity").isNotNull(), jump).alias("discontinuity_notes"), told(F.col("backtrack"), back).alias("backtrack_notes"),
+        F.count_if("backtrack").alias("backtracks"), told(F.col("backtrack"), back).alias("backtrack_notes"),
     )
+    none = lambda x: F.coalesce(x, F.lit(0).cast("bigint"))
+    all_of = trips.join(jumps, "trip", "left").withColumns({"discontinuities": none("n"), "source_gaps": none("source"), "introduced_jumps": none("introduced"), "discontinuity_notes": F.coalesce("notes", F.array().cast("array<string>"))})
+    last = ["discontinuities", "source_gaps", "introduced_jumps", "backtracks", "discontinuity_notes", "backtrack_notes"]
+    return all_of.select(*(x for x in trips.columns if x not in last), *last)
 
 
 def canonicalise_moves(moves: DataFrame) -> DataFrame:
